@@ -341,9 +341,9 @@ r as (select conv_id, turn, role,
       from conversations),
 m as (select conv_id, turn, regexp_extract_all(text, '(?s)<tool_call>(.*?)</tool_call>', 1) as bodies from r),
 b as (select conv_id, turn, unnest(bodies) as body, unnest(range(0, len(bodies))) as pos from m),
-bv as (select *, trim(body, ' ' || chr(9) || chr(10) || chr(13)) as tb from b),
-bk as (select *, json_valid(tb) and json_type(tb) = 'OBJECT' and coalesce(json_type(tb, '$.name') = 'VARCHAR', false)
-                 as ok from bv),
+bv as (select *, trim(body, ' ' || chr(9) || chr(10) || chr(13)) as tb0 from b),
+bw as (select *, case when json_valid(tb0) then tb0 end as tb from bv),
+bk as (select *, coalesce(json_type(tb) = 'OBJECT' and json_type(tb, '$.name') = 'VARCHAR', false) as ok from bw),
 calls as (
   select conv_id, turn, cast(row_number() over (partition by conv_id, turn order by pos) - 1 as integer) as ordinal,
          json_extract_string(tb, '$.name') as name,
@@ -358,7 +358,7 @@ oracle("call_ids", f"with {_REPLIES} select conv_id, turn, ordinal, call_id from
 oracle("invalid_tool_calls", f"""
 with {_REPLIES}
 select conv_id, turn, cast(pos as integer) as pos, body,
-       case when not json_valid(tb) then 'bad_json' when json_type(tb) <> 'OBJECT' then 'not_object'
+       case when tb is null then 'bad_json' when json_type(tb) <> 'OBJECT' then 'not_object'
             else 'bad_name' end as reason
 from bk where not ok""")
 _STRIP = r"nullif(regexp_replace(regexp_replace(text, '(?s)<tool_call>.*?</tool_call>', '', 'g'), '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '')"
