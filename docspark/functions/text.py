@@ -41,7 +41,8 @@ def strip_lines(c: Column) -> Column:
 
 
 def collapse_inline_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"[ \t\f\x0b]+", " ")
+    # every maximal run -> one space; a lone space is left unmatched (cheaper)
+    return F.regexp_replace(c, r" [ \t\f\x0b]+|[\t\f\x0b][ \t\f\x0b]*", " ")
 
 
 def collapse_blank_lines(c: Column, n: int = 2) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docspark.functions import text as T
 from docspark.options import SplitOptions
+from docspark.session import ensure_parallelism
 
 CHUNK_SCHEMA = "array<struct<text:string,start_index:int>>"
 
@@ -141,7 +142,7 @@ def _chunk_udf(opts: SplitOptions):
         sp = splitter_from(opts)
         return texts.map(lambda t: [{"text": c, "start_index": s}
                                     for c, s in sp.chunks_with_start(t or "")])
-    return _chunk
+    return _chunk.asNondeterministic()     # keep filters from duplicating the call
 
 
 def recursive_chunks(df: DataFrame, text_col: str = "text", opts: SplitOptions = SplitOptions(),
@@ -149,6 +150,7 @@ def recursive_chunks(df: DataFrame, text_col: str = "text", opts: SplitOptions =
     """K1 (+K2-K6 as options): one row per chunk with ``chunk_pos`` (position in
     its section), ``start_index`` (relative to the section) and ``text``.
     Other columns are carried through."""
+    df = ensure_parallelism(df)              # Python stage: use every core
     others = [c for c in df.columns if c != text_col]
     return (df.select(*others, _chunk_udf(opts)(F.col(text_col)).alias("_chunks"))
               .select(*others, F.posexplode("_chunks").alias("chunk_pos", "_c"))

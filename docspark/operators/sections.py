@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from docspark.options import StructureOptions
+from docspark.session import ensure_parallelism
 
 SECTION_SCHEMA = "array<struct<h1:string,h2:string,h3:string,h4:string,text:string>>"
 HEADER_KEYS = ("h1", "h2", "h3", "h4")
@@ -25,6 +26,8 @@ HEADER_KEYS = ("h1", "h2", "h3", "h4")
 
 # ------------------------------------------------------------------ P1
 def _printable(s: str) -> str:
+    if s.isprintable():          # fast path, one C call per line
+        return s
     return "".join(ch for ch in s if ch.isprintable())
 
 
@@ -216,33 +219,49 @@ def json_split(obj, max_chars: int = 1000, convert_lists: bool = False,
 
 
 # ------------------------------------------------------------ UDF plumbing
+_NO_HEADERS = {"h1": None, "h2": None, "h3": None, "h4": None}
+KIND_BY_EXT = {".md": "md", ".html": "html", ".htm": "html", ".json": "json"}
+
+
+def split_sections(text: Optional[str], kind: Optional[str], opts: StructureOptions = StructureOptions(),
+                   max_chars: int = 1000) -> List[Dict[str, Any]]:
+    """Sections of one document for a splitter kind ('md', 'html', 'json'; other -> whole)."""
+    t = text or ""
+    if kind == "md" and opts.enable_markdown_headers:
+        return markdown_split(t, opts.markdown_headers, opts.markdown_strip_headers)
+    if kind == "html" and opts.enable_html_headers:
+        try:
+            return html_split(t, opts.html_headers, opts.html_return_each_element)
+        except Exception:
+            return [{**_NO_HEADERS, "text": t}]
+    if kind == "json" and opts.enable_json_splitter:
+        try:
+            pieces = json_split(json.loads(t), max_chars, opts.json_convert_lists)
+        except Exception:
+            return [{**_NO_HEADERS, "text": t}]
+        return [{**_NO_HEADERS, "text": p} for p in pieces]
+    return [{**_NO_HEADERS, "text": t}]
+
+
 def _sections_udf(kind: str, opts: StructureOptions, max_chars: int):
     @F.pandas_udf(SECTION_SCHEMA)
     def _split(texts: pd.Series) -> pd.Series:
-        def one(t):
-            t = t or ""
-            if kind == "md":
-                return markdown_split(t, opts.markdown_headers, opts.markdown_strip_headers)
-            if kind == "html":
-                try:
-                    return html_split(t, opts.html_headers, opts.html_return_each_element)
-                except Exception:
-                    return [{"h1": None, "h2": None, "h3": None, "h4": None, "text": t}]
-            try:
-                pieces = json_split(json.loads(t), max_chars, opts.json_convert_lists)
-            except Exception:
-                return [{"h1": None, "h2": None, "h3": None, "h4": None, "text": t}]
-            return [{"h1": None, "h2": None, "h3": None, "h4": None, "text": p} for p in pieces]
-        return texts.map(one)
-    return _split
-
-
-def _explode_sections(df: DataFrame, kind: str, opts: StructureOptions, max_chars: int,
+        return texts.map(lambda t: split_sections(t, kind, opts, max_chars))
+    return _split.asNondeterministic()     # keep filters from duplicating the call
+
+
+def _explode_sections(df: DataFrame, kind, opts: StructureOptions, max_chars: int,
                       text_col: str = "text") -> DataFrame:
+    """``kind`` is a splitter name or, for mixed input, None: then the kind is
+    read per row from ``file_ext`` inside the same Python call (one pass)."""
+    df = ensure_parallelism(df)              # Python stage: use every core
     others = [c for c in df.columns if c != text_col and c not in HEADER_KEYS and c != "section"]
     prior = [c for c in HEADER_KEYS if c in df.columns]
-    tmp = df.select(*others, *[F.col(c).alias("_doc_" + c) for c in prior],
-                    _sections_udf(kind, opts, max_chars)(F.col(text_col)).alias("_secs"))
+    if kind is None:
+        call = _dispatch_udf(opts, max_chars)(F.col(text_col), F.col("file_ext"))
+    else:
+        call = _sections_udf(kind, opts, max_chars)(F.col(text_col))
+    tmp = df.select(*others, *[F.col(c).alias("_doc_" + c) for c in prior], call.alias("_secs"))
     tmp = tmp.select("*", F.posexplode("_secs").alias("section", "_s")).drop("_secs")
     # P5: document keys first, section keys override
     heads = [F.coalesce(F.col("_s." + k), F.col("_doc_" + k)).alias(k) if k in prior
@@ -250,6 +269,14 @@ def _explode_sections(df: DataFrame, kind: str, opts: StructureOptions, max_char
     return tmp.select(*others, "section", *heads, F.col("_s.text").alias(text_col))
 
 
+def _dispatch_udf(opts: StructureOptions, max_chars: int):
+    @F.pandas_udf(SECTION_SCHEMA)
+    def _split(texts: pd.Series, exts: pd.Series) -> pd.Series:
+        return pd.Series([split_sections(t, KIND_BY_EXT.get(e or ""), opts, max_chars)
+                          for t, e in zip(texts.tolist(), exts.tolist())])
+    return _split.asNondeterministic()
+
+
 def markdown_sections(df: DataFrame, text_col: str = "text",
                       opts: StructureOptions = StructureOptions()) -> DataFrame:
     """P1."""
@@ -269,50 +296,30 @@ def json_sections(df: DataFrame, text_col: str = "text", max_chars: int = 1000,
     return out.drop("json_value") if "json_value" in out.columns else out
 
 
-def _pass_through(df: DataFrame) -> DataFrame:
-    out = df.withColumn("section", F.lit(0))
-    for k in HEADER_KEYS:
-        if k not in out.columns:
-            out = out.withColumn(k, F.lit(None).cast("string"))
-    return out
-
-
 def structure_split(df: DataFrame, opts: StructureOptions = StructureOptions(),
-                    max_chars: int = 1000, registry=None) -> DataFrame:
-    """Pick the splitter by extension; the off-switch wins over any
-    registered splitter; other extensions pass through as one section."""
+                    max_chars: int = 1000, registry=None, text_col: str = "text") -> DataFrame:
+    """Pick the splitter by extension (.md, .html/.htm, .json) in one pass;
+    a kind switched off passes through whole, and the off-switch also wins
+    over a registered splitter; other extensions pass through as one section.
+    Registered splitters (U2) get their own branch for their extensions."""
+    if "json_value" in df.columns:
+        df = df.drop("json_value")
+    disabled = set()
+    if not opts.enable_markdown_headers:
+        disabled.add(".md")
+    if not opts.enable_html_headers:
+        disabled |= {".html", ".htm"}
+    if not opts.enable_json_splitter:
+        disabled.add(".json")
+    custom = {e: fn for e, fn in (registry.splitters.items() if registry is not None else [])
+              if e not in disabled}
+    if not custom:
+        return _explode_sections(df, None, opts, max_chars, text_col)
     ext = F.col("file_ext")
-    custom = dict(registry.splitters) if registry is not None else {}
-    routes = []
-    if opts.enable_markdown_headers:
-        routes.append(([".md"], lambda d: markdown_sections(d, opts=opts)))
-    if opts.enable_html_headers:
-        routes.append(([".html", ".htm"], lambda d: html_sections(d, opts=opts)))
-    if opts.enable_json_splitter:
-        routes.append(([".json"], lambda d: json_sections(d, max_chars=max_chars, opts=opts)))
-    enabled = {e for exts, _ in routes for e in exts}
-    disabled = {".md"} if not opts.enable_markdown_headers else set()
-    disabled |= {".html", ".htm"} if not opts.enable_html_headers else set()
-    disabled |= {".json"} if not opts.enable_json_splitter else set()
-    for e in list(custom):
-        if e in disabled:
-            custom.pop(e)
-    parts = []
-    handled = set()
-    for exts, fn in routes:
-        exts = [e for e in exts if e not in custom]
-        if exts:
-            parts.append(fn(df.where(ext.isin(exts))))
-            handled |= set(exts)
+    out = _explode_sections(df.where(~ext.isin(list(custom)) | ext.isNull()), None, opts, max_chars, text_col)
     for e, fn in custom.items():
-        parts.append(_pass_through(fn(df.where(ext == e))) if "section" not in df.columns else
-                     fn(df.where(ext == e)))
-        handled.add(e)
-    rest = df.where(~ext.isin(list(handled))) if handled else df
-    parts.append(_pass_through(rest))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    if "json_value" in out.columns:
-        out = out.drop("json_value")
+        part = fn(df.where(ext == e))
+        if "section" not in part.columns:
+            part = part.withColumn("section", F.lit(0))
+        out = out.unionByName(part, allowMissingColumns=True)
     return out

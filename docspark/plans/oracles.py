@@ -438,13 +438,11 @@ from qv left join ctx using (call_id)""")
 # ------------------------------------------------------------------ W
 _DELTAS = f"""
 {_REPLIES},
-a as (select conv_id, turn, text || '<|im_end|>' as text, 1 + conv_id % 7 as sz from r where role = 'assistant'),
-pc as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as chat_id, text, sz,
-              unnest(range(0, cast(ceil(length(text) / sz) as bigint))) as seq from a),
-pieces as (select chat_id, seq, substring(text, cast(seq * sz + 1 as bigint), sz) as delta, false as is_end from pc
-           union all
-           select cast(conv_id as varchar) || '-' || cast(turn as varchar), cast(ceil(length(text) / sz) as bigint),
-                  '', true from a),
+a as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as chat_id,
+             regexp_extract_all(text || '<|im_end|>', '(?s).{{1,' || cast(1 + conv_id % 7 as varchar) || '}}') as p
+      from r where role = 'assistant'),
+pieces as (select chat_id, unnest(range(0, len(p))) as seq, unnest(p) as delta, false as is_end from a
+           union all select chat_id, len(p), '', true from a),
 clean as (select chat_id, seq, replace(replace(delta, '<|im_end|>', ''), '<|endoftext|>', '') as delta, is_end
           from pieces),
 kept as (select * from clean where coalesce(delta, '') <> '' or is_end)

@@ -676,17 +676,17 @@ def answer_tool_calls(spark, sf):
 
 # =============================================================== W: token stream
 def _deltas(spark, sf):
+    """Assistant replies (plus an end token) cut into pieces of 1 + conv_id % 7
+    characters in one regex pass, plus one end-marker row per chat."""
     r = X.replies(spark, sf).where(F.col("role") == "assistant")
     r = r.withColumn("text", F.concat("text", F.lit("<|im_end|>")))
-    size = (F.lit(1) + F.col("conv_id") % 7).cast("int")
-    n = F.ceil(F.length("text") / size).cast("int")
+    pattern = F.concat(F.lit("(?s).{1,"), (F.lit(1) + F.col("conv_id") % 7).cast("string"), F.lit("}"))
     chat = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    pieces = r.select(chat.alias("chat_id"), "text", size.alias("sz"),
-                      F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    pieces = pieces.select("chat_id", F.col("seq").cast("long").alias("seq"),
-                           F.expr("substring(text, seq * sz + 1, sz)").alias("delta"), F.lit(False).alias("is_end"))
-    ends = r.select(chat.alias("chat_id"), n.cast("long").alias("seq"), F.lit("").alias("delta"),
-                    F.lit(True).alias("is_end"))
+    cut = r.select(chat.alias("chat_id"), F.regexp_extract_all("text", pattern, 0).alias("p"))
+    pieces = cut.select("chat_id", F.posexplode("p").alias("seq", "delta")) \
+        .select("chat_id", F.col("seq").cast("long").alias("seq"), "delta", F.lit(False).alias("is_end"))
+    ends = cut.select("chat_id", F.size("p").cast("long").alias("seq"), F.lit("").alias("delta"),
+                      F.lit(True).alias("is_end"))
     return pieces.unionByName(ends)
 
 

@@ -18,6 +18,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -62,7 +63,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def ensure_parallelism(df: DataFrame, min_factor: float = 1.0) -> DataFrame:
+def ensure_parallelism(df: DataFrame, min_factor: float = 2.0) -> DataFrame:
     """Round-robin spread a frame that has fewer input partitions than cores.
 
     Large inputs already arrive as many file splits and are returned untouched

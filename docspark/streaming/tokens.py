@@ -79,6 +79,16 @@ class ReplyParser:
         Returns True once the end marker has been processed."""
         if seq < self.next_seq or seq in self.pending:
             return False
+        if seq == self.next_seq and not self.pending:     # in-order fast path
+            self.next_seq += 1
+            if not self.started:
+                self._emit("role", "assistant")
+                self.started = True
+            self._feed(delta or "")
+            if is_end:
+                self._finish()
+                return True
+            return False
         self.pending[seq] = (delta or "", bool(is_end))
         done = False
         while self.next_seq in self.pending:
@@ -183,8 +193,8 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
     def per_chat(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         p = ReplyParser(str(pdf["chat_id"].iloc[0]))
-        for seq, delta, end in zip(pdf["seq"], pdf["delta"], pdf["is_end"]):
-            if p.offer(int(seq), delta, bool(end)):
+        for seq, delta, end in zip(pdf["seq"].tolist(), pdf["delta"].tolist(), pdf["is_end"].tolist()):
+            if p.offer(seq, delta, end):
                 break
         return p.frame()
     return deltas.select("chat_id", "seq", "delta", F.coalesce("is_end", F.lit(False)).alias("is_end")) \
@@ -204,8 +214,8 @@ def stream_events(deltas: DataFrame, idle_timeout: str = "10 minutes") -> DataFr
         p = ReplyParser.from_state(chat_id, state.get) if state.exists else ReplyParser(chat_id)
         rows = pd.concat(list(batches)).sort_values("seq")
         done = False
-        for seq, delta, end in zip(rows["seq"], rows["delta"], rows["is_end"]):
-            if p.offer(int(seq), delta, bool(end)):
+        for seq, delta, end in zip(rows["seq"].tolist(), rows["delta"].tolist(), rows["is_end"].tolist()):
+            if p.offer(seq, delta, end):
                 done = True
                 break
         if done:
