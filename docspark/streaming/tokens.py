@@ -201,8 +201,14 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
         .groupBy("chat_id").applyInPandas(per_chat, EVENT_SCHEMA)
 
 
-def stream_events(deltas: DataFrame, idle_timeout: str = "10 minutes") -> DataFrame:
-    """Streaming events with keyed state (append mode)."""
+def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> DataFrame:
+    """Streaming events with keyed state (append mode).
+
+    With ``idle_timeout_ms`` a chat that gets no delta for that long is
+    flushed (held-back text, unclosed tag) and closed by a processing-time
+    timeout; use it with a processing-time trigger. Spark then schedules
+    no-data micro-batches to fire timers, so ``processAllAvailable`` would not
+    return -- which is why it is off by default (chats close on their end row)."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         chat_id = str(key[0])
         if state.hasTimedOut:
@@ -222,10 +228,11 @@ def stream_events(deltas: DataFrame, idle_timeout: str = "10 minutes") -> DataFr
             state.remove()
         else:
             state.update(p.state_row())
-            state.setTimeoutDuration(idle_timeout)
+            if idle_timeout_ms:
+                state.setTimeoutDuration(int(idle_timeout_ms))
         yield p.frame()
 
     src = deltas.select(F.col("chat_id").cast("string").alias("chat_id"), "seq", "delta",
                         F.coalesce(F.col("is_end"), F.lit(False)).alias("is_end"))
-    return src.groupBy("chat_id").applyInPandasWithState(
-        step, EVENT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
+    return src.groupBy("chat_id").applyInPandasWithState(step, EVENT_SCHEMA, STATE_SCHEMA, "append", timeout)
