@@ -138,10 +138,13 @@ class _TopK:
 
     def frame(self, qids: np.ndarray) -> pd.DataFrame:
         if self.best_i is None:
-            return pd.DataFrame({"query_id": qids[:0], "id": [], "distance": []})
+            return pd.DataFrame({"query_id": pd.Series(qids[:0]), "id": pd.Series([], dtype=object),
+                                 "distance": pd.Series([], dtype="float64")})
         nq, kk = self.best_d.shape
-        return pd.DataFrame({"query_id": np.repeat(qids, kk),
-                             "id": self.best_i.reshape(-1),
+        ids = self.best_i.reshape(-1)
+        if ids.dtype.kind == "U":          # back to Python str for Arrow
+            ids = ids.astype(object)
+        return pd.DataFrame({"query_id": np.repeat(qids, kk), "id": ids,
                              "distance": self.best_d.reshape(-1)})
 
 
