@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docspark.session import cut_lineage
+
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 NO_HITS_TEXT = "No relevant information found in the knowledge base."   # fixed value
 _MARGIN = 16          # extra candidates re-scored exactly per block
@@ -234,11 +236,23 @@ def knn_by_text(queries: DataFrame, vectors: DataFrame, k: int = 5, *, text_col:
     return knn(qq, vectors, k, query_vec="_qv", vec_col=vec_col, **kw)
 
 
+HIT_BROADCAST_ROWS = 2_000_000        # hits are (query, rank, id, distance): ~50 bytes a row
+
+
 def shape_results(hits: DataFrame, vectors: DataFrame, id_col: str = "id",
-                  keep: tuple = ("text", "source")) -> DataFrame:
-    """Join text/metadata back to the hits; id as string, text '' when absent."""
+                  keep: tuple = ("text", "source"), broadcast_hits: Optional[bool] = None) -> DataFrame:
+    """Join text/metadata back to the hits; id as string, text '' when absent.
+
+    The hits are k per question, far smaller than the vector table. When their
+    count is known to be small (``broadcast_hits``) the distinct hit ids are
+    broadcast, so the vector table is only scanned (text and metadata columns)
+    and never shuffled; otherwise a regular shuffle join is used."""
     side = vectors.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep if c in vectors.columns])
-    out = hits.join(side, "id", "left")
+    if broadcast_hits:
+        found = side.join(F.broadcast(hits.select("id").distinct()), "id")
+        out = hits.join(found, "id", "left")
+    else:
+        out = hits.join(side, "id", "left")
     cols = [F.col("query_id"), F.col("rank"), F.col("id").cast("string").alias("id")]
     if "text" in keep:
         cols.append(F.coalesce(F.col("text"), F.lit("")).alias("text") if "text" in out.columns
@@ -288,7 +302,11 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
         hits = knn(nonempty, vectors, kmax, query_vec=vec_col, vec_col=vec_col, where=where, **kw)
     if k_col:
         hits = hits.join(queries.select("query_id", k_col), "query_id").where(F.col("rank") <= F.col(k_col))
-    shaped = shape_results(hits, vectors)
+    # The hits feed two joins and a count: cut lineage once (reliable checkpoint
+    # in spark.checkpoint.dir) so the search is not recomputed.
+    hits = cut_lineage(hits.select("query_id", "rank", "id", "distance"))
+    n_hits = hits.count()
+    shaped = shape_results(hits, vectors, broadcast_hits=n_hits <= HIT_BROADCAST_ROWS)
     ctx = build_context(shaped)
     qq = queries if query_col in queries.columns else queries.withColumn(query_col, F.lit("x"))
     return context_fallback(qq, ctx, query_col)

@@ -95,3 +95,20 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", "role",
                     tool_call_text(F.col("role"), F.col("turn"), F.col("conv_id"), F.col("text")).alias("text"))
+
+
+def documents_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Every document written as its own text file ``.../doc_id=<id>/part-*.txt``
+    by Spark (text sink, one directory per document), under the shared
+    checkpoint folder. Written once per input directory and reused."""
+    import hashlib
+
+    from docspark.session import checkpoint_dir
+    from docspark.sources.files import _classify_roots
+    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    root = f"{checkpoint_dir(spark).rstrip('/')}/docspark-fixtures/{key}/documents"
+    files, _ = _classify_roots(spark, [f"{root}/_SUCCESS"])
+    if not files:
+        (table(spark, sf_dir, "documents").select("doc_id", "text")
+            .repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(root))
+    return root

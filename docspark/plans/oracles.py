@@ -77,6 +77,9 @@ oracle("read_json_docs", """
 select event_id, json_valid(t) as is_json,
        case when json_valid(t) then cast(json_extract(t, '$.k') as bigint) end as k
 from (select event_id, case when event_id % 9 = 0 then replace(props, '"k"', 'k') else props end as t from events)""")
+oracle("scan_files", "select doc_id, cast(strlen(text) + 1 as bigint) as size from documents")
+oracle("read_text_docs", "select doc_id, text || chr(10) as text from documents")
+oracle("route_by_ext", "select doc_id, '.txt' as file_ext, cast(length(text) + 1 as integer) as n_chars from documents")
 oracle("read_csv_rows", """
 select 'customers/part-' || cast(floor(c_custkey / 1000) as bigint) || '.csv' as source,
        cast(row_number() over (partition by floor(c_custkey / 1000) order by c_custkey) - 1 as integer) as row,
@@ -317,6 +320,17 @@ ctx as (select query_id, string_agg('[Document ' || rank || '] (source: ' || coa
         from hits group by query_id)
 """
 oracle("build_context", f"with {_HITS.format(k=3)}, {_CTX} select * from ctx")
+oracle("context_fallback", f"""
+with {_HITS.format(k=3)},
+qk as (select e.vec_id as query_id, coalesce(doc.text, '') as query, e.vec_id % 4 as k
+       from embeddings e left join documents doc on doc.doc_id = e.vec_id),
+hits2 as (select h.* from hits h join qk using (query_id) where h.rank <= qk.k),
+ctx as (select query_id, string_agg('[Document ' || rank || '] (source: ' || coalesce(source, 'Unknown Source') || ')'
+                                    || chr(10) || text, chr(10) || chr(10) order by rank) as context
+        from hits2 group by query_id)
+select qk.query_id, case when qk.query = '' then '' when ctx.context is null
+                         then 'No relevant information found in the knowledge base.' else ctx.context end as context
+from qk left join ctx using (query_id)""")
 oracle("rag_search", f"""
 with {_HITS.format(k=3)},
 qk as (select e.vec_id as query_id, coalesce(doc.text, '') as query, e.vec_id % 4 as k

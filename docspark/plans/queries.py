@@ -168,6 +168,32 @@ def _customer_csv_files(spark, sf):
         F.timestamp_seconds(F.lit(X.MTIME0)).alias("modificationTime"))
 
 
+def _doc_id_of(col: str):
+    return F.regexp_extract(col, r"doc_id=(\d+)/", 1).cast("bigint")
+
+
+@query
+def scan_files(spark, sf):
+    """S1 over a folder holding every document as a file (written by Spark)."""
+    files = S.scan_files(spark, [X.documents_folder(spark, sf)])
+    return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
+                        F.col("length").alias("size"))
+
+
+@query
+def read_text_docs(spark, sf):
+    """S3: decoded text per file (the text sink ends each file with a line feed)."""
+    docs, _rejects = S.read_text_docs(S.scan_files(spark, [X.documents_folder(spark, sf)]))
+    return docs.select(_doc_id_of("source").alias("doc_id"), "text")
+
+
+@query
+def route_by_ext(spark, sf):
+    """S7 + S2 + S6: load the folder through the extension router."""
+    docs, _rejects = S.load_documents(spark, [X.documents_folder(spark, sf)])
+    return docs.select(_doc_id_of("source").alias("doc_id"), "file_ext", F.length("text").alias("n_chars"))
+
+
 @query
 def read_csv_rows(spark, sf):
     docs, _rejects = S.read_csv_rows(_customer_csv_files(spark, sf))
@@ -552,6 +578,16 @@ def build_context(spark, sf):
     return R.build_context(R.shape_results(R.knn(q, v, 3), v))
 
 
+@query
+def context_fallback(spark, sf):
+    """R6: '' for an empty question, the fixed sentence when a question has no hit."""
+    qs = _questions(spark, sf)
+    hits = R.knn(qs, _t(spark, sf, "embeddings"), 3, id_col="vec_id") \
+        .join(qs.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
+    ctx = R.build_context(R.shape_results(hits, _doc_vectors(spark, sf)))
+    return R.context_fallback(qs, ctx)
+
+
 @query
 def rag_search(spark, sf):
     """R6 + R7: per-question k (0..3, 0 -> no hits), given query vectors."""
