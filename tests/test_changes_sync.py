@@ -103,3 +103,22 @@ def test_failed_sync_keeps_old_snapshot(spark, scratch):
     assert _tables(spark, tables) == before
     sync_once(spark, [kb], tables, now=3)                      # retry succeeds
     assert len(_tables(spark, tables)[0]) == 2
+
+
+def test_assign_and_validate_ids(spark):
+    df = spark.createDataFrame([("a", "x"), (None, "y")], "id string, text string")
+    out = TB.assign_ids(df).checkpoint()          # materialise once: uuid() is random
+    ids = [r.id for r in out.collect()]
+    assert ids[0] == "a" and len(ids[1]) == 36
+    assert [r.id for r in out.collect()] == ids
+    import pytest
+    with pytest.raises(Exception):
+        TB.validate_columns(df).collect()
+
+
+def test_delete_vectors_needs_ids_or_where(spark):
+    import pytest
+    v = spark.createDataFrame([("a", 1)], "id string, label int")
+    with pytest.raises(ValueError):
+        TB.delete_vectors(v)
+    assert TB.delete_vectors(v, where={"label": 1}).count() == 0

@@ -19,12 +19,12 @@ def test_no_separator_falls_to_characters():
 
 
 def test_size_boundaries():
-    for n in (999, 1000, 1001):
-        t = "a" * n
-        out = sp().split_text(t)
-        assert all(len(c) <= 1000 for c in out)
-        assert "".join(out) == t                 # no overlap text is lost or doubled here
+    # a piece of exactly `size` is not "shorter than size": it is split to
+    # characters and merged back, which gives the same single chunk
     assert sp().split_text("a" * 999) == ["a" * 999]
+    assert sp().split_text("a" * 1000) == ["a" * 1000]
+    out = sp().chunks_with_start("a" * 1001)
+    assert [(len(c), s) for c, s in out] == [(1000, 0), (151, 850)]
 
 
 def test_only_spaces_gives_nothing():
@@ -101,3 +101,15 @@ def test_chunk_ids_and_dedupe(spark):
     th = hashlib.sha1(b"x").hexdigest()
     assert rows[2].chunk_id == hashlib.sha1(f"kb/a.txt||p=4||s=5||th={th}".encode()).hexdigest()
     assert K.dedupe_chunks(d).count() == 2
+
+
+def test_token_length_unit(spark):
+    words = lambda s: len(s.split())
+    opts = SplitOptions(chunk_size=5, chunk_overlap=0, length_unit="token", length_fn=words,
+                        separators=[" ", ""], keep_separator=False)
+    out = K.splitter_from(opts).split_text("one two three four five six seven eight nine ten eleven")
+    # the separator " " counts 0 words, so five words fill a chunk of size 5
+    assert out == ["one two three four five", "six seven eight nine ten", "eleven"]
+    char = K.splitter_from(SplitOptions(chunk_size=5, chunk_overlap=0, separators=[" ", ""],
+                                        keep_separator=False)).split_text("one two three")
+    assert char == ["one", "two", "three"]
