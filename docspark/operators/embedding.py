@@ -16,6 +16,8 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docspark.session import ensure_parallelism
+
 EmbeddingFn = Callable[[List[str]], List[List[float]]]
 
 MAX_TOKENS = 512          # longest embedded input (fixed value of the reference)
@@ -78,6 +80,7 @@ def _udf_embed(fn: EmbeddingFn, batch: int):
 def embed(df: DataFrame, text_col: str = "text", fn: Optional[EmbeddingFn] = None,
           batch: int = 128, dim: int = 256, out_col: str = "embedding") -> DataFrame:
     """Add ``embedding`` (array<float>, unit length) and ``token_count``."""
+    df = ensure_parallelism(df)              # heavy per-row stage: use every core
     if fn is None:
         return _hashing_embed(df, text_col, out_col, dim)
     out = df.withColumn(out_col, _udf_embed(fn, batch)(F.col(text_col)))

@@ -28,8 +28,9 @@ from docspark.session import cut_lineage
 
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 NO_HITS_TEXT = "No relevant information found in the knowledge base."   # fixed value
-_MARGIN = 16          # extra candidates re-scored exactly per block
-_BLOCK_ELEMS = 4_000_000
+_MARGIN = 16          # extra candidates re-scored exactly per tile
+_QB = 2048            # queries per tile
+_VB = 2048            # vectors per tile
 
 
 # ---------------------------------------------------------------- R2 filter
@@ -106,48 +107,62 @@ def _sortable(ids: np.ndarray) -> np.ndarray:
 
 
 class _TopK:
-    """Running exact top-k of squared L2 distance for a fixed query block."""
+    """Running exact top-k of squared L2 distance for a fixed query block.
+
+    Work is tiled (``_QB`` queries x ``_VB`` vectors) so memory per tile is
+    bounded whatever the block sizes; each tile selects ``k + _MARGIN``
+    candidates per query with the expanded form (one matrix product), re-scores
+    them exactly with differences in float64, and merges them into the running
+    best by (distance, id)."""
 
     def __init__(self, Q: np.ndarray, k: int):
         self.Q, self.k = Q, k
-        self.qn = (Q * Q).sum(1)
-        self.best_d = np.full((len(Q), 0), np.inf)
-        self.best_i = None
+        self.qn = (Q * Q).sum(1) if len(Q) else np.zeros(0)
+        self.best_d = None            # (nq, k) distances, inf = empty slot
+        self.best_i = None            # (nq, k) ids
 
     def add(self, V: np.ndarray, ids: np.ndarray) -> None:
-        if len(V) == 0 or len(self.Q) == 0:
+        if len(V) == 0 or len(self.Q) == 0 or self.k <= 0:
             return
-        nq = len(self.Q)
-        step = max(1, _BLOCK_ELEMS // max(nq, 1))
         ids = _sortable(ids)
-        for s in range(0, len(V), step):
-            Vs, Is = V[s:s + step], ids[s:s + step]
-            D = self.qn[:, None] + (Vs * Vs).sum(1)[None, :] - 2.0 * (self.Q @ Vs.T)
-            m = min(self.k + _MARGIN, len(Vs))
-            idx = np.argpartition(D, m - 1, axis=1)[:, :m] if m < len(Vs) else \
-                np.broadcast_to(np.arange(len(Vs)), (nq, len(Vs)))
-            diff = self.Q[:, None, :] - Vs[idx]
-            exact = np.einsum("qmd,qmd->qm", diff, diff)
-            cand_i = Is[idx]
-            if self.best_i is None:
-                all_d, all_i = exact, cand_i
-            else:
-                all_d = np.concatenate([self.best_d, exact], axis=1)
-                all_i = np.concatenate([self.best_i, cand_i], axis=1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, :self.k]
-            self.best_d = np.take_along_axis(all_d, order, axis=1)
-            self.best_i = np.take_along_axis(all_i, order, axis=1)
+        nq = len(self.Q)
+        if self.best_d is None:
+            self.best_d = np.full((nq, self.k), np.inf)
+            self.best_i = np.zeros((nq, self.k), dtype=ids.dtype)
+        if ids.dtype.kind == "U" and ids.dtype.itemsize > self.best_i.dtype.itemsize:
+            self.best_i = self.best_i.astype(ids.dtype)       # widen, never truncate
+        vn_all = (V * V).sum(1)
+        for q0 in range(0, nq, _QB):
+            Qb, qn = self.Q[q0:q0 + _QB], self.qn[q0:q0 + _QB]
+            bd, bi = self.best_d[q0:q0 + _QB], self.best_i[q0:q0 + _QB]
+            for v0 in range(0, len(V), _VB):
+                Vs, Is, vn = V[v0:v0 + _VB], ids[v0:v0 + _VB], vn_all[v0:v0 + _VB]
+                D = qn[:, None] + vn[None, :] - 2.0 * (Qb @ Vs.T)
+                m = min(self.k + _MARGIN, len(Vs))
+                idx = np.argpartition(D, m - 1, axis=1)[:, :m] if m < len(Vs) else \
+                    np.broadcast_to(np.arange(len(Vs)), (len(Qb), len(Vs)))
+                diff = Qb[:, None, :] - Vs[idx]
+                exact = np.einsum("qmd,qmd->qm", diff, diff)
+                all_d = np.concatenate([bd, exact], axis=1)
+                all_i = np.concatenate([bi, Is[idx]], axis=1)
+                order = np.lexsort((all_i, all_d), axis=1)[:, :self.k]
+                bd = np.take_along_axis(all_d, order, axis=1)
+                bi = np.take_along_axis(all_i, order, axis=1)
+            self.best_d[q0:q0 + _QB] = bd
+            self.best_i[q0:q0 + _QB] = bi
 
     def frame(self, qids: np.ndarray) -> pd.DataFrame:
         if self.best_i is None:
             return pd.DataFrame({"query_id": pd.Series(qids[:0]), "id": pd.Series([], dtype=object),
                                  "distance": pd.Series([], dtype="float64")})
         nq, kk = self.best_d.shape
+        keep = np.isfinite(self.best_d).reshape(-1)
         ids = self.best_i.reshape(-1)
         if ids.dtype.kind == "U":          # back to Python str for Arrow
             ids = ids.astype(object)
-        return pd.DataFrame({"query_id": np.repeat(qids, kk), "id": ids,
-                             "distance": self.best_d.reshape(-1)})
+        out = pd.DataFrame({"query_id": np.repeat(qids, kk), "id": ids,
+                            "distance": self.best_d.reshape(-1)})
+        return out[keep]
 
 
 def _final_topk(partial: DataFrame, k, k_col: Optional[str] = None) -> DataFrame:

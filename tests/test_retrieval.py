@@ -84,3 +84,21 @@ def test_final_topk_is_window_group_limit(spark):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     plan = R.knn(q, e, 5, id_col="vec_id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_topk_kernel_tiling(monkeypatch):
+    rng = np.random.default_rng(0)
+    V = rng.normal(size=(301, 8))
+    V[50] = V[51]                                   # an exact tie, broken by id
+    Q = np.vstack([V[50] + 1e-3, rng.normal(size=(40, 8))])
+    ids = np.arange(301) * 3
+    exp = brute(Q, list(range(len(Q))), V, ids.tolist(), 6)
+    monkeypatch.setattr(R, "_QB", 7)
+    monkeypatch.setattr(R, "_VB", 13)
+    top = R._TopK(Q, 6)
+    for s in range(0, 301, 50):                     # several Arrow batches
+        top.add(V[s:s + 50], ids[s:s + 50])
+    f = top.frame(np.arange(len(Q)))
+    for qi in range(len(Q)):
+        got = f[f.query_id == qi].sort_values(["distance", "id"])
+        assert got.id.tolist() == [x[0] for x in exp[qi]]
