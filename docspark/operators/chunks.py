@@ -186,6 +186,12 @@ def add_chunk_id(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def dedupe_chunks(df: DataFrame, id_col: str = "chunk_id",
                   order_cols: Sequence[str] = ("chunk_index",)) -> DataFrame:
-    """Keep the first row per id (deterministic, unlike dropDuplicates)."""
-    w = Window.partitionBy(id_col).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Keep the first row per id (deterministic, unlike dropDuplicates).
+
+    An aggregation, not a window: ``min_by`` combines map-side, so an id
+    repeated millions of times (boilerplate text) is reduced in every task
+    before the shuffle instead of landing whole in one task."""
+    cols = [c for c in df.columns if c != id_col]
+    key = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in cols if c not in order_cols])
+    best = F.min_by(F.struct(*[F.col(c) for c in cols]), key).alias("_first")
+    return df.groupBy(id_col).agg(best).select(id_col, "_first.*").select(*df.columns)

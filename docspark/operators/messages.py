@@ -105,9 +105,11 @@ def format_messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 def chat_history(log: DataFrame, conv: str = "conv_id", msg_id: str = "turn",
                  version: str = "version") -> DataFrame:
-    """M6: append log -> latest row per (conversation, message id)."""
-    w = Window.partitionBy(conv, msg_id).orderBy(F.col(version).desc())
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """M6: append log -> latest row per (conversation, message id); an aggregate
+    with map-side combine, so a message edited many times is reduced early."""
+    cols = [c for c in log.columns if c not in (conv, msg_id)]
+    return (log.groupBy(conv, msg_id).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_v"))
+               .select(conv, msg_id, "_v.*").select(*log.columns))
 
 
 def assemble_prompt(df: DataFrame, system_text: str, conv: str = "conv_id", turn: str = "turn",

@@ -150,9 +150,10 @@ def upsert_vectors(vectors: DataFrame, new: DataFrame, id_col: str = "id",
     """Replace by id (text, metadata and vector together). Inside ``new`` the
     row with the highest ``version_col`` wins; empty input changes nothing."""
     if version_col:
-        from pyspark.sql import Window
-        w = Window.partitionBy(id_col).orderBy(F.col(version_col).desc())
-        new = new.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        # latest version per id as a map-side-combining aggregate (skew safe)
+        cols = [c for c in new.columns if c != id_col]
+        new = new.groupBy(id_col).agg(F.max_by(F.struct(*cols), F.col(version_col)).alias("_v")) \
+            .select(id_col, "_v.*").select(*new.columns)
     return vectors.join(new.select(id_col), id_col, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
