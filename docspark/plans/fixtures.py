@@ -97,18 +97,23 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                     tool_call_text(F.col("role"), F.col("turn"), F.col("conv_id"), F.col("text")).alias("text"))
 
 
-def documents_folder(spark: SparkSession, sf_dir: str) -> str:
+def documents_folder(spark: SparkSession, sf_dir: str, bad_utf8: bool = False) -> str:
     """Every document written as its own text file ``.../doc_id=<id>/part-*.txt``
     by Spark (text sink, one directory per document), under the shared
-    checkpoint folder. Written once per input directory and reused."""
+    checkpoint folder. Written once per input directory and reused.
+    With ``bad_utf8`` every 17th document ends with the byte 0xFF (invalid UTF-8)."""
     import hashlib
 
     from docspark.session import checkpoint_dir
     from docspark.sources.files import _classify_roots
     key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    root = f"{checkpoint_dir(spark).rstrip('/')}/docspark-fixtures/{key}/documents"
+    name = "documents_bad_utf8" if bad_utf8 else "documents"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/docspark-fixtures/{key}/{name}"
     files, _ = _classify_roots(spark, [f"{root}/_SUCCESS"])
     if not files:
-        (table(spark, sf_dir, "documents").select("doc_id", "text")
-            .repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(root))
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
+        if bad_utf8:
+            bad = F.concat(F.col("text"), F.unhex(F.lit("FF")).cast("string"))
+            d = d.withColumn("text", F.when(F.col("doc_id") % 17 == 0, bad).otherwise(F.col("text")))
+        d.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(root)
     return root

@@ -79,6 +79,7 @@ select event_id, json_valid(t) as is_json,
 from (select event_id, case when event_id % 9 = 0 then replace(props, '"k"', 'k') else props end as t from events)""")
 oracle("scan_files", "select doc_id, cast(strlen(text) + 1 as bigint) as size from documents")
 oracle("read_text_docs", "select doc_id, text || chr(10) as text from documents")
+oracle("with_rejects", "select doc_id, 'UnicodeDecodeError' as error_type from documents where doc_id % 17 = 0")
 oracle("route_by_ext", "select doc_id, '.txt' as file_ext, cast(length(text) + 1 as integer) as n_chars from documents")
 oracle("read_csv_rows", """
 select 'customers/part-' || cast(floor(c_custkey / 1000) as bigint) || '.csv' as source,
@@ -173,6 +174,20 @@ select source, chunk_index, start_index, cast(start_index + length(line) as inte
        cast(doc_id as varchar) || '.txt#chunk' || cast(chunk_index as varchar) as citation,
        sha1(source || '||p=||s=' || cast(start_index as varchar) || '||th=' || sha1(line)) as chunk_id
 from ix""")
+oracle("end_index", f"""
+with {_LINE_CHUNKS} select source, start_index, cast(start_index + length(line) as integer) as end_index from ix""")
+oracle("chunk_index", f"with {_LINE_CHUNKS} select source, start_index, chunk_index from ix")
+oracle("citation", f"""
+with {_LINE_CHUNKS}
+select source, chunk_index,
+       case when doc_id % 3 = 0 then cast(doc_id as varchar) || '.txt#p' || cast(doc_id % 4 + 1 as varchar)
+            else cast(doc_id as varchar) || '.txt#chunk' || cast(chunk_index as varchar) end as citation
+from ix""")
+oracle("chunk_id", f"""
+with {_LINE_CHUNKS}
+select source, chunk_index,
+       sha1(source || '||p=||s=' || cast(start_index as varchar) || '||th=' || sha1(line)) as chunk_id
+from ix""")
 oracle("dedupe_chunks", f"""
 with {_LINE_CHUNKS},
 ids as (select source, chunk_index, sha1(source || '||p=||s=||th=' || sha1(line)) as chunk_id from ix)

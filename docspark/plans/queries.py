@@ -187,6 +187,14 @@ def read_text_docs(spark, sf):
     return docs.select(_doc_id_of("source").alias("doc_id"), "text")
 
 
+@query
+def with_rejects(spark, sf):
+    """A file that cannot be decoded becomes a reject row; the others load."""
+    files = S.scan_files(spark, [X.documents_folder(spark, sf, bad_utf8=True)])
+    _docs, rejects = S.route_by_ext(files)
+    return rejects.select(_doc_id_of("source").alias("doc_id"), "error_type")
+
+
 @query
 def route_by_ext(spark, sf):
     """S7 + S2 + S6: load the folder through the extension router."""
@@ -289,6 +297,32 @@ def chunk_metadata(spark, sf):
                                           "citation", "chunk_id")
 
 
+@query
+def end_index(spark, sf):
+    """K7."""
+    return _line_chunks(spark, sf).select("source", "start_index", "end_index")
+
+
+@query
+def chunk_index(spark, sf):
+    """K8: 0-based position of each chunk in its file."""
+    return _line_chunks(spark, sf).select("source", "start_index", "chunk_index")
+
+
+@query
+def citation(spark, sf):
+    """K9 with pages on every third file (name#p<page>), chunk numbers elsewhere."""
+    ch = _line_chunks(spark, sf)
+    ch = ch.withColumn("page_1based", F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 4 + 1).cast("int")))
+    return K.add_citation(ch.drop("citation")).select("source", "chunk_index", "citation")
+
+
+@query
+def chunk_id(spark, sf):
+    """K10."""
+    return _line_chunks(spark, sf).select("source", "chunk_index", "chunk_id")
+
+
 @query
 def dedupe_chunks(spark, sf):
     ch = _line_chunks(spark, sf, with_start=False)
