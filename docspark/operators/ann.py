@@ -24,11 +24,14 @@ from docspark.operators.retrieval import _cogroup_topk, _final_topk, knn
 
 
 def build_cells(vectors: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
-                max_iter: int = 20):
+                max_iter: int = 8):
     """Fit k-means; returns (centroids DataFrame(cell, embedding), model)."""
-    feats = vectors.select(array_to_vector(F.col(vec_col)).alias("features"))
+    # cells only route the search (exact scoring follows), so a few Lloyd
+    # iterations suffice; the features are cached for the iterations
+    feats = vectors.select(array_to_vector(F.col(vec_col)).alias("features")).cache()
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cell").fit(feats)
+    feats.unpersist()
     spark = vectors.sparkSession
     cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(cents, "cell int, embedding array<double>")

@@ -78,7 +78,7 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
 
     from docspark.operators.embedding import embed
     from docspark.plans.ingest import preprocess
-    from docspark.session import checkpoint_dir
+    from docspark.session import checkpoint_dir, cut_lineage
     from docspark.sources.files import load_documents, scan_files, supported_files
 
     checkpoint_dir(spark)
@@ -94,7 +94,7 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
                               pp_opts.loader.only_supported)
     current = listing.select(F.col("path").alias("source"), F.col("length").alias("size"),
                              F.unix_seconds("modificationTime").alias("mtime"))
-    classified = D.classify(current, files).checkpoint()   # reliable, reused below
+    classified = cut_lineage(D.classify(current, files))   # reliable checkpoint, reused below
     # Pass 2: read and hash only the suspects, named as literal paths.
     if opts.confirm_by_sha256_on_suspect:
         suspects = _paths(classified.where(F.col("status") == "suspect"))
@@ -104,7 +104,7 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
         confirmed = D.confirm_with_hashes(classified, hashed)
     else:
         confirmed = D.confirm_suspects(classified, current, confirm=False)
-    changes = D.finalize(confirmed).checkpoint()
+    changes = cut_lineage(D.finalize(confirmed))
     # Pass 3: load and chunk only added/modified files.
     changed_paths = _paths(changes.where(F.col("status").isin("added", "modified")))
     docs = None

@@ -19,6 +19,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Rows per Arrow batch sent to Python: documents run to 100s of KB, so the
+    # default 10,000 rows could put GBs into one worker's batch.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -57,10 +60,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    The input is persisted for the duration: writing a checkpoint otherwise
+    recomputes the whole input a second time."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def ensure_parallelism(df: DataFrame, min_factor: float = 2.0) -> DataFrame:
