@@ -296,20 +296,20 @@ with t as (
   from embeddings, range(0, 8) r(pos)),
 p as (select id, arg_max(vec, pos) as v, count(*) as token_count from t where m group by id)
 select id, token_count, round(list_sum([cast(x as double) for x in v]), 6) as total,
-       round(cast(v[1] as double), 6) as first, len(v) as dim
+       round(cast(v[1] as double), 6) as first, cast(len(v) as integer) as dim
 from p""")
 oracle("l2_normalize", """
 with s as (select vec_id, [cast(x as double) * (label + 1) for x in embedding] as v from embeddings),
 n as (select vec_id, v, greatest(sqrt(list_sum([x * x for x in v])), 1e-12) as nrm from s),
 u as (select vec_id, [x / nrm for x in v] as v from n)
 select vec_id, round(sqrt(list_sum([x * x for x in v])), 6) as norm, round(list_sum(v), 6) as total,
-       round(v[1], 6) as first, len(v) as dim
+       round(v[1], 6) as first, cast(len(v) as integer) as dim
 from u""")
 oracle("truncate_tokens", """
-select doc_id, len(t) as n_tokens, t[len(t)] as last_token
+select doc_id, cast(len(t) as integer) as n_tokens, t[len(t)] as last_token
 from (select doc_id, string_split(text, ' ')[1:512] as t from documents)""")
 oracle("token_usage", """
-select source, sum(least(len(string_split(text, ' ')), 512)) as total_tokens from documents group by source""")
+select source, cast(sum(least(len(string_split(text, ' ')), 512)) as bigint) as total_tokens from documents group by source""")
 
 # ------------------------------------------------------------------ R
 _DIST = """
@@ -317,7 +317,7 @@ dist as (
   select q.vec_id as query_id, v.vec_id as id,
          list_sum([(cast(q.embedding[i] as double) - cast(v.embedding[i] as double)) ^ 2 for i in range(1, len(q.embedding) + 1)]) as d
   from embeddings q, embeddings v {where}),
-ranked as (select *, row_number() over (partition by query_id order by d, id) as rank from dist)
+ranked as (select *, cast(row_number() over (partition by query_id order by d, id) as integer) as rank from dist)
 """
 oracle("knn", f"with {_DIST.format(where='')} select query_id, rank, id, round(d, 6) as distance from ranked where rank <= 5")
 oracle("knn_blocked", f"with {_DIST.format(where='')} select query_id, rank, id, round(d, 6) as distance from ranked where rank <= 5")
