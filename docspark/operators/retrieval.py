@@ -233,18 +233,20 @@ def _cogroup_topk(vb: DataFrame, qb: DataFrame, keys, k: int, out_schema: str) -
 # ------------------------------------------------------------- R3-R7
 def knn_by_text(queries: DataFrame, vectors: DataFrame, k: int = 5, *, text_col: str = "query",
                 vec_col: str = "embedding", embed_fn=None, dim: int = 256, **kw) -> DataFrame:
-    """Embed the query text unless a vector is given; neither -> error row-wise."""
+    """Embed the query text unless a vector is given; neither is an error.
+
+    The embedding is added in place (a narrow column), never joined back."""
     from docspark.operators.embedding import embed
-    if text_col not in queries.columns and vec_col not in queries.columns:
+    has_text, has_vec = text_col in queries.columns, vec_col in queries.columns
+    if not has_text and not has_vec:
         raise ValueError("queries need a text or a vector column")
-    if text_col in queries.columns:
-        emb = embed(queries.select("query_id", text_col), text_col, fn=embed_fn, dim=dim,
-                    out_col="_emb").select("query_id", "_emb")
-        qq = queries.join(emb, "query_id", "left")
-        given = F.col(vec_col) if vec_col in queries.columns else F.lit(None)
+    qq = queries
+    if has_text:
+        qq = embed(qq, text_col, fn=embed_fn, dim=dim, out_col="_emb").drop("token_count")
+        given = F.col(vec_col) if has_vec else F.lit(None)
         qq = qq.withColumn("_qv", F.coalesce(given, F.col("_emb")))
     else:
-        qq = queries.withColumn("_qv", F.col(vec_col))
+        qq = qq.withColumn("_qv", F.col(vec_col))
     qq = qq.withColumn("_qv", F.when(F.col("_qv").isNull(),
                                      F.raise_error(F.lit("query without text or vector")))
                                .otherwise(F.col("_qv")))

@@ -93,15 +93,15 @@ def file_metadata(df: DataFrame) -> DataFrame:
                .withColumn("page_1based", have("page_1based", page + 1).cast("int")))
 
 
-def read_text_docs(files: DataFrame) -> tuple:
+def read_text_docs(files: DataFrame, exts=TEXT_EXTS) -> tuple:
     """S3: .txt/.md/.html/.htm -> one document per file (HTML kept raw).
 
-    Returns (documents, rejects); invalid UTF-8 goes to rejects."""
-    f = files.where(T.file_ext(F.col("path")).isin(list(TEXT_EXTS)))
+    Returns (documents, rejects); invalid UTF-8 goes to rejects (charset
+    detection is not built)."""
+    f = files.where(T.file_ext(F.col("path")).isin(list(exts))) if exts else files
     raw = F.col("content").cast("string")
     ok = F.try_validate_utf8(raw).isNotNull()
-    docs = f.where(ok).select(
-        F.col("path").alias("source"), raw.alias("text"), "length", "modificationTime")
+    docs = f.where(ok).select(F.col("path").alias("source"), raw.alias("text"), "length", "modificationTime")
     rejects = f.where(~ok).select(F.col("path").alias("source"), F.lit("UnicodeDecodeError").alias("error_type"),
                                   F.lit("invalid UTF-8").alias("message"))
     return docs, rejects
@@ -166,7 +166,7 @@ def route_by_ext(files: DataFrame, loaders: dict | None = None) -> tuple:
         if e not in custom:
             builtin_kinds.setdefault(kind, []).append(e)
     if "text" in builtin_kinds:
-        d, r = read_text_docs(files.where(ext.isin(builtin_kinds["text"])))
+        d, r = read_text_docs(files, exts=tuple(builtin_kinds["text"]))
         docs_parts.append(d)
         rej_parts.append(r)
     if "csv" in builtin_kinds:
@@ -174,7 +174,7 @@ def route_by_ext(files: DataFrame, loaders: dict | None = None) -> tuple:
         docs_parts.append(d)
         rej_parts.append(r)
     if "json" in builtin_kinds:
-        d, r = read_text_docs_any(files.where(ext == ".json"))
+        d, r = read_text_docs(files, exts=(".json",))
         docs_parts.append(read_json_docs(d))
         rej_parts.append(r)
     for e, fn in custom.items():
@@ -192,17 +192,6 @@ def route_by_ext(files: DataFrame, loaders: dict | None = None) -> tuple:
     return docs, rejects
 
 
-def read_text_docs_any(files: DataFrame) -> tuple:
-    raw = F.col("content").cast("string")
-    ok = F.try_validate_utf8(raw).isNotNull()
-    docs = files.where(ok).select(F.col("path").alias("source"), raw.alias("text"), "length",
-                                  "modificationTime")
-    rejects = files.where(~ok).select(F.col("path").alias("source"),
-                                      F.lit("UnicodeDecodeError").alias("error_type"),
-                                      F.lit("invalid UTF-8").alias("message"))
-    return docs, rejects
-
-
 def load_documents(spark: SparkSession, roots: Sequence[str], recursive: bool = True,
                    only_supported: bool = True, loaders: dict | None = None) -> tuple:
     """S1 -> S2 -> S7 -> S6: (documents with file metadata, rejects)."""
