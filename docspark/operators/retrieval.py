@@ -303,10 +303,12 @@ def context_fallback(queries: DataFrame, contexts: DataFrame, query_col: str = "
 
 def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col: str = "query",
                vec_col: str = "embedding", embed_fn=None, dim: int = 256, k_col: Optional[str] = None,
-               where=None, **kw) -> DataFrame:
+               where=None, payload: Optional[DataFrame] = None, **kw) -> DataFrame:
     """Table of questions -> context text per question (R3 -> R1 -> R4 -> R5 -> R6).
 
-    ``k_col`` allows a per-row k (rank <= k); the search itself uses the largest k."""
+    ``k_col`` allows a per-row k (rank <= k); the search itself uses the largest k.
+    ``payload`` (id, text, source, ...) is where hit text comes from when it
+    is stored apart from the vectors; by default the vector table itself."""
     nonempty = queries.where(F.coalesce(F.col(query_col), F.lit("")) != "") \
         if query_col in queries.columns else queries
     kmax = k
@@ -323,7 +325,8 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
     # in spark.checkpoint.dir) so the search is not recomputed.
     hits = cut_lineage(hits.select("query_id", "rank", "id", "distance"))
     n_hits = hits.count()
-    shaped = shape_results(hits, vectors, broadcast_hits=n_hits <= HIT_BROADCAST_ROWS)
+    shaped = shape_results(hits, payload if payload is not None else vectors,
+                           broadcast_hits=n_hits <= HIT_BROADCAST_ROWS)
     ctx = build_context(shaped)
     qq = queries if query_col in queries.columns else queries.withColumn(query_col, F.lit("x"))
     return context_fallback(qq, ctx, query_col)

@@ -599,8 +599,9 @@ def knn_filtered(spark, sf):
 @query
 def shape_results(spark, sf):
     v = _doc_vectors(spark, sf)
-    q = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = R.knn(q, v, 3)
+    e = _t(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = R.knn(q, e, 3, id_col="vec_id")
     s = R.shape_results(hits, v)
     return s.select("query_id", "rank", "id", "text", "source", F.round("distance", 6).alias("distance"))
 
@@ -608,8 +609,9 @@ def shape_results(spark, sf):
 @query
 def build_context(spark, sf):
     v = _doc_vectors(spark, sf)
-    q = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.build_context(R.shape_results(R.knn(q, v, 3), v))
+    e = _t(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.build_context(R.shape_results(R.knn(q, e, 3, id_col="vec_id"), v))
 
 
 @query
@@ -625,7 +627,8 @@ def context_fallback(spark, sf):
 @query
 def rag_search(spark, sf):
     """R6 + R7: per-question k (0..3, 0 -> no hits), given query vectors."""
-    return R.rag_search(_questions(spark, sf), _doc_vectors(spark, sf), k=3, k_col="k")
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return R.rag_search(_questions(spark, sf), e, k=3, k_col="k", payload=_doc_vectors(spark, sf))
 
 
 @query
@@ -737,7 +740,8 @@ def answer_tool_calls(spark, sf):
     e = _t(spark, sf, "embeddings").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"),
                                            "embedding")
     qs = args.join(e, "query", "left").withColumnRenamed("call_id", "query_id")
-    ctx = R.rag_search(qs.where(F.col("embedding").isNotNull()), _doc_vectors(spark, sf), k=3, k_col="k")
+    vec = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    ctx = R.rag_search(qs.where(F.col("embedding").isNotNull()), vec, k=3, k_col="k", payload=_doc_vectors(spark, sf))
     out = qs.join(ctx, "query_id", "left").select(
         "conv_id", "turn", "ordinal", F.col("query_id").alias("call_id"),
         F.coalesce("context", F.lit(R.NO_HITS_TEXT)).alias("context"))

@@ -189,16 +189,37 @@ def assemble_stream(deltas: DataFrame) -> DataFrame:
 
 
 def stream_events_batch(deltas: DataFrame) -> DataFrame:
-    """W1/W2/W3 over a static table (one group per chat)."""
-    def per_chat(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        p = ReplyParser(str(pdf["chat_id"].iloc[0]))
-        for seq, delta, end in zip(pdf["seq"].tolist(), pdf["delta"].tolist(), pdf["is_end"].tolist()):
-            if p.offer(seq, delta, end):
-                break
-        return p.frame()
-    return deltas.select("chat_id", "seq", "delta", F.coalesce("is_end", F.lit(False)).alias("is_end")) \
-        .groupBy("chat_id").applyInPandas(per_chat, EVENT_SCHEMA)
+    """W1/W2/W3 over a static table.
+
+    Deltas are hash-partitioned by chat and sorted by (chat, seq) inside each
+    partition; one pass of ``mapInPandas`` then feeds them to one parser per
+    chat, carrying a chat's parser across Arrow batch boundaries. This is the
+    grouped plan without building a pandas frame per chat."""
+    src = deltas.select(F.col("chat_id").cast("string").alias("chat_id"), "seq", "delta",
+                        F.coalesce(F.col("is_end"), F.lit(False)).alias("is_end"))
+    spark = deltas.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = src.repartition(n, "chat_id").sortWithinPartitions("chat_id", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser, current, closed = None, None, False
+        cols = ["chat_id", "ordinal", "kind", "content", "tool_name", "arguments", "call_id"]
+        for pdf in batches:
+            out: List[tuple] = []
+            for cid, seq, delta, end in zip(pdf["chat_id"].tolist(), pdf["seq"].tolist(),
+                                            pdf["delta"].tolist(), pdf["is_end"].tolist()):
+                if cid != current:
+                    if parser is not None:
+                        out.extend(parser.out)
+                    parser, current, closed = ReplyParser(cid), cid, False
+                if not closed and parser.offer(seq, delta, end):
+                    closed = True
+            if parser is not None:
+                out.extend(parser.out)
+                parser.out = []
+            yield pd.DataFrame(out, columns=cols)
+
+    return ordered.mapInPandas(run, EVENT_SCHEMA)
 
 
 def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> DataFrame:
