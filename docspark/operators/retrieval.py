@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docspark.session import cut_lineage
 
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 NO_HITS_TEXT = "No relevant information found in the knowledge base."   # fixed value
@@ -187,14 +186,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "
     qid_type = q.schema["query_id"].dataType.simpleString()
     out_schema = f"query_id {qid_type}, id {id_type}, distance double"
 
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_q")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    est = n_q * max(dim, 1) * 8
-    if strategy == "auto":
-        strategy = "broadcast" if est <= broadcast_limit_bytes else "blocked"
+    first = q.select(F.size("_q").alias("d")).first()
+    dim = int(first["d"] or 0) if first is not None else 0
+    max_rows = max(1, broadcast_limit_bytes // (max(dim, 1) * 8))
+    pdf = None
+    if strategy in ("auto", "broadcast"):
+        # one bounded pass: never more than max_rows + 1 query rows reach the driver
+        pdf = q.limit(max_rows + 1).toPandas()
+        if strategy == "auto":
+            strategy = "broadcast" if len(pdf) <= max_rows else "blocked"
+        elif len(pdf) > max_rows:
+            raise ValueError("query block exceeds broadcast_limit_bytes; use strategy='blocked'")
 
     if strategy == "broadcast":
-        pdf = q.toPandas()            # bounded: est <= broadcast_limit_bytes
         bc = vectors.sparkSession.sparkContext.broadcast(
             (pdf["query_id"].to_numpy(), _as_matrix(pdf["_q"])))
 
@@ -207,6 +211,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "
 
         partial = v.mapInPandas(scan, out_schema)
     else:
+        counts = q.agg(F.count(F.lit(1)).alias("n")).first()
+        est = int(counts["n"]) * max(dim, 1) * 8
         n_v = v.count()
         per_block_v = max(1, block_bytes // (max(dim, 1) * 8))
         n_buckets = max(1, math.ceil(n_v / per_block_v))
@@ -311,9 +317,10 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
     is stored apart from the vectors; by default the vector table itself."""
     nonempty = queries.where(F.coalesce(F.col(query_col), F.lit("")) != "") \
         if query_col in queries.columns else queries
-    kmax = k
-    if k_col:
-        kmax = int(queries.agg(F.max(k_col)).first()[0] or k)
+    stats = nonempty.agg(F.count(F.lit(1)).alias("n"),
+                         *([F.max(k_col).alias("kmax")] if k_col else [])).first()
+    kmax = int(stats["kmax"] or 0) if k_col else k
+    n_hits_bound = int(stats["n"]) * max(kmax, 0)     # hits <= questions x k
     if query_col in queries.columns and vec_col not in queries.columns:
         hits = knn_by_text(nonempty, vectors, kmax, text_col=query_col, vec_col=vec_col,
                            embed_fn=embed_fn, dim=dim, where=where, **kw)
@@ -321,12 +328,8 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
         hits = knn(nonempty, vectors, kmax, query_vec=vec_col, vec_col=vec_col, where=where, **kw)
     if k_col:
         hits = hits.join(queries.select("query_id", k_col), "query_id").where(F.col("rank") <= F.col(k_col))
-    # The hits feed two joins and a count: cut lineage once (reliable checkpoint
-    # in spark.checkpoint.dir) so the search is not recomputed.
-    hits = cut_lineage(hits.select("query_id", "rank", "id", "distance"))
-    n_hits = hits.count()
     shaped = shape_results(hits, payload if payload is not None else vectors,
-                           broadcast_hits=n_hits <= HIT_BROADCAST_ROWS)
+                           broadcast_hits=n_hits_bound <= HIT_BROADCAST_ROWS)
     ctx = build_context(shaped)
     qq = queries if query_col in queries.columns else queries.withColumn(query_col, F.lit("x"))
     return context_fallback(qq, ctx, query_col)
