@@ -17,7 +17,7 @@ import math
 from typing import Optional
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from docspark.operators.retrieval import _cogroup_topk, _final_topk, knn

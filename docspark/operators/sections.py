@@ -10,7 +10,6 @@ exploded lines would instead shuffle and sort the whole corpus by document).
 from __future__ import annotations
 
 import json
-import unicodedata
 from html.parser import HTMLParser
 from typing import Any, Dict, List, Optional, Sequence, Tuple
 

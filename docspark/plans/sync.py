@@ -120,7 +120,6 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
         return SyncResult(None, plan)
 
     n = (TB.current_snapshot(spark, files_root) or 0) + 1
-    vec_schema = None
     old_vec = None
     if TB.current_snapshot(spark, vec_root) is not None:
         old_vec = spark.read.parquet(TB.snapshot_path(vec_root, TB.current_snapshot(spark, vec_root)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import os
-from typing import Iterable, Iterator, Sequence
+from typing import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,20 +42,33 @@ def _classify_roots(spark: SparkSession, roots: Sequence[str]):
     return files, dirs
 
 
-def scan_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:
+def ext_glob(exts: Sequence[str]) -> str:
+    """Case-insensitive file-name glob for extensions: ['.md'] -> '{*.[mM][dD]}'."""
+    def one(e):
+        return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
+    return "{" + ",".join(one(e) for e in exts) + "}"
+
+
+def scan_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True,
+               glob: str | None = None) -> DataFrame:
     """``path, modificationTime, length, content`` for every file under the roots.
 
     Missing roots yield nothing. Spark's file source skips names starting
     with ``.`` or ``_`` (a documented difference from a plain directory walk).
     A file reached through two roots appears once per root. Selecting only
-    ``path, length, modificationTime`` leaves the bytes unread."""
+    ``path, length, modificationTime`` leaves the bytes unread; ``glob``
+    (``pathGlobFilter``) drops other names at listing time, before any read."""
     files, dirs = _classify_roots(spark, roots)
+
+    def reader():
+        r = spark.read.format("binaryFile")
+        return r.option("pathGlobFilter", glob) if glob else r
+
     frames = []
     if files:
-        frames.append(spark.read.format("binaryFile").load(files))
+        frames.append(reader().load(files))
     for d in dirs:
-        frames.append(spark.read.format("binaryFile")
-                      .option("recursiveFileLookup", "true" if recursive else "false").load(d))
+        frames.append(reader().option("recursiveFileLookup", "true" if recursive else "false").load(d))
     if not frames:
         return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     out = frames[0]
@@ -194,7 +207,41 @@ def route_by_ext(files: DataFrame, loaders: dict | None = None) -> tuple:
 
 def load_documents(spark: SparkSession, roots: Sequence[str], recursive: bool = True,
                    only_supported: bool = True, loaders: dict | None = None) -> tuple:
-    """S1 -> S2 -> S7 -> S6: (documents with file metadata, rejects)."""
-    files = supported_files(scan_files(spark, roots, recursive), "path", only_supported)
-    docs, rejects = route_by_ext(files, loaders)
+    """S1 -> S2 -> S7 -> S6: (documents with file metadata, rejects).
+
+    Each loader kind gets its own listing restricted by a file-name glob, so
+    every file's bytes are read by exactly one scan and files without a
+    loader are never opened (a filter on a scan that selects ``content``
+    would read every file first)."""
+    custom = {k.lower(): v for k, v in (loaders or {}).items()}
+    kinds = {"text": [e for e in TEXT_EXTS if e not in custom],
+             "csv": [e for e in (".csv",) if e not in custom],
+             "json": [e for e in (".json",) if e not in custom]}
+    docs_parts, rej_parts = [], []
+    if kinds["text"]:
+        d, r = read_text_docs(scan_files(spark, roots, recursive, ext_glob(kinds["text"])), exts=kinds["text"])
+        docs_parts.append(d)
+        rej_parts.append(r)
+    if kinds["csv"]:
+        d, r = read_csv_rows(scan_files(spark, roots, recursive, ext_glob([".csv"])))
+        docs_parts.append(d)
+        rej_parts.append(r)
+    if kinds["json"]:
+        d, r = read_text_docs(scan_files(spark, roots, recursive, ext_glob([".json"])), exts=(".json",))
+        docs_parts.append(read_json_docs(d))
+        rej_parts.append(r)
+    for e, fn in custom.items():
+        if only_supported and e not in SUPPORTED_EXTS:
+            continue
+        res = fn(scan_files(spark, roots, recursive, ext_glob([e])).where(T.file_ext(F.col("path")) == e))
+        d, r = res if isinstance(res, tuple) else (res, None)
+        docs_parts.append(d)
+        if r is not None:
+            rej_parts.append(r)
+    docs = docs_parts[0]
+    for d in docs_parts[1:]:
+        docs = docs.unionByName(d, allowMissingColumns=True)
+    rejects = rej_parts[0]
+    for r in rej_parts[1:]:
+        rejects = rejects.unionByName(r, allowMissingColumns=True)
     return file_metadata(docs), rejects
