@@ -94,4 +94,5 @@ def _general(d: DataFrame, opts: PreprocessOptions, registry) -> DataFrame:
         d = registry.apply_chunkers(d, opts)
     else:
         d = K.recursive_chunks(d, "text", opts.split)
-    return K.add_chunk_index(d, "source", ("page", "section", "chunk_pos"))
+    order = ("page", "row", "section", "chunk_pos") if "row" in d.columns else ("page", "section", "chunk_pos")
+    return K.add_chunk_index(d, "source", order)

@@ -69,7 +69,9 @@ def test_preprocess_files_end_to_end(spark, scratch):
     assert (md.h1, md.h2, md.text) == ("Title", "Part", "body")
     html = by["d.html"][0]
     assert html.h1 == "H" and "bad()" not in html.text
-    assert [r.chunk_index for r in sorted(by["f.csv"], key=lambda r: r.chunk_index)] == [0, 1, 2]
+    csv = sorted(by["f.csv"], key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in csv] == [0, 1, 2]
+    assert [r.text.split("\n")[0] for r in csv] == ["name: ann", "name: bob", "name: carl"]   # row order
     assert by["a.txt"][0].citation == "a.txt#chunk0"
 
 
