@@ -29,10 +29,14 @@ def sync_tables(current: DataFrame, files: DataFrame, chunks: DataFrame, new_chu
 
 
 def _next_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_chunks: DataFrame,
-                 updated_at):
-    changed = changes.where(F.col("status").isin("added", "modified"))
-    gone = changes.where(F.col("status").isin("deleted", "modified")).select("source")
-    deleted = changes.where(F.col("status") == "deleted").select("source")
+                 updated_at, small_changes: bool = False):
+    """``small_changes``: the change set was counted and is small, so its keys
+    are broadcast and the big tables are filtered in place instead of shuffled."""
+    def b(df):
+        return F.broadcast(df) if small_changes else df
+    changed = b(changes.where(F.col("status").isin("added", "modified")))
+    gone = b(changes.where(F.col("status").isin("deleted", "modified")).select("source"))
+    deleted = b(changes.where(F.col("status") == "deleted").select("source"))
     next_files = TB.upsert_signatures(TB.delete_sources(files, deleted), changed, updated_at)
     fresh = new_chunks.join(changed.select("source"), "source", "left_semi")
     next_chunks = TB.delete_sources(TB.delete_sources(chunks, gone), changed) \
@@ -45,6 +49,7 @@ def _next_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_ch
 
 
 _SLICE = 5000
+SMALL_ROWS = 2_000_000      # broadcast bound for change keys and gone/new vector ids
 
 
 def _paths(df: DataFrame) -> list:
@@ -115,7 +120,9 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
         new_chunks = preprocess(docs, pp_opts, registry=registry)
     else:
         new_chunks = spark.createDataFrame([], "source string, chunk_id string, text string")
-    next_files, next_chunks, plan = _next_tables(changes, files, chunks, new_chunks, now)
+    n_changes = changes.where(F.col("status") != "unchanged").count()   # cheap: checkpointed
+    small = n_changes <= SMALL_ROWS
+    next_files, next_chunks, plan = _next_tables(changes, files, chunks, new_chunks, now, small)
     if opts.dry_run:
         return SyncResult(None, plan)
 
@@ -127,13 +134,27 @@ def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions
     if fresh is not None:
         fresh = embed(fresh, "text", fn=embed_fn, batch=opts.embed_batch, dim=dim) \
             .withColumnRenamed("chunk_id", "id")
-    gone_ids = chunks.join(changes.where(F.col("status").isin("deleted", "modified")).select("source"),
-                           "source", "left_semi").select(F.col("chunk_id").alias("id"))
+    gone_src = changes.where(F.col("status").isin("deleted", "modified")).select("source")
+    gone_ids = chunks.join(F.broadcast(gone_src) if small else gone_src, "source", "left_semi") \
+        .select(F.col("chunk_id").alias("id"))
     if old_vec is None:
         next_vec = fresh if fresh is not None else None
     else:
-        kept = TB.delete_vectors(old_vec, ids=gone_ids)
-        next_vec = TB.upsert_vectors(kept, fresh) if fresh is not None else kept
+        # the id sets are bounded by the changed files: count them once (after a
+        # reliable checkpoint) and broadcast them when small, so the vector
+        # table is filtered where it lies instead of being shuffled
+        gone_ids = cut_lineage(gone_ids)
+        small_ids = gone_ids.count() <= SMALL_ROWS
+        kept = TB.delete_vectors(old_vec, ids=F.broadcast(gone_ids) if small_ids else gone_ids)
+        if fresh is not None:
+            fresh = cut_lineage(fresh)              # embeddings computed once
+            if fresh.count() <= SMALL_ROWS:         # T8 with the new ids broadcast
+                next_vec = kept.join(F.broadcast(fresh.select("id")), "id", "left_anti") \
+                    .unionByName(fresh, allowMissingColumns=True)
+            else:
+                next_vec = TB.upsert_vectors(kept, fresh)
+        else:
+            next_vec = kept
     if next_vec is not None:
         TB.write_snapshot(next_vec, vec_root, n)
     TB.write_snapshot(next_chunks, chunks_root, n)
