@@ -165,9 +165,37 @@ def add_end_index(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def add_chunk_index(df: DataFrame, key: str = "source",
                     order_cols: Sequence[str] = ("page", "section", "chunk_pos")) -> DataFrame:
-    """K8: 0-based position of the chunk inside its file, across pages and sections."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    return df.withColumn("chunk_index", F.row_number().over(w) - 1)
+    """K8: 0-based position of the chunk inside its file, across pages and sections.
+
+    Skew-safe form: chunks are counted per section (a map-side-combining
+    aggregate over tiny rows), a running sum over those counts per file gives
+    each section's offset, and the offsets are joined back on the section key.
+    A file holding a large share of all chunks therefore never sends its
+    chunk rows (with their text) to a single task; only its per-section
+    counts meet in one window partition. When ``order_cols`` has no
+    within-section position the plain window is used."""
+    order_cols = list(order_cols)
+    pos = order_cols[-1]
+    sec = order_cols[:-1]
+    if not sec:
+        w = Window.partitionBy(key).orderBy(F.col(pos).asc_nulls_first())
+        return df.withColumn("chunk_index", F.row_number().over(w) - 1)
+    # null-safe surrogate keys for the join (page is often NULL)
+    keyed = df
+    for c in sec:
+        keyed = keyed.withColumn(f"_k_{c}", F.coalesce(F.col(c).cast("string"), F.lit("\u0000")))
+    kcols = [key] + [f"_k_{c}" for c in sec]
+    counts = keyed.groupBy(*kcols, *[F.col(c) for c in sec]).agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in sec])
+         .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*kcols, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # rank inside the section, partitioned by the join keys so the join below
+    # reuses this partitioning (one shuffle of the chunk rows in total)
+    within = Window.partitionBy(*kcols).orderBy(F.col(pos).asc_nulls_first())
+    ranked = keyed.withColumn("_r", F.row_number().over(within) - 1)
+    out = ranked.join(offsets, kcols, "inner")
+    return out.withColumn("chunk_index", (F.col("_off") + F.col("_r")).cast("int")) \
+              .drop("_off", "_r", *[f"_k_{c}" for c in sec])
 
 
 def add_citation(df: DataFrame) -> DataFrame:
