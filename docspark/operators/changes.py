@@ -105,10 +105,19 @@ def finalize(confirmed: DataFrame) -> DataFrame:
 
 
 def detect_changes(current: DataFrame, manifest: DataFrame, content_col: str = "content",
-                   confirm: bool = True) -> DataFrame:
+                   confirm: bool = True, materialize: bool = False) -> DataFrame:
     """``(source, status, size, mtime, sha256)``; the signature is the one to
-    store: the new hash for modified files, none for added ones."""
-    return finalize(confirm_suspects(classify(current, manifest), current, content_col, confirm))
+    store: the new hash for modified files, none for added ones.
+
+    The classification feeds both the result and the suspect subset; with
+    ``materialize`` it is cut once into the checkpoint folder so the full
+    outer join runs a single time (otherwise Spark evaluates it twice and
+    reuses one of its two shuffles)."""
+    classified = classify(current, manifest)
+    if materialize:
+        from docspark.session import cut_lineage
+        classified = cut_lineage(classified)
+    return finalize(confirm_suspects(classified, current, content_col, confirm))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

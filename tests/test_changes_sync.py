@@ -17,6 +17,14 @@ def test_expected_counts_sf001(spark):
     assert counts == {"added": 100, "deleted": 100, "modified": 95, "unchanged": 705}
 
 
+def test_materialized_detection_is_identical(spark):
+    from docspark.operators import changes as D
+    prev, cur = X.file_snapshots(spark, SF01)
+    a = D.detect_changes(cur, prev, "text")
+    b = D.detect_changes(cur, prev, "text", materialize=True)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_classify_never_reads_content(spark, scratch):
     from docspark.operators import changes as D
     spark.createDataFrame([("a", 1, 1, b"x")], "source string, size bigint, mtime bigint, content binary") \
