@@ -777,3 +777,22 @@ def assemble_stream(spark, sf):
 @query
 def stream_events(spark, sf):
     return W.stream_events_batch(W.drop_empty_deltas(_deltas(spark, sf)))
+
+
+@query
+def stream_events_streaming(spark, sf):
+    """W1 as a Structured Streaming job: the deltas land as Parquet files in the
+    checkpoint folder, stream through the keyed state machine with an
+    available-now trigger into a Parquet file sink, and are read back."""
+    import uuid
+
+    from docspark.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/docspark-stream/{uuid.uuid4().hex}"
+    W.drop_empty_deltas(_deltas(spark, sf)).write.parquet(f"{base}/in")
+    schema = "chat_id string, seq long, delta string, is_end boolean"
+    events = W.stream_events(spark.readStream.schema(schema).parquet(f"{base}/in"))
+    q = (events.writeStream.format("parquet").outputMode("append")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(W.EVENT_SCHEMA).parquet(f"{base}/out")

@@ -105,3 +105,10 @@ def test_knn_by_text_brute_force(spark):
         d = ((V - np.asarray(qv, dtype=np.float64)) ** 2).sum(1)
         best = sorted(range(len(ids)), key=lambda j: (d[j], ids[j]))[:5]
         assert [i for _, i in sorted(got[qid])] == [ids[j] for j in best]
+
+
+def test_streaming_query_equals_batch_twin(spark):
+    a = E.queries()["stream_events_streaming"](spark, SF001)
+    b = E.queries()["stream_events"](spark, SF001)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
