@@ -85,3 +85,23 @@ def test_registry_overrides(spark, scratch):
     ch = {os.path.basename(r.source): r.text for r in preprocess(docs, registry=reg).collect()}
     assert ch["i.exe"] == "exe body"
     assert ch["a.txt"] == "PLAIN TEXT"
+
+
+def test_ext_glob_is_case_insensitive():
+    assert S.ext_glob([".md"]) == "{*.[mM][dD]}"
+    assert S.ext_glob([".tar.gz", ".csv"]) == "{*.[tT][aA][rR].[gG][zZ],*.[cC][sS][vV]}"
+
+
+def test_ship_package_once(spark):
+    from docspark import session as SS
+    SS.ship_package(spark)
+    SS.ship_package(spark)                           # idempotent per application
+    assert spark.sparkContext.applicationId in SS._SHIPPED
+    from pyspark.sql import functions as F
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def where_from(s: pd.Series) -> pd.Series:
+        import docspark
+        return s.map(lambda _: "ok" if docspark.__name__ == "docspark" else "no")
+    assert spark.range(2).select(where_from(F.col("id").cast("string")).alias("x")).first().x == "ok"
