@@ -11,6 +11,8 @@ hold the largest free capacity below them (two steps a level, no bin scan).
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,52 +25,86 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import store, workers_ready
 
-#: Different words whose ids a Python worker keeps at once (about 80 MB).
-CACHED_WORDS = 400_000
+#: Different words whose ids a Python worker keeps at once (about 120 MB).
+CACHED_WORDS = 600_000
+#: Bytes of text whose new words are encoded at once.
+_LEARNED_AT_ONCE = 1 << 21
 _PUNCTUATION = b".,;:!?"
+_CLOSING = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\t-\r])")
 
 
 class WordIds:
-    """Ids of texts from a tokenizer that drops white space: no token crosses
-    it, so a text's ids are those of its words, each encoded once a worker."""
+    """Ids of texts from a tokenizer that drops white space and case: no token
+    crosses white space, so a text's ids are those of its words, each encoded
+    once a worker. Words of letters alone are one run to the tokenizer: ASCII
+    ones go straight to its model, others are encoded many at a time and told
+    apart by the word end of their last token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encode_ascii(self, words: list[str]) -> list[bytes]:
+        tokens = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in tokens(w)]).tobytes() for w in words]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        """Words of ASCII letters with closing punctuation are two runs to the
-        tokenizer, and case is dropped: their letters are encoded once."""
-        known, split, whole = self.known, {}, set()
+        known, split, plain, letters, other = self.known, {}, [], set(), set()
         for w in words:
+            if w.isalpha() and w.islower():
+                plain.append(w)
+                continue
             core = w.rstrip(_PUNCTUATION)
-            if core.isalpha() and (core != w or not core.islower()):
-                split[w] = (core.lower(), w[len(core):])
+            if core.decode().isalpha():
+                split[w] = (core, w[len(core):])
+                letters.add(core)
+                if core != w:
+                    other.add(w[len(core):])
             else:
-                whole.add(w)
-        whole.update(part for parts in split.values() for part in parts if part and part not in known)
-        todo = [w for w in whole if w not in known]
-        known.update(zip(todo, self._encode(todo), strict=True))
+                other.add(w)
+        for some, encode in ((plain, self._encode_ascii), (letters, self._encode_letters), (other, self._encode)):
+            todo = [w for w in some if w not in known]
+            known.update(zip(todo, encode([w.decode() for w in todo]), strict=True))
         for w, (core, end) in split.items():
             known[w] = known[core] + (known[end] if end else b"")
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        some, size = [], 0
         for text in texts:
-            words = text.split()
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) > CACHED_WORDS:
-                    self.known.clear()
-                    new = set(words)
-                self.learn(new)
+            # case is dropped, and a mark after a letter is a run of its own; "<|" may open a special token
+            low = text if b"<|" in text else text.lower()
+            some.append(_CLOSING.sub(rb" \1", low).split())
+            size += len(text)
+            if size > _LEARNED_AT_ONCE:
+                yield from self._ids(some)
+                some, size = [], 0
+        yield from self._ids(some)
+
+    def _ids(self, lists: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        self.learn(set().union(*lists).difference(self.known))
+        for words in lists:
             yield b"".join(map(self.known.__getitem__, words))
 
 
@@ -100,7 +136,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         encoder = _encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.large_binary())]
             rows, size = [], 0
             for at, ids in enumerate(encoder.ids(texts)):
