@@ -19,14 +19,14 @@ def workers_ready(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 
     Cuts the lineage: a lost executor costs the tasks that read the table, never
     the work that made it. The folder is the one in ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/docspark-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, langid, licenses, packing, simhash, tokencount, topk, urlfilter
+from docspark.llm import chat, decontaminate, langid, licenses, lm, packing, simhash, tokencount, topk, urlfilter
 from docspark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(crc_mod(F.col("doc_id"), 7), F.lit(0))  # a null id is in no held-out fold
+    model = lm.learn(docs.where(fold != 2))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    return lm.score(docs, model).withColumn("held_out", held)
+
+
 #: (action, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
