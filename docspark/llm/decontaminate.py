@@ -29,54 +29,81 @@ NUMBER, NAME, UNIT, JOINT = "", "", "", ""
 _SLOT = "[-]"
 
 
-def words(text: Column, names: bool = True) -> Column:
-    """One line of words parted by single spaces, slots marked; null text is empty.
-
-    ``names``: whether capitalised words inside a sentence are slots."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[-]+", " ")
-    if names:
-        t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]) (?=\p{Lu}\p{Ll})", f" {NAME}")
-    t = F.lower(t)
-    t = F.regexp_replace(t, "(?<=[0-9])[.,:/](?=[0-9])", JOINT)
+def _lowered(text: Column) -> Column:
+    """Lower case, with a mark before each capitalised word inside a sentence; null is empty."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[-]+", " ")
+    return F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]) (?=\p{Lu}\p{Ll})", f" {NAME}"))
+
+
+def _numbered(low: Column) -> Column:
+    """Numbers and the units that follow them, marked."""
+    t = F.regexp_replace(low, "(?<=[0-9])[.,:/](?=[0-9])", JOINT)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     t = F.regexp_replace(t, rf"(?<![\p{{L}}0-9{JOINT}])([0-9][0-9{JOINT}]*)(?![0-9{JOINT}])(?: ?((?:{units})(?![\p{{L}}0-9])|%))?",
                          f" {NUMBER}$1 {UNIT}$2 ")
-    t = F.regexp_replace(t, rf"{UNIT} ", " ")  # no unit followed
+    return F.regexp_replace(t, rf"{UNIT} ", " ")  # no unit followed
+
+
+def _line(t: Column) -> Column:
+    """Words parted by single spaces, without punctuation."""
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}0-9" + f"{NUMBER}-{JOINT}]+", " "))
 
 
+def readings(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, reading, line, marked): each ``text`` as a line of marked words, and a second
+    time with its names as plain words if it has any: a copy in other case then still meets
+    its item. Steps are columns of their own, so that none is computed twice."""
+    # posexplode_outer, since an inner one would infer a filter that repeats the work
+    return (rows.withColumn("low", _lowered(F.col("text")))
+            .withColumn("low", F.when(F.contains("low", F.lit(NAME)), F.array("low", F.replace("low", F.lit(NAME), F.lit(""))))
+                        .otherwise(F.array("low")))
+            .select(*keep, F.posexplode_outer("low").alias("reading", "low"))
+            .withColumn("low", F.when(F.col("low").rlike("[0-9]"), _numbered(F.col("low"))).otherwise(F.col("low")))
+            .withColumn("line", _line(F.col("low"))).drop("low").where("line <> ''")
+            .withColumn("marked", F.contains("line", F.lit(NUMBER)) | F.contains("line", F.lit(NAME))))
+
+
 def template(line: Column) -> Column:
     """The words of a line, each slot only its type."""
     return F.split(F.regexp_replace(line, f"({_SLOT})[^ ]*", "$1"), " ")
 
 
-def _runs(hashes: Column, values: Column, marked: Column, length: int) -> Column:
-    """Array of (pos, length, h, slots): all runs of ``length`` words; slots are the run's values, space-joined."""
-    inside = [lambda i, k=k: F.get(hashes, i + k) for k in range(length)]
-    slots = [lambda i, k=k: F.get(values, i + k) for k in range(length)]
-    starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (length - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.struct(
-        i.alias("pos"), F.lit(length).alias("length"), F.xxhash64(*[f(i) for f in inside]).alias("h"),
-        F.when(marked, F.array_join(F.filter(F.array(*[f(i) for f in slots]), lambda v: v.rlike(f"^{_SLOT}")), " "))
-        .otherwise("").alias("slots")))
+def _hashes(words: Column, length: int) -> Column:
+    """A hash of each run of ``length`` words from the words' hashes."""
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (length - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, length)]) if length > 1 else w)
+
+
+def _runs(words: Column, hashes: Column, values: Column, length: int) -> Column:
+    """Array of (pos, length, h, slots): the runs with the values of their slots, space-joined."""
+    def slots(i: Column) -> Column:
+        run = F.array(*[F.get(values, i + k) for k in range(length)])
+        return F.array_join(F.filter(run, lambda v: v.rlike(f"^{_SLOT}")), " ")
+
+    return F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), F.lit(length).alias("length"), h.alias("h"),
+                                                     F.when(values.isNotNull(), slots(i)).otherwise("").alias("slots")))
 
 
 def _windows(rows: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """``rows`` with a ``text``: a row for each run of each length, with the columns of ``keep``.
-
-    A text with names is read twice, with the names as slots and as plain
-    words: a copy in other case then still meets its item."""
-    rows = (rows.withColumn("named", words(F.col("text")))
-            .withColumn("line", F.when(F.col("named").contains(NAME), F.array("named", words(F.col("text"), names=False)))
-                        .otherwise(F.array("named")))
-            .select(*keep, F.posexplode("line").alias("reading", "line"))
-            .where("line <> ''")
-            .withColumn("marked", F.col("line").rlike(_SLOT))
-            .withColumn("hashes", F.transform(template(F.col("line")), lambda w: F.xxhash64(w)))
-            .withColumn("values", F.when(F.col("marked"), F.split("line", " "))))
-    runs = F.concat(*[_runs(F.col("hashes"), F.col("values"), F.col("marked"), n) for n in lengths])
-    return rows.select(*keep, "reading", F.size("hashes").alias("words"), F.explode(runs).alias("run")).select(
-        *keep, "reading", "words", "run.*")
+    """``rows`` with a ``text``: (keep, reading, words, pos, length, h, slots), a row for each run of each length."""
+    rows = readings(rows, keep).select(
+        *keep, "reading", "marked",
+        F.transform(F.when(F.col("marked"), template(F.col("line"))).otherwise(F.split("line", " ")), lambda w: F.xxhash64(w)).alias("words"),
+        F.when(F.col("marked"), F.split("line", " ")).alias("values"))
+    for n in lengths:
+        rows = rows.withColumn(f"h{n}", _hashes(F.col("words"), n))
+    runs = [_runs(F.col("words"), F.col(f"h{n}"), F.col("values"), n) for n in lengths]
+    # A text has one of two arrays, plain hashes if it has no slots (and one length is asked for),
+    # else structs; the arrays must not be carried along with each run.
+    plain = ~F.col("marked") & F.lit(len(lengths) == 1)
+    rows = rows.select(*keep, "reading", F.size("words").alias("words"), F.when(plain, F.col(f"h{lengths[-1]}")).alias("plain"),
+                       F.when(~plain, F.concat(*runs)).alias("runs"))
+    rows = rows.select(*keep, "reading", "words", "runs", F.posexplode_outer("plain").alias("at", "plain"))
+    rows = rows.select(*keep, "reading", "words", "at", "plain", F.explode_outer("runs").alias("run"))
+    return rows.where("plain is not null or run is not null").select(
+        *keep, "reading", "words", F.coalesce("at", "run.pos").alias("pos"),
+        F.coalesce("run.length", F.lit(lengths[-1])).alias("length"), F.coalesce("plain", "run.h").alias("h"),
+        F.coalesce("run.slots", F.lit("")).alias("slots"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,8 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``broadcast_rows`` (some 60 bytes each), else the join shuffles.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
-    size = F.size(template(words(F.col("text"), names=False)))
-    short = [r[0] for r in items.select(size.alias("n")).where(F.col("n").between(least, window - 1)).distinct()
+    short = [r[0] for r in readings(items, ["item"]).select(F.size(template(F.col("line"))).alias("n")).where(F.col("n").between(least, window - 1)).distinct()
              .orderBy("n").collect()]  # at most window - least numbers
     # readings with and without names have equal words, so one text has one length
     known = _windows(items, [*short, window], ["item"])
