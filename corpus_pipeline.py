@@ -1,23 +1,41 @@
-"""A corpus pipeline over ``documents``: near-duplicates.
+"""A corpus pipeline over ``documents``: language, near-duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet in the shared folder and read again as the next stage's ``docs``.
+Parquet in the shared folder and read again as the next stage's ``docs``. All
+but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import simhash
+from docspark.llm import decontaminate, langid, packing, simhash
 from docspark.llm.common import store, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier does not reject; it learns from a
+    bounded sample of the labelled ones. Texts without a letter go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays, that with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the ``benchmark`` table."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left, with their places in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates),
+          ("benchmark_decontamination", benchmark_decontamination), ("packing", pack)]
 
 #: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
