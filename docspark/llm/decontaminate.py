@@ -25,13 +25,13 @@ UNITS = ("km m cm mm kg g mg lb lbs oz mi mile miles ft feet inch inches l ml li
          "euro euros cent cents pound pounds").split()
 
 #: Marks of a slot's type, private-use characters: number, name, unit; and the joint inside a number.
-NUMBER, NAME, UNIT, JOINT = "", "", "", ""
-_SLOT = "[-]"
+NUMBER, NAME, UNIT, JOINT = "\ue001", "\ue002", "\ue003", "\ue004"
+_SLOT = f"[{NUMBER}-{UNIT}]"
 
 
 def _lowered(text: Column) -> Column:
     """Lower case, with a mark before each capitalised word inside a sentence; null is empty."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[-]+", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{JOINT}]+", " ")
     return F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]) (?=\p{Lu}\p{Ll})", f" {NAME}"))
 
 
