@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 STATUSES = ("added", "modified", "deleted", "unchanged")
 
 
-def fast_signature(files: DataFrame, source_col: str = "source") -> DataFrame:
+def fast_signature(files: DataFrame, source_col: str = "source", sha256: Column | None = None) -> DataFrame:
     """Size and whole-second mtime, no hash (``content`` is not touched).
 
     Accepts a binary-file scan (path, length, modificationTime) or a frame that
@@ -22,7 +22,8 @@ def fast_signature(files: DataFrame, source_col: str = "source") -> DataFrame:
     mtime = F.col("mtime") if "mtime" in cols else F.unix_seconds(F.col("modificationTime"))
     src = F.col(source_col) if source_col in cols else F.col("path")
     return files.select(src.alias("source"), size.cast("bigint").alias("size"),
-                        mtime.cast("bigint").alias("mtime"), F.lit(None).cast("string").alias("sha256"))
+                        mtime.cast("bigint").alias("mtime"),
+                        (F.lit(None) if sha256 is None else sha256).cast("string").alias("sha256"))
 
 
 def content_hash(c: Column) -> Column:
@@ -31,11 +32,8 @@ def content_hash(c: Column) -> Column:
 
 
 def strong_signature(files: DataFrame, content_col: str = "content", source_col: str = "source") -> DataFrame:
-    """Fast signature plus sha256 of the content."""
-    fast = fast_signature(files, source_col)
-    src = F.col(source_col) if source_col in files.columns else F.col("path")
-    h = files.select(src.alias("source"), content_hash(F.col(content_col)).alias("_h"))
-    return fast.drop("sha256").join(h, "source").withColumnRenamed("_h", "sha256")
+    """Fast signature plus sha256 of the content, in one pass."""
+    return fast_signature(files.withColumn("_hash", content_hash(F.col(content_col))), source_col, F.col("_hash"))
 
 
 def added(current: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -63,19 +61,27 @@ def classify(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.withColumn("status", status).drop("_in_cur", "_in_old")
 
 
+def suspects(current: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Sources in both whose size or mtime differs, by one inner join of the keys."""
+    old = manifest.select("source", F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"))
+    same = F.col("size").eqNullSafe(F.col("o_size")) & F.col("mtime").eqNullSafe(F.col("o_mtime"))
+    return current.select("source", "size", "mtime").join(old, "source").where(~same).select("source")
+
+
 def confirm_suspects(classified: DataFrame, current: DataFrame, content_col: str = "content",
-                     confirm: bool = True) -> DataFrame:
+                     confirm: bool = True, of: DataFrame | None = None) -> DataFrame:
     """A suspect whose stored (non-null) hash equals the new hash is unchanged,
     else modified; with ``confirm`` off every suspect is modified.
 
-    The hash is evaluated only on suspect rows (conditional expression after a
-    key join), so unchanged and added files are never hashed."""
+    Only the suspects' contents are hashed, after a key join. ``of``: their
+    sources where known, else they are taken from ``classified``, whose join
+    the plan then holds twice."""
     if not confirm:
         return classified.withColumn("status", F.when(F.col("status") == "suspect", "modified")
                                      .otherwise(F.col("status"))) \
                          .withColumn("new_sha256", F.lit(None).cast("string"))
-    sus = classified.where(F.col("status") == "suspect").select("source")
-    hashed = current.select("source", F.col(content_col)).join(sus, "source", "left_semi") \
+    of = classified.where(F.col("status") == "suspect").select("source") if of is None else of
+    hashed = current.select("source", F.col(content_col)).join(of, "source", "left_semi") \
         .select("source", content_hash(F.col(content_col)).alias("new_sha256"))
     return confirm_with_hashes(classified, hashed)
 
@@ -105,19 +111,12 @@ def finalize(confirmed: DataFrame) -> DataFrame:
 
 
 def detect_changes(current: DataFrame, manifest: DataFrame, content_col: str = "content",
-                   confirm: bool = True, materialize: bool = False) -> DataFrame:
+                   confirm: bool = True) -> DataFrame:
     """``(source, status, size, mtime, sha256)``; the signature is the one to
-    store: the new hash for modified files, none for added ones.
-
-    The classification feeds both the result and the suspect subset; with
-    ``materialize`` it is cut once into the checkpoint folder so the full
-    outer join runs a single time (otherwise Spark evaluates it twice and
-    reuses one of its two shuffles)."""
-    classified = classify(current, manifest)
-    if materialize:
-        from docspark.session import cut_lineage
-        classified = cut_lineage(classified)
-    return finalize(confirm_suspects(classified, current, content_col, confirm))
+    store: the new hash for modified files, none for added ones. One full outer
+    join labels all sources; the suspects come from an inner join of the keys."""
+    of = suspects(current, manifest) if confirm else None
+    return finalize(confirm_suspects(classify(current, manifest), current, content_col, confirm, of))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -1,158 +1,135 @@
-"""Recursive character chunking and chunk metadata.
-
-K1 runs per document inside an Arrow-batched pandas UDF (narrow, no shuffle):
-a document is one row, so the only parallelism needed is across rows.
-K7-K11 are plain column expressions and one window each.
-
-Splitting rules (the public recursive text splitter's behaviour):
-take the first separator that occurs in the text ("" = single characters),
-split on it (keeping it at the end or start of each piece when asked), keep
-pieces *shorter* than the size, recurse with the later separators on the
-others, greedily merge neighbours up to the size while carrying back up to
-``overlap`` characters, strip each chunk and drop empty ones.
+"""Recursive chunking and chunk metadata.
+
+K1 works on offsets. A text is cut at the places of the first separator that
+occurs in it; cuts give spans. Spans shorter than the size are laid end to end:
+with the running sum of their lengths, the furthest span that still fits in a
+chunk and the first that still fits in the overlap are found by bisection, so a
+chunk costs two searches whatever the number of spans. Spans that are not
+shorter are cut again by the separators after it. Chunks of short spans are
+trimmed, and dropped if nothing is left.
+
+K1 is an Arrow-batched pandas UDF (narrow, no shuffle); K7-K11 are column
+expressions and joins of small tables.
 """
 
 from __future__ import annotations
 
-import re
-from typing import Callable, List, Optional, Sequence, Tuple
+import warnings
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from docspark.functions import text as T
-from docspark.options import SplitOptions
+from docspark.options import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_SEPARATORS
 from docspark.session import ensure_parallelism
 
 CHUNK_SCHEMA = "array<struct<text:string,start_index:int>>"
 
 
-class RecursiveSplitter:
-    def __init__(self, size: int = 1000, overlap: int = 150,
-                 separators: Sequence[str] = ("\n\n", "\n", " ", ""),
-                 keep_separator=True, length_fn: Callable[[str], int] = len,
-                 add_start_index: bool = True):
-        if overlap > size:
-            raise ValueError("overlap larger than size")
-        self.size, self.overlap = int(size), int(overlap)
-        self.separators = list(separators)
-        self.keep = keep_separator
-        self.length = length_fn
-        self.add_start_index = add_start_index
-
-    # -- pieces -------------------------------------------------------------
-    def _split_on(self, text: str, sep: str) -> List[str]:
-        if not sep:
-            pieces = list(text)
-        elif self.keep:
-            parts = re.split("(" + re.escape(sep) + ")", text)
-            if self.keep == "end":
-                pieces = [parts[i] + parts[i + 1] for i in range(0, len(parts) - 1, 2)] + [parts[-1]]
-            else:   # "start" or True: the separator opens the next piece
-                pieces = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-        else:
-            pieces = text.split(sep)
-        return [p for p in pieces if p != ""]
-
-    def _join(self, parts: List[str], sep: str) -> Optional[str]:
-        s = sep.join(parts).strip()
-        return s or None
-
-    def _merge(self, pieces: List[str], sep: str) -> List[str]:
-        sep_len = self.length(sep)
-        out: List[str] = []
-        cur: List[str] = []
-        total = 0
-        for p in pieces:
-            n = self.length(p)
-            if total + n + (sep_len if cur else 0) > self.size:
-                if cur:
-                    doc = self._join(cur, sep)
-                    if doc is not None:
-                        out.append(doc)
-                    while total > self.overlap or (
-                            total + n + (sep_len if cur else 0) > self.size and total > 0):
-                        total -= self.length(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                        cur = cur[1:]
-            cur.append(p)
-            total += n + (sep_len if len(cur) > 1 else 0)
-        doc = self._join(cur, sep)
-        if doc is not None:
-            out.append(doc)
-        return out
-
-    def _split(self, text: str, separators: List[str]) -> List[str]:
-        sep = separators[-1]
-        rest: List[str] = []
-        for i, s in enumerate(separators):
-            if s == "":
-                sep = s
-                break
-            if s in text:
-                sep, rest = s, separators[i + 1:]
-                break
-        pieces = self._split_on(text, sep)
-        merge_sep = "" if self.keep else sep
-        out: List[str] = []
-        good: List[str] = []
-        for p in pieces:
-            if self.length(p) < self.size:
-                good.append(p)
+def clamp_overlap(size: int, overlap: int) -> int:
+    """K4: an overlap over the size becomes a fifth of it."""
+    return overlap if overlap <= size else max(0, size // 5)
+
+
+class Chunker:
+    """K1-K6. ``keep``: where a separator stays, ``"end"`` of the span before it,
+    ``"start"`` (or True) of the span after it, or nowhere (False: chunks then
+    join their spans with it). ``length``: what ``size`` and ``overlap`` count,
+    characters if None."""
+
+    def __init__(self, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                 separators: Sequence[str] = DEFAULT_SEPARATORS, keep: bool | str = "end",
+                 length: Callable[[str], int] | None = None):
+        self.size, self.overlap = int(size), clamp_overlap(int(size), int(overlap))
+        self.separators, self.keep, self.length = tuple(separators), keep, length
+
+    def spans(self, text: str, lo: int, hi: int, separator: str) -> list[tuple[int, int]]:
+        """``text[lo:hi]`` cut at a separator, without empty spans; no separator: characters."""
+        if not separator:
+            return [(i, i + 1) for i in range(lo, hi)]
+        wide, cuts, ends = len(separator), [lo], []
+        at = text.find(separator, lo, hi)
+        while at >= 0:
+            ends.append(at + wide if self.keep == "end" else at)
+            cuts.append(at if self.keep and self.keep != "end" else at + wide)
+            at = text.find(separator, at + wide, hi)
+        return [(a, b) for a, b in zip(cuts, [*ends, hi], strict=True) if a < b]
+
+    def packed(self, text: str, spans: list[tuple[int, int]], separator: str) -> Iterator[str]:
+        """Chunks of neighbouring short spans: as many as fit, beginning with those that fit in the overlap."""
+        glue = "" if self.keep else separator
+        count = self.length or len
+        between = count(glue)
+        sums = list(accumulate((count(text[a:b]) + between for a, b in spans), initial=0))
+        first, last, n = 0, 0, len(spans)
+        while last < n:
+            last = max(last + 1, bisect_right(sums, sums[first] + between + self.size) - 1)
+            whole = glue.join(text[a:b] for a, b in spans[first:last]) if glue else text[spans[first][0]:spans[last - 1][1]]
+            if chunk := whole.strip():
+                yield chunk
+            if last < n:
+                back = max(sums[last] - between - self.overlap, sums[last + 1] - between - self.size)
+                first = min(last, bisect_left(sums, back, first))
+
+    def cut(self, text: str, lo: int, hi: int, level: int = 0) -> Iterator[str]:
+        tried = range(level, len(self.separators))
+        found = next((i for i in tried if text.find(self.separators[i], lo, hi) >= 0), len(self.separators) - 1)
+        separator, count = self.separators[found], self.length or len
+        last = found == len(self.separators) - 1 or not separator
+        short: list[tuple[int, int]] = []
+        for a, b in self.spans(text, lo, hi, separator):
+            if (b - a if self.length is None else count(text[a:b])) < self.size:
+                short.append((a, b))
                 continue
-            if good:
-                out.extend(self._merge(good, merge_sep))
-                good = []
-            if rest:
-                out.extend(self._split(p, rest))
+            yield from self.packed(text, short, separator)
+            short = []
+            if last:
+                yield text[a:b]  # too long, and no separator is left: kept as it is
             else:
-                out.append(p)
-        if good:
-            out.extend(self._merge(good, merge_sep))
+                yield from self.cut(text, a, b, found + 1)
+        yield from self.packed(text, short, separator)
+
+    def chunks(self, text: str | None) -> list[str]:
+        return list(self.cut(text or "", 0, len(text or "")))
+
+    def placed(self, text: str | None) -> list[tuple[str, int]]:
+        """K6: each chunk with its first place at or after the end of the one before less the overlap; -1: none."""
+        out, at, size = [], 0, 0
+        for chunk in self.chunks(text):
+            at = (text or "").find(chunk, max(0, at + size - self.overlap))
+            size = len(chunk)
+            out.append((chunk, at))
         return out
 
-    # -- public -------------------------------------------------------------
-    def split_text(self, text: str) -> List[str]:
-        return self._split(text, self.separators)
-
-    def chunks_with_start(self, text: str) -> List[Tuple[str, Optional[int]]]:
-        """K6: start = first match at or after previous start + previous length - overlap."""
-        out = []
-        index, prev_len = 0, 0
-        for c in self.split_text(text):
-            if self.add_start_index:
-                index = text.find(c, max(0, index + prev_len - self.overlap))
-                prev_len = len(c)
-                out.append((c, index))
-            else:
-                out.append((c, None))
-        return out
 
+def chunker(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = DEFAULT_SEPARATORS,
+            keep: bool | str = "end", unit: str = "char", length: Callable[[str], int] | None = None) -> Chunker:
+    """K5: ``unit`` "token" counts by ``length``; without one it warns and counts characters."""
+    if unit not in ("char", "token"):
+        raise ValueError(f"unknown length unit {unit!r}")
+    if unit == "token" and length is None:
+        warnings.warn("no token length function given: chunk sizes count characters", stacklevel=2)
+    return Chunker(size, overlap, separators, keep, length if unit == "token" else None)
 
-def splitter_from(opts: SplitOptions) -> RecursiveSplitter:
-    length_fn = len
-    if opts.length_unit == "token" and opts.length_fn is not None:
-        length_fn = opts.length_fn
-    return RecursiveSplitter(opts.chunk_size, opts.effective_overlap(), opts.effective_separators(),
-                             opts.keep_separator, length_fn, opts.add_start_index)
 
+def recursive_chunks(df: DataFrame, text_col: str = "text", start_index: bool = True, **how) -> DataFrame:
+    """K1 (+K2-K6, see ``chunker``): one row per chunk with ``chunk_pos`` (position in
+    its section), ``start_index`` (relative to the section) and ``text``.
+    Other columns are carried through."""
+    cutter = chunker(**how)
 
-def _chunk_udf(opts: SplitOptions):
     @F.pandas_udf(CHUNK_SCHEMA)
-    def _chunk(texts: pd.Series) -> pd.Series:
-        sp = splitter_from(opts)
-        return texts.map(lambda t: [{"text": c, "start_index": s}
-                                    for c, s in sp.chunks_with_start(t or "")])
-    return _chunk.asNondeterministic()     # keep filters from duplicating the call
-
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"text": c, "start_index": at if start_index else None} for c, at in cutter.placed(t)])
 
-def recursive_chunks(df: DataFrame, text_col: str = "text", opts: SplitOptions = SplitOptions(),
-                     order_cols: Sequence[str] = ()) -> DataFrame:
-    """K1 (+K2-K6 as options): one row per chunk with ``chunk_pos`` (position in
-    its section), ``start_index`` (relative to the section) and ``text``.
-    Other columns are carried through."""
-    df = ensure_parallelism(df)              # Python stage: use every core
+    df = ensure_parallelism(df)
     others = [c for c in df.columns if c != text_col]
-    return (df.select(*others, _chunk_udf(opts)(F.col(text_col)).alias("_chunks"))
+    call = run.asNondeterministic()(F.col(text_col))     # so that no filter copies the call
+    return (df.select(*others, call.alias("_chunks"))
               .select(*others, F.posexplode("_chunks").alias("chunk_pos", "_c"))
               .select(*others, "chunk_pos", F.col("_c.text").alias(text_col),
                       F.col("_c.start_index").alias("start_index")))

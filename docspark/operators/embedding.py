@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Callable, Iterator, List, Optional
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,7 +20,8 @@ from docspark.session import ensure_parallelism
 
 EmbeddingFn = Callable[[List[str]], List[List[float]]]
 
-MAX_TOKENS = 512          # longest embedded input (fixed value of the reference)
+#: Fixed value: tokens of the longest embedded input, unless the caller says otherwise (None: whole texts).
+MAX_TOKENS = 512
 
 
 def l2_normalize_col(v: Column, eps: float = 1e-12) -> Column:
@@ -53,11 +54,20 @@ def token_usage(df: DataFrame, count_col: str = "token_count", by: Optional[List
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
-def _hashing_embed(df: DataFrame, text_col: str, out_col: str, dim: int) -> DataFrame:
+_SPACELESS = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+#: A word, or one character of a script that is written without spaces.
+_TOKEN = rf"(?U)[{_SPACELESS}]|[\w&&[^{_SPACELESS}]]+"
+
+
+def tokens_column(text: Column, max_tokens: Optional[int] = MAX_TOKENS) -> Column:
+    """Lower-case tokens of the offline embedding: words, and single characters of scripts without spaces."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    return found if max_tokens is None else F.slice(found, 1, max_tokens)
+
+
+def _hashing_embed(df: DataFrame, text_col: str, out_col: str, dim: int, max_tokens: Optional[int]) -> DataFrame:
     tmp_tok, tmp_tf, tmp_n = "_emb_tokens", "_emb_tf", "_emb_norm"
-    tok = RegexTokenizer(inputCol=text_col, outputCol=tmp_tok, pattern=r"(?U)\W+", toLowercase=True)
-    out = tok.transform(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.withColumn(tmp_tok, F.slice(F.col(tmp_tok), 1, MAX_TOKENS))
+    out = df.withColumn(tmp_tok, tokens_column(F.col(text_col), max_tokens))
     out = HashingTF(inputCol=tmp_tok, outputCol=tmp_tf, numFeatures=dim).transform(out)
     out = Normalizer(inputCol=tmp_tf, outputCol=tmp_n, p=2.0).transform(out)
     return (out.withColumn(out_col, vector_to_array(F.col(tmp_n), "float32"))
@@ -66,23 +76,30 @@ def _hashing_embed(df: DataFrame, text_col: str, out_col: str, dim: int) -> Data
 
 
 def _udf_embed(fn: EmbeddingFn, batch: int):
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def _embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            texts = s.fillna("").tolist()
+            texts = s.tolist()
             vecs: list = []
             for i in range(0, len(texts), batch):
                 vecs.extend(fn(texts[i:i + batch]))
             yield pd.Series(vecs)
-    return _embed
+    return _embed.asNondeterministic()     # called once, and never inside the normalisation
+
 
+def embed(df: DataFrame, text_col: str = "text", fn: Optional[EmbeddingFn] = None, batch: int = 128, dim: int = 256,
+          out_col: str = "embedding", max_tokens: Optional[int] = MAX_TOKENS) -> DataFrame:
+    """Add ``embedding`` (array<float>, unit length; all zero stays zero) and ``token_count``.
 
-def embed(df: DataFrame, text_col: str = "text", fn: Optional[EmbeddingFn] = None,
-          batch: int = 128, dim: int = 256, out_col: str = "embedding") -> DataFrame:
-    """Add ``embedding`` (array<float>, unit length) and ``token_count``."""
-    df = ensure_parallelism(df)              # heavy per-row stage: use every core
+    A text is embedded up to ``max_tokens`` tokens (None: whole), which is what
+    ``token_count`` counts: embed chunks, not long documents. ``fn`` gets the
+    text cut there (tokens parted by white space); its vectors are normalised here."""
+    df = ensure_parallelism(df)
     if fn is None:
-        return _hashing_embed(df, text_col, out_col, dim)
-    out = df.withColumn(out_col, _udf_embed(fn, batch)(F.col(text_col)))
-    ntok = F.size(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), 1, MAX_TOKENS))
-    return out.withColumn("token_count", ntok)
+        return _hashing_embed(df, text_col, out_col, dim, max_tokens)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    most = "" if max_tokens is None else int(max_tokens)
+    head = F.regexp_extract(text, rf"\A(?:\s*+\S++){{0,{most}}}+", 0) if max_tokens is not None else text
+    count = F.size(F.regexp_extract_all(head, F.lit(r"\S+"), F.lit(0)))
+    df = df.withColumn("token_count", count).withColumn(out_col, _udf_embed(fn, batch)(head))
+    return df.withColumn(out_col, l2_normalize_col(F.col(out_col)).cast("array<float>"))

@@ -20,30 +20,33 @@ STOP_TOKENS = ("<|im_end|>", "<|endoftext|>")
 DEFAULT_EOS = "<|im_end|>"
 
 
-def _bodies(df: DataFrame, text_col: str, keys) -> DataFrame:
-    return df.select(*keys, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")),
-                                                              F.lit(TAG_RE), 1)).alias("pos", "body"))
+def bodies(text: Column) -> Column:
+    """The bodies of all closed tags, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TAG_RE), F.lit(1))
 
 
 def _valid(body: Column) -> Column:
     return J.is_json_object(F.trim(body)) & J.json_name(F.trim(body)).isNotNull()
 
 
-def call_id(*parts: Column) -> Column:
-    """``call_`` + 8 hex chars, derived from the call's key so re-runs agree."""
-    return F.concat(F.lit("call_"), F.substring(F.sha1(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8))
+def valid_bodies(text: Column) -> Column:
+    return F.filter(bodies(text), _valid)
+
+
+def call_id(chat: Column, ordinal: Column) -> Column:
+    """``call_`` + 8 hex digits from the chat's key and the call's ordinal, so that
+    re-runs agree, and so do a stream and a table."""
+    return F.concat(F.lit("call_"), F.substring(F.sha1(F.concat_ws(":", chat.cast("string"), ordinal.cast("string"))), 1, 8))
 
 
 def extract_tool_calls(df: DataFrame, text_col: str = "text", keys=("conv_id", "turn")) -> DataFrame:
     """M1: every valid ``<tool_call>{json}</tool_call>`` body in order:
-    ``keys..., ordinal, call_id, name, arguments``."""
+    ``keys..., ordinal, call_id, name, arguments``. Row by row, without a shuffle."""
     keys = list(keys)
-    b = _bodies(df, text_col, keys).where(_valid(F.col("body")))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    b = b.withColumn("ordinal", F.row_number().over(w) - 1)
+    b = df.select(*keys, F.posexplode(valid_bodies(F.col(text_col))).alias("ordinal", "body"))
     body = F.trim(F.col("body"))
     return b.select(*keys, "ordinal",
-                    call_id(*[F.col(k) for k in keys], F.col("ordinal")).alias("call_id"),
+                    call_id(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]), F.col("ordinal")).alias("call_id"),
                     J.json_name(body).alias("name"),
                     J.json_arguments(body).alias("arguments"))
 
@@ -51,7 +54,7 @@ def extract_tool_calls(df: DataFrame, text_col: str = "text", keys=("conv_id", "
 def invalid_tool_calls(df: DataFrame, text_col: str = "text", keys=("conv_id", "turn")) -> DataFrame:
     """M2: bodies dropped for bad JSON, a non-object, or a missing/non-string name."""
     keys = list(keys)
-    b = _bodies(df, text_col, keys)
+    b = df.select(*keys, F.posexplode(bodies(F.col(text_col))).alias("pos", "body"))
     body = F.trim(F.col("body"))
     reason = (F.when(F.try_parse_json(body).isNull(), "bad_json")
                .when(~J.is_json_object(body), "not_object")
@@ -66,15 +69,14 @@ def strip_tool_calls_col(text: Column) -> Column:
 
 def finish_reason(df: DataFrame, text_col: str = "text", keys=("conv_id", "turn")) -> DataFrame:
     """M3 + M4: ``finish_reason`` is tool_calls when at least one valid call
-    exists (content = stripped text), else stop (content = original text)."""
-    keys = list(keys)
-    calls = extract_tool_calls(df, text_col, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_calls"))
-    j = df.join(calls, keys, "left")
-    has = F.coalesce(F.col("n_calls"), F.lit(0)) > 0
+    exists (content = stripped text), else stop (content = original text).
+    Row by row: repeated keys are rows of their own."""
+    j = df.select(*keys, F.col(text_col).alias("_text"), F.size(valid_bodies(F.col(text_col))).cast("bigint").alias("n_calls"))
+    has = F.col("n_calls") > 0
     return j.select(*keys,
                     F.when(has, "tool_calls").otherwise("stop").alias("finish_reason"),
-                    F.when(has, strip_tool_calls_col(F.col(text_col))).otherwise(F.col(text_col)).alias("content"),
-                    F.coalesce(F.col("n_calls"), F.lit(0)).cast("bigint").alias("n_calls"))
+                    F.when(has, strip_tool_calls_col(F.col("_text"))).otherwise(F.col("_text")).alias("content"),
+                    "n_calls")
 
 
 def strip_special_tokens(df: DataFrame, text_col: str = "text", eos: str = DEFAULT_EOS) -> DataFrame:
@@ -137,9 +139,8 @@ def assistant_text(df: DataFrame, role: str = "role", text: str = "text") -> Dat
 
 
 def route_turn(df: DataFrame, text_col: str = "text", conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """M10: 'tools' when the last message carries a valid tool call, else 'end'."""
+    """M10: 'tools' when the last message carries a valid tool call, else 'end'.
+    Only the last message of a conversation is parsed."""
     last = last_message(df, conv, turn, text=text_col)
-    calls = extract_tool_calls(df, text_col, (conv, turn)).groupBy(conv, turn).agg(F.count(F.lit(1)).alias("n"))
-    j = last.join(calls.withColumnRenamed(turn, "last_turn"), [conv, "last_turn"], "left")
-    return j.select(conv, "last_turn",
-                    F.when(F.coalesce(F.col("n"), F.lit(0)) > 0, "tools").otherwise("end").alias("route"))
+    return last.select(conv, "last_turn",
+                       F.when(F.size(valid_bodies(F.col("text"))) > 0, "tools").otherwise("end").alias("route"))

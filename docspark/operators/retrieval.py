@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
 NO_HITS_TEXT = "No relevant information found in the knowledge base."   # fixed value
-_MARGIN = 16          # extra candidates re-scored exactly per tile
 _QB = 2048            # queries per tile
 _VB = 2048            # vectors per tile
 
@@ -75,29 +74,36 @@ def _any(cs):
 
 
 def _compare(c: Column, op: str, val) -> Column:
-    if op == "$eq":
-        return F.coalesce(c == F.lit(val), F.lit(False))
-    if op == "$ne":
-        return F.coalesce(c != F.lit(val), F.lit(True))
-    if op == "$gt":
-        return F.coalesce(c > F.lit(val), F.lit(False))
-    if op == "$gte":
-        return F.coalesce(c >= F.lit(val), F.lit(False))
-    if op == "$lt":
-        return F.coalesce(c < F.lit(val), F.lit(False))
-    if op == "$lte":
-        return F.coalesce(c <= F.lit(val), F.lit(False))
-    if op == "$in":
-        return F.coalesce(c.isin(list(val)), F.lit(False))
-    if op == "$nin":
-        return F.coalesce(~c.isin(list(val)), F.lit(True))
-    raise ValueError(f"unknown filter operator {op}")
+    """Compares as the literal's type; a value that has no such reading does not match."""
+    def kind(v) -> str:
+        return ("boolean" if isinstance(v, bool) else "decimal(38,10)" if isinstance(v, int)
+                else "double" if isinstance(v, float) else "string")
+
+    def read(v) -> Column:
+        return c.try_cast(kind(v))
+
+    if op in ("$in", "$nin"):
+        hit = F.lit(False)
+        for v in val:
+            hit = hit | F.coalesce(read(v) == F.lit(v), F.lit(False))
+        return hit if op == "$in" else ~hit
+    does = {"$eq": lambda x, y: x == y, "$ne": lambda x, y: x == y, "$gt": lambda x, y: x > y, "$gte": lambda x, y: x >= y,
+            "$lt": lambda x, y: x < y, "$lte": lambda x, y: x <= y}
+    if op not in does:
+        raise ValueError(f"unknown filter operator {op}")
+    hit = F.coalesce(does[op](read(val), F.lit(val)), F.lit(False))
+    return ~hit if op == "$ne" else hit
 
 
 # ------------------------------------------------------------ block top-k
-def _as_matrix(series: pd.Series) -> np.ndarray:
+def usable(v: Column) -> Column:
+    """Whether a vector has components, and all of them finite."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+
+
+def _as_matrix(series: pd.Series, dim: int | None = None) -> np.ndarray:
     if len(series) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, dim or 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
@@ -109,10 +115,10 @@ class _TopK:
     """Running exact top-k of squared L2 distance for a fixed query block.
 
     Work is tiled (``_QB`` queries x ``_VB`` vectors) so memory per tile is
-    bounded whatever the block sizes; each tile selects ``k + _MARGIN``
-    candidates per query with the expanded form (one matrix product), re-scores
-    them exactly with differences in float64, and merges them into the running
-    best by (distance, id)."""
+    bounded whatever the block sizes. A tile's distances come from one matrix
+    product; every candidate at or below the query's k-th smallest, plus what
+    rounding can add, is scored again exactly and merged by (distance, id). So
+    ties are never cut, however many there are."""
 
     def __init__(self, Q: np.ndarray, k: int):
         self.Q, self.k = Q, k
@@ -124,31 +130,29 @@ class _TopK:
         if len(V) == 0 or len(self.Q) == 0 or self.k <= 0:
             return
         ids = _sortable(ids)
-        nq = len(self.Q)
         if self.best_d is None:
-            self.best_d = np.full((nq, self.k), np.inf)
-            self.best_i = np.zeros((nq, self.k), dtype=ids.dtype)
+            self.best_d = np.full((len(self.Q), self.k), np.inf)
+            self.best_i = np.zeros((len(self.Q), self.k), dtype=ids.dtype)
         if ids.dtype.kind == "U" and ids.dtype.itemsize > self.best_i.dtype.itemsize:
             self.best_i = self.best_i.astype(ids.dtype)       # widen, never truncate
-        vn_all = (V * V).sum(1)
-        for q0 in range(0, nq, _QB):
-            Qb, qn = self.Q[q0:q0 + _QB], self.qn[q0:q0 + _QB]
-            bd, bi = self.best_d[q0:q0 + _QB], self.best_i[q0:q0 + _QB]
+        for q0 in range(0, len(self.Q), _QB):
             for v0 in range(0, len(V), _VB):
-                Vs, Is, vn = V[v0:v0 + _VB], ids[v0:v0 + _VB], vn_all[v0:v0 + _VB]
-                D = qn[:, None] + vn[None, :] - 2.0 * (Qb @ Vs.T)
-                m = min(self.k + _MARGIN, len(Vs))
-                idx = np.argpartition(D, m - 1, axis=1)[:, :m] if m < len(Vs) else \
-                    np.broadcast_to(np.arange(len(Vs)), (len(Qb), len(Vs)))
-                diff = Qb[:, None, :] - Vs[idx]
-                exact = np.einsum("qmd,qmd->qm", diff, diff)
-                all_d = np.concatenate([bd, exact], axis=1)
-                all_i = np.concatenate([bi, Is[idx]], axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :self.k]
-                bd = np.take_along_axis(all_d, order, axis=1)
-                bi = np.take_along_axis(all_i, order, axis=1)
-            self.best_d[q0:q0 + _QB] = bd
-            self.best_i[q0:q0 + _QB] = bi
+                self._tile(slice(q0, q0 + _QB), V[v0:v0 + _VB], ids[v0:v0 + _VB])
+
+    def _tile(self, at: slice, V: np.ndarray, ids: np.ndarray) -> None:
+        Q, qn, vn, k = self.Q[at], self.qn[at], (V * V).sum(1), self.k
+        near = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
+        slack = 8 * np.finfo(np.float64).eps * (Q.shape[1] + 4) * (qn + vn.max())
+        edge = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack if k < len(V) else np.full(len(Q), np.inf)
+        q, v = np.nonzero(near <= np.minimum(edge, self.best_d[at][:, -1] + slack)[:, None])
+        diff = Q[q] - V[v]
+        all_q = np.concatenate([q, np.repeat(np.arange(len(Q)), k)])
+        all_d = np.concatenate([np.einsum("nd,nd->n", diff, diff), self.best_d[at].ravel()])
+        all_i = np.concatenate([ids[v], self.best_i[at].ravel()])
+        order = np.lexsort((all_i, all_d, all_q))
+        first = np.searchsorted(all_q[order], np.arange(len(Q)))
+        pick = order[first[:, None] + np.arange(k)[None, :]]  # every query has its k slots at least
+        self.best_d[at], self.best_i[at] = all_d[pick], all_i[pick]
 
     def frame(self, qids: np.ndarray) -> pd.DataFrame:
         if self.best_i is None:
@@ -177,17 +181,22 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "
         broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
         block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """R1 (+R2): ``(query_id, rank, id, distance)``, k rows per query at most,
-    ascending squared L2 distance, ties broken by id."""
+    ascending squared L2 distance, ties broken by id. Null vectors, null or
+    non-finite components and vectors of another length than the queries' take
+    no part; queries of several lengths are an error."""
     if where:
         vectors = vectors.where(compile_where(where, vectors.columns))
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where(usable(F.col("_v")))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q")).where(usable(F.col("_q")))
     id_type = v.schema["id"].dataType.simpleString()
     qid_type = q.schema["query_id"].dataType.simpleString()
     out_schema = f"query_id {qid_type}, id {id_type}, distance double"
 
-    first = q.select(F.size("_q").alias("d")).first()
-    dim = int(first["d"] or 0) if first is not None else 0
+    dims = q.agg(F.min(F.size("_q")).alias("least"), F.max(F.size("_q")).alias("most")).first()
+    if dims["least"] != dims["most"]:
+        raise ValueError(f"query vectors have {dims['least']} to {dims['most']} components")
+    dim = int(dims["most"] or 0)
+    v = v.where(F.size("_v") == dim)
     max_rows = max(1, broadcast_limit_bytes // (max(dim, 1) * 8))
     pdf = None
     if strategy in ("auto", "broadcast"):
@@ -259,23 +268,16 @@ def knn_by_text(queries: DataFrame, vectors: DataFrame, k: int = 5, *, text_col:
     return knn(qq, vectors, k, query_vec="_qv", vec_col=vec_col, **kw)
 
 
-HIT_BROADCAST_ROWS = 2_000_000        # hits are (query, rank, id, distance): ~50 bytes a row
-
-
-def shape_results(hits: DataFrame, vectors: DataFrame, id_col: str = "id",
-                  keep: tuple = ("text", "source"), broadcast_hits: Optional[bool] = None) -> DataFrame:
+def shape_results(hits: DataFrame, vectors: DataFrame, id_col: str = "id", keep: Optional[tuple] = None) -> DataFrame:
     """Join text/metadata back to the hits; id as string, text '' when absent.
 
-    The hits are k per question, far smaller than the vector table. When their
-    count is known to be small (``broadcast_hits``) the distinct hit ids are
-    broadcast, so the vector table is only scanned (text and metadata columns)
-    and never shuffled; otherwise a regular shuffle join is used."""
+    ``keep``: columns of the vector table to return; None: text, source and all
+    other metadata, the vector left out. AQE broadcasts the hits' side if it is small."""
+    if keep is None:
+        rest = [c for c in vectors.columns if c not in (id_col, "id", "embedding", "token_count", "query_id", "rank", "distance")]
+        keep = ("text", "source", *[c for c in rest if c not in ("text", "source")])
     side = vectors.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep if c in vectors.columns])
-    if broadcast_hits:
-        found = side.join(F.broadcast(hits.select("id").distinct()), "id")
-        out = hits.join(found, "id", "left")
-    else:
-        out = hits.join(side, "id", "left")
+    out = hits.join(side, "id", "left")
     cols = [F.col("query_id"), F.col("rank"), F.col("id").cast("string").alias("id")]
     if "text" in keep:
         cols.append(F.coalesce(F.col("text"), F.lit("")).alias("text") if "text" in out.columns
@@ -317,10 +319,7 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
     is stored apart from the vectors; by default the vector table itself."""
     nonempty = queries.where(F.coalesce(F.col(query_col), F.lit("")) != "") \
         if query_col in queries.columns else queries
-    stats = nonempty.agg(F.count(F.lit(1)).alias("n"),
-                         *([F.max(k_col).alias("kmax")] if k_col else [])).first()
-    kmax = int(stats["kmax"] or 0) if k_col else k
-    n_hits_bound = int(stats["n"]) * max(kmax, 0)     # hits <= questions x k
+    kmax = int(nonempty.agg(F.max(k_col)).first()[0] or 0) if k_col else k
     if query_col in queries.columns and vec_col not in queries.columns:
         hits = knn_by_text(nonempty, vectors, kmax, text_col=query_col, vec_col=vec_col,
                            embed_fn=embed_fn, dim=dim, where=where, **kw)
@@ -328,8 +327,7 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
         hits = knn(nonempty, vectors, kmax, query_vec=vec_col, vec_col=vec_col, where=where, **kw)
     if k_col:
         hits = hits.join(queries.select("query_id", k_col), "query_id").where(F.col("rank") <= F.col(k_col))
-    shaped = shape_results(hits, payload if payload is not None else vectors,
-                           broadcast_hits=n_hits_bound <= HIT_BROADCAST_ROWS)
+    shaped = shape_results(hits, payload if payload is not None else vectors, keep=("text", "source"))
     ctx = build_context(shaped)
     qq = queries if query_col in queries.columns else queries.withColumn(query_col, F.lit("x"))
     return context_fallback(qq, ctx, query_col)

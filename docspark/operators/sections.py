@@ -1,324 +1,324 @@
 """Structure (section) splitting by file kind.
 
-Each splitter is a per-document state machine (header stack, code fences,
-JSON key paths), so it runs as an Arrow-batched pandas UDF returning an array
-of sections, followed by ``posexplode``. This is narrow: a document never
-leaves its task, so no shuffle is needed at any scale (a window over
-exploded lines would instead shuffle and sort the whole corpus by document).
+A document's sections are an array column, so no document leaves its task and
+nothing is shuffled; ``posexplode`` makes rows of them.
+
+* Markdown (P1) is column expressions only: a regular expression cuts the text
+  into lines and whole fenced blocks, header lines become marked headings, and
+  one fold over the headings carries the path down.
+* HTML (P2) needs a tolerant parser and JSON (P3) a walk of nested values:
+  these are Arrow-batched pandas UDFs that return the array.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from html.parser import HTMLParser
-from typing import Any, Dict, List, Optional, Sequence, Tuple
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from docspark.options import StructureOptions
+from docspark.functions import text as T
 from docspark.session import ensure_parallelism
 
-SECTION_SCHEMA = "array<struct<h1:string,h2:string,h3:string,h4:string,text:string>>"
 HEADER_KEYS = ("h1", "h2", "h3", "h4")
+SECTION = "struct<h1:string,h2:string,h3:string,h4:string,text:string>"
+KIND_BY_EXT = {".md": "md", ".html": "html", ".htm": "html", ".json": "json"}
+
+# Marks inside a text while it is cut: between its parts, before a heading, after its name.
+# They are private-use characters, which P1 drops from the text beforehand.
+_PART, _HEAD, _NAME = "\ue000", "\ue001", "\ue002"
+#: A fenced block up to its closing line or the end of the text; a line.
+_FENCED = "|".join(rf"{fence}(?s:.*?)(?:\n{mark}[^\n]*|(?=\n\z))\n"
+                   for fence, mark in (("```(?![^\n]*```)", "```"), ("~~~", "~~~")))
+_LINES = rf"{_FENCED}|[^\n]*\n"
 
 
 # ------------------------------------------------------------------ P1
-def _printable(s: str) -> str:
-    if s.isprintable():          # fast path, one C call per line
-        return s
-    return "".join(ch for ch in s if ch.isprintable())
-
-
-def markdown_split(text: str, headers: Sequence[Tuple[str, str]] = (("#", "h1"), ("##", "h2"),
-                                                                     ("###", "h3"), ("####", "h4")),
-                   strip_headers: bool = True) -> List[Dict[str, Any]]:
-    """Sections of a Markdown text: ``{h1..h4, text}``.
-
-    A header is a line starting with its marks followed by a space or the end
-    of line; a header closes deeper ones; lines inside fenced code are never
-    headers; blank lines end a block and blocks with the same header path
-    merge with two spaces and a line break; header-only sections vanish."""
-    seps = sorted(headers, key=lambda h: len(h[0]), reverse=True)
-    blocks: List[Tuple[Dict[str, str], str]] = []
-    content: List[str] = []
-    meta: Dict[str, str] = {}
-    stack: List[Tuple[int, str]] = []
-    active: Dict[str, str] = {}
-    in_code, fence = False, ""
-
-    def flush(m):
-        if content:
-            blocks.append((dict(m), "\n".join(content)))
-            content.clear()
-
-    for line in text.split("\n"):
-        s = _printable(line.strip())
-        if not in_code:
-            if s.startswith("```") and s.count("```") == 1:
-                in_code, fence = True, "```"
-            elif s.startswith("~~~"):
-                in_code, fence = True, "~~~"
-        elif s.startswith(fence):
-            in_code, fence = False, ""
-        if in_code:
-            content.append(s)
-            continue
-        for sep, name in seps:
-            if s.startswith(sep) and (len(s) == len(sep) or s[len(sep)] == " "):
-                level = sep.count("#")
-                while stack and stack[-1][0] >= level:
-                    active.pop(stack.pop()[1], None)
-                stack.append((level, name))
-                active[name] = s[len(sep):].strip()
-                flush(meta)
-                if not strip_headers:
-                    content.append(s)
-                break
-        else:
-            if s:
-                content.append(s)
-            else:
-                flush(meta)
-        meta = dict(active)
-    flush(meta)
-    merged: List[Tuple[Dict[str, str], str]] = []
-    for m, t in blocks:
-        if merged and merged[-1][0] == m:
-            merged[-1] = (m, merged[-1][1] + "  \n" + t)
-        else:
-            merged.append((m, t))
-    return [{**{k: m.get(k) for k in HEADER_KEYS}, "text": t} for m, t in merged]
+def markdown_column(text: Column, strip_headers: bool = True) -> Column:
+    """Sections of a Markdown text as an array of SECTION.
+
+    A header is a line of one to four ``#`` and then a space or the line's end;
+    it closes deeper ones; lines inside fenced code are never headers; blank
+    lines part blocks, which are joined with two spaces and a line feed, as are
+    neighbours of one header path; sections without text vanish."""
+    plain = F.regexp_replace(T.strip_lines(F.coalesce(text, F.lit(""))), r"[\p{C}\p{Z}&&[^ \n]]", "")
+    parts = F.regexp_extract_all(F.concat(plain, F.lit("\n")), F.lit(_LINES), F.lit(0))
+
+    def marked(part: Column) -> Column:
+        part = F.substring(part, F.lit(1), F.length(part) - 1)  # without its line feed
+        heading = F.concat(F.lit(_HEAD), F.regexp_replace(part, r"^(#{1,4})(?: +(.*))?$", f"$1{_NAME}$2{_NAME}"))
+        if not strip_headers:
+            heading = F.concat(heading, F.lit(_PART), part)
+        return F.when(part.rlike("^#{1,4}(?: |$)"), heading).otherwise(part)
+
+    cut = F.split(F.array_join(F.transform(parts, marked), _PART), _HEAD)
+    # of each piece: its heading's level and name (none for what comes before the first), and its text
+    pieces = F.transform(cut, lambda p: F.struct(
+        F.when(F.contains(p, F.lit(_NAME)), F.length(F.substring_index(p, _NAME, 1))).alias("level"),
+        F.substring_index(F.substring_index(p, _NAME, 2), _NAME, -1).alias("name"),
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring_index(p, _NAME, -1), f"^{_PART}+|{_PART}+$", ""),
+                                          f"{_PART}{{2,}}", "  \n"), _PART, "\n").alias("text")))
+    start = F.struct(*[F.lit(None).cast("string").alias(h) for h in HEADER_KEYS],
+                     F.array().cast(f"array<{SECTION}>").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        path = [F.when(piece["level"].isNull() | (piece["level"] > k), state[h]).when(piece["level"] == k, piece["name"]).alias(h)
+                for k, h in enumerate(HEADER_KEYS, 1)]
+        last = F.get(state["out"], F.size(state["out"]) - 1)
+        same = F.size(state["out"]) > 0
+        for h, now in zip(HEADER_KEYS, path, strict=True):
+            same = same & last[h].eqNullSafe(now)
+        longer = F.concat(F.slice(state["out"], 1, F.greatest(F.size(state["out"]) - 1, F.lit(0))),
+                          F.array(F.struct(*path, F.concat(last["text"], F.lit("  \n"), piece["text"]).alias("text")).cast(SECTION)))
+        added = F.concat(state["out"], F.array(F.struct(*path, piece["text"].alias("text")).cast(SECTION)))
+        out = F.when(piece["text"] == "", state["out"]).when(same, longer).otherwise(added)
+        return F.struct(*path, out.alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
 # ------------------------------------------------------------------ P2
 class _HtmlSections(HTMLParser):
-    """Text grouped by the h1-h4 headers in force; script/style/head skipped."""
+    """Text grouped by the headers in force. Script and style need their closing
+    tag; the head ends with ``</head>``, ``<body>`` or any tag of the body."""
 
-    _SKIP = {"script", "style", "head", "title", "noscript"}
-    _BLOCK = {"p", "div", "li", "ul", "ol", "br", "tr", "td", "th", "table", "section", "article",
-              "nav", "header", "footer", "pre", "blockquote", "main", "aside", "h5", "h6", "dd", "dt"}
+    _RAW = frozenset({"script", "style"})
+    _HEAD_ONLY = frozenset({"meta", "link", "base", "title", "noscript", "head", "html"})
+    _BLOCK = frozenset({"p", "div", "li", "ul", "ol", "br", "tr", "td", "th", "table", "section", "article", "nav", "header", "footer",
+                        "pre", "blockquote", "main", "aside", "h5", "h6", "dd", "dt", "body", "form", "hr"})
 
-    def __init__(self, header_map: Dict[str, str], each_element: bool):
+    def __init__(self, headers: dict[str, str], each_element: bool):
         super().__init__(convert_charrefs=True)
-        self.map = header_map
-        self.each = each_element
-        self.active: Dict[str, str] = {}
-        self.skip = 0
-        self.in_header: Optional[str] = None
-        self.header_buf: List[str] = []
-        self.lines: List[str] = []
-        self.cur: List[str] = []
-        self.out: List[Tuple[Dict[str, str], str]] = []
-
-    def _end_line(self):
-        t = " ".join("".join(self.cur).split())
-        if t:
-            self.lines.append(t)
+        self.headers, self.each = headers, each_element
+        self.path: dict[str, str] = {}
+        self.raw: str | None = None
+        self.in_head = self.in_title = self.unscripted = False
+        self.heading: str | None = None
+        self.words: list[str] = []
+        self.lines: list[str] = []
+        self.out: list[tuple[dict[str, str], str]] = []
+
+    def _text(self) -> str:
+        text, self.words = " ".join("".join(self.words).split()), []
+        return text
+
+    def _end_line(self) -> None:
+        """The line, or the header, that was open is complete."""
+        text = self._text()
+        if self.heading:
+            level = int(self.heading[1:])
+            self.path = {k: v for k, v in self.path.items() if int(k[1:]) < level} | {self.heading: text}
+            self.heading = None
+        elif text:
+            self.lines.append(text)
             if self.each:
-                self._flush()
-        self.cur = []
+                self._end_section()
 
-    def _flush(self):
+    def _end_section(self) -> None:
         if self.lines:
-            self.out.append((dict(self.active), "  \n".join(self.lines)))
+            self.out.append(({self.headers[t]: v for t, v in self.path.items()}, "  \n".join(self.lines)))
         self.lines = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in self._SKIP:
-            self.skip += 1
-        elif tag in self.map:
-            self._end_line()
-            self._flush()
-            self.in_header, self.header_buf = tag, []
-        elif tag in self._BLOCK:
-            self._end_line()
+        if tag in self._RAW:
+            self.raw = tag
+        elif tag == "head":
+            self.in_head = True
+        elif tag == "title":
+            self.in_title = True
+        elif tag == "noscript":
+            self.unscripted = True
+        else:
+            if tag not in self._HEAD_ONLY and not self.unscripted:
+                self.in_head = self.in_title = False
+            if tag in self.headers:
+                self._end_line()
+                self._end_section()
+                self.heading = tag
+            elif tag in self._BLOCK:
+                self._end_line()
 
     def handle_endtag(self, tag):
-        if tag in self._SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag in self.map and self.in_header == tag:
-            level = int(tag[1:])
-            for t, key in self.map.items():
-                if int(t[1:]) >= level:
-                    self.active.pop(key, None)
-            self.active[self.map[tag]] = " ".join("".join(self.header_buf).split())
-            self.in_header = None
-        elif tag in self._BLOCK:
+        if tag == self.raw:
+            self.raw = None
+        elif tag == "head":
+            self.in_head = self.in_title = False
+        elif tag == "title":
+            self.in_title = False
+        elif tag == "noscript":
+            self.unscripted = False
+        elif tag in self._BLOCK or tag in self.headers:
             self._end_line()
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        if self.in_header:
-            self.header_buf.append(data)
-        else:
-            self.cur.append(data)
+        if not (self.raw or self.in_head or self.in_title or self.unscripted):
+            self.words.append(data)
 
     def sections(self):
         self._end_line()
-        self._flush()
+        self._end_section()
         return self.out
 
 
-def html_split(html: str, headers: Sequence[Tuple[str, str]] = (("h1", "h1"), ("h2", "h2"),
-                                                                 ("h3", "h3"), ("h4", "h4")),
-               each_element: bool = False) -> List[Dict[str, Any]]:
-    p = _HtmlSections(dict(headers), each_element)
-    p.feed(html)
-    p.close()
-    return [{**{k: m.get(k) for k in HEADER_KEYS}, "text": t} for m, t in p.sections()]
+def html_sections_of(html: str, levels: int = 4, each_element: bool = False) -> list[dict[str, Any]]:
+    parser = _HtmlSections({h: h for h in HEADER_KEYS[:levels]}, each_element)
+    parser.feed(html)
+    parser.close()
+    return [{**dict.fromkeys(HEADER_KEYS), **path, "text": text} for path, text in parser.sections()]
 
 
 # ------------------------------------------------------------------ P3
-def _json_size(obj) -> int:
-    return len(json.dumps(obj))
-
-
-def _set_path(d: dict, path: List[str], value) -> None:
-    for key in path[:-1]:
-        d = d.setdefault(key, {})
-    d[path[-1]] = value
-
-
-def _lists_to_dicts(obj):
-    if isinstance(obj, dict):
-        return {k: _lists_to_dicts(v) for k, v in obj.items()}
-    if isinstance(obj, list):
-        return {str(i): _lists_to_dicts(v) for i, v in enumerate(obj)}
-    return obj
-
-
-def json_split(obj, max_chars: int = 1000, convert_lists: bool = False,
-               min_chars: Optional[int] = None) -> List[str]:
-    """Pieces of a JSON value no longer than ``max_chars`` (lists stay leaves
-    unless converted), each keeping its key path. Raises for a non-object."""
-    min_chars = min_chars if min_chars is not None else max(max_chars - 200, 50)
-    data = _lists_to_dicts(obj) if convert_lists else obj
-    pieces: List[dict] = [{}]
-
-    def walk(value, path):
-        if isinstance(value, dict):
-            for key, v in value.items():
-                new_path = path + [key]
-                used = _json_size(pieces[-1])
-                if _json_size({key: v}) < max_chars - used:
-                    _set_path(pieces[-1], new_path, v)
-                else:
-                    if used >= min_chars:
-                        pieces.append({})
-                    walk(v, new_path)
+def _indexed(value):
+    """Lists as objects keyed by index, all the way down."""
+    if isinstance(value, list):
+        value = {str(i): v for i, v in enumerate(value)}
+    return {k: _indexed(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def json_pieces(value: dict, limit: int = 1000, convert_lists: bool = False, least: int | None = None) -> list[str]:
+    """An object as pieces of at most ``limit`` characters, each a JSON object that keeps the key paths.
+
+    Members go in order into the open piece while they fit whole. One that does
+    not is opened: its members follow in its place, in a new piece if the open
+    one holds ``least`` characters. What cannot be opened goes in as it is, so
+    one long list or text may pass the limit."""
+    least = max(limit - 200, 50) if least is None else least
+    done: list[str] = []
+    piece: dict = {}
+    # members still to place, the next one last: path and value
+    todo: list[tuple[tuple[str, ...], Any]] = [((k,), v) for k, v in reversed((_indexed(value) if convert_lists else value).items())]
+
+    def put(path: tuple[str, ...], v) -> None:
+        at = piece
+        for key in path[:-1]:
+            at = at.setdefault(key, {})
+        at[path[-1]] = v
+
+    while todo:
+        path, v = todo.pop()
+        used = len(json.dumps(piece))
+        if len(json.dumps({path[-1]: v})) < limit - used:
+            put(path, v)
+            continue
+        if used >= least:
+            done.append(json.dumps(piece, ensure_ascii=False))
+            piece = {}
+        if isinstance(v, dict):
+            todo += [((*path, k), inner) for k, inner in reversed(v.items())]
         else:
-            _set_path(pieces[-1], path, value)
+            put(path, v)
+    return [*done, json.dumps(piece, ensure_ascii=False)] if piece else done
 
-    walk(data, [])
-    if not pieces[-1]:
-        pieces.pop()
-    return [json.dumps(p, ensure_ascii=False) for p in pieces]
 
-
-# ------------------------------------------------------------ UDF plumbing
-_NO_HEADERS = {"h1": None, "h2": None, "h3": None, "h4": None}
-KIND_BY_EXT = {".md": "md", ".html": "html", ".htm": "html", ".json": "json"}
+# ------------------------------------------------------------ array columns
+def _whole(text: str) -> list[dict[str, Any]]:
+    return [{**dict.fromkeys(HEADER_KEYS), "text": text}]
 
 
-def split_sections(text: Optional[str], kind: Optional[str], opts: StructureOptions = StructureOptions(),
-                   max_chars: int = 1000) -> List[Dict[str, Any]]:
-    """Sections of one document for a splitter kind ('md', 'html', 'json'; other -> whole)."""
-    t = text or ""
-    if kind == "md" and opts.enable_markdown_headers:
-        return markdown_split(t, opts.markdown_headers, opts.markdown_strip_headers)
-    if kind == "html" and opts.enable_html_headers:
+def html_column(text: Column, levels: int = 4, each_element: bool = False) -> Column:
+    """P2 as an array of SECTION; a text that cannot be parsed is one section, null is null."""
+    def one(t: str | None):
+        if t is None:
+            return None
         try:
-            return html_split(t, opts.html_headers, opts.html_return_each_element)
+            return html_sections_of(t, levels, each_element)
         except Exception:
-            return [{**_NO_HEADERS, "text": t}]
-    if kind == "json" and opts.enable_json_splitter:
+            return _whole(t)
+
+    @F.pandas_udf(f"array<{SECTION}>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+    return run.asNondeterministic()(text)     # so that no filter copies the call
+
+
+def json_column(text: Column, limit: int = 1000, convert_lists: bool = False) -> Column:
+    """P3 as an array of SECTION; what is no JSON object is one section, null is null."""
+    def one(t: str | None):
+        if t is None:
+            return None
         try:
-            pieces = json_split(json.loads(t), max_chars, opts.json_convert_lists)
+            value = json.loads(t)
+            pieces = json_pieces(value, limit, convert_lists) if isinstance(value, dict) else [t]
         except Exception:
-            return [{**_NO_HEADERS, "text": t}]
-        return [{**_NO_HEADERS, "text": p} for p in pieces]
-    return [{**_NO_HEADERS, "text": t}]
-
-
-def _sections_udf(kind: str, opts: StructureOptions, max_chars: int):
-    @F.pandas_udf(SECTION_SCHEMA)
-    def _split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_sections(t, kind, opts, max_chars))
-    return _split.asNondeterministic()     # keep filters from duplicating the call
-
-
-def _explode_sections(df: DataFrame, kind, opts: StructureOptions, max_chars: int,
-                      text_col: str = "text") -> DataFrame:
-    """``kind`` is a splitter name or, for mixed input, None: then the kind is
-    read per row from ``file_ext`` inside the same Python call (one pass)."""
-    df = ensure_parallelism(df)              # Python stage: use every core
-    others = [c for c in df.columns if c != text_col and c not in HEADER_KEYS and c != "section"]
-    prior = [c for c in HEADER_KEYS if c in df.columns]
-    if kind is None:
-        call = _dispatch_udf(opts, max_chars)(F.col(text_col), F.col("file_ext"))
-    else:
-        call = _sections_udf(kind, opts, max_chars)(F.col(text_col))
-    tmp = df.select(*others, *[F.col(c).alias("_doc_" + c) for c in prior], call.alias("_secs"))
-    tmp = tmp.select("*", F.posexplode("_secs").alias("section", "_s")).drop("_secs")
-    # P5: document keys first, section keys override
-    heads = [F.coalesce(F.col("_s." + k), F.col("_doc_" + k)).alias(k) if k in prior
-             else F.col("_s." + k).alias(k) for k in HEADER_KEYS]
-    return tmp.select(*others, "section", *heads, F.col("_s.text").alias(text_col))
-
-
-def _dispatch_udf(opts: StructureOptions, max_chars: int):
-    @F.pandas_udf(SECTION_SCHEMA)
-    def _split(texts: pd.Series, exts: pd.Series) -> pd.Series:
-        return pd.Series([split_sections(t, KIND_BY_EXT.get(e or ""), opts, max_chars)
-                          for t, e in zip(texts.tolist(), exts.tolist())])
-    return _split.asNondeterministic()
-
-
-def markdown_sections(df: DataFrame, text_col: str = "text",
-                      opts: StructureOptions = StructureOptions()) -> DataFrame:
-    """P1."""
-    return _explode_sections(df, "md", opts, 0, text_col)
-
-
-def html_sections(df: DataFrame, text_col: str = "text",
-                  opts: StructureOptions = StructureOptions()) -> DataFrame:
-    """On parser failure the document is kept whole."""
-    return _explode_sections(df, "html", opts, 0, text_col)
-
-
-def json_sections(df: DataFrame, text_col: str = "text", max_chars: int = 1000,
-                  opts: StructureOptions = StructureOptions()) -> DataFrame:
-    """Unparseable or non-object JSON is kept whole; output is not ASCII-escaped."""
-    out = _explode_sections(df, "json", opts, max_chars, text_col)
-    return out.drop("json_value") if "json_value" in out.columns else out
-
-
-def structure_split(df: DataFrame, opts: StructureOptions = StructureOptions(),
-                    max_chars: int = 1000, registry=None, text_col: str = "text") -> DataFrame:
-    """Pick the splitter by extension (.md, .html/.htm, .json) in one pass;
-    a kind switched off passes through whole, and the off-switch also wins
-    over a registered splitter; other extensions pass through as one section.
-    Registered splitters (U2) get their own branch for their extensions."""
-    if "json_value" in df.columns:
-        df = df.drop("json_value")
-    disabled = set()
-    if not opts.enable_markdown_headers:
-        disabled.add(".md")
-    if not opts.enable_html_headers:
-        disabled |= {".html", ".htm"}
-    if not opts.enable_json_splitter:
-        disabled.add(".json")
-    custom = {e: fn for e, fn in (registry.splitters.items() if registry is not None else [])
-              if e not in disabled}
-    if not custom:
-        return _explode_sections(df, None, opts, max_chars, text_col)
+            pieces = [t]
+        return [s for p in pieces for s in _whole(p)]
+
+    @F.pandas_udf(f"array<{SECTION}>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+    return run.asNondeterministic()(text)
+
+
+def whole_column(text: Column) -> Column:
+    none = [F.lit(None).cast("string").alias(h) for h in HEADER_KEYS]
+    return F.array(F.struct(*none, F.coalesce(text, F.lit("")).alias("text")).cast(SECTION))
+
+
+def sections_column(text: Column, ext: Column, kinds: Sequence[str] = ("md", "html", "json"), limit: int = 1000,
+                    convert_lists: bool = False, strip_headers: bool = True, each_element: bool = False) -> Column:
+    """P4 as an array of SECTION, by file extension; kinds that are not asked for stay whole.
+    Only texts of a kind are sent to its UDF."""
+    def is_kind(kind: str) -> Column:
+        return ext.isin([e for e, k in KIND_BY_EXT.items() if k == kind])
+
+    t = F.coalesce(text, F.lit(""))
+    out = F.when(F.lit(False), whole_column(text))
+    if "md" in kinds:
+        out = out.when(is_kind("md"), markdown_column(text, strip_headers))
+    if "html" in kinds:
+        out = out.when(is_kind("html"), html_column(F.when(is_kind("html"), t), each_element=each_element))
+    if "json" in kinds:
+        out = out.when(is_kind("json"), json_column(F.when(is_kind("json"), t), limit, convert_lists))
+    return out.otherwise(whole_column(text))
+
+
+# ------------------------------------------------------------------ rows
+def _explode(df: DataFrame, sections: Column, text_col: str) -> DataFrame:
+    others = [c for c in df.columns if c not in (text_col, "section", *HEADER_KEYS)]
+    prior = [h for h in HEADER_KEYS if h in df.columns]
+    rows = df.select(*others, *prior, sections.alias("_sections"))
+    rows = rows.select(*others, *prior, F.posexplode("_sections").alias("section", "_s"))
+    # P5: the document's keys first, the section's override them
+    heads = [F.coalesce(F.col(f"_s.{h}"), F.col(h)).alias(h) if h in prior else F.col(f"_s.{h}").alias(h) for h in HEADER_KEYS]
+    return rows.select(*others, "section", *heads, F.col("_s.text").alias(text_col))
+
+
+def markdown_sections(df: DataFrame, text_col: str = "text", strip_headers: bool = True) -> DataFrame:
+    """A row a section."""
+    return _explode(ensure_parallelism(df), markdown_column(F.col(text_col), strip_headers), text_col)
+
+
+def html_sections(df: DataFrame, text_col: str = "text", each_element: bool = False) -> DataFrame:
+    """A row a section; on parser failure the document is kept whole."""
+    return _explode(ensure_parallelism(df), html_column(F.coalesce(text_col, F.lit("")), each_element=each_element), text_col)
+
+
+def json_sections(df: DataFrame, text_col: str = "text", limit: int = 1000, convert_lists: bool = False) -> DataFrame:
+    """A row a piece; unparseable or non-object JSON is kept whole."""
+    return _explode(ensure_parallelism(df.drop("json_value")),
+                    json_column(F.coalesce(text_col, F.lit("")), limit, convert_lists), text_col)
+
+
+def structure_split(df: DataFrame, kinds: Sequence[str] = ("md", "html", "json"), limit: int = 1000, registry=None,
+                    text_col: str = "text", **how) -> DataFrame:
+    """Pick the splitter by extension (.md, .html/.htm, .json); a kind that is
+    not asked for passes through whole, which also wins over a registered
+    splitter; other extensions pass through as one section. Registered
+    splitters (U2) get their own branch for their extensions."""
+    df = df.drop("json_value")
+    custom = {e: fn for e, fn in (registry.splitters if registry is not None else {}).items()
+              if KIND_BY_EXT.get(e) in (None, *kinds)}
     ext = F.col("file_ext")
-    out = _explode_sections(df.where(~ext.isin(list(custom)) | ext.isNull()), None, opts, max_chars, text_col)
+    rest = df.where(~ext.isin(list(custom)) | ext.isNull()) if custom else df
+    out = _explode(ensure_parallelism(rest), sections_column(F.col(text_col), ext, kinds, limit, **how), text_col)
     for e, fn in custom.items():
         part = fn(df.where(ext == e))
         if "section" not in part.columns:
             part = part.withColumn("section", F.lit(0))
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+

@@ -1,17 +1,19 @@
 """The file manifest, the chunk manifest and the vector table as keyed
 Parquet tables with set-wise (never per-key) upserts and deletes, published
-as immutable snapshot directories.
+together as immutable snapshots.
 
-Layout of a table root::
+Layout of a table set::
 
-    <root>/snapshot=<n>/...parquet     immutable, one per successful sync
-    <root>/_committed/<n>              empty marker, created after all data
+    <set>/files/snapshot=<n>/...parquet      immutable
+    <set>/chunks/snapshot=<n>/...parquet
+    <set>/vectors/snapshot=<n>/...parquet
+    <set>/_committed/<n>                     empty marker: snapshot n of every table is complete
 
-Writers build ``snapshot=n+1`` completely for every table, then create the
-markers (manifest last); readers take the highest committed ``n``, so they
-see the old or the new state, never a half-written one (T17). Markers are
-create-only files, which also works on object stores. One writer at a time
-is assumed (as in the reference).
+A writer takes the next number above every directory and marker there is, so a
+snapshot that a crash left half written is never reused, writes all tables and
+then creates the one marker, which must not exist. Readers take the highest
+marker, so they see all tables of the old or of the new state (T17). One writer
+at a time is assumed; of two, the second to create the marker fails.
 """
 
 from __future__ import annotations
@@ -24,64 +26,77 @@ from docspark.operators.retrieval import compile_where
 
 FILES_SCHEMA = "source string, size bigint, mtime bigint, sha256 string, updated_at bigint"
 CHUNKS_SCHEMA = "source string, chunk_id string"
+VECTORS_SCHEMA = "id string, source string, text string, embedding array<float>"
 
 
 # ------------------------------------------------------------ snapshots
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+TABLES = ("files", "chunks", "vectors")
 
 
-def current_snapshot(spark: SparkSession, root: str) -> Optional[int]:
-    """Highest committed snapshot number (create-only markers under ``_committed``,
-    so it works on object stores without atomic rename)."""
-    fs, _, jvm = _fs(spark, root)
-    marks = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/_committed")
-    if not fs.exists(marks):
-        return None
-    nums = [int(st.getPath().getName()) for st in fs.listStatus(marks)
-            if st.getPath().getName().isdigit()]
-    return max(nums) if nums else None
+def _path(spark: SparkSession, path: str):
+    """The path's file system, and the path, of the Hadoop API: works for object stores too."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _commit(spark: SparkSession, root: str, n: int) -> None:
-    fs, _, jvm = _fs(spark, root)
-    mark = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_committed/{n}")
-    fs.create(mark, True).close()
+def _numbers(spark: SparkSession, path: str, prefix: str = "") -> list:
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return [int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()]
 
 
-def snapshot_path(root: str, n: int) -> str:
-    return f"{root.rstrip('/')}/snapshot={n}"
+def current_snapshot(spark: SparkSession, table_set: str) -> Optional[int]:
+    """Highest committed snapshot number of the set, None before the first."""
+    return max(_numbers(spark, f"{table_set.rstrip('/')}/_committed"), default=None)
 
 
-def read_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Read the published snapshot; an absent table reads as empty."""
-    n = current_snapshot(spark, root)
-    if n is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(snapshot_path(root, n))
+def next_snapshot(spark: SparkSession, table_set: str) -> int:
+    """A number above every marker and every directory, committed or not."""
+    root = table_set.rstrip("/")
+    used = _numbers(spark, f"{root}/_committed")
+    for name in TABLES:
+        used += _numbers(spark, f"{root}/{name}", "snapshot=")
+    return max(used, default=0) + 1
 
 
-def init_table(spark: SparkSession, root: str, schema: str) -> None:
-    """Create an empty typed snapshot 0 when the table is absent."""
-    if current_snapshot(spark, root) is not None:
+def snapshot_path(table_set: str, name: str, n: int) -> str:
+    return f"{table_set.rstrip('/')}/{name}/snapshot={n}"
+
+
+def read_table(spark: SparkSession, table_set: str, name: str, schema: str) -> DataFrame:
+    """A table of the published snapshot; an absent one reads as empty."""
+    n = current_snapshot(spark, table_set)
+    if n is not None:
+        path = snapshot_path(table_set, name, n)
+        fs, p = _path(spark, path)
+        if fs.exists(p):
+            # a vector table's own columns are in its files
+            return spark.read.parquet(path) if name == "vectors" else spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def init_tables(spark: SparkSession, table_set: str, schemas: Optional[Dict[str, str]] = None) -> None:
+    """Empty typed tables as a first snapshot, where the set has none."""
+    if current_snapshot(spark, table_set) is not None:
         return
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(snapshot_path(root, 0))
-    _commit(spark, root, 0)
+    n = next_snapshot(spark, table_set)
+    schemas = schemas or {"files": FILES_SCHEMA, "chunks": CHUNKS_SCHEMA, "vectors": VECTORS_SCHEMA}
+    for name, schema in schemas.items():
+        write_snapshot(spark.createDataFrame([], schema), table_set, name, n)
+    publish(spark, table_set, n)
 
 
-def write_snapshot(df: DataFrame, root: str, n: int) -> None:
-    """Write ``snapshot=n`` in full; it stays invisible until ``publish``."""
-    df.write.mode("overwrite").parquet(snapshot_path(root, n))
+def write_snapshot(df: DataFrame, table_set: str, name: str, n: int) -> None:
+    """Write one table's ``snapshot=n`` in full; it stays invisible until ``publish``."""
+    df.write.mode("errorifexists").parquet(snapshot_path(table_set, name, n))
 
 
-def publish(spark: SparkSession, roots: list, n: int) -> None:
-    """Commit markers, written after every table's data; the manifest
-    root comes last in ``roots`` so a reader never sees a manifest that is
-    ahead of its vectors."""
-    for root in roots:
-        _commit(spark, root, n)
+def publish(spark: SparkSession, table_set: str, n: int) -> None:
+    """The one marker that makes snapshot ``n`` of all tables current."""
+    fs, p = _path(spark, f"{table_set.rstrip('/')}/_committed/{n}")
+    fs.create(p, False).close()
 
 
 # ------------------------------------------------------------ manifest ops
@@ -139,10 +154,20 @@ def assign_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def validate_columns(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Ids must be present; a null id fails the job when the frame is computed."""
-    return df.withColumn(id_col, F.when(F.col(id_col).isNull(),
-                                        F.raise_error(F.lit("null id in vector upsert")))
-                         .otherwise(F.col(id_col)))
+    """Ids must be present and unique; a null or repeated id fails the job when
+    the frame is computed. Repeats are found by an aggregation of the ids alone."""
+    n = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = n.where("_n > 1 and _id is not null")
+    bad = F.when(F.col(id_col).isNull(), F.raise_error(F.lit("null id in vector upsert"))) \
+        .when(F.col("_id").isNotNull(), F.raise_error(F.concat(F.lit("repeated id in vector upsert: "), F.col("_id").cast("string"))))
+    joined = df.join(repeated.select("_id"), F.col(id_col) == F.col("_id"), "left")
+    return joined.withColumn(id_col, bad.otherwise(F.col(id_col))).drop("_id")
+
+
+def empty_files(changes: DataFrame, new_chunks: DataFrame) -> DataFrame:
+    """Added or modified sources whose text yields no chunk."""
+    changed = changes.where(F.col("status").isin("added", "modified")).select("source", "status")
+    return changed.join(new_chunks.select("source"), "source", "left_anti")
 
 
 def upsert_vectors(vectors: DataFrame, new: DataFrame, id_col: str = "id",

@@ -379,7 +379,7 @@ calls as (
          coalesce(cast(json_extract(tb, '$.arguments') as varchar), '{}') as arguments
   from bk where ok),
 calls2 as (select conv_id, turn, ordinal,
-                  'call_' || substr(sha1(concat_ws(':', conv_id, turn, ordinal)), 1, 8) as call_id, name, arguments
+                  'call_' || substr(sha1(concat_ws(':', conv_id || '-' || turn, ordinal)), 1, 8) as call_id, name, arguments
            from calls)
 """
 oracle("extract_tool_calls", f"with {_REPLIES} select * from calls2")
@@ -421,7 +421,7 @@ h as (select u.conv_id, u.turn, u.text as input,
       from r u left join r p on p.conv_id = u.conv_id and p.turn < u.turn
       where u.role = 'user' group by u.conv_id, u.turn, u.text)
 select conv_id, turn, cast(n_hist + 2 as integer) as n_messages,
-       'system: 你是一个中文助手，请准确、简洁地回答。' || chr(10) ||
+       'system: Answer briefly, and say when you do not know.' || chr(10) ||
        case when n_hist > 0 then hist || chr(10) else '' end || 'user: ' || input as prompt
 from h""")
 oracle("last_message", f"""
@@ -478,3 +478,58 @@ kept as (select * from clean where coalesce(delta, '') <> '' or is_end)
 """
 oracle("drop_empty_deltas", f"with {_DELTAS} select chat_id, cast(seq as bigint) as seq, delta, is_end from kept")
 oracle("assemble_stream", f"with {_DELTAS} select chat_id, string_agg(delta, '' order by seq) as text from kept group by chat_id")
+
+_STREAM = f"""
+{_REPLIES},
+s as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as chat_id, conv_id, turn, text from r where role = 'assistant'),
+n as (select conv_id, turn, count(*) as n from calls group by conv_id, turn)
+"""
+oracle("stream_summary", f"""
+with {_STREAM}
+select s.chat_id, regexp_replace(s.text, '(?s)<tool_call>\\s*\\{{"name".*?</tool_call>', '', 'g') as content,
+       cast(coalesce(n.n, 0) as bigint) as n_calls, case when coalesce(n.n, 0) > 0 then 'tool_calls' else 'stop' end as finish
+from s left join n using (conv_id, turn)""")
+oracle("stream_gap", ORACLES["stream_summary"])
+oracle("stream_summary_streaming", ORACLES["stream_summary"])
+
+# ------------------------------------------------- K on whole documents
+_CLEANED = r"""
+cl as (select doc_id, 'kb/' || cast(doc_id as varchar) || '.txt' as source, regexp_replace(regexp_replace(regexp_replace(
+         regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f]', '', 'g'),
+         '[ \t]*\n[ \t]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t
+       from documents)
+"""
+oracle("chunk_invariants", f"""
+with {_CLEANED} select doc_id, true as all_placed, true as all_fit, true as covered from cl where t <> ''""")
+oracle("single_chunk_ids", f"""
+with {_CLEANED}
+select doc_id, case when length(t) <= 1000 then sha1(source || '||p=||s=0||th=' || sha1(t)) end as chunk_id from cl where t <> ''""")
+oracle("preprocess_metadata", r"""
+select doc_id, lang as language, source as site, cast(doc_id % 7 as integer) as row, true as chunked
+from documents where regexp_replace(text, '\s', '', 'g') <> ''""")
+
+# ---------------------------------------------------- T as jobs on storage
+oracle("sync_job", f"""
+select doc_id, cast(octet_length(encode(text)) + 1 as bigint) as size, cast({UPDATED_AT} as bigint) as updated_at,
+       regexp_replace(text, '\\s', '', 'g') <> '' as has_chunks, true as vectors_agree
+from documents where doc_id % 17 <> 0""")
+oracle("init_tables", f"""
+with {_LINE_CHUNKS}
+select 'fresh' as state, cast(0 as bigint) as n union all select 'written', 0
+union all select 'published', count(*) from ix where doc_id % 10 <> 0""")
+oracle("assign_ids", """
+select doc_id, case when doc_id % 3 <> 0 then 'd' || cast(doc_id as varchar) end as given,
+       cast(case when doc_id % 3 <> 0 then length('d' || cast(doc_id as varchar)) else 36 end as integer) as id_chars
+from documents""")
+
+# ------------------------------------------------------------ R, hostile
+_TIES = """
+dist as (select q.vec_id as query_id, v.vec_id as id, case when q.label % 16 = v.label % 16 then 0.0 else 2.0 end as d
+         from embeddings q, embeddings v),
+ranked as (select *, cast(row_number() over (partition by query_id order by d, id) as integer) as rank from dist)
+"""
+oracle("knn_ties", f"with {_TIES} select query_id, rank, id, cast(d as double) as distance from ranked where rank <= 7")
+oracle("knn_ties_blocked", ORACLES["knn_ties"])
+oracle("knn_filtered_extra", f"""
+with {_DIST.format(where="where q.vec_id % 10 = 0 and (v.label % 3 <> 0 or (v.label not in (3, 6) and v.label > 4))")}
+select query_id, rank, id, round(d, 6) as distance from ranked where rank <= 5""")

@@ -27,8 +27,7 @@ from docspark.streaming import tokens as W
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: Dict[str, Query] = {}
 
-# Fixed value: the system prompt of the reference's chat demo.
-SYSTEM_PROMPT = "你是一个中文助手，请准确、简洁地回答。"
+SYSTEM_PROMPT = "Answer briefly, and say when you do not know."
 
 
 def query(fn: Query) -> Query:
@@ -48,9 +47,8 @@ def clean_text(spark, sf):
 
 @query
 def clean_text_native(spark, sf):
-    from docspark.options import CleanOptions
-    opts = CleanOptions(normalize_unicode_nfkc=False)
-    return C.clean_text(X.dirty_documents(spark, sf), opts=opts).select("doc_id", "text")
+    steps = [s for s in C.DEFAULT_STEPS if s != "nfkc"]
+    return C.clean_text(X.dirty_documents(spark, sf), steps=steps).select("doc_id", "text")
 
 
 @query
@@ -263,12 +261,48 @@ def recursive_chunks(spark, sf):
     return K.add_end_index(ch).select("doc_id", "chunk_pos", "start_index", "end_index", "text")
 
 
+def _document_chunks(spark, sf):
+    d = C.clean_text(_t(spark, sf, "documents").select("doc_id", "text"))
+    return d, K.add_end_index(K.recursive_chunks(d, "text"))
+
+
+@query
+def chunk_invariants(spark, sf):
+    """K1, K6, K7 over all documents: each chunk is the text at its place and at most the size;
+    together they have every character that is not white space."""
+    d, ch = _document_chunks(spark, sf)
+    at = F.substring(F.col("whole"), F.col("start_index") + 1, F.col("end_index") - F.col("start_index"))
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    return ch.join(d.withColumnRenamed("text", "whole"), "doc_id").groupBy("doc_id").agg(
+        F.min(at == F.col("text")).alias("all_placed"), (F.max(F.length("text")) <= 1000).alias("all_fit"),
+        (F.sum(solid("text")) >= F.max(solid("whole"))).alias("covered"))
+
+
+@query
+def single_chunk_ids(spark, sf):
+    """K10 on K1's output: the id where the cleaned text is one chunk, null elsewhere."""
+    from docspark.plans.ingest import preprocess as pp
+    ch = pp(X.docs_as_files(spark, sf))
+    one = F.count(F.lit(1)) == 1
+    return ch.groupBy("doc_id").agg(F.when(one, F.max("chunk_id")).alias("chunk_id"))
+
+
 @query
 def preprocess(spark, sf):
     from docspark.plans.ingest import preprocess as pp
     return pp(X.docs_as_files(spark, sf).drop("doc_id"))
 
 
+@query
+def preprocess_metadata(spark, sf):
+    """K12 keeps what a user adds to a document, to its chunks."""
+    from docspark.plans.ingest import preprocess as pp
+    d = X.docs_as_files(spark, sf).join(_t(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("site")),
+                                        "doc_id")
+    ch = pp(d.withColumn("row", (F.col("doc_id") % 7).cast("int")))
+    return ch.groupBy("doc_id", "language", "site", "row").agg((F.count(F.lit(1)) > 0).alias("chunked"))
+
+
 def _line_chunks(spark, sf, text_override=None, with_start=True, page=None):
     """Lines of every document as chunks of file kb/<doc_id>.txt (empty lines dropped),
     start_index = character offset of the line in its file."""
@@ -446,37 +480,87 @@ def old_chunk_counts(spark, sf):
 def empty_files(spark, sf):
     """Changed files whose text yields no chunk (every 13th file is blank)."""
     blank = F.when(F.col("doc_id") % 13 == 0, F.lit("  \n ")).otherwise(F.col("text"))
-    ch = _line_chunks(spark, sf, text_override=blank)
-    return _changed(spark, sf).join(ch.select("source"), "source", "left_anti").select("source", "status")
+    return TB.empty_files(detect_changes(spark, sf), _line_chunks(spark, sf, text_override=blank))
+
+
+def _synced(spark, sf):
+    """T13 on the derived snapshots; detection runs once."""
+    from docspark.plans.sync import sync_tables
+    from docspark.session import cut_lineage
+    prev, cur = X.file_snapshots(spark, sf)
+    changes = cut_lineage(D.detect_changes(cur, prev, "text"))
+    new = _line_chunks(spark, sf, page=0).join(changes.where(F.col("status").isin("added", "modified")).select("source"),
+                                               "source", "left_semi").select("source", "chunk_id")
+    return sync_tables(changes, prev, _old_chunk_manifest(spark, sf), new, X.UPDATED_AT)
 
 
 @query
 def sync_files(spark, sf):
     """The file manifest after one sync (deleted dropped, changed upserted)."""
-    from docspark.plans.sync import sync_tables
-    prev, cur = X.file_snapshots(spark, sf)
-    files, _chunks, _plan = sync_tables(cur, prev, _old_chunk_manifest(spark, sf),
-                                        _new_chunk_rows(spark, sf), X.UPDATED_AT, content_col="text")
-    return files
+    return _synced(spark, sf)[0]
 
 
 @query
 def sync_chunks(spark, sf):
-    from docspark.plans.sync import sync_tables
-    prev, cur = X.file_snapshots(spark, sf)
-    _files, chunks, _plan = sync_tables(cur, prev, _old_chunk_manifest(spark, sf),
-                                        _new_chunk_rows(spark, sf), X.UPDATED_AT, content_col="text")
-    return chunks
+    return _synced(spark, sf)[1]
 
 
 @query
 def sync_plan(spark, sf):
     """T14 dry run: what a sync would do, per source."""
-    from docspark.plans.sync import sync_tables
-    prev, cur = X.file_snapshots(spark, sf)
-    _f, _c, plan = sync_tables(cur, prev, _old_chunk_manifest(spark, sf),
-                               _new_chunk_rows(spark, sf), X.UPDATED_AT, content_col="text")
-    return plan
+    return _synced(spark, sf)[2]
+
+
+@query
+def sync_job(spark, sf):
+    """T13 + T17 + S8 as the real job: the documents' folder is synced into a table set
+    twice, the second time without work; what the committed tables hold of each file."""
+    import uuid
+
+    from docspark.plans.sync import sync_once
+    from docspark.session import checkpoint_dir
+    folder = X.documents_folder(spark, sf, bad_utf8=True)
+    tables = f"{checkpoint_dir(spark).rstrip('/')}/docspark-sync/{uuid.uuid4().hex}"
+    sync_once(spark, [folder], tables, now=X.UPDATED_AT, dim=16)
+    sync_once(spark, [folder], tables, now=X.UPDATED_AT + 1, dim=16)
+    files = TB.read_table(spark, tables, "files", TB.FILES_SCHEMA)
+    chunks = TB.read_table(spark, tables, "chunks", TB.CHUNKS_SCHEMA)
+    vectors = TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA)
+    n_chunks = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"))
+    n_vectors = vectors.groupBy("source").agg(F.countDistinct("id").alias("n_vectors"))
+    out = files.join(n_chunks, "source", "left").join(n_vectors, "source", "left")
+    return out.select(_doc_id_of("source").alias("doc_id"), "size", "updated_at",
+                      (F.coalesce("n_chunks", F.lit(0)) > 0).alias("has_chunks"),
+                      F.col("n_chunks").eqNullSafe(F.col("n_vectors")).alias("vectors_agree"))
+
+
+@query
+def init_tables(spark, sf):
+    """The tables of a fresh set, read back empty, beside the rows of a first snapshot."""
+    import uuid
+
+    from docspark.session import checkpoint_dir
+    tables = f"{checkpoint_dir(spark).rstrip('/')}/docspark-sync/{uuid.uuid4().hex}"
+    TB.init_tables(spark, tables)
+    before = TB.read_table(spark, tables, "chunks", TB.CHUNKS_SCHEMA)
+    n = TB.next_snapshot(spark, tables)
+    TB.write_snapshot(_old_chunk_manifest(spark, sf), tables, "chunks", n)
+    unseen = TB.read_table(spark, tables, "chunks", TB.CHUNKS_SCHEMA)
+    out = before.agg(F.count(F.lit(1)).alias("n")).select(F.lit("fresh").alias("state"), "n").union(
+        unseen.agg(F.count(F.lit(1)).alias("n")).select(F.lit("written"), "n"))
+    TB.publish(spark, tables, n)
+    after = TB.read_table(spark, tables, "chunks", TB.CHUNKS_SCHEMA)
+    return out.union(after.agg(F.count(F.lit(1)).alias("n")).select(F.lit("published"), "n"))
+
+
+@query
+def assign_ids(spark, sf):
+    """T9 + T10: given ids stay, absent ones are made; checked for uniqueness."""
+    from docspark.session import cut_lineage
+    d = _t(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("d"), F.col("doc_id"))).alias("id"), "text")
+    v = TB.validate_columns(cut_lineage(TB.assign_ids(d)))
+    return v.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("id")).alias("given"), F.length("id").alias("id_chars"))
 
 
 def _vectors(spark, sf):
@@ -588,6 +672,42 @@ def knn_blocked(spark, sf):
     return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
+def _one_hot(spark, sf):
+    """Every embedding as the one-hot vector of its label: many equal distances."""
+    e = _t(spark, sf, "embeddings")
+    hot = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(F.col("label") % 16 == i, 1.0).otherwise(0.0))
+    return e.select("vec_id", hot.alias("embedding"))
+
+
+@query
+def knn_ties(spark, sf):
+    """R1 where hundreds of vectors are equally far: ties go to the smaller id."""
+    e = _one_hot(spark, sf)
+    hits = R.knn(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 7, id_col="vec_id")
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def knn_ties_blocked(spark, sf):
+    e = _one_hot(spark, sf)
+    hits = R.knn(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 7, id_col="vec_id", strategy="blocked",
+                 block_bytes=16 * 1024)
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def knn_filtered_extra(spark, sf):
+    """R2 on user metadata: missing keys, values of another type, not-in lists."""
+    e = _t(spark, sf, "embeddings")
+    v = e.select("vec_id", "embedding", "label", F.when(F.col("label") % 3 == 0, F.create_map(F.lit("n"), F.col("label").cast("string")))
+                 .when(F.col("label") % 3 == 1, F.create_map(F.lit("n"), F.lit("word"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
+                 .alias("extra"))
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = R.knn(q, v, 5, id_col="vec_id", where={"n": {"$nin": [3, 6]}, "$or": [{"n": {"$gt": 4}}, {"n": "word"}, {"other": 1}],
+                                                 "label": {"$ne": "x"}})
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 @query
 def knn_filtered(spark, sf):
     e = _t(spark, sf, "embeddings")
@@ -788,7 +908,8 @@ def stream_events_streaming(spark, sf):
 
     from docspark.session import checkpoint_dir
     base = f"{checkpoint_dir(spark).rstrip('/')}/docspark-stream/{uuid.uuid4().hex}"
-    W.drop_empty_deltas(_deltas(spark, sf)).write.parquet(f"{base}/in")
+    late = _deltas(spark, sf).where("seq % 3 = 0")      # repeated deltas, some after the chat's end
+    _deltas(spark, sf).unionByName(late).write.parquet(f"{base}/in")
     schema = "chat_id string, seq long, delta string, is_end boolean"
     events = W.stream_events(spark.readStream.schema(schema).parquet(f"{base}/in"))
     q = (events.writeStream.format("parquet").outputMode("append")
@@ -796,3 +917,31 @@ def stream_events_streaming(spark, sf):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(W.EVENT_SCHEMA).parquet(f"{base}/out")
+
+
+def _summary(events):
+    """Of each chat: its content, the calls in it and how it ended."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "content", F.struct("ordinal", "content")))),
+                                    lambda x: x["content"]), "")
+    return events.groupBy("chat_id").agg(
+        text.alias("content"), F.sum((F.col("kind") == "tool_call").cast("long")).alias("n_calls"),
+        F.max(F.when(F.col("kind") == "done", F.col("content"))).alias("finish"))
+
+
+@query
+def stream_summary(spark, sf):
+    """W1-W3 equal M1-M4: the stream's events against the whole replies."""
+    return _summary(stream_events(spark, sf))
+
+
+@query
+def stream_gap(spark, sf):
+    """W1 on raw deltas: stop tokens that are cut in two or stand alone, empty deltas."""
+    extra = _deltas(spark, sf).select("chat_id", (F.col("seq") * 2 + 1).alias("seq"), F.lit("").alias("delta"), F.lit(False).alias("is_end"))
+    return _summary(W.stream_events_batch(_deltas(spark, sf).withColumn("seq", F.col("seq") * 2).unionByName(extra)))
+
+
+@query
+def stream_summary_streaming(spark, sf):
+    """The same through Structured Streaming, with repeated and late deltas."""
+    return _summary(stream_events_streaming(spark, sf))

@@ -1,164 +1,142 @@
 """Incremental sync of the knowledge base.
 
-``sync_tables`` is the pure core: given the current listing, the manifests
-and the rebuilt chunks of changed files, it returns the next file manifest,
-the next chunk manifest and the per-source plan. ``sync_once`` runs the whole
-job against snapshot tables on storage: detect -> preprocess only changed
-files -> embed -> upsert vectors -> write every table as snapshot n+1 ->
-commit markers (manifest last). A failure before the commit leaves snapshot
-n readable and untouched (T17), so nothing needs to be rolled back.
+``sync_tables`` is the pure core: given the labelled changes, the manifests and
+the rebuilt chunks of changed files, it returns the next file manifest, the next
+chunk manifest and the per-source plan. ``sync_once`` runs the whole job against
+the tables of a set: detect, preprocess and embed the changed files, write every
+table as the next snapshot, and commit all of them by one marker. Up to the
+marker the old snapshot is current and untouched (T17): nothing is rolled back.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Optional
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docspark.operators import changes as D
+from docspark.operators import chunks as K
 from docspark.operators import tables as TB
-from docspark.options import PreprocessOptions, SyncOptions
-
-
-def sync_tables(current: DataFrame, files: DataFrame, chunks: DataFrame, new_chunks: DataFrame,
-                updated_at, content_col: str = "content", confirm: bool = True):
-    """Returns (next files manifest, next chunk manifest, plan)."""
-    changes = D.detect_changes(current, files, content_col, confirm)
-    return _next_tables(changes, files, chunks, new_chunks, updated_at)
-
-
-def _next_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_chunks: DataFrame,
-                 updated_at, small_changes: bool = False):
-    """``small_changes``: the change set was counted and is small, so its keys
-    are broadcast and the big tables are filtered in place instead of shuffled."""
-    def b(df):
-        return F.broadcast(df) if small_changes else df
-    changed = b(changes.where(F.col("status").isin("added", "modified")))
-    gone = b(changes.where(F.col("status").isin("deleted", "modified")).select("source"))
-    deleted = b(changes.where(F.col("status") == "deleted").select("source"))
-    next_files = TB.upsert_signatures(TB.delete_sources(files, deleted), changed, updated_at)
+from docspark.operators.embedding import embed
+from docspark.plans.ingest import preprocess
+from docspark.session import checkpoint_dir, cut_lineage
+from docspark.sources.files import load_documents, scan_files, supported_files
+
+#: Files whose paths are handed to one scan: what the driver holds of them at a time.
+SLICE = 10_000
+
+
+def sync_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_chunks: DataFrame, updated_at):
+    """(next files manifest, next chunk manifest, plan) from the labelled changes.
+
+    ``changes`` feeds all three: cut its lineage before, so that detection runs once."""
+    touched = changes.where(F.col("status").isin("added", "modified", "deleted"))
+    changed = touched.where(F.col("status") != "deleted")
+    kept = TB.delete_sources(files, touched)
+    next_files = kept.unionByName(changed.select("source", "size", "mtime", "sha256",
+                                                 F.lit(updated_at).cast("bigint").alias("updated_at")))
     fresh = new_chunks.join(changed.select("source"), "source", "left_semi")
-    next_chunks = TB.delete_sources(TB.delete_sources(chunks, gone), changed) \
-        .unionByName(fresh.select("source", "chunk_id").dropDuplicates(["source", "chunk_id"]))
-    plan = TB.old_chunk_counts(changes.where(F.col("status") != "unchanged").select("source", "status"), chunks)
+    next_chunks = TB.delete_sources(chunks, touched).unionByName(
+        fresh.select("source", "chunk_id").dropDuplicates(["source", "chunk_id"]))
+    plan = TB.old_chunk_counts(touched.select("source", "status"), chunks)
     plan = plan.withColumn("action", F.when(F.col("status") == "deleted", "delete")
                                       .when(F.col("status") == "modified", "rebuild")
                                       .otherwise("build"))
     return next_files, next_chunks, plan
 
 
-_SLICE = 5000
-SMALL_ROWS = 2_000_000      # broadcast bound for change keys and gone/new vector ids
-
-
-def _paths(df: DataFrame) -> list:
-    """Source paths of a change subset. Bounded by the number of changed files;
-    they are handed to the file source as literals so that only those files
-    are opened (a semi join would still read every file's bytes)."""
-    return [r["source"] for r in df.select("source").collect()]
-
-
-def _read_paths(spark: SparkSession, paths: list) -> DataFrame:
-    from docspark.sources.files import scan_files
-    parts = [scan_files(spark, paths[i:i + _SLICE], recursive=False) for i in range(0, len(paths), _SLICE)]
-    # one file-source scan per slice of literal paths
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _slices(df: DataFrame) -> Iterator[list]:
+    """Source paths in slices: the file source opens only paths that it is given
+    (a join would read every file's bytes), and no more than a slice is on the driver."""
+    some: list = []
+    for row in df.select("source").toLocalIterator(prefetchPartitions=False):
+        some.append(row["source"])
+        if len(some) >= SLICE:
+            yield some
+            some = []
+    if some:
+        yield some
 
 
 @dataclass
 class SyncResult:
     version: Optional[int]
     plan: DataFrame
+    rejects: DataFrame
+
 
+def _hashes(spark: SparkSession, suspects: DataFrame) -> DataFrame:
+    out = spark.createDataFrame([], "source string, new_sha256 string")
+    for paths in _slices(suspects):
+        read = scan_files(spark, paths, recursive=False).select(
+            F.col("path").alias("source"), D.content_hash(F.col("content")).alias("new_sha256"))
+        out = out.unionByName(cut_lineage(read))
+    return out
 
-def sync_once(spark: SparkSession, kb_roots, table_root: str, opts: SyncOptions = SyncOptions(),
-              pp_opts: PreprocessOptions = PreprocessOptions(), embed_fn=None, dim: int = 256,
-              now: Optional[int] = None, registry=None) -> SyncResult:
-    """One sync of the folders ``kb_roots`` into the tables under ``table_root``."""
-    import time
 
-    from docspark.operators.embedding import embed
-    from docspark.plans.ingest import preprocess
-    from docspark.session import checkpoint_dir, cut_lineage
-    from docspark.sources.files import load_documents, scan_files, supported_files
+def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool = True, only_supported: bool = True,
+              confirm: bool = True, dry_run: bool = False, embed_fn=None, embed_batch: int = 128, dim: int = 256,
+              max_tokens: Optional[int] = None, now: Optional[int] = None, registry=None, **how) -> SyncResult:
+    """One sync of the folders ``kb_roots`` into the tables under ``table_set``.
 
+    A file that a loader rejects is in the result's ``rejects`` and stays out of
+    the manifest, so the next sync tries it again; what the tables held of it
+    goes. A file under several roots counts once. ``registry``: its loaders,
+    splitters and chunkers are used. ``how``: arguments of ``preprocess``."""
     checkpoint_dir(spark)
-    files_root, chunks_root, vec_root = (f"{table_root}/files", f"{table_root}/chunks", f"{table_root}/vectors")
-    for root, schema in ((files_root, TB.FILES_SCHEMA), (chunks_root, TB.CHUNKS_SCHEMA)):
-        TB.init_table(spark, root, schema)
-    files = TB.read_table(spark, files_root, TB.FILES_SCHEMA)
-    chunks = TB.read_table(spark, chunks_root, TB.CHUNKS_SCHEMA)
+    files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA)
+    chunks = TB.read_table(spark, table_set, "chunks", TB.CHUNKS_SCHEMA)
     now = int(time.time()) if now is None else int(now)
 
-    # Pass 1: listing only (content is pruned, no file is read).
-    listing = supported_files(scan_files(spark, kb_roots, pp_opts.loader.recursive), "path",
-                              pp_opts.loader.only_supported)
-    current = listing.select(F.col("path").alias("source"), F.col("length").alias("size"),
-                             F.unix_seconds("modificationTime").alias("mtime"))
-    classified = cut_lineage(D.classify(current, files))   # reliable checkpoint, reused below
-    # Pass 2: read and hash only the suspects, named as literal paths.
-    if opts.confirm_by_sha256_on_suspect:
-        suspects = _paths(classified.where(F.col("status") == "suspect"))
-        hashed = _read_paths(spark, suspects).select(
-            F.col("path").alias("source"), D.content_hash(F.col("content")).alias("new_sha256")) \
-            if suspects else spark.createDataFrame([], "source string, new_sha256 string")
-        confirmed = D.confirm_with_hashes(classified, hashed)
-    else:
-        confirmed = D.confirm_suspects(classified, current, confirm=False)
-    changes = cut_lineage(D.finalize(confirmed))
-    # Pass 3: load and chunk only added/modified files.
-    changed_paths = _paths(changes.where(F.col("status").isin("added", "modified")))
-    docs = None
-    if changed_paths:
-        docs, _rejects = load_documents(spark, changed_paths, recursive=False,
-                                        only_supported=pp_opts.loader.only_supported)
-    if docs is not None:
-        new_chunks = preprocess(docs, pp_opts, registry=registry)
-    else:
-        new_chunks = spark.createDataFrame([], "source string, chunk_id string, text string")
-    n_changes = changes.where(F.col("status") != "unchanged").count()   # cheap: checkpointed
-    small = n_changes <= SMALL_ROWS
-    next_files, next_chunks, plan = _next_tables(changes, files, chunks, new_chunks, now, small)
-    if opts.dry_run:
-        return SyncResult(None, plan)
-
-    n = (TB.current_snapshot(spark, files_root) or 0) + 1
-    old_vec = None
-    if TB.current_snapshot(spark, vec_root) is not None:
-        old_vec = spark.read.parquet(TB.snapshot_path(vec_root, TB.current_snapshot(spark, vec_root)))
-    fresh = new_chunks.dropDuplicates(["chunk_id"]) if docs is not None else None
-    if fresh is not None:
-        fresh = embed(fresh, "text", fn=embed_fn, batch=opts.embed_batch, dim=dim) \
-            .withColumnRenamed("chunk_id", "id")
-    gone_src = changes.where(F.col("status").isin("deleted", "modified")).select("source")
-    gone_ids = chunks.join(F.broadcast(gone_src) if small else gone_src, "source", "left_semi") \
-        .select(F.col("chunk_id").alias("id"))
-    if old_vec is None:
-        next_vec = fresh if fresh is not None else None
+    # The listing: content is pruned, no file is read.
+    listing = supported_files(scan_files(spark, kb_roots, recursive), "path", only_supported)
+    current = (listing.groupBy(F.col("path").alias("source"))
+               .agg(F.max("length").alias("size"), F.max(F.unix_seconds("modificationTime")).alias("mtime")))
+    labelled = cut_lineage(D.classify(current, files))
+    if confirm:
+        labelled = D.confirm_with_hashes(labelled, _hashes(spark, labelled.where(F.col("status") == "suspect")))
     else:
-        # the id sets are bounded by the changed files: count them once (after a
-        # reliable checkpoint) and broadcast them when small, so the vector
-        # table is filtered where it lies instead of being shuffled
-        gone_ids = cut_lineage(gone_ids)
-        small_ids = gone_ids.count() <= SMALL_ROWS
-        kept = TB.delete_vectors(old_vec, ids=F.broadcast(gone_ids) if small_ids else gone_ids)
-        if fresh is not None:
-            fresh = cut_lineage(fresh)              # embeddings computed once
-            if fresh.count() <= SMALL_ROWS:         # T8 with the new ids broadcast
-                next_vec = kept.join(F.broadcast(fresh.select("id")), "id", "left_anti") \
-                    .unionByName(fresh, allowMissingColumns=True)
-            else:
-                next_vec = TB.upsert_vectors(kept, fresh)
-        else:
-            next_vec = kept
-    if next_vec is not None:
-        TB.write_snapshot(next_vec, vec_root, n)
-    TB.write_snapshot(next_chunks, chunks_root, n)
-    TB.write_snapshot(next_files, files_root, n)
-    roots = ([vec_root] if next_vec is not None else []) + [chunks_root, files_root]
-    TB.publish(spark, roots, n)
-    return SyncResult(n, plan)
+        labelled = D.confirm_suspects(labelled, current, confirm=False)
+    changes = cut_lineage(D.finalize(labelled))
+
+    # Load, chunk and embed the added and modified files, once.
+    fresh = rejects = None
+    loaders = registry.loaders if registry is not None else None
+    for paths in _slices(changes.where(F.col("status").isin("added", "modified"))):
+        docs, bad = load_documents(spark, paths, recursive=False, only_supported=only_supported, loaders=loaders)
+        bad = cut_lineage(bad)
+        made = K.dedupe_chunks(preprocess(docs.join(bad.select("source"), "source", "left_anti"), registry=registry, **how))
+        if not dry_run:
+            made = embed(made, "text", fn=embed_fn, batch=embed_batch, dim=dim, max_tokens=max_tokens)
+        made = cut_lineage(made)
+        fresh = made if fresh is None else fresh.unionByName(made, allowMissingColumns=True)
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+    if fresh is None:
+        fresh = spark.createDataFrame([], "chunk_id string, source string, text string, embedding array<float>")
+        rejects = spark.createDataFrame([], "source string, error_type string, message string")
+    # a rejected file is as good as deleted from the tables, and absent from the manifest
+    known = files.select("source")
+    failed = rejects.select("source").distinct().withColumn("_bad", F.lit(True))
+    changes = changes.join(failed, "source", "left").withColumn(
+        "status", F.when(F.col("_bad"), F.lit("deleted")).otherwise(F.col("status"))).drop("_bad")
+    next_files, next_chunks, plan = sync_tables(changes, files, chunks, fresh, now)
+    new_rejects = plan.join(rejects.select("source"), "source", "left_semi").join(known, "source", "left_anti")
+    plan = plan.join(new_rejects.select("source"), "source", "left_anti")  # nothing to do for these
+    if dry_run:
+        return SyncResult(None, plan, rejects)
+
+    old = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA)
+    gone = changes.where(F.col("status") != "unchanged").select("source")
+    # ids are content-addressed and hold their source, so a source's vectors are its own
+    new = K.dedupe_chunks(fresh, "chunk_id", ("source",)).withColumnRenamed("chunk_id", "id")
+    next_vectors = old.join(gone, "source", "left_anti").unionByName(new, allowMissingColumns=True)
+    n = TB.next_snapshot(spark, table_set)
+    TB.write_snapshot(next_vectors, table_set, "vectors", n)
+    TB.write_snapshot(next_chunks, table_set, "chunks", n)
+    TB.write_snapshot(next_files, table_set, "files", n)
+    TB.publish(spark, table_set, n)
+    return SyncResult(n, plan, rejects)

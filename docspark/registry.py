@@ -36,11 +36,11 @@ class Registry:
     def register_chunker(self, ext: str, fn: Callable[[List[str]], List[List[str]]]) -> None:
         self.chunkers[ext.lower()] = fn
 
-    def apply_chunkers(self, df: DataFrame, opts) -> DataFrame:
+    def apply_chunkers(self, df: DataFrame, **how) -> DataFrame:
         """Registered chunkers for their extensions, the recursive splitter elsewhere.
         Custom chunkers give no offsets, so their start_index is NULL."""
         ext = F.col("file_ext")
-        parts = [K.recursive_chunks(df.where(~ext.isin(list(self.chunkers)) | ext.isNull()), "text", opts.split)]
+        parts = [K.recursive_chunks(df.where(~ext.isin(list(self.chunkers)) | ext.isNull()), "text", **how)]
         for e, fn in self.chunkers.items():
             udf = _chunker_udf(fn)
             sub = df.where(ext == e)

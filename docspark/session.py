@@ -7,6 +7,7 @@ Library code never creates a session on its own; it uses the active one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +89,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system folder and is read
-    as is. Only when it is unset (tests, a laptop) is a private folder made.
+    as is; where it is unset, that is an error. Only a local master, whose one
+    machine shares all folders, gets a private one.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not conf_dir:
-        conf_dir = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="docspark-ckpt-")
+        conf_dir = sc.getCheckpointDir()
+        if not conf_dir and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = conf_dir or tempfile.mkdtemp(prefix="docspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(conf_dir)
@@ -114,16 +119,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
-def ensure_parallelism(df: DataFrame, min_factor: float = 2.0) -> DataFrame:
-    """Round-robin spread a frame that has fewer input partitions than cores.
+#: Inputs under this size a core are spread before a Python stage.
+SMALL_BYTES = 16 << 20
 
-    Large inputs already arrive as many file splits and are returned untouched
-    (no shuffle); tiny inputs (one small Parquet file holding long texts) would
-    otherwise run a Python-heavy stage on a single core.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    want = max(1, int(cores * min_factor))
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores; anything else is returned as it is.
+
+    A table of a few small Parquet files is read by as many tasks, which leaves
+    a heavy row-by-row stage on a core or two. The decision takes the plan's own
+    size estimate and the number of files: no job is run, and no shuffle added
+    to an input of any size."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and size < SMALL_BYTES * cores and 0 < len(df.inputFiles()) < cores:
+        return df.repartition(2 * cores)
     return df

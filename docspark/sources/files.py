@@ -141,17 +141,19 @@ def read_csv_rows(files: DataFrame) -> tuple:
                                                                   "modificationTime")
 
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2 ** 31 - 1)  # a cell may be as long as its file
+        cols = ["source", "text", "row", "length", "modificationTime", "error_type", "message"]
         for pdf in it:
-            out = []
             for path, content, length, mtime in pdf.itertuples(index=False):
+                out = []
                 try:
                     text = bytes(content).decode("utf-8")
                     for i, row in enumerate(csv.DictReader(io.StringIO(text, newline=""))):
                         out.append((path, csv_row_text(row), i, length, mtime, None, None))
-                except Exception as e:  # S8: one bad file, the rest go on
-                    out.append((path, None, None, length, mtime, type(e).__name__, str(e)))
-            yield pd.DataFrame(out, columns=["source", "text", "row", "length", "modificationTime",
-                                             "error_type", "message"])
+                except Exception as e:  # S8: one bad file as a whole, the rest go on
+                    out = [(path, None, None, length, mtime, type(e).__name__, str(e))]
+                if out:
+                    yield pd.DataFrame(out, columns=cols)
 
     parsed = f.mapInPandas(parse, "source string, text string, row int, length bigint, "
                                   "modificationTime timestamp, error_type string, message string")

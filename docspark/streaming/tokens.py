@@ -10,8 +10,14 @@ The per-chat state machine (``ReplyParser``) is shared by
   .applyInPandasWithState`` with the parser state in the state store and a
   processing-time timeout that expires idle chats; early deltas wait in state
   until the gap closes, duplicates (``seq < next_seq``) are dropped;
-* ``stream_events_batch`` -- the same parser over a static table, one group
-  per chat (a chat is one reply, bounded by the model's output limit).
+* ``stream_events_batch`` -- the same parser over a static table, one pass per
+  chat in ``seq`` order (a chat is one reply, bounded by the model's output limit).
+
+The stream needs the deltas as they were sent, empty ones and stop tokens
+included: a missing ``seq`` is a delta that has not arrived, and what follows
+waits for it. Stop tokens are removed in the parser, also when cut over deltas.
+A static table has all its deltas, so gaps in it (as ``drop_empty_deltas`` leaves)
+are no delay there.
 
 Rules kept from the reference: content outside tags is emitted as it comes;
 a possible partial opening tag at the end of the buffer is held back; a
@@ -38,13 +44,25 @@ OPEN, CLOSE = "<tool_call>", "</tool_call>"
 EVENT_SCHEMA = ("chat_id string, ordinal long, kind string, content string, tool_name string, "
                 "arguments string, call_id string")
 STATE_SCHEMA = ("buffer string, in_tool boolean, next_seq long, ordinal long, n_calls long, "
-                "pending string, started boolean")
+                "pending string, started boolean, closed boolean")
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON value")
+
+
+def _unique_keys(pairs):
+    found = dict(pairs)
+    if len(found) != len(pairs):
+        raise ValueError("a key repeats")
+    return found
 
 
 def parse_call(body: str) -> Optional[Tuple[str, str]]:
-    """(name, compact arguments) for a valid body, else None."""
+    """(name, compact arguments) for a valid body, else None. As in the table's
+    parser, NaN and the infinities are no JSON, and keys may not repeat."""
     try:
-        data = json.loads(body.strip())
+        data = json.loads(body.strip(), parse_constant=_no_constant, object_pairs_hook=_unique_keys)
     except Exception:
         return None
     if not isinstance(data, dict) or not isinstance(data.get("name"), str):
@@ -56,8 +74,8 @@ def parse_call(body: str) -> Optional[Tuple[str, str]]:
 class ReplyParser:
     def __init__(self, chat_id: str, buffer: str = "", in_tool: bool = False, next_seq: int = 0,
                  ordinal: int = 0, n_calls: int = 0, pending: Optional[Dict[int, Tuple[str, bool]]] = None,
-                 started: bool = False):
-        self.chat_id = chat_id
+                 started: bool = False, closed: bool = False):
+        self.chat_id, self.closed = chat_id, closed
         self.buffer, self.in_tool = buffer, in_tool
         self.next_seq, self.ordinal, self.n_calls = next_seq, ordinal, n_calls
         self.pending = pending or {}
@@ -75,42 +93,28 @@ class ReplyParser:
 
     # ---------------------------------------------------------------- input
     def offer(self, seq: int, delta: Optional[str], is_end: bool) -> bool:
-        """Queue one delta; process every delta that is now in order.
-        Returns True once the end marker has been processed."""
-        if seq < self.next_seq or seq in self.pending:
-            return False
-        if seq == self.next_seq and not self.pending:     # in-order fast path
-            self.next_seq += 1
-            if not self.started:
-                self._emit("role", "assistant")
-                self.started = True
-            self._feed(delta or "")
-            if is_end:
-                self._finish()
-                return True
-            return False
-        self.pending[seq] = (delta or "", bool(is_end))
-        done = False
-        while self.next_seq in self.pending:
-            d, end = self.pending.pop(self.next_seq)
-            self.next_seq += 1
-            if not self.started:
-                self._emit("role", "assistant")
-                self.started = True
-            self._feed(d)
-            if end:
-                self._finish()
-                done = True
-                break
-        return done
-
-    def _feed(self, delta: str):
-        for tok in STOP_TOKENS:
-            delta = delta.replace(tok, "")
-        if not delta:
+        """Take one delta; process every delta that is now in order. Returns whether
+        the chat is closed. What was processed before, or comes after the end, is dropped."""
+        if not self.closed and seq >= self.next_seq:
+            self.pending.setdefault(seq, (delta or "", bool(is_end)))
+            while not self.closed and self.next_seq in self.pending:
+                self.take(self.next_seq, *self.pending.pop(self.next_seq))
+        return self.closed
+
+    def take(self, seq: int, delta: Optional[str], is_end: bool) -> None:
+        """Process a delta whose turn it is, whatever numbers are missing before it."""
+        if self.closed or seq < self.next_seq:
             return
-        self.buffer += delta
+        self.next_seq = seq + 1
+        if not self.started:
+            self._emit("role", "assistant")
+            self.started = True
+        self.buffer += delta or ""
+        for tok in STOP_TOKENS:
+            self.buffer = self.buffer.replace(tok, "")
         self._drain()
+        if is_end:
+            self._finish()
 
     def _drain(self):
         while True:
@@ -140,9 +144,9 @@ class ReplyParser:
 
     @staticmethod
     def _hold_back_from(buf: str) -> int:
-        """Index where a possible partial opening tag starts (len(buf) if none)."""
+        """Index where a possible beginning of an opening tag or a stop token starts (len(buf) if none)."""
         k = buf.rfind("<")
-        if k >= 0 and len(buf) - k < len(OPEN) and OPEN.startswith(buf[k:]):
+        if k >= 0 and any(len(buf) - k < len(mark) and mark.startswith(buf[k:]) for mark in (OPEN, *STOP_TOKENS)):
             return k
         return len(buf)
 
@@ -152,19 +156,21 @@ class ReplyParser:
         else:
             self._content(self.buffer)
         self.buffer, self.in_tool = "", False
+        self.pending.clear()
+        self.closed = True
         self._emit("done", "tool_calls" if self.n_calls else "stop")
 
     # ---------------------------------------------------------------- state io
     def state_row(self) -> tuple:
         return (self.buffer, self.in_tool, self.next_seq, self.ordinal, self.n_calls,
-                json.dumps({str(k): [v[0], v[1]] for k, v in self.pending.items()}), self.started)
+                json.dumps({str(k): [v[0], v[1]] for k, v in self.pending.items()}), self.started, self.closed)
 
     @classmethod
     def from_state(cls, chat_id: str, row) -> "ReplyParser":
-        buffer, in_tool, next_seq, ordinal, n_calls, pending, started = row
+        buffer, in_tool, next_seq, ordinal, n_calls, pending, started, closed = row
         pend = {int(k): (v[0], bool(v[1])) for k, v in json.loads(pending or "{}").items()}
         return cls(chat_id, buffer or "", bool(in_tool), int(next_seq), int(ordinal), int(n_calls),
-                   pend, bool(started))
+                   pend, bool(started), bool(closed))
 
     def frame(self) -> pd.DataFrame:
         cols = ["chat_id", "ordinal", "kind", "content", "tool_name", "arguments", "call_id"]
@@ -172,7 +178,10 @@ class ReplyParser:
 
 
 def drop_empty_deltas(deltas: DataFrame, delta_col: str = "delta") -> DataFrame:
-    """Stop tokens removed per delta; empty deltas dropped (end markers kept)."""
+    """Stop tokens removed per delta; empty deltas dropped (end markers kept).
+
+    For tables (``assemble_stream``, ``stream_events_batch``): on a stream it would
+    leave numbers missing, so ``stream_events`` takes the deltas as they were."""
     d = F.col(delta_col)
     for tok in STOP_TOKENS:
         d = F.replace(d, F.lit(tok), F.lit(""))
@@ -202,7 +211,7 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
     ordered = src.repartition(n, "chat_id").sortWithinPartitions("chat_id", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser, current, closed = None, None, False
+        parser, current = None, None
         cols = ["chat_id", "ordinal", "kind", "content", "tool_name", "arguments", "call_id"]
         for pdf in batches:
             out: List[tuple] = []
@@ -211,9 +220,8 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
                 if cid != current:
                     if parser is not None:
                         out.extend(parser.out)
-                    parser, current, closed = ReplyParser(cid), cid, False
-                if not closed and parser.offer(seq, delta, end):
-                    closed = True
+                    parser, current = ReplyParser(cid), cid
+                parser.take(seq, delta, end)
             if parser is not None:
                 out.extend(parser.out)
                 parser.out = []
@@ -225,7 +233,8 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
 def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> DataFrame:
     """Streaming events with keyed state (append mode).
 
-    With ``idle_timeout_ms`` a chat that gets no delta for that long is
+    A closed chat keeps a small state with its next number, so that a late or
+    repeated delta does not open it again; the timeout removes it. With ``idle_timeout_ms`` a chat that gets no delta for that long is
     flushed (held-back text, unclosed tag) and closed by a processing-time
     timeout; use it with a processing-time trigger. Spark then schedules
     no-data micro-batches to fire timers, so ``processAllAvailable`` would not
@@ -234,23 +243,18 @@ def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> D
         chat_id = str(key[0])
         if state.hasTimedOut:
             p = ReplyParser.from_state(chat_id, state.get)
-            p._finish()
+            if not p.closed:
+                p._finish()
             state.remove()
             yield p.frame()
             return
         p = ReplyParser.from_state(chat_id, state.get) if state.exists else ReplyParser(chat_id)
         rows = pd.concat(list(batches)).sort_values("seq")
-        done = False
         for seq, delta, end in zip(rows["seq"].tolist(), rows["delta"].tolist(), rows["is_end"].tolist()):
-            if p.offer(seq, delta, end):
-                done = True
-                break
-        if done:
-            state.remove()
-        else:
-            state.update(p.state_row())
-            if idle_timeout_ms:
-                state.setTimeoutDuration(int(idle_timeout_ms))
+            p.offer(seq, delta, end)
+        state.update(p.state_row())
+        if idle_timeout_ms:
+            state.setTimeoutDuration(int(idle_timeout_ms))
         yield p.frame()
 
     src = deltas.select(F.col("chat_id").cast("string").alias("chat_id"), "seq", "delta",

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from docspark.operators import tables as TB
-from docspark.options import SyncOptions
 from docspark.plans import fixtures as X
 from docspark.plans.queries import detect_changes
 from docspark.plans.sync import sync_once
@@ -17,14 +16,6 @@ def test_expected_counts_sf001(spark):
     assert counts == {"added": 100, "deleted": 100, "modified": 95, "unchanged": 705}
 
 
-def test_materialized_detection_is_identical(spark):
-    from docspark.operators import changes as D
-    prev, cur = X.file_snapshots(spark, SF01)
-    a = D.detect_changes(cur, prev, "text")
-    b = D.detect_changes(cur, prev, "text", materialize=True)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
 def test_classify_never_reads_content(spark, scratch):
     from docspark.operators import changes as D
     spark.createDataFrame([("a", 1, 1, b"x")], "source string, size bigint, mtime bigint, content binary") \
@@ -46,8 +37,8 @@ def _write(path, text, mtime=None):
 
 
 def _tables(spark, root):
-    files = TB.read_table(spark, f"{root}/files", TB.FILES_SCHEMA)
-    chunks = TB.read_table(spark, f"{root}/chunks", TB.CHUNKS_SCHEMA)
+    files = TB.read_table(spark, root, "files", TB.FILES_SCHEMA)
+    chunks = TB.read_table(spark, root, "chunks", TB.CHUNKS_SCHEMA)
     return ({r.source: (r.size, r.sha256) for r in files.collect()},
             sorted((r.source, r.chunk_id) for r in chunks.collect()))
 
@@ -62,7 +53,7 @@ def test_sync_cycle(spark, scratch):
     files1, chunks1 = _tables(spark, tables)
     assert sorted(os.path.basename(s) for s in files1) == ["a.txt", "b.md"]
     assert all(sha is None for _, sha in files1.values())        # added: stored without hash
-    vec = spark.read.parquet(TB.snapshot_path(f"{tables}/vectors", 1))
+    vec = TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA)
     assert vec.count() == len(chunks1)
 
     # nothing changed -> same tables (sync twice = no change)
@@ -81,7 +72,7 @@ def test_sync_cycle(spark, scratch):
 
     # touch again: suspect with the same stored hash -> unchanged, nothing rebuilt
     _write(f"{kb}/a.txt", "alpha " * 300, 1_700_000_300)
-    r4 = sync_once(spark, [kb], tables, now=4, opts=SyncOptions(dry_run=True))
+    r4 = sync_once(spark, [kb], tables, now=4, dry_run=True)
     assert r4.version is None and r4.plan.count() == 0
 
     os.remove(f"{kb}/sub/b.md")
@@ -89,7 +80,7 @@ def test_sync_cycle(spark, scratch):
     files5, chunks5 = _tables(spark, tables)
     assert [os.path.basename(s) for s in files5] == ["a.txt"]
     assert all(s.endswith("a.txt") for s, _ in chunks5)
-    vec = spark.read.parquet(TB.snapshot_path(f"{tables}/vectors", TB.current_snapshot(spark, f"{tables}/vectors")))
+    vec = TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA)
     assert {r.id for r in vec.collect()} == {c for _, c in chunks5}
 
 
@@ -107,12 +98,65 @@ def test_failed_sync_keeps_old_snapshot(spark, scratch):
         raise AssertionError("sync should fail")
     except Exception as e:
         assert "embedding service down" in str(e) or "RuntimeError" in str(e)
-    assert TB.current_snapshot(spark, f"{tables}/files") == 1
+    assert TB.current_snapshot(spark, tables) == 1
     assert _tables(spark, tables) == before
     sync_once(spark, [kb], tables, now=3)                      # retry succeeds
     assert len(_tables(spark, tables)[0]) == 2
 
 
+def test_crash_after_each_write_keeps_the_old_state(spark, scratch, monkeypatch):
+    kb, tables = os.path.join(scratch, "kb"), os.path.join(scratch, "tables")
+    _write(f"{kb}/a.txt", "one two three", 1_700_000_000)
+    sync_once(spark, [kb], tables, now=1)
+    before = _tables(spark, tables)
+    vectors = sorted(r.id for r in TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA).collect())
+    _write(f"{kb}/b.txt", "new file", 1_700_000_000)
+    write, publish = TB.write_snapshot, TB.publish
+    for dies_at in ("vectors", "chunks", "files", "publish"):
+        def dying(df, root, name, n, dies_at=dies_at):
+            write(df, root, name, n)
+            if name == dies_at:
+                raise RuntimeError("killed")
+
+        def no_marker(*args):
+            raise RuntimeError("killed")
+        monkeypatch.setattr(TB, "write_snapshot", dying)
+        monkeypatch.setattr(TB, "publish", no_marker if dies_at == "publish" else publish)
+        try:
+            sync_once(spark, [kb], tables, now=2)
+            raise AssertionError("the sync should die")
+        except RuntimeError:
+            pass
+        assert TB.current_snapshot(spark, tables) == 1 and _tables(spark, tables) == before
+        assert sorted(r.id for r in TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA).collect()) == vectors
+    monkeypatch.setattr(TB, "write_snapshot", write)
+    monkeypatch.setattr(TB, "publish", publish)
+    r = sync_once(spark, [kb], tables, now=3)
+    assert r.version > 4 and len(_tables(spark, tables)[0]) == 2
+    import pytest
+    with pytest.raises(Exception):
+        TB.publish(spark, tables, r.version)              # a marker is never written twice
+
+
+def test_rejects_overlapping_roots_and_loaders(spark, scratch):
+    from docspark.registry import Registry
+    kb, tables = os.path.join(scratch, "kb"), os.path.join(scratch, "tables")
+    _write(f"{kb}/sub/a.txt", "alpha text", 1_700_000_000)
+    _write(f"{kb}/x.pdf", "MZ", 1_700_000_000)
+    with open(f"{kb}/bad.txt", "wb") as f:
+        f.write(b"\xff\xfe")
+    reg = Registry()
+    reg.register_loader(".pdf", lambda f: f.select(F.col("path").alias("source"), F.lit("from the pdf").alias("text")))
+    r = sync_once(spark, [kb, f"{kb}/sub"], tables, now=1, registry=reg)
+    files, chunks = _tables(spark, tables)
+    assert sorted(os.path.basename(s) for s in files) == ["a.txt", "x.pdf"] and len(chunks) == 2
+    assert [os.path.basename(x.source) for x in r.rejects.collect()] == ["bad.txt"]
+    assert sorted(os.path.basename(x.source) for x in r.plan.collect()) == ["a.txt", "x.pdf"]
+    _write(f"{kb}/bad.txt", "mended", 1_700_000_500)
+    sync_once(spark, [kb], tables, now=2, registry=reg)
+    assert len(_tables(spark, tables)[0]) == 3
+
+
 def test_assign_and_validate_ids(spark):
     df = spark.createDataFrame([("a", "x"), (None, "y")], "id string, text string")
     out = TB.assign_ids(df).checkpoint()          # materialise once: uuid() is random
@@ -122,6 +166,9 @@ def test_assign_and_validate_ids(spark):
     import pytest
     with pytest.raises(Exception):
         TB.validate_columns(df).collect()
+    with pytest.raises(Exception):
+        TB.validate_columns(spark.createDataFrame([("a", "x"), ("a", "y")], "id string, text string")).collect()
+    assert TB.validate_columns(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")).count() == 2
 
 
 def test_delete_vectors_needs_ids_or_where(spark):

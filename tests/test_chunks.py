@@ -2,46 +2,53 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from docspark.operators import chunks as K
-from docspark.options import DEFAULT_SEPARATORS, SplitOptions
+from docspark.options import DEFAULT_SEPARATORS
 
 
 def sp(size=1000, overlap=150, keep="end", seps=DEFAULT_SEPARATORS):
-    return K.RecursiveSplitter(size, overlap, seps, keep)
+    return K.Chunker(size, overlap, seps, keep)
 
 
 def test_no_separator_falls_to_characters():
     t = "x" * 2500
-    out = sp().split_text(t)
+    out = sp().chunks(t)
     assert [len(c) for c in out] == [1000, 1000, 800]
     # overlap carried back 150 characters
-    starts = [s for _, s in sp().chunks_with_start(t)]
+    starts = [s for _, s in sp().placed(t)]
     assert starts == [0, 850, 1700]
 
 
 def test_size_boundaries():
     # a piece of exactly `size` is not "shorter than size": it is split to
     # characters and merged back, which gives the same single chunk
-    assert sp().split_text("a" * 999) == ["a" * 999]
-    assert sp().split_text("a" * 1000) == ["a" * 1000]
-    out = sp().chunks_with_start("a" * 1001)
+    assert sp().chunks("a" * 999) == ["a" * 999]
+    assert sp().chunks("a" * 1000) == ["a" * 1000]
+    out = sp().placed("a" * 1001)
     assert [(len(c), s) for c, s in out] == [(1000, 0), (151, 850)]
 
 
 def test_only_spaces_gives_nothing():
-    assert sp().split_text(" " * 3000) == []
+    assert sp().chunks(" " * 3000) == []
 
 
 def test_overlap_clamp():
-    o = SplitOptions(chunk_size=100, chunk_overlap=500)
-    assert o.effective_overlap() == 20
-    assert SplitOptions(chunk_size=100, chunk_overlap=100).effective_overlap() == 100
+    assert K.clamp_overlap(100, 500) == 20 and K.clamp_overlap(100, 100) == 100 and K.clamp_overlap(3, 4) == 0
+
+
+def test_goldens():
+    t = "One two. Three four! Five\n\nSix seven eight nine ten. Eleven"
+    assert sp(20, 5).chunks(t) == ["One two.", "Three four! Five", "Six seven eight", "nine ten.", "Eleven"]
+    assert sp(12, 0).chunks("aaaa bbbb cccc dddd") == ["aaaa bbbb", "cccc dddd"]
+    assert sp(9, 4).chunks("a b c d e f g h") == ["a b c d", "c d e f", "e f g h"]
+    assert sp(5, 0, False, [",", ""]).chunks("aa,,bb,cc") == ["aa,bb", "cc"]
+    assert sp(4, 0, "end", ["."]).chunks("abcdefgh. i.") == ["abcdefgh.", "i."]
 
 
 def test_keep_separator_modes():
-    s_end = K.RecursiveSplitter(10, 0, ["."], "end").split_text("aaa.bbb.ccc.ddd")
-    s_start = K.RecursiveSplitter(10, 0, ["."], "start").split_text("aaa.bbb.ccc.ddd")
-    s_true = K.RecursiveSplitter(10, 0, ["."], True).split_text("aaa.bbb.ccc.ddd")
-    s_none = K.RecursiveSplitter(10, 0, ["."], False).split_text("aaa.bbb.ccc.ddd")
+    s_end = K.Chunker(10, 0, ["."], "end").chunks("aaa.bbb.ccc.ddd")
+    s_start = K.Chunker(10, 0, ["."], "start").chunks("aaa.bbb.ccc.ddd")
+    s_true = K.Chunker(10, 0, ["."], True).chunks("aaa.bbb.ccc.ddd")
+    s_none = K.Chunker(10, 0, ["."], False).chunks("aaa.bbb.ccc.ddd")
     assert s_end == ["aaa.bbb.", "ccc.ddd"]
     assert s_start == ["aaa.bbb", ".ccc.ddd"]
     assert s_true == s_start
@@ -50,14 +57,14 @@ def test_keep_separator_modes():
 
 def test_chinese_punctuation():
     t = "甲" * 600 + "。" + "乙" * 600 + "，" + "丙" * 10
-    out = sp().split_text(t)
+    out = sp().chunks(t)
     assert out[0].endswith("。") and len(out[0]) == 601
 
 
 def test_same_paragraph_twice_start_index():
     para = "word " * 300
     t = para.strip() + "\n\n" + para.strip()
-    cs = sp().chunks_with_start(t)
+    cs = sp().placed(t)
     for c, s in cs:
         assert t[s:s + len(c)] == c
 
@@ -67,8 +74,8 @@ def test_same_paragraph_twice_start_index():
        st.integers(min_value=20, max_value=300), st.integers(min_value=0, max_value=60))
 def test_invariants(text, size, overlap):
     overlap = min(overlap, size)
-    s = K.RecursiveSplitter(size, overlap, DEFAULT_SEPARATORS, "end")
-    for c, st_ in s.chunks_with_start(text):
+    s = K.Chunker(size, overlap, DEFAULT_SEPARATORS, "end")
+    for c, st_ in s.placed(text):
         assert 0 < len(c) <= size
         assert c == c.strip()
         assert st_ >= 0 and text[st_:st_ + len(c)] == c
@@ -77,7 +84,7 @@ def test_invariants(text, size, overlap):
 def test_dataframe_matches_python_and_partitions(spark):
     rows = [(i, ("Sentence number %d. " % i) * (30 + 17 * i)) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    exp = {(i, p, s, c) for i, t in rows for p, (c, s) in enumerate(sp().chunks_with_start(t))}
+    exp = {(i, p, s, c) for i, t in rows for p, (c, s) in enumerate(sp().placed(t))}
     for n in (1, 5):
         got = {(r.doc_id, r.chunk_pos, r.start_index, r.text)
                for r in K.recursive_chunks(df.repartition(n), "text").collect()}
@@ -103,13 +110,14 @@ def test_chunk_ids_and_dedupe(spark):
     assert K.dedupe_chunks(d).count() == 2
 
 
-def test_token_length_unit(spark):
+def test_token_length_unit():
     words = lambda s: len(s.split())
-    opts = SplitOptions(chunk_size=5, chunk_overlap=0, length_unit="token", length_fn=words,
-                        separators=[" ", ""], keep_separator=False)
-    out = K.splitter_from(opts).split_text("one two three four five six seven eight nine ten eleven")
+    out = K.chunker(5, 0, [" ", ""], False, "token", words).chunks("one two three four five six seven eight nine ten eleven")
     # the separator " " counts 0 words, so five words fill a chunk of size 5
     assert out == ["one two three four five", "six seven eight nine ten", "eleven"]
-    char = K.splitter_from(SplitOptions(chunk_size=5, chunk_overlap=0, separators=[" ", ""],
-                                        keep_separator=False)).split_text("one two three")
-    assert char == ["one", "two", "three"]
+    assert K.chunker(5, 0, [" ", ""], False).chunks("one two three") == ["one", "two", "three"]
+    import pytest
+    with pytest.warns(UserWarning, match="count characters"):
+        assert K.chunker(5, 0, [" ", ""], False, "token").chunks("one two three") == ["one", "two", "three"]
+    with pytest.raises(ValueError):
+        K.chunker(unit="line")

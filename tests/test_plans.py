@@ -10,11 +10,46 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_fused_preprocess_has_no_shuffle_beyond_spread(spark):
+def test_preprocess_has_no_shuffle_beyond_spread(spark):
     p = plan_of(preprocess(X.docs_as_files(spark, SF001).drop("doc_id")))
     # at most the round-robin spread of a tiny input; never a hash/range shuffle
-    assert "hashpartitioning" not in p and "rangepartitioning" not in p
-    assert p.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in p
+    assert "hashpartitioning" not in p and "rangepartitioning" not in p and "Window" not in p
+    assert "BatchEvalPython" not in p
+
+
+def test_change_detection_has_one_full_outer_join(spark):
+    import __spark_entry__ as E
+    from docspark.operators import changes as D
+    p = plan_of(E.queries()["detect_changes"](spark, SF001))
+    assert p.count("FullOuter") == 1
+    _, cur = X.file_snapshots(spark, SF001)
+    assert "Join" not in plan_of(D.strong_signature(cur, "text"))
+    for name in ("sync_files", "sync_chunks", "sync_plan"):
+        assert "FullOuter" not in plan_of(E.queries()[name](spark, SF001)), name   # detected once, before
+
+
+def test_row_local_messages_shuffle_nothing(spark):
+    import __spark_entry__ as E
+    for name in ("extract_tool_calls", "invalid_tool_calls", "finish_reason", "strip_tool_calls"):
+        assert "Exchange" not in plan_of(E.queries()[name](spark, SF001)), name
+
+
+def test_building_these_plans_runs_no_job(spark):
+    import __spark_entry__ as E
+    tracker = spark.sparkContext.statusTracker()
+    names = ("clean_text", "markdown_sections", "html_sections", "json_sections", "structure_split", "recursive_chunks", "preprocess",
+             "detect_changes", "embed", "extract_tool_calls", "finish_reason", "route_turn", "assemble_prompt", "stream_events")
+    X.replies(spark, SF001), X.documents_folder(spark, SF001)
+    for t in ("documents", "pages", "events", "conversations", "embeddings"):
+        X.table(spark, SF001, t)
+    for name in names:
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        E.queries()[name](spark, SF001)
+        # reading a file's schema is a job of its own in Spark; nothing beyond those
+        jobs = tracker.getJobIdsForGroup(f"build-{name}")
+        stages = [tracker.getJobInfo(j) for j in jobs]
+        assert all(len(j.stageIds) == 1 for j in stages if j), name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -102,3 +102,29 @@ def test_topk_kernel_tiling(monkeypatch):
     for qi in range(len(Q)):
         got = f[f.query_id == qi].sort_values(["distance", "id"])
         assert got.id.tolist() == [x[0] for x in exp[qi]]
+
+
+def test_ties_beyond_any_margin(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(100)] + [(200, [0.0, 1.0]), (201, None), (202, [float("nan"), 1.0]), (203, [1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<double>")
+    for how in ({}, {"strategy": "broadcast"}, {"strategy": "blocked", "block_bytes": 256}):
+        got = sorted((r.query_id, r.rank, r.id) for r in R.knn(q, v, 5, **how).collect())
+        assert got == [(1, k + 1, k) for k in range(5)], how
+
+
+def test_filters_compare_by_type(spark):
+    df = spark.createDataFrame([(1, {"n": "abc"}, 5), (2, {"n": "12"}, 7), (3, {}, 9)], "id int, extra map<string,string>, n2 int")
+    ids = lambda where: sorted(r.id for r in df.where(R.compile_where(where, df.columns)).collect())
+    assert ids({"n": {"$gt": 9}}) == [2] and ids({"n2": "x"}) == [] and ids({"n2": {"$ne": "x"}}) == [1, 2, 3]
+    assert ids({"n": {"$nin": [12]}}) == [1, 3] and ids({"n": {"$in": ["abc", 12]}}) == [1, 2] and ids({"n2": {"$lte": 7.0}}) == [1, 2]
+
+
+def test_user_embeddings_are_cut_and_normalised(spark):
+    from docspark.operators.embedding import embed
+    df = spark.createDataFrame([(1, " a b  c d"), (2, None), (3, "")], "id int, text string")
+    seen = lambda texts: [[3.0 * len(t.split()), 4.0 * len(t.split())] for t in texts]
+    rows = sorted(embed(df, fn=seen, max_tokens=3).collect())
+    assert [(r.token_count, [round(x, 4) for x in r.embedding]) for r in rows] == [(3, [0.6, 0.8]), (0, [0.0, 0.0]), (0, [0.0, 0.0])]
+    whole = embed(spark.createDataFrame([(1, "w " * 900 + "日本語")], "id int, text string"), max_tokens=None).first()
+    assert whole.token_count == 903

@@ -34,9 +34,9 @@ def summary(events):
 @given(st.lists(st.integers(min_value=0, max_value=len(TEXT)), max_size=40))
 def test_stream_equals_batch_for_any_cut(cuts):
     content, calls, first, last, ords = summary(run_cut(TEXT, cuts))
-    ref_content, ref_calls, *_ = summary(run_cut(TEXT, []))
-    assert content == ref_content
-    assert calls == ref_calls == [("rag_search", '{"query":"x","k":2}'), ("b", "{}")]
+    # M1-M4 on the whole text: valid calls go, everything else is content
+    assert content == "Intro <b>not a tag</b> a<b  mid <tool_call>{bad</tool_call> end <tool"
+    assert calls == [("rag_search", '{"query":"x","k":2}'), ("b", "{}")]
     assert first == "role" and last == "done"
     assert ords == list(range(len(ords)))
     assert "<tool_call>{bad</tool_call>" in content and content.endswith(" end <tool")
@@ -63,7 +63,24 @@ def test_unclosed_tag_flushed_and_finish_reason():
     assert p.out[2][3] == '<tool_call>{"na' and p.out[-1][3] == "tool_calls"
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=60), max_size=20))
+def test_stop_tokens_in_any_cut(cuts):
+    text = "a<|im_end|>b <|endoftext|><tool_call>{\"name\":\"f\"}</tool_call><|im_en c<|im_end|>"
+    content, calls, *_ = summary(run_cut(text, [c for c in cuts if c < len(text)]))
+    assert (content, calls) == ("ab <|im_en c", [("f", "{}")])
+
+
+def test_late_deltas_do_not_open_a_closed_chat():
+    p = ReplyParser("c")
+    p.offer(0, "hi", False)
+    p.offer(1, "", True)
+    q = ReplyParser.from_state("c", p.state_row())
+    assert q.offer(0, "hi", False) and q.offer(5, "late", False) and q.out == []
+
+
 def test_parse_call_rules():
+    assert parse_call('{"name":"a","arguments":NaN}') is None and parse_call('{"name":"a","name":"b"}') is None
     assert parse_call('{"name":"a"}') == ("a", "{}")
     assert parse_call('{"name":1}') is None and parse_call("[1]") is None and parse_call("{x") is None
 
