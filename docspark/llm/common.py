@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docspark.session import checkpoint_dir, ship_package
 
@@ -30,8 +31,12 @@ def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if a count says that it has at
+    most ``rows``; the join then leaves the other side where it lies, else it shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def crc_mod(column, n: int):
     """CRC-32 of an id's decimal text, modulo ``n`` (null id: null)."""
-    from pyspark.sql import functions as F
-
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import store
+from docspark.llm.common import small_side, store
 
 # Unit words that make a slot after a number.
 UNITS = ("km m cm mm kg g mg lb lbs oz mi mile miles ft feet inch inches l ml litre litres liter liters h hour hours "
@@ -135,8 +135,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
              .select("h", "item", F.col("reading").alias("item_reading"), F.col("words").alias("item_words"),
                      F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "length"))
     known = store(known, "benchmark-runs")
-    if known.count() <= broadcast_rows:
-        known = F.broadcast(known)
+    known = small_side(known, broadcast_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
                        F.col(text_col).alias("text"))
     found = _windows(rows, [*short, window], ["id", "text_hash"]).drop("words").join(known, ["h", "length"])
@@ -160,11 +159,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **options) -> DataFrame:
     """``docs``, all columns and rows, without the contaminated documents."""
-    found = find_contamination(docs, benchmark, id_col, text_col, **options).select(
-        F.struct(id_col, "text_hash").alias("hit")).distinct()
-    own = F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     name = "hit"
     while name in docs.columns:
         name += "_"
-    found = found.select(F.xxhash64("hit").alias(name))
-    return docs.withColumn(name, F.xxhash64(own)).join(found, name, "left_anti").drop(name)
+    found = find_contamination(docs, benchmark, id_col, text_col, **options)
+    found = store(found.select(F.struct(F.col(id_col).alias("id"), "text_hash").alias(name)).distinct(), "contaminated")
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    return docs.withColumn(name, own).join(small_side(found), name, "left_anti").drop(name)

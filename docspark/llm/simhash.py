@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import store, workers_ready
+from docspark.llm.common import small_side, store, workers_ready
 from docspark.llm.components import components
 
 #: Shingles whose bits are counted at once: bounds the memory of a very long text.
@@ -209,15 +209,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     all others, so such a row stays only if its whole class has no id."""
     row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
                    F.xxhash64(text_col).alias("text_hash"))
-    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", **options)
-    keep = store(found.where("row = component_id").groupBy("row").agg(F.count(F.lit(1)).alias("rows")), "keepers")
     name = "row"
     while name in docs.columns:
         name += "_"
-    keep = keep.withColumnRenamed("row", name)
+    found = near_duplicates(docs.select(row.alias(name), F.col(text_col).alias("text")), name, "text", **options)
+    rows = found.groupBy(name).agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id"))
+    rows = rows.withColumn("goes", F.col(name) != F.col("component_id")).where("goes or rows > 1")
+    rows = store(rows.select(name, "goes"), "not-alone")  # these go, or one of several stays; all others stay
     named = docs.withColumn(name, row)
-    once = named.join(keep.where("rows = 1"), name, "left_semi").drop(name)
-    several = keep.where("rows > 1")
+    alone = named.join(small_side(rows.select(name)), name, "left_anti").drop(name)
+    several = rows.where("not goes").select(name)
     if not several.take(1):
-        return once
-    return once.union(named.join(several, name, "left_semi").dropDuplicates([name]).drop(name))
+        return alone
+    return alone.union(named.join(small_side(several), name, "left_semi").dropDuplicates([name]).drop(name))
