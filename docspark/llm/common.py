@@ -14,10 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: documents are long, and
+#: Spark's own 10,000 put tens of MB into every buffer on the way to a Python worker.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def workers_ready(spark: SparkSession) -> None:
-    """The shared folder is known and the Python workers can import this package."""
+    """The shared folder is known, the Python workers can import this package, and batches are small."""
     checkpoint_dir(spark)
     ship_package(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH) and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

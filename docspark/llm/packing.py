@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import store, workers_ready
 
-#: Different words whose ids a Python worker keeps at once (about 120 MB).
-CACHED_WORDS = 600_000
+#: Different words whose ids a Python worker keeps at once (about 100 MB).
+CACHED_WORDS = 500_000
 #: Bytes of text whose new words are encoded at once.
 _LEARNED_AT_ONCE = 1 << 21
 _PUNCTUATION = b".,;:!?"
