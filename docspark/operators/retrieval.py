@@ -331,3 +331,28 @@ def rag_search(queries: DataFrame, vectors: DataFrame, k: int = 3, *, query_col:
     ctx = build_context(shaped)
     qq = queries if query_col in queries.columns else queries.withColumn(query_col, F.lit("x"))
     return context_fallback(qq, ctx, query_col)
+
+
+def answer_tool_calls(calls: DataFrame, vectors: DataFrame, k: int = 3, *, tool: str = "rag_search",
+                      query_vectors: Optional[DataFrame] = None, payload: Optional[DataFrame] = None,
+                      embed_fn=None, dim: int = 256, where=None, **kw) -> DataFrame:
+    """The context text that answers each search call of a table of tool calls.
+
+    ``calls``: the rows of ``extract_tool_calls``; those of ``tool`` are answered,
+    with their ``query`` and ``k`` arguments (``k`` if absent or no number). The
+    query's text is embedded by ``embed_fn``, or looked up in ``query_vectors``
+    (query, embedding); one that is not there has no hits. Returns ``calls``'
+    keys with ``call_id`` and ``context``."""
+    asked = calls.where(F.col("name") == tool)
+    asked = asked.select(*[c for c in calls.columns if c not in ("name", "arguments")],
+                         F.get_json_object("arguments", "$.query").alias("query"),
+                         F.coalesce(F.get_json_object("arguments", "$.k").try_cast("int"), F.lit(k)).alias("_k"))
+    questions = asked.select(F.col("call_id").alias("query_id"), "query", "_k")
+    if query_vectors is not None:
+        questions = questions.join(query_vectors.select("query", "embedding"), "query", "left")
+        questions = questions.where(F.col("embedding").isNotNull())
+    context = rag_search(questions, vectors, k, k_col="_k", payload=payload, embed_fn=embed_fn, dim=dim, where=where, **kw)
+    empty = F.coalesce(F.col("query"), F.lit("")) == ""
+    return asked.join(context.withColumnRenamed("query_id", "call_id"), "call_id", "left").select(
+        *[c for c in asked.columns if c not in ("query", "_k")],
+        F.coalesce("context", F.when(empty, "").otherwise(NO_HITS_TEXT)).alias("context"))

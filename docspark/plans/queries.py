@@ -272,10 +272,13 @@ def chunk_invariants(spark, sf):
     together they have every character that is not white space."""
     d, ch = _document_chunks(spark, sf)
     at = F.substring(F.col("whole"), F.col("start_index") + 1, F.col("end_index") - F.col("start_index"))
-    solid = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
-    return ch.join(d.withColumnRenamed("text", "whole"), "doc_id").groupBy("doc_id").agg(
+    def solid(c):
+        return F.length(F.regexp_replace(c, r"\s", ""))
+
+    d = d.select("doc_id", F.col("text").alias("whole"), solid(F.col("text")).alias("solid"))
+    return ch.join(d, "doc_id").groupBy("doc_id").agg(
         F.min(at == F.col("text")).alias("all_placed"), (F.max(F.length("text")) <= 1000).alias("all_fit"),
-        (F.sum(solid("text")) >= F.max(solid("whole"))).alias("covered"))
+        (F.sum(solid("text")) >= F.max("solid")).alias("covered"))
 
 
 @query
@@ -853,19 +856,11 @@ def strip_special_tokens(spark, sf):
 def answer_tool_calls(spark, sf):
     """Each rag_search call's query ('q<n>') is answered with the given
     vector of embedding n and its own k."""
-    calls = M.extract_tool_calls(X.replies(spark, sf)).where(F.col("name") == "rag_search")
-    args = calls.select("conv_id", "turn", "ordinal", "call_id",
-                        F.get_json_object("arguments", "$.query").alias("query"),
-                        F.coalesce(F.get_json_object("arguments", "$.k").cast("int"), F.lit(3)).alias("k"))
-    e = _t(spark, sf, "embeddings").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"),
-                                           "embedding")
-    qs = args.join(e, "query", "left").withColumnRenamed("call_id", "query_id")
-    vec = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ctx = R.rag_search(qs.where(F.col("embedding").isNotNull()), vec, k=3, k_col="k", payload=_doc_vectors(spark, sf))
-    out = qs.join(ctx, "query_id", "left").select(
-        "conv_id", "turn", "ordinal", F.col("query_id").alias("call_id"),
-        F.coalesce("context", F.lit(R.NO_HITS_TEXT)).alias("context"))
-    return out
+    e = _t(spark, sf, "embeddings")
+    given = e.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"), "embedding")
+    vec = e.select(F.col("vec_id").alias("id"), "embedding")
+    return R.answer_tool_calls(M.extract_tool_calls(X.replies(spark, sf)), vec, query_vectors=given,
+                               payload=_doc_vectors(spark, sf))
 
 
 # =============================================================== W: token stream
