@@ -281,7 +281,8 @@ def _explode(df: DataFrame, sections: Column, text_col: str) -> DataFrame:
     others = [c for c in df.columns if c not in (text_col, "section", *HEADER_KEYS)]
     prior = [h for h in HEADER_KEYS if h in df.columns]
     rows = df.select(*others, *prior, sections.alias("_sections"))
-    rows = rows.select(*others, *prior, F.posexplode("_sections").alias("section", "_s"))
+    # the outer form: an inner one would infer a filter on the array, and so compute it twice
+    rows = rows.select(*others, *prior, F.posexplode_outer("_sections").alias("section", "_s")).where("_s is not null")
     # P5: the document's keys first, the section's override them
     heads = [F.coalesce(F.col(f"_s.{h}"), F.col(h)).alias(h) if h in prior else F.col(f"_s.{h}").alias(h) for h in HEADER_KEYS]
     return rows.select(*others, "section", *heads, F.col("_s.text").alias(text_col))

@@ -96,7 +96,8 @@ def preprocess(docs: DataFrame, registry=None, steps: Collection[str] = C.DEFAUL
         first = F.coalesce("_before", F.lit(0))
     else:
         first = F.lit(0)
-    rows = rows.select(*keep, first.alias("_first"), F.posexplode("_rows").alias("_at", "_c"))
+    # the outer form: an inner one would infer a filter on the array, and so compute it twice
+    rows = rows.select(*keep, first.alias("_first"), F.posexplode_outer("_rows").alias("_at", "_c")).where("_c is not null")
     rows = rows.withColumn("chunk_index", (F.col("_first") + F.col("_at")).cast("int"))
     return _finish(rows.select(*keep, "chunk_index", "_c.*"), extra)
 
