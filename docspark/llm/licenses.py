@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
 A document's blocks (lines, and paragraphs of several lines) that hold a cue
-word are candidates. Each is compressed with zstandard, alone and once with
-every template as raw dictionary, and the templates are ranked by the bytes they
-save. The winner is confirmed by the exact differences in wording: every word of
-the template is there, in order, and next to none stands between them but in the
-template's variable parts. Scans are row-local, without a shuffle.
+word are candidates. Windows around their cues, three times as long as the
+longest notice, are compressed with zstandard, alone and once with every
+template as raw dictionary, and the templates are ranked by the bytes they save.
+In that order each is confirmed by the exact differences in wording: every word
+of the template is there, in order, and next to none stands between them but in
+the template's variable parts. Scans are row-local, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,11 +44,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 CUES = ("licen", "rights reserved", "permission", "redistribution", "copyright", "released under")
-#: Words that a variable part may hold, and a block's characters that are compressed at once.
-VARIABLE, BLOCK_CHARS = 12, 4000
+#: Words that a variable part may hold.
+VARIABLE = 12
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 _TEMPLATE_WORD = re.compile(r"<[^<>]*>|" + _WORD.pattern)
-#: Blocks whose result a worker keeps at once.
+_CUE = re.compile("|".join(CUES))
+#: Windows whose result a worker keeps at once.
 _KEPT = 20_000
 
 
@@ -89,11 +92,28 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         at += len(line) + 1
 
 
+def joined(said: list[str]) -> tuple[str, list[int]]:
+    """Words as one text, each with a space after it, and where each begins."""
+    starts, at = [], 0
+    for w in said:
+        starts.append(at)
+        at += len(w) + 1
+    return "".join([w + " " for w in said]), starts
+
+
+def wording(fixed: list[str]) -> re.Pattern:
+    """A template's words in ``joined`` text, with nothing between them but in its variable parts."""
+    return re.compile("(?<![^ ])" + "".join([re.escape(w) + " " if w else f"(?:[^ ]+ ){{0,{VARIABLE}}}?" for w in fixed]))
+
+
 class Scanner:
-    """Ranks templates for a block by the bytes that each saves as a dictionary."""
+    """Ranks templates for a window by the bytes that each saves as a dictionary."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], tried: int, level: int = 3):
+    def __init__(self, templates: dict[str, tuple[str, ...]], tried: int | None = None, level: int = 3):
         self.known = [(name, text, template_words(text)) for name, texts in templates.items() for text in texts]
+        self.wordings = [wording(fixed) for _, _, fixed in self.known]
+        #: Words that a notice may hold: its template's, its variable parts' and a tenth more.
+        self.longest = max((len(f) + len(f) // 10 + VARIABLE * f.count("") for _, _, f in self.known), default=0)
         self.tried, self.seen = tried, {}
         make = zstandard.ZstdCompressor
         self.alone = make(level=level, write_content_size=False)
@@ -107,59 +127,90 @@ class Scanner:
         saved = [(base - len(c.compress(data)), i) for i, c in enumerate(self.given)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def match(self, block: str) -> tuple | None:
-        """(start, end, license, template, saved, extra words) of the confirmed winner among the ``tried`` best."""
-        if block not in self.seen:
+    def match(self, said: list[str]) -> tuple | None:
+        """(first word, word after the last, license, template, saved, extra words) of the
+        confirmed winner among the ``tried`` best, or among all."""
+        window, starts = joined(said)
+        if window not in self.seen:
             if len(self.seen) > _KEPT:
                 self.seen.clear()
-            self.seen[block] = self._match(block)
-        return self.seen[block]
+            self.seen[window] = self._match(said, window, starts)
+        return self.seen[window]
 
-    def _match(self, block: str) -> tuple | None:
-        spans = [m.span() for m in _WORD.finditer(block)]
-        said = [block[a:b].lower() for a, b in spans]
-        best = None
+    def _match(self, said: list[str], window: str, starts: list[int]) -> tuple | None:
+        there, best = {"", *said}, None
         for saved, i in self.rank(said)[:self.tried]:
             name, text, fixed = self.known[i]
-            missing, extra, (first, last) = differences(fixed, said)
-            if saved > 0 and not missing and len(extra) * 10 <= len(fixed):
+            if not there.issuperset(fixed):
+                continue
+            exact = self.wordings[i].search(window)
+            if exact:
+                missing, extra, (first, last) = [], [], (bisect_left(starts, exact.start()), bisect_left(starts, exact.end()))
+            else:
+                missing, extra, (first, last) = differences(fixed, said)
+            if first < last and not missing and len(extra) * 10 <= len(fixed):
                 if best is None or (len(extra), -len(fixed)) < best[0]:
-                    best = ((len(extra), -len(fixed)), (spans[first][0], spans[last - 1][1], name, text, saved, extra))
+                    best = ((len(extra), -len(fixed)), (first, last, name, text, saved, extra))
         return best and best[1]
 
 
+def notices(scanner: Scanner, said: list[str]) -> list[tuple]:
+    """What ``scanner`` matches around the cues, without overlaps; a window holds whatever
+    notice has its first cue or one at most a notice's length after it."""
+    found, done, reach = [], 0, scanner.longest
+    text, starts = joined(said)
+    cues = [bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(text)]
+    todo: list[tuple] = [(0, len(said), 0)]  # words from, to, and the first that may be a cue; or a notice
+    while todo:
+        begin, end, at, *rest = todo.pop()
+        if rest:
+            found.append((begin, end, at, *rest))
+            done = end
+            continue
+        begin = max(begin, done)
+        k = bisect_left(cues, max(begin, at))
+        if k == len(cues) or cues[k] >= end:
+            continue
+        cue = cues[k]
+        begin = max(begin, cue - reach)
+        hit = scanner.match(said[begin:min(end, cue + 2 * reach + 1)])
+        if hit is None:
+            todo.append((begin, end, cue + reach + 1))
+            continue
+        first, last = begin + hit[0], begin + hit[1]
+        if first > cue + reach:  # it may go on beyond the window: left to the window of its own cue
+            todo += [(begin, end, cue + reach + 1), (begin, first, cue)]
+        else:
+            todo += [(last, end, cue), (first, last, *hit[2:]), (begin, first, cue)]
+    return found
+
+
 def scan(scanner: Scanner, text: str) -> list[tuple]:
     """The notices of a text, in order; of overlapping blocks, the line before its paragraph."""
     found: list[tuple] = []
     if not any(cue in " ".join(text.lower().split()) for cue in CUES):
         return found
-    lap = 2 * max((len(t) for _, t, _ in scanner.known), default=0)
-    size = max(BLOCK_CHARS, 2 * lap)
-    todo = sorted(set(blocks(text)), key=lambda s: (s[0] - s[1], s))  # the shortest is last, and first to go
-    while todo:
-        a, b = todo.pop()
-        if b - a > size:
-            todo += [(at, min(b, at + size)) for at in range(a, max(a + 1, b - lap), size - lap)]
-            continue
-        hit = scanner.match(text[a:b])
-        if hit:
-            span = (a + hit[0], a + hit[1])
-            if all(span[1] <= f[0] or f[1] <= span[0] for f in found):
-                found.append((*span, *hit[2:]))
-            rest = ((a, span[0]), (span[1], b))
-            todo += [r for r in rest if any(cue in text[r[0]:r[1]].lower() for cue in CUES)]
+    for a, b in sorted(set(blocks(text)), key=lambda s: (s[1] - s[0], s)):
+        parts, at = [], a
+        for f in sorted(f for f in found if f[0] < b and a < f[1]):
+            parts.append((at, f[0]))
+            at = f[1]
+        for x, y in [*parts, (at, b)]:
+            spans = [(x + m.start(), x + m.end()) for m in _WORD.finditer(text[x:y])]
+            found += [(spans[first][0], spans[last - 1][1], *hit)
+                      for first, last, *hit in notices(scanner, [text[i:j].lower() for i, j in spans])]
     return sorted(found)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  templates: dict[str, tuple[str, ...]] | None = None, tried: int = 5) -> DataFrame:
+                  templates: dict[str, tuple[str, ...]] | None = None, tried: int | None = None) -> DataFrame:
     """One row a notice found: ``id_col``, start, end, license, template, saved_bytes, extra_words, exact.
 
     ``start`` and ``end`` are code points in the text, from the first to the
-    last word matched. The ``tried`` templates that save most are compared word
-    by word; the winner lacks no word, and extra words inside it are a tenth of
-    its words at most (``exact``: none). Blocks longer than BLOCK_CHARS are
-    compressed in overlapping pieces, so whole texts are covered. Null or empty
+    last word matched. All templates (or the ``tried`` that save most) are compared
+    word by word; the winner lacks no word, and extra words inside it are a tenth of
+    its words at most (``exact``: none). ``saved_bytes`` are those of the window
+    around the cue; they order the templates and rule none out. Null or empty
     texts and texts without a cue have no rows; repeated rows are scanned each.
     Other columns are neither read nor returned.
     """

@@ -78,3 +78,25 @@ def test_long_lines_are_covered(spark):
     parts = [" ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 900))) for _ in range(20)]
     text = " Licensed under the MIT License. ".join(parts)
     assert len(scanned(spark, [(1, text)])) == 19
+
+
+def test_notices_in_long_varied_lines(spark):
+    rng = random.Random(5)
+    said = sorted({w for r in spark.read.parquet(f"{SF01}/documents.parquet").limit(200).collect() for w in (r.text or "").split()
+                   if w.isalpha() and not any(cue in w.lower() for cue in ("licen", "rights", "permission", "redistribution", "copyright"))})
+    names = [(n, t.replace("<year and holder>", "2024 Jane Roe")) for n, texts in licenses.TEMPLATES.items() for t in texts]
+    rows = []
+    for size in (300, 1500, 3000, 3900, 9000):
+        for n, t in names:
+            filler = " ".join(rng.choices(said, k=size // 6))
+            cut = rng.randrange(len(filler))
+            rows.append((len(rows), f"{filler[:cut]} {t} {filler[cut:]}", n))
+    got = scanned(spark, [r[:2] for r in rows])
+    assert [(r.doc_id, r.license) for r in got] == sorted([(d, n) for d, _, n in rows], key=lambda r: str(r[0]))
+    assert all(r.exact for r in got)
+
+
+def test_notices_side_by_side(spark):
+    texts = [t.replace("<year and holder>", "2024 Jane Roe") for ts in licenses.TEMPLATES.values() for t in ts]
+    got = scanned(spark, [(1, " and so ".join(texts * 3)), (2, "copyright " + "law " * 13 + "all rights reserved. Copyright 2020 X. All rights reserved.")])
+    assert [r.doc_id for r in got] == [1] * 3 * len(texts) + [2, 2]
