@@ -63,6 +63,11 @@ def readings(rows: DataFrame, keep: list[str]) -> DataFrame:
             .withColumn("marked", F.contains("line", F.lit(NUMBER)) | F.contains("line", F.lit(NAME))))
 
 
+def _spoken(text: Column) -> Column:
+    """Whether a text has any word beside numbers and units."""
+    return _line(_numbered(F.replace(_lowered(text), F.lit(NAME), F.lit("")))).rlike(f"(^| )[^ {NUMBER}-{UNIT}]")
+
+
 def template(line: Column) -> Column:
     """The words of a line, each slot only its type."""
     return F.split(F.regexp_replace(line, f"({_SLOT})[^ ]*", "$1"), " ")
@@ -84,6 +89,12 @@ def _runs(words: Column, hashes: Column, values: Column, length: int) -> Column:
                                                      F.when(values.isNotNull(), slots(i)).otherwise("").alias("slots")))
 
 
+def _own(h: Column, length: Column, slots: Column) -> Column:
+    """The hash of a run; of one of which under half the words are plain, with its values."""
+    slotted = F.length(slots) - F.length(F.replace(slots, F.lit(" "), F.lit(""))) + 1
+    return F.when((slots != "") & (slotted * 2 > length), F.xxhash64(h, slots)).otherwise(h)
+
+
 def _windows(rows: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """``rows`` with a ``text``: (keep, reading, words, pos, length, h, slots), a row for each run of each length."""
     rows = readings(rows, keep).select(
@@ -103,7 +114,7 @@ def _windows(rows: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     return rows.where("plain is not null or run is not null").select(
         *keep, "reading", "words", F.coalesce("at", "run.pos").alias("pos"),
         F.coalesce("run.length", F.lit(lengths[-1])).alias("length"), F.coalesce("plain", "run.h").alias("h"),
-        F.coalesce("run.slots", F.lit("")).alias("slots"))
+        F.coalesce("run.slots", F.lit("")).alias("slots")).withColumn("h", _own(F.col("h"), F.col("length"), F.col("slots")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -116,7 +127,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     of a shorter item; an item shorter than a window is searched as a whole.
     ``changed_slots``: some slot has another value than the item's (the
     question was re-parameterised). A run of which under half the words are
-    plain carries no evidence, nor does an item under ``least`` words; null and
+    plain counts only with the item's own values. An item under ``least`` words
+    carries no evidence, nor one of numbers and units alone; null and
     empty texts never match. Repeated rows count as one document; rows that
     share an id with other texts are told apart by text_hash; a null id stays
     null. Benchmark rows that repeat are one item. Other columns are not read.
@@ -128,10 +140,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     short = [r[0] for r in readings(items, ["item"]).select(F.size(template(F.col("line"))).alias("n")).where(F.col("n").between(least, window - 1)).distinct()
              .orderBy("n").collect()]  # at most window - least numbers
     # readings with and without names have equal words, so one text has one length
-    known = _windows(items, [*short, window], ["item"])
-    plain = F.col("length") - F.length(F.regexp_replace("slots", f"[^{NUMBER}{NAME}{UNIT}]", ""))
-    known = (known.where((F.col("length") == F.least("words", F.lit(window))) & (plain * 2 >= F.col("length"))
-                         & (F.col("words") >= least))
+    known = _windows(items.where(_spoken(F.col("text"))), [*short, window], ["item"])
+    known = (known.where((F.col("length") == F.least("words", F.lit(window))) & (F.col("words") >= least))
              .select("h", "item", F.col("reading").alias("item_reading"), F.col("words").alias("item_words"),
                      F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "length"))
     known = store(known, "benchmark-runs")

@@ -102,3 +102,16 @@ def test_random_slots(spark, seed):
     bench = spark.createDataFrame([(1, base[0].format(a="12", b="9", n="Tim"))], "item_id long, text string")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in D.find_contamination(df, bench).collect()} == want
+
+
+def test_verbatim_runs_rich_in_slots(spark):
+    train, pack = "A train goes 60 km in 2 hours, then 90 km in 3 hours", "Add 3 kg, 5 kg and 12 lb of rice"
+    bench = spark.createDataFrame([(1, train), (2, pack), (3, "Walk 5 km in 2 hours")], "item_id long, text string")
+    rows = [(1, f"We read: {train}. And more."), (2, train.upper()), (3, train.replace("90", "91")), (4, train.replace("60", "61").replace("90", "91")),
+            (5, f"Now {pack.lower()} to it"), (6, pack.replace("12", "13")), (7, "they walk 5 km in 2 hours a day"), (8, "they walk 6 km in 2 hours a day")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 1), (2, 1), (5, 2), (7, 3)}
+    for options in ({}, {"broadcast_rows": 0}):
+        got = D.find_contamination(df, bench, **options).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert all(r.covered_words == r.item_words and not r.changed_slots for r in got)
