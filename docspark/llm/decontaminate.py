@@ -4,9 +4,10 @@ A text becomes a list of lower-case words in which numbers, units (after a
 number) and names (a capitalised word inside a sentence) are slots: in the
 template each is only its type, and its value is kept beside it. Every run of
 ``window`` template words of every document is hashed and joined with the runs
-of the benchmark items. Matches that lie on one alignment of a document with an
-item are kept if their slots are consistent: wherever the item repeats a value,
-the document repeats one too. So an item whose numbers, names or units were
+of the benchmark items. Runs with the item's own values are verbatim and count.
+Those with other values that lie on one alignment of a document with an item
+count if their slots are consistent: wherever the item repeats a value, the
+document repeats one too. So an item whose numbers, names or units were
 exchanged is found, and chance matches that mix values are not.
 
 The documents are read once and never shuffled as text; only matches are.
@@ -122,9 +123,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                        least: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
     """One row a document and item: ``id_col``, text_hash, ``item_col``, item_words, covered_words, changed_slots.
 
-    A document is contaminated by an item if runs of ``window`` words on
-    consistent alignments cover at least ``overlap`` of the item's words, or all
-    of a shorter item; an item shorter than a window is searched as a whole.
+    A document is contaminated by an item if runs of ``window`` words, verbatim or
+    with changed values that are consistent on their alignment, cover at least
+    ``overlap`` of the item's words, or all of a shorter item; an item shorter
+    than a window is searched as a whole.
     ``changed_slots``: some slot has another value than the item's (the
     question was re-parameterised). A run of which under half the words are
     plain counts only with the item's own values. An item under ``least`` words
@@ -149,16 +151,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
                        F.col(text_col).alias("text"))
     found = _windows(rows, [*short, window], ["id", "text_hash"]).drop("words").join(known, ["h", "length"])
+    run, same = F.sequence("item_pos", F.col("item_pos") + F.col("length") - 1), F.col("slots") == F.col("item_slots")
     pairs = F.arrays_zip(F.split("item_slots", " ").alias("of"), F.split("slots", " ").alias("to"))
     one = (found.groupBy("id", "text_hash", "item", "reading", "item_reading", "item_words",
                          (F.col("pos") - F.col("item_pos")).alias("shift"))
-           .agg(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("length") - 1)).alias("at"),
-                F.collect_set(F.when(F.col("slots") != "", pairs)).alias("pairs")))
+           .agg(F.collect_set(F.when(same, run)).alias("same"), F.collect_set(F.when(~same, run)).alias("other"),
+                F.collect_set(F.when(~same, pairs)).alias("pairs")))
     one = one.withColumn("pairs", F.array_distinct(F.flatten("pairs")))
     consistent = F.size(F.array_distinct("pairs.of")) == F.size("pairs")
     covered = F.array_distinct(F.flatten(F.flatten(F.collect_list("at"))))
-    return (one.where(consistent)
-            .withColumn("changed", F.exists("pairs", lambda p: p["of"] != p["to"]))
+    return (one.withColumn("at", F.when(consistent, F.concat("same", "other")).otherwise(F.col("same"))).where("size(at) > 0")
+            .withColumn("changed", F.size("other") > 0)
             .groupBy("id", "text_hash", "item", "item_words")
             .agg(F.size(covered).alias("covered_words"), F.min("changed").alias("changed_slots"))
             .where(F.col("covered_words") >= F.least(F.lit(overlap), "item_words"))

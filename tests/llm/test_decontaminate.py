@@ -115,3 +115,23 @@ def test_verbatim_runs_rich_in_slots(spark):
         got = D.find_contamination(df, bench, **options).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
         assert all(r.covered_words == r.item_words and not r.changed_slots for r in got)
+
+
+def test_verbatim_runs_beside_an_inconsistent_slot(spark):
+    item = ("the small ferry takes 40 guests over the calm lake each morning before the first bell of town "
+            "rings and 40 guests back when it is dark again")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swapped = item.replace("40", "55")
+    rows = [(1, item), (2, item[::-1].replace("04", "14", 1)[::-1]), (3, item.replace("40", "41", 1)), (4, swapped), (5, swapped.replace("55", "56", 1)),
+            (6, "the small ferry takes 41 guests over the calm lake till noon or so one old red kite rings and 42 guests back when it is dark again")]
+    got = {r.doc_id: r for r in D.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert not got[1].changed_slots and got[2].changed_slots and got[4].changed_slots
+    assert got[1].covered_words == got[4].covered_words == got[1].item_words > got[5].covered_words
+
+
+def test_verbatim_runs_beside_a_repeated_unit(spark):
+    item = "the road is 7 km long and after it the tired old driver still has to go on through the dark forest for 9 km"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, item[:-2] + "miles")], "doc_id long, text string")
+    assert [r.doc_id for r in D.find_contamination(df, bench).collect()] == [1]
