@@ -45,6 +45,19 @@ def small_side(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hot_lookup(rows: DataFrame, facts: DataFrame, key: str, uses: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row a ``key``), however many rows share a key.
+
+    ``uses``: a column of ``facts`` that bounds a key's rows, ``total`` their sum. Keys
+    with a thousandth of ``total`` or more are at most 1,000: they are broadcast, and
+    their rows stay where they lie; the other keys meet by a shuffle. Both frames
+    are read twice: store them before."""
+    hot = F.col(uses) * F.lit(1000) >= F.lit(total)
+    few = F.broadcast(facts.where(hot))
+    rest = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(facts.where(~hot), key))
+
+
 def crc_mod(column, n: int):
     """CRC-32 of an id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)

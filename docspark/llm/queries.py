@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, langid, licenses, lm, packing, simhash, tokencount, topk, urlfilter
+from docspark.llm import chat, decontaminate, langid, licenses, lm, merkle, packing, simhash, tokencount, topk, urlfilter
 from docspark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,69 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, each folded from its leaf, or from the tampered one of every
+    document whose id's CRC-32 is divisible by 5: its text with A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    folded = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.leaf_digest([folded if c == "text" else F.col(c) for c in merkle.FIELDS])
+    manifest = merkle.build(docs, extra={"doc_id": F.col("doc_id"), "tampered": F.when(crc_mod(F.col("doc_id"), 5) == 0, changed)})
+    proofs = merkle.prove(manifest).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END AS tree, text,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+      || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+      || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+    CASE WHEN doc_id IS NULL THEN FALSE ELSE xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x))),
+      lambda c, b: xor(c // 256, list_extract(t, (xor(c, b) % 256) + 1))), 4294967295) % 5 = 0 END AS tampers
+  FROM documents, crc_table),
+l AS (
+  SELECT *, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' ||
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS changed FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l),
+lv AS (
+  SELECT tree, 0 AS height, list(leaf ORDER BY rank) AS nodes FROM r GROUP BY tree
+  UNION ALL
+  SELECT tree, height + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+  FROM lv WHERE len(nodes) > 1),
+sub AS (
+  SELECT lv.tree, nodes[1] AS subroot, row_number() OVER (ORDER BY s.source NULLS FIRST) - 1 AS place
+  FROM lv JOIN (SELECT DISTINCT tree, source FROM r) s ON s.tree = lv.tree WHERE len(nodes) = 1),
+tv AS (
+  SELECT 0 AS height, list(subroot ORDER BY place) AS nodes FROM sub
+  UNION ALL
+  SELECT height + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1:i + 16], '')))
+  FROM tv WHERE len(nodes) > 1),
+steps AS (
+  SELECT r.doc_id, r.leaf, r.changed, r.tampers, r.tree, r.rank, x.place, 0 AS step, 0 AS height, FALSE AS above, r.rank AS at,
+    r.leaf AS plain, CASE WHEN r.tampers THEN r.changed ELSE r.leaf END AS folded, '' AS proof
+  FROM r JOIN sub x ON x.tree = r.tree
+  UNION ALL
+  SELECT s.doc_id, s.leaf, s.changed, s.tampers, s.tree, s.rank, s.place, s.step + 1,
+    CASE WHEN n.w = 1 THEN 0 ELSE s.height + 1 END, s.above OR n.w = 1, CASE WHEN n.w = 1 THEN s.place ELSE s.at // 16 END, s.plain,
+    CASE WHEN n.w = 1 THEN s.folded ELSE sha256(array_to_string(list_concat(list_concat(n.run[1:s.at % 16], [s.folded]), n.run[s.at % 16 + 2:16]), '')) END,
+    CASE WHEN n.w = 1 THEN s.proof ELSE s.proof || array_to_string(list_concat(n.run[1:s.at % 16], n.run[s.at % 16 + 2:16]), '') END
+  FROM steps s JOIN (
+    SELECT FALSE AS above, tree, height, i AS run_at, nodes[i * 16 + 1:i * 16 + 16] AS run, len(nodes) AS w FROM lv, unnest(range(0, (len(nodes) + 15) // 16)) u(i)
+    UNION ALL
+    SELECT TRUE, NULL, height, i, nodes[i * 16 + 1:i * 16 + 16], len(nodes) FROM tv, unnest(range(0, (len(nodes) + 15) // 16)) u(i)) n
+  ON n.above = s.above AND n.height = s.height AND n.run_at = s.at // 16 AND (s.above OR n.tree = s.tree)
+  WHERE NOT (s.above AND n.w = 1)),
+done AS (SELECT *, row_number() OVER (PARTITION BY tree, rank ORDER BY step DESC) AS back FROM steps),
+root AS (SELECT nodes[1] AS root FROM tv WHERE len(nodes) = 1)
+SELECT done.doc_id, done.leaf, sub.subroot, root.root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root.root AS verified
+FROM done JOIN sub ON sub.tree = done.tree, root WHERE done.back = 1
+"""
