@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, langid, licenses, lm, merkle, packing, simhash, tokencount, topk, urlfilter
+from docspark.llm import chat, decontaminate, langid, licenses, lm, merkle, packing, secretscan, simhash, tokencount, topk, urlfilter
 from docspark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,49 @@ root AS (SELECT nodes[1] AS root FROM tv WHERE len(nodes) = 1)
 SELECT done.doc_id, done.leaf, sub.subroot, root.root, sha256(done.proof) AS proof_sha256, done.folded AS folded_root, done.folded = root.root AS verified
 FROM done JOIN sub ON sub.tree = done.tree, root WHERE done.back = 1
 """
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. A document counts as a repository, its source as its owner."""
+    read = secretscan.read_texts(table(spark, sf_dir, "documents"))
+    rows = secretscan.by_document(read, secretscan.find_secrets(read))
+    return rows.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+                       "spans", "n_live", "n_examples")
+
+
+def _secret_sql() -> str:
+    parts = []
+    for i, (kind, pattern, group) in enumerate(secretscan.KINDS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT row, repository, owner, {i} AS place, '{kind}' AS kind, string_split_regex(t, {p}) AS gaps, "
+                     f"regexp_extract_all(t, {p}, 0) AS whole, regexp_extract_all(t, {p}, {group}) AS said FROM d WHERE regexp_matches(t, {p})")
+    return r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS repository, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS (""" + " UNION ALL ".join(parts) + rf"""),
+o AS (
+  SELECT row, repository, owner, place, kind, whole[i] AS w, said[i] AS value,
+    CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS start
+  FROM m, unnest(range(1, len(whole) + 1)) u(i)),
+s AS (
+  SELECT row, repository, owner, place, kind, start, start + length(w) AS finish, sha256(value) AS hash,
+    len(list_distinct(string_split(value, ''))) >= {secretscan.LEAST_VARIETY} AND NOT regexp_matches(translate(value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{secretscan.PLACEHOLDERS}')
+      AND (kind <> 'key' OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9][^0-9]*[0-9][^0-9]*[0-9]'))) AS live
+  FROM o WHERE kind <> 'assign' OR length(value) >= {secretscan.LEAST_ASSIGNED}),
+f AS (SELECT hash, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners FROM s GROUP BY hash),
+j AS (
+  SELECT s.*, CASE WHEN owners >= 3 OR (owners > 1 AND repositories >= 20) THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict
+  FROM s JOIN f ON f.hash = s.hash),
+k AS (
+  SELECT * FROM j WHERE kind IN ('assign', 'access', 'hex') OR (verdict = 'live' AND NOT EXISTS (
+    SELECT 1 FROM j b WHERE b.row = j.row AND b.kind IN ('assign', 'access', 'hex') AND b.start < j.finish AND j.start < b.finish)))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, place) FILTER (kind IN ('assign', 'access', 'hex')), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY start, place) FILTER (kind IS NOT NULL), '') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_examples
+FROM d LEFT JOIN k ON k.row = d.row GROUP BY d.row, d.doc_id
+"""
+
+
+ORACLES["op13_secret_scan"] = _secret_sql()
