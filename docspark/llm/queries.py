@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, langid, licenses, lm, merkle, packing, secretscan, simhash, tokencount, topk, urlfilter
+from docspark.llm import chat, collocations, decontaminate, langid, licenses, lm, merkle, packing, secretscan, simhash, tokencount, topk, urlfilter
 from docspark.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,38 @@ FROM done JOIN sub ON sub.tree = done.tree, root WHERE done.back = 1
 """
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    phrases, words = collocations.count_phrases(table(spark, sf_dir, "documents"))
+    return collocations.top_phrases(collocations.score_phrases(phrases, words)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) a(k), unnest(range(1, len(ws) - k + 2)) b(i)),
+f AS (SELECT lang, phrase, k, count(*) AS n FROM g GROUP BY lang, phrase, k HAVING count(*) >= 100),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, n, string_split(phrase, ' ') AS ws, k FROM f WHERE k > 2),
+h AS (
+  SELECT lang, phrase, max(n) AS n FROM (
+    SELECT lang, n, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM s, unnest(range(2, k)) a(m), unnest(range(1, k - m + 2)) b(i)) GROUP BY lang, phrase),
+c AS (
+  SELECT f.lang, f.phrase, f.n AS a, f.k AS size, string_split(f.phrase, ' ') AS ws FROM f LEFT JOIN h ON h.lang = f.lang AND h.phrase = f.phrase
+  WHERE f.k > 1 AND (h.n IS NULL OR 100 * h.n < 100 * f.n)),
+x AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:size], ' ') AS rest FROM c, unnest(range(1, size)) u(j)),
+y AS (
+  SELECT x.lang, x.phrase, x.a, b.n AS l, e.n AS r, t.n AS n, CAST((1000 * CAST(x.a AS HUGEINT) * t.n) // (CAST(b.n AS HUGEINT) * e.n) AS BIGINT) AS score, j
+  FROM x JOIN f b ON b.lang = x.lang AND b.phrase = x.head JOIN f e ON e.lang = x.lang AND e.phrase = x.rest JOIN t ON t.lang = x.lang),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM y),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM z WHERE cut = 1)
+SELECT * FROM o WHERE rank <= 2000
+"""
+
+
 @query
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document. A document counts as a repository, its source as its owner."""
