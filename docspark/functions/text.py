@@ -59,13 +59,13 @@ def file_ext(path: Column) -> Column:
     A leading dot of the name alone is not a suffix (``.bashrc`` has none).
     """
     name = file_name(path)
-    ext = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    ext = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1)
     # Path('a.').suffix == '' : a bare trailing dot is no suffix
     return F.lower(F.when(ext == ".", F.lit("")).otherwise(ext))
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.regexp_extract(path, r"([^/]*)/*\z", 1)
 
 
 def chunk_id(source: Column, page: Column, start: Column, text: Column) -> Column:

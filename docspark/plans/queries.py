@@ -173,7 +173,7 @@ def _doc_id_of(col: str):
 @query
 def scan_files(spark, sf):
     """S1 over a folder holding every document as a file (written by Spark)."""
-    files = S.scan_files(spark, [X.documents_folder(spark, sf)])
+    files = S.supported_files(S.scan_files(spark, [X.documents_folder(spark, sf)], content=False))
     return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
                         F.col("length").alias("size"))
 

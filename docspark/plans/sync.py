@@ -3,15 +3,17 @@
 ``sync_tables`` is the pure core: given the labelled changes, the manifests and
 the rebuilt chunks of changed files, it returns the next file manifest, the next
 chunk manifest and the per-source plan. ``sync_once`` runs the whole job against
-the tables of a set: detect, preprocess and embed the changed files, write every
-table as the next snapshot, and commit all of them by one marker. Up to the
+the tables of a set: detect, preprocess and embed the changed files, write the buckets
+of the changed sources as the next snapshot, and commit all tables by one marker. Up to the
 marker the old snapshot is current and untouched (T17): nothing is rolled back.
+
+Paths stay in tables from the listing to the tasks that open the files. What the
+driver holds is the numbers of the touched buckets.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Optional
 
@@ -24,10 +26,8 @@ from docspark.operators import tables as TB
 from docspark.operators.embedding import embed
 from docspark.plans.ingest import preprocess
 from docspark.session import checkpoint_dir, cut_lineage
-from docspark.sources.files import load_documents, scan_files, supported_files
-
-#: Files whose paths are handed to one scan: what the driver holds of them at a time.
-SLICE = 10_000
+from docspark.sources.files import load_documents, supported_files
+from docspark.sources.paths import hash_files, list_files
 
 
 def sync_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_chunks: DataFrame, updated_at):
@@ -49,19 +49,6 @@ def sync_tables(changes: DataFrame, files: DataFrame, chunks: DataFrame, new_chu
     return next_files, next_chunks, plan
 
 
-def _slices(df: DataFrame) -> Iterator[list]:
-    """Source paths in slices: the file source opens only paths that it is given
-    (a join would read every file's bytes), and no more than a slice is on the driver."""
-    some: list = []
-    for row in df.select("source").toLocalIterator(prefetchPartitions=False):
-        some.append(row["source"])
-        if len(some) >= SLICE:
-            yield some
-            some = []
-    if some:
-        yield some
-
-
 @dataclass
 class SyncResult:
     version: Optional[int]
@@ -69,74 +56,79 @@ class SyncResult:
     rejects: DataFrame
 
 
-def _hashes(spark: SparkSession, suspects: DataFrame) -> DataFrame:
-    out = spark.createDataFrame([], "source string, new_sha256 string")
-    for paths in _slices(suspects):
-        read = scan_files(spark, paths, recursive=False).select(
-            F.col("path").alias("source"), D.content_hash(F.col("content")).alias("new_sha256"))
-        out = out.unionByName(cut_lineage(read))
-    return out
-
-
 def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool = True, only_supported: bool = True,
               confirm: bool = True, dry_run: bool = False, embed_fn=None, embed_batch: int = 128, dim: int = 256,
-              max_tokens: Optional[int] = None, now: Optional[int] = None, registry=None, **how) -> SyncResult:
+              max_tokens: Optional[int] = None, now: Optional[int] = None, registry=None, buckets: int = TB.BUCKETS, keep: Optional[int] = None,
+              **how) -> SyncResult:
     """One sync of the folders ``kb_roots`` into the tables under ``table_set``.
 
     A file that a loader rejects is in the result's ``rejects`` and stays out of
     the manifest, so the next sync tries it again; what the tables held of it
     goes. A file under several roots counts once. ``registry``: its loaders,
-    splitters and chunkers are used. ``how``: arguments of ``preprocess``."""
+    splitters and chunkers are used. ``buckets``: of a set that has none yet. ``keep``:
+    snapshots that stay (None: all). ``how``: arguments of ``preprocess``."""
     checkpoint_dir(spark)
     files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA)
-    chunks = TB.read_table(spark, table_set, "chunks", TB.CHUNKS_SCHEMA)
     now = int(time.time()) if now is None else int(now)
 
-    # The listing: content is pruned, no file is read.
-    listing = supported_files(scan_files(spark, kb_roots, recursive), "path", only_supported)
-    current = (listing.groupBy(F.col("path").alias("source"))
-               .agg(F.max("length").alias("size"), F.max(F.unix_seconds("modificationTime")).alias("mtime")))
-    labelled = cut_lineage(D.classify(current, files))
+    # The listing: no file is opened.
+    listing = supported_files(list_files(spark, kb_roots, recursive), "path", only_supported)
+    listing = listing.groupBy("path").agg(F.max("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    current = listing.select(F.col("path").alias("source"), F.col("length").alias("size"),
+                             F.unix_seconds("modificationTime").alias("mtime"), "modificationTime")
+    labelled = cut_lineage(D.classify(current.drop("modificationTime"), files))
     if confirm:
-        labelled = D.confirm_with_hashes(labelled, _hashes(spark, labelled.where(F.col("status") == "suspect")))
+        suspects = labelled.where(F.col("status") == "suspect").select(F.col("source").alias("path"), F.col("c_size").alias("length"))
+        hashes = cut_lineage(hash_files(suspects).where(F.col("sha256").isNotNull()).select(
+            F.col("path").alias("source"), F.col("sha256").alias("new_sha256")))
+        labelled = D.confirm_with_hashes(labelled, hashes)
     else:
-        labelled = D.confirm_suspects(labelled, current, confirm=False)
+        labelled = D.confirm_suspects(labelled, current.drop("modificationTime"), confirm=False)
     changes = cut_lineage(D.finalize(labelled))
 
     # Load, chunk and embed the added and modified files, once.
-    fresh = rejects = None
+    wanted = changes.where(F.col("status").isin("added", "modified")).select("source")
+    wanted = cut_lineage(current.join(wanted, "source", "left_semi").select(
+        F.col("source").alias("path"), "modificationTime", F.col("size").alias("length")))
     loaders = registry.loaders if registry is not None else None
-    for paths in _slices(changes.where(F.col("status").isin("added", "modified"))):
-        docs, bad = load_documents(spark, paths, recursive=False, only_supported=only_supported, loaders=loaders)
-        bad = cut_lineage(bad)
-        made = K.dedupe_chunks(preprocess(docs.join(bad.select("source"), "source", "left_anti"), registry=registry, **how))
-        if not dry_run:
-            made = embed(made, "text", fn=embed_fn, batch=embed_batch, dim=dim, max_tokens=max_tokens)
-        made = cut_lineage(made)
-        fresh = made if fresh is None else fresh.unionByName(made, allowMissingColumns=True)
-        rejects = bad if rejects is None else rejects.unionByName(bad)
-    if fresh is None:
-        fresh = spark.createDataFrame([], "chunk_id string, source string, text string, embedding array<float>")
-        rejects = spark.createDataFrame([], "source string, error_type string, message string")
+    docs, rejects = load_documents(spark, only_supported=only_supported, loaders=loaders, files=wanted)
+    rejects = cut_lineage(rejects)
+    fresh = K.dedupe_chunks(preprocess(docs.join(rejects.select("source"), "source", "left_anti"), registry=registry, **how))
+    if not dry_run:
+        fresh = embed(fresh, "text", fn=embed_fn, batch=embed_batch, dim=dim, max_tokens=max_tokens)
+    fresh = cut_lineage(fresh)
+
     # a rejected file is as good as deleted from the tables, and absent from the manifest
     known = files.select("source")
     failed = rejects.select("source").distinct().withColumn("_bad", F.lit(True))
-    changes = changes.join(failed, "source", "left").withColumn(
-        "status", F.when(F.col("_bad"), F.lit("deleted")).otherwise(F.col("status"))).drop("_bad")
-    next_files, next_chunks, plan = sync_tables(changes, files, chunks, fresh, now)
+    changes = cut_lineage(changes.join(failed, "source", "left").withColumn(
+        "status", F.when(F.col("_bad"), F.lit("deleted")).otherwise(F.col("status"))).drop("_bad"))
+    # only the buckets of touched sources are read of the large tables, and written of all
+    count = TB.bucket_count(spark, table_set, buckets)
+    gone = changes.where(F.col("status") != "unchanged").select("source")
+    touched = sorted(r[0] for r in gone.select(TB.bucket_of(F.col("source"), count)).distinct().collect())
+    old_files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA, touched)
+    old_chunks = TB.read_table(spark, table_set, "chunks", TB.CHUNKS_SCHEMA, touched)
+    next_files, next_chunks, plan = sync_tables(changes, old_files, old_chunks, fresh, now)
     new_rejects = plan.join(rejects.select("source"), "source", "left_semi").join(known, "source", "left_anti")
     plan = plan.join(new_rejects.select("source"), "source", "left_anti")  # nothing to do for these
     if dry_run:
         return SyncResult(None, plan, rejects)
+    plan = cut_lineage(plan)  # the old tables that it counts may expire
 
-    old = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA)
-    gone = changes.where(F.col("status") != "unchanged").select("source")
+    old_vectors = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA, touched)
     # ids are content-addressed and hold their source, so a source's vectors are its own
     new = K.dedupe_chunks(fresh, "chunk_id", ("source",)).withColumnRenamed("chunk_id", "id")
-    next_vectors = old.join(gone, "source", "left_anti").unionByName(new, allowMissingColumns=True)
+    next_vectors = old_vectors.join(gone, "source", "left_anti").unionByName(new, allowMissingColumns=True)
     n = TB.next_snapshot(spark, table_set)
-    TB.write_snapshot(next_vectors, table_set, "vectors", n)
-    TB.write_snapshot(next_chunks, table_set, "chunks", n)
-    TB.write_snapshot(next_files, table_set, "files", n)
+    written = {}
+    bucket = TB.bucket_of(F.col("source"), count)
+    for name, rows in (("vectors", next_vectors), ("chunks", next_chunks), ("files", next_files)):
+        if touched:
+            TB.write_snapshot(rows.withColumn(TB.BUCKET, bucket), table_set, name, n)
+        written[name] = (rows.schema, touched)
+    TB.write_layout(spark, table_set, n, written, count)
     TB.publish(spark, table_set, n)
+    if keep is not None:
+        TB.expire_snapshots(spark, table_set, keep)
     return SyncResult(n, plan, rejects)

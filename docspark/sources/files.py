@@ -1,10 +1,8 @@
 """File scans and per-format readers.
 
-``scan_files`` lists files with Spark's binary-file source; only the listing
-columns are read unless ``content`` is selected (column pruning keeps the
-bytes on disk for signature-only work). Readers turn the content into
-document rows; per-file failures become reject rows instead of failing the
-job (S8).
+``scan_files`` lists and opens files in tasks (``sources.paths``). Readers turn the
+content into document rows; per-file failures become reject rows instead of
+failing the job (S8).
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docspark.functions import text as T
 from docspark.options import SUPPORTED_EXTS
+from docspark.sources.paths import list_files, read_files
 
 TEXT_EXTS = (".txt", ".md", ".html", ".htm")
 REJECT_SCHEMA = "source string, error_type string, message string"
@@ -42,39 +41,14 @@ def _classify_roots(spark: SparkSession, roots: Sequence[str]):
     return files, dirs
 
 
-def ext_glob(exts: Sequence[str]) -> str:
-    """Case-insensitive file-name glob for extensions: ['.md'] -> '{*.[mM][dD]}'."""
-    def one(e):
-        return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
-    return "{" + ",".join(one(e) for e in exts) + "}"
+def scan_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True, content: bool = True) -> DataFrame:
+    """``path, modificationTime, length, content, read_error`` for every file under the roots.
 
-
-def scan_files(spark: SparkSession, roots: Sequence[str], recursive: bool = True,
-               glob: str | None = None) -> DataFrame:
-    """``path, modificationTime, length, content`` for every file under the roots.
-
-    Missing roots yield nothing. Spark's file source skips names starting
-    with ``.`` or ``_`` (a documented difference from a plain directory walk).
-    A file reached through two roots appears once per root. Selecting only
-    ``path, length, modificationTime`` leaves the bytes unread; ``glob``
-    (``pathGlobFilter``) drops other names at listing time, before any read."""
-    files, dirs = _classify_roots(spark, roots)
-
-    def reader():
-        r = spark.read.format("binaryFile")
-        return r.option("pathGlobFilter", glob) if glob else r
-
-    frames = []
-    if files:
-        frames.append(reader().load(files))
-    for d in dirs:
-        frames.append(reader().option("recursiveFileLookup", "true" if recursive else "false").load(d))
-    if not frames:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.withColumn("path", F.regexp_replace("path", "^file:", ""))
+    Missing roots yield nothing; a file reached through two roots appears once per
+    root; hidden names and names with pattern characters are files like any other.
+    The files are opened in tasks. ``content=False``: the listing alone, no file is read."""
+    listing = list_files(spark, roots, recursive)
+    return read_files(listing) if content else listing
 
 
 def supported_files(df: DataFrame, path_col: str = "path", only_supported: bool = True) -> DataFrame:
@@ -207,39 +181,45 @@ def route_by_ext(files: DataFrame, loaders: dict | None = None) -> tuple:
     return docs, rejects
 
 
-def load_documents(spark: SparkSession, roots: Sequence[str], recursive: bool = True,
-                   only_supported: bool = True, loaders: dict | None = None) -> tuple:
+def load_documents(spark: SparkSession, roots: Sequence[str] = (), recursive: bool = True, only_supported: bool = True,
+                   loaders: dict | None = None, files: DataFrame | None = None) -> tuple:
     """S1 -> S2 -> S7 -> S6: (documents with file metadata, rejects).
 
-    Each loader kind gets its own listing restricted by a file-name glob, so
-    every file's bytes are read by exactly one scan and files without a
-    loader are never opened (a filter on a scan that selects ``content``
-    would read every file first)."""
+    ``files``: a listing (path, modificationTime, length) to load instead of the roots.
+    The listing is parted by loader before any file is opened, so each file is
+    read by one scan and files without a loader by none."""
+    listing = list_files(spark, roots, recursive) if files is None else files
     custom = {k.lower(): v for k, v in (loaders or {}).items()}
     kinds = {"text": [e for e in TEXT_EXTS if e not in custom],
              "csv": [e for e in (".csv",) if e not in custom],
              "json": [e for e in (".json",) if e not in custom]}
     docs_parts, rej_parts = [], []
-    if kinds["text"]:
-        d, r = read_text_docs(scan_files(spark, roots, recursive, ext_glob(kinds["text"])), exts=kinds["text"])
+
+    def add(read: DataFrame, loaded) -> None:
+        d, r = loaded if isinstance(loaded, tuple) else (loaded, None)
         docs_parts.append(d)
-        rej_parts.append(r)
+        rej_parts.append(unread(read))
+        if r is not None:
+            rej_parts.append(r)
+
+    def read(exts) -> DataFrame:
+        return read_files(listing.where(T.file_ext(F.col("path")).isin(list(exts))))
+
+    if kinds["text"]:
+        found = read(kinds["text"])
+        add(found, read_text_docs(opened(found), exts=kinds["text"]))
     if kinds["csv"]:
-        d, r = read_csv_rows(scan_files(spark, roots, recursive, ext_glob([".csv"])))
-        docs_parts.append(d)
-        rej_parts.append(r)
+        found = read([".csv"])
+        add(found, read_csv_rows(opened(found)))
     if kinds["json"]:
-        d, r = read_text_docs(scan_files(spark, roots, recursive, ext_glob([".json"])), exts=(".json",))
-        docs_parts.append(read_json_docs(d))
-        rej_parts.append(r)
+        found = read([".json"])
+        d, r = read_text_docs(opened(found), exts=(".json",))
+        add(found, (read_json_docs(d), r))
     for e, fn in custom.items():
         if only_supported and e not in SUPPORTED_EXTS:
             continue
-        res = fn(scan_files(spark, roots, recursive, ext_glob([e])).where(T.file_ext(F.col("path")) == e))
-        d, r = res if isinstance(res, tuple) else (res, None)
-        docs_parts.append(d)
-        if r is not None:
-            rej_parts.append(r)
+        found = read([e])
+        add(found, fn(opened(found)))
     docs = docs_parts[0]
     for d in docs_parts[1:]:
         docs = docs.unionByName(d, allowMissingColumns=True)
@@ -247,3 +227,15 @@ def load_documents(spark: SparkSession, roots: Sequence[str], recursive: bool =
     for r in rej_parts[1:]:
         rejects = rejects.unionByName(r, allowMissingColumns=True)
     return file_metadata(docs), rejects
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """The files of a read that could be opened, without the error column."""
+    return files.where(F.col("read_error").isNull()).drop("read_error")
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """A reject row for every file of a read that could not be opened."""
+    kind = F.regexp_extract("read_error", r"(?s)\A(\w+): (.*)\z", 1)
+    return files.where(F.col("read_error").isNotNull()).select(
+        F.col("path").alias("source"), kind.alias("error_type"), F.regexp_extract("read_error", r"(?s)\A(\w+): (.*)\z", 2).alias("message"))

@@ -177,3 +177,98 @@ def test_delete_vectors_needs_ids_or_where(spark):
     with pytest.raises(ValueError):
         TB.delete_vectors(v)
     assert TB.delete_vectors(v, where={"label": 1}).count() == 0
+
+
+def _buckets(tables, name):
+    """{snapshot: its bucket folders} as they lie on disk."""
+    root = os.path.join(tables, name)
+    return {d: sorted(b for b in os.listdir(os.path.join(root, d)) if b.startswith(TB.BUCKET))
+            for d in sorted(os.listdir(root))} if os.path.isdir(root) else {}
+
+
+def test_one_changed_file_rewrites_one_bucket(spark, scratch):
+    kb, tables = os.path.join(scratch, "kb"), os.path.join(scratch, "tables")
+    for i in range(60):
+        _write(f"{kb}/f{i}.txt", f"text number {i} " * 30, 1_700_000_000)
+    sync_once(spark, [kb], tables, now=1, buckets=16)
+    assert TB.bucket_count(spark, tables) == 16
+    first = {name: _buckets(tables, name) for name in TB.TABLES}
+    assert all(len(f["snapshot=1"]) > 10 for f in first.values())
+    before = {r.source: r for r in TB.read_table(spark, tables, "files", TB.FILES_SCHEMA).collect()}
+    _write(f"{kb}/f7.txt", "changed", 1_700_000_500)
+    assert sync_once(spark, [kb], tables, now=2).version == 2
+    for name in TB.TABLES:
+        now = _buckets(tables, name)
+        assert now["snapshot=1"] == first[name]["snapshot=1"] and len(now["snapshot=2"]) == 1
+    after = {r.source: r for r in TB.read_table(spark, tables, "files", TB.FILES_SCHEMA).collect()}
+    assert len(after) == 60 and {s for s in after if after[s] != before[s]} == {f"{kb}/f7.txt"}
+    vec = TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA).collect()
+    assert [r.text for r in vec if r.source.endswith("/f7.txt")] == ["changed"] and len({r.id for r in vec}) == len(vec) >= 60
+    # the first snapshot is still whole
+    assert TB.read_table(spark, tables, "files", TB.FILES_SCHEMA, n=1).count() == 60
+    # nothing changed: a snapshot without a file of its own
+    assert sync_once(spark, [kb], tables, now=3).version == 3 and "snapshot=3" not in _buckets(tables, "files")
+    assert len(_tables(spark, tables)[0]) == 60
+
+
+def test_expiry_keeps_what_kept_snapshots_name(spark, scratch):
+    kb, tables = os.path.join(scratch, "kb"), os.path.join(scratch, "tables")
+    for i in range(12):
+        _write(f"{kb}/f{i}.txt", f"text {i}", 1_700_000_000)
+    sync_once(spark, [kb], tables, now=1, buckets=4)
+    for step in (2, 3, 4):
+        _write(f"{kb}/f{step}.txt", f"changed {step}", 1_700_000_000 + step)
+        sync_once(spark, [kb], tables, now=step)
+    state = _tables(spark, tables)
+    # what a crash left: a snapshot above the current one stays, one below goes
+    os.makedirs(f"{tables}/files/snapshot=9/{TB.BUCKET}=0")
+    before = sum(len(b) for name in TB.TABLES for b in _buckets(tables, name).values())
+    gone = TB.expire_snapshots(spark, tables, keep=1)
+    left = {name: _buckets(tables, name) for name in TB.TABLES}
+    layout = TB.read_layout(spark, tables, 4)["tables"]
+    for name in TB.TABLES:
+        named = {(f"snapshot={m}", f"{TB.BUCKET}={b}") for b, m in layout[name]["at"].items()}
+        assert {(s, b) for s, bs in left[name].items() for b in bs if s != "snapshot=9"} == named
+    assert gone > 0 and before > sum(len(b) for x in left.values() for b in x.values())
+    assert _tables(spark, tables) == state and TB.current_snapshot(spark, tables) == 4
+    assert TB.expire_snapshots(spark, tables, keep=1) == 0
+    import pytest
+    with pytest.raises(ValueError):
+        TB.expire_snapshots(spark, tables, keep=0)
+    # goes on from there; a snapshot's number is never used again
+    _write(f"{kb}/f0.txt", "again", 1_700_009_000)
+    assert sync_once(spark, [kb], tables, now=9, keep=1).version == 10
+    assert len(_tables(spark, tables)[0]) == 12 and "snapshot=9" not in _buckets(tables, "files")
+    os.remove(f"{kb}/f0.txt")
+    sync_once(spark, [kb], tables, now=10)
+    assert len(_tables(spark, tables)[0]) == 11
+
+
+def test_sync_with_hostile_names(spark, scratch):
+    kb, tables = os.path.join(scratch, "kb"), os.path.join(scratch, "tables")
+    names = ["a[1].txt", "{x}.md", "st*r.txt", "_u.txt", ".d.txt", "50%.txt", "q?.txt", "_dir/.x/in[2].txt"]
+    for n in names:
+        _write(f"{kb}/{n}", f"text of {n}", 1_700_000_000)
+    r = sync_once(spark, [kb], tables, now=1)
+    files, chunks = _tables(spark, tables)
+    assert sorted(files) == sorted(f"{kb}/{n}" for n in names) and len(chunks) == len(names) and r.rejects.count() == 0
+    _write(f"{kb}/a[1].txt", "text of a[1].txt", 1_700_000_900)      # touched: hashed, not yet known
+    sync_once(spark, [kb], tables, now=2)
+    _write(f"{kb}/a[1].txt", "text of a[1].txt", 1_700_000_950)      # touched again: the hash is known
+    assert sync_once(spark, [kb], tables, now=3, dry_run=True).plan.count() == 0
+    os.remove(f"{kb}/{names[-1]}")
+    plan = {r.source: r.action for r in sync_once(spark, [kb], tables, now=4).plan.collect()}
+    assert plan == {f"{kb}/{names[-1]}": "delete"} and len(_tables(spark, tables)[0]) == len(names) - 1
+
+
+def test_upsert_and_delete_with_repeated_ids(spark):
+    old = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "id string, label int, v int")
+    new = spark.createDataFrame([("b", 5, 1), ("b", 7, 1), ("c", 3, None), ("c", 4, None)], "id string, label int, v int")
+    got = sorted(tuple(r) for r in TB.upsert_vectors(old, new).collect())
+    assert got == [("a", 1, 0), ("b", 7, 1), ("c", 4, None)]
+    assert sorted(tuple(r) for r in TB.upsert_vectors(old, new.orderBy("label"), version_col="v").collect()) == got
+    extra = spark.createDataFrame([("b", {"k": "1"}), ("b", {"k": "2"})], "id string, extra map<string,string>")
+    assert TB.upsert_vectors(extra.limit(0), extra).collect()[0].extra == {"k": "2"}
+    ids = spark.createDataFrame([("b",), ("b",), ("a",)], "id string")
+    assert [tuple(r) for r in TB.delete_vectors(old, ids=ids, where={"label": {"$lt": 2}}).collect()] == [("b", 2, 0)]
+    assert TB.delete_vectors(old, ids=ids).count() == 0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from docspark.plans.ingest import preprocess
 from docspark.registry import Registry
 from docspark.sources import files as S
+from docspark.sources import paths as P
 
 
 def make_folder(root):
@@ -25,15 +26,15 @@ def make_folder(root):
     w("bad.txt", b"\xff\xfe\xfa", "wb")
     w("empty.txt", "")
     w("with blank.txt", "blank name")
-    w(".hidden.txt", "skipped by the file source")
-    w("_under.txt", "skipped by the file source")
+    w(".hidden.txt", "a name like any other")
+    w("_under.txt", "a name like any other")
 
 
 def test_scan_and_supported(spark, scratch):
     make_folder(scratch)
     files = S.scan_files(spark, [scratch, os.path.join(scratch, "missing")])
     names = sorted(os.path.basename(r.path) for r in files.select("path").collect())
-    assert ".hidden.txt" not in names and "_under.txt" not in names
+    assert ".hidden.txt" in names and "_under.txt" in names
     assert "with blank.txt" in names and "i.exe" in names
     sup = sorted(os.path.basename(r.path) for r in S.supported_files(files).select("path").collect())
     assert "i.exe" not in sup and "c.MD" in sup
@@ -87,9 +88,58 @@ def test_registry_overrides(spark, scratch):
     assert ch["a.txt"] == "PLAIN TEXT"
 
 
-def test_ext_glob_is_case_insensitive():
-    assert S.ext_glob([".md"]) == "{*.[mM][dD]}"
-    assert S.ext_glob([".tar.gz", ".csv"]) == "{*.[tT][aA][rR].[gG][zZ],*.[cC][sS][vV]}"
+HOSTILE = ["a[1].txt", "{x}.txt", "star*.txt", "what?.txt", "_draft.md", ".note.txt", "50%.txt", "a%20b.txt", "two  blanks .txt", "ü.txt", "back\\slash.txt",
+           "_dir/in.txt", ".dir/in.txt", "[d]/in.txt", "x=1/in.txt", "new\nline.txt"]
+
+
+def test_names_are_taken_as_they_are(spark, scratch):
+    for n in HOSTILE:
+        os.makedirs(os.path.dirname(f"{scratch}/{n}") or scratch, exist_ok=True)
+        with open(f"{scratch}/{n}", "w") as f:
+            f.write(f"text of {n}")
+    os.symlink(scratch, f"{scratch}/_dir/loop")
+    want = sorted(f"{scratch}/{n}" for n in HOSTILE)
+    for entries in (100_000, 1):                       # one round, and a round a folder
+        got = P.list_files(spark, [scratch], entries=entries).collect()
+        assert sorted(r.path for r in got) == want
+    assert sorted(r.path for r in P.list_files(spark, [f"{scratch}/a[1].txt", f"file://{scratch}/[d]", f"{scratch}/none"]).collect()) == [
+        f"{scratch}/[d]/in.txt", f"{scratch}/a[1].txt"]
+    docs, rejects = S.load_documents(spark, [scratch])
+    assert {r.source: r.text for r in docs.collect()} == {f"{scratch}/{n}": f"text of {n}" for n in HOSTILE} and rejects.count() == 0
+    for r in got:
+        st = os.stat(r.path)
+        assert r.length == st.st_size and int(r.modificationTime.timestamp()) == int(st.st_mtime)
+
+
+def test_unreadable_files_are_rejects(spark, scratch):
+    for n in ("a.txt", "gone.txt", "b.json"):
+        with open(f"{scratch}/{n}", "w") as f:
+            f.write("{}")
+    listing = P.list_files(spark, [scratch])
+    os.remove(f"{scratch}/gone.txt")
+    docs, rejects = S.load_documents(spark, files=listing)
+    assert sorted(os.path.basename(r.source) for r in docs.collect()) == ["a.txt", "b.json"]
+    assert [(os.path.basename(r.source), r.error_type) for r in rejects.collect()] == [("gone.txt", "FileNotFoundError")]
+    hashes = {os.path.basename(r.path): r.sha256 for r in P.hash_files(listing).collect()}
+    import hashlib
+    assert hashes == {"a.txt": hashlib.sha256(b"{}").hexdigest(), "b.json": hashlib.sha256(b"{}").hexdigest(), "gone.txt": None}
+
+
+def test_many_large_files_go_in_small_batches(spark, scratch, monkeypatch):
+    for i in range(40):
+        with open(f"{scratch}/{i}.txt", "w") as f:
+            f.write(str(i % 10) * 700_000)
+    got = P.read_files(P.list_files(spark, [scratch])).select("path", F.length("content").alias("n"), F.sha2("content", 256).alias("h")).collect()
+    assert len(got) == 40 and {r.n for r in got} == {700_000} and len({r.h for r in got}) == 10
+
+
+def test_no_file_list_on_the_driver():
+    """The job hands tables of paths to its tasks; it collects nothing but bucket numbers."""
+    import inspect
+
+    from docspark.plans import sync
+    source = inspect.getsource(sync.sync_once)
+    assert "toLocalIterator" not in source and "toPandas" not in source and source.count(".collect()") == 1
 
 
 def test_ship_package_once(spark):
