@@ -14,9 +14,10 @@ Counts come from depth-truncated suffix trees, built in parts that fit in memory
    that share their first words, and its count is the sum of its leaves' totals.
    Nodes above a group's prefixes are summed over the groups.
 
-A phrase with ``least`` occurrences has only words with as many, so runs are also
-cut at rarer words. Tasks know them by a bitmap of hashes, one MB whatever the
-corpus; a collision leaves a rare word in, which costs a leaf and changes no count.
+A phrase with ``least`` occurrences has only words, and pairs of neighbours, with as many,
+so suffixes also end at rarer words and before rarer pairs. Tasks know both by bitmaps of
+hashes, one MB each whatever the corpus; a collision leaves a rare word or pair in,
+which costs a leaf and changes no count.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from docspark.llm.common import small_side, store, workers_ready
 SEED = 42            # of Spark's xxhash64
 BITS = 1 << 23       # of the bitmap of frequent words
 _BLOCK = 1 << 20     # bytes of a text that are split at a time
-_WORDS = 400_000     # different words that a task keeps
-_SUFFIXES = 1 << 20  # suffixes that a task adds up at a time
+_WORDS = 200_000     # different words that a task keeps
+_SUFFIXES = 1 << 19  # words of the runs that a task takes at a time
 _ID = 20             # bits of a task's word number
 _BREAK = 0           # a word number that ends a run
 # ends of pieces become a word of their own, tabs a space
@@ -71,34 +72,31 @@ def _read(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def count_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, word, n: all occurrences. A null language is ``und``, a null text empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys, n = list(counts), list(counts.values())
+        counts: dict[bytes, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in counts.items():
+                c.pop(b"", None)
+                c.pop(b"\n", None)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(c), np.int64))), pa.array(list(c), pa.string()),
+                                                  pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                               pa.array(n, pa.int64())], names=["lang", "word", "n"])
         for batch in batches:
-            of: dict[bytes, Counter] = {}
             for lang, text in _texts(batch):
                 for words in _blocks(text):
-                    of.setdefault(lang, Counter()).update(words)
-            for lang, c in of.items():
-                for w, n in c.items():
-                    if w and w != b"\n":
-                        counts[lang, w] += n
-            if len(counts) > _WORDS:
-                yield flush()
-        yield flush()
+                    counts.setdefault(lang, Counter()).update(words)
+            if sum(map(len, counts.values())) > _WORDS:
+                yield from flush()
+        yield from flush()
 
     rows = _read(docs, text_col, lang_col).mapInArrow(run, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _frequent_bits(words: DataFrame, least: int) -> bytes:
-    """A bit for every hash of a frequent word: 1 MB at most, however many words there are."""
-    h = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "word")), F.lit(BITS)) + 1
-    parts = words.where(F.col("n") >= least).groupBy(F.bitmap_bucket_number(h).alias("at")).agg(
+def _frequent_bits(counted: DataFrame, least: int, h: Column) -> bytes:
+    """A bit for every hash with ``least`` or more: 1 MB, however many there are."""
+    h = F.pmod(h, F.lit(BITS)) + 1
+    parts = counted.where(F.col("n") >= least).groupBy(F.bitmap_bucket_number(h).alias("at")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits")).collect()
     out = bytearray(BITS // 8)
     for r in parts:
@@ -107,8 +105,8 @@ def _frequent_bits(words: DataFrame, least: int) -> bytes:
     return bytes(out)
 
 
-class _Suffixes:
-    """Adds up the truncated suffixes of a task's runs of frequent words."""
+class _Runs:
+    """A task's runs of frequent words, as numbers, and what is counted over them."""
 
     def __init__(self, frequent: bytes, longest: int):
         import xxhash
@@ -118,19 +116,25 @@ class _Suffixes:
 
     def clear(self) -> None:
         self.words: list[bytes] = [b""]
-        self.langs: dict[bytes, int] = {}
-        self.known: list[dict[bytes, int]] = []
-        self.parts: list[tuple[int, np.ndarray]] = []
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.known: dict[bytes, dict[bytes, int]] = {}
+        self.parts: dict[bytes, list[tuple[np.ndarray, int]]] = {}
         self.kept = self.size = 0
 
     def number(self, lang: bytes, w: bytes) -> int:
-        h = self.hash(lang + b" " + w, seed=SEED) & (BITS - 1)
-        if w == b"\n" or not self.frequent[h >> 3] >> (h & 7) & 1:
+        h = self.hash(lang + b" " + w, seed=SEED)
+        bit = h & (BITS - 1)
+        if w == b"\n" or not self.frequent[bit >> 3] >> (bit & 7) & 1:
             return _BREAK
+        n = len(self.words)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        self.hashes[n] = h
         self.words.append(w)
-        return len(self.words) - 1
+        return n
 
-    def add(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
+    def add(self, lang: bytes, text: bytes) -> Iterator[None]:
+        """Takes a text; yields where enough has come together to be counted."""
         tail: list[bytes] = []
         for words in _blocks(text):
             words = tail + [w for w in words if w]
@@ -139,74 +143,110 @@ class _Suffixes:
             self.take(lang, words, done)
             tail = words[done:]
             if self.size >= _SUFFIXES or self.kept >= _WORDS:
-                yield from self.flush()
+                yield
         self.take(lang, tail, len(tail))
 
     def take(self, lang: bytes, words: list[bytes], starts: int) -> None:
-        """Suffixes that begin at the first ``starts`` words."""
+        """A run in which suffixes begin at the first ``starts`` words."""
         if not starts:
             return
-        if lang not in self.langs:
-            self.langs[lang] = len(self.known)
-            self.known.append({})
-        at = self.langs[lang]
-        known = self.known[at]
+        known = self.known.setdefault(lang, {})
         new = set(words).difference(known)
         for w in new:
             known[w] = self.number(lang, w)
         self.kept += len(new)
-        ids = np.zeros(len(words) + self.longest, np.int32)
-        ids[:len(words)] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        out, alive = np.zeros((starts, self.longest), np.int32), np.ones(starts, bool)
-        for k in range(self.longest):
-            alive &= ids[k:k + starts] != _BREAK
-            out[:, k] = np.where(alive, ids[k:k + starts], 0)
-        out = out[out[:, 0] != 0]
-        if len(out):
-            self.parts.append((at, out))
-            self.size += len(out)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            rows = np.concatenate([m for _, m in self.parts])
-            lang = np.repeat([i for i, _ in self.parts], [len(m) for _, m in self.parts])
-            keys = []
-            for first in range(0, self.longest, 63 // _ID):  # as many word numbers as a key holds
-                key = np.zeros(len(rows), np.int64)
-                for k in range(first, min(first + 63 // _ID, self.longest)):
-                    key = key << _ID | rows[:, k]
-                keys.append(key)
-            order = np.lexsort([*keys[::-1], lang])
-            new = np.ones(len(rows), bool)
-            new[1:] = lang[order][1:] != lang[order][:-1]
-            for key in keys:
-                new[1:] |= key[order][1:] != key[order][:-1]
-            at = np.flatnonzero(new)
-            totals = np.diff(np.append(at, len(rows)))
-            rows, lang = rows[order[at]], lang[order[at]]
-            words = pa.array(self.words, pa.string())
-            said = pc.binary_join_element_wise(*[words.take(pa.array(rows[:, k], mask=rows[:, k] == 0)) for k in range(self.longest)],
-                                               " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array(list(self.langs), pa.string()).take(pa.array(lang)), said, pa.array(totals, pa.int64())],
-                                             names=["lang", "suffix", "n"])
+        ids = np.zeros(len(words) + 1, np.int32)  # ends in a break
+        ids[:-1] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        self.parts.setdefault(lang, []).append((ids, starts))
+        self.size += len(ids)
+
+    def drain(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each language: numbers, where suffixes begin, and hashes of the pairs that begin at each place (0: none)."""
+        for lang, parts in self.parts.items():
+            ids = np.concatenate([p for p, _ in parts])
+            ends = np.cumsum([len(p) for p, _ in parts])
+            begins = np.zeros(len(ids) + 1, np.int32)
+            np.add.at(begins, ends - [len(p) for p, _ in parts], 1)
+            np.add.at(begins, ends - [len(p) - n for p, n in parts], -1)
+            begins = (np.cumsum(begins[:-1]) > 0) & (ids != _BREAK)
+            h = self.hashes[ids]
+            pairs = np.zeros(len(ids), np.uint64)
+            pairs[:-1] = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(23)
+            pairs[:-1][(ids[:-1] == _BREAK) | (ids[1:] == _BREAK)] = 0
+            yield lang, ids, begins, pairs
+        self.parts, self.size = {}, 0
+
+    def rest(self) -> None:
+        """Begins anew once too many words are known; only after ``drain``."""
         if self.kept >= _WORDS:
             self.clear()
-        self.parts, self.size = [], 0
 
 
-def count_suffixes(docs: DataFrame, frequent: bytes, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, suffix, n: the leaves, every different suffix of at most ``longest`` words with its total."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+def _over_runs(docs: DataFrame, frequent: bytes, longest: int, text_col: str, lang_col: str, count, schema: str) -> DataFrame:
+    """``count(runs)`` yields the batches for what a task's runs hold so far."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = _Suffixes(shared.value, longest)
+        runs = _Runs(shared.value, longest)
         for batch in batches:
             for lang, text in _texts(batch):
-                yield from suffixes.add(lang, text)
-        yield from suffixes.flush()
-
-    rows = _read(docs, text_col, lang_col).mapInArrow(run, "lang string, suffix string, n long")
+                for _ in runs.add(lang, text):
+                    yield from count(runs)
+                    runs.rest()
+        yield from count(runs)
+
+    return _read(docs, text_col, lang_col).mapInArrow(run, schema)
+
+
+def pair_counts(runs: _Runs) -> Iterator[pa.RecordBatch]:
+    """Hashes (of 41 bits) of neighbours and how often they came."""
+    for _, _, begins, pairs in runs.drain():
+        h, n = np.unique(pairs[begins & (pairs != 0)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+
+def suffix_counts(runs: _Runs, pair_bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The runs' different suffixes, cut before rare words and pairs, with their totals."""
+    longest, per = runs.longest, 63 // _ID
+    for lang, ids, begins, pairs in runs.drain():
+        at = np.flatnonzero(begins)
+        if not len(at):
+            continue
+        bit = pairs & np.uint64(BITS - 1)
+        goes_on = (pairs != 0) & (pair_bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        goes_on, ids = np.append(goes_on, np.zeros(longest, bool)), np.append(ids, np.zeros(longest, np.int32))
+        rows, alive = np.zeros((longest, len(at)), np.int32), np.ones(len(at), bool)
+        for k in range(longest):
+            if k:
+                alive &= goes_on[at + k - 1]
+            rows[k] = np.where(alive, ids[at + k], 0)
+        keys = []
+        for first in range(0, longest, per):  # as many word numbers as a key holds
+            key = np.zeros(len(at), np.int64)
+            for k in range(first, min(first + per, longest)):
+                key = key << _ID | rows[k]
+            keys.append(key)
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(at), bool)
+        new[1:] = False
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+        first_of = np.flatnonzero(new)
+        totals = np.diff(np.append(first_of, len(at)))
+        rows = rows[:, order[first_of]]
+        words = pa.array(runs.words, pa.string())
+        said = pc.binary_join_element_wise(*[words.take(pa.array(r, mask=r == 0)) for r in rows], " ", null_handling="skip")
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(totals), np.int64))), said,
+                                          pa.array(totals, pa.int64())], names=["lang", "suffix", "n"])
+
+
+def count_suffixes(docs: DataFrame, frequent: bytes, least: int, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, suffix, n: the leaves, every different suffix of at most ``longest`` words with its total."""
+    pairs = _over_runs(docs, frequent, longest, text_col, lang_col, pair_counts, "pair long, n long")
+    bits = _frequent_bits(pairs.groupBy("pair").agg(F.sum("n").alias("n")), least, F.col("pair"))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = _over_runs(docs, frequent, longest, text_col, lang_col,
+                      lambda runs: suffix_counts(runs, np.frombuffer(shared.value, np.uint8)), "lang string, suffix string, n long")
     return rows.groupBy("lang", "suffix").agg(F.sum("n").alias("n"))
 
 
@@ -317,7 +357,8 @@ def count_phrases(docs: DataFrame, least: int = 100, longest: int = 5, budget: i
     or more (lang, phrase, words, n), and of all words (lang, word, n)."""
     workers_ready(docs.sparkSession)
     words = store(count_words(docs, text_col, lang_col), "phrases-words")
-    leaves = store(count_suffixes(docs, _frequent_bits(words, least), longest, text_col, lang_col), "phrases-leaves")
+    frequent = _frequent_bits(words, least, F.xxhash64(F.concat_ws(" ", "lang", "word")))
+    leaves = store(count_suffixes(docs, frequent, least, longest, text_col, lang_col), "phrases-leaves")
     grouped, parts = group_leaves(leaves, longest, budget)
     schema = "lang string, phrase string, words int, n long"
     nodes = grouped.groupBy("part").applyInArrow(lambda t: subtree(t, longest, least), schema)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -83,18 +84,25 @@ def test_blocks_do_not_cut_phrases(monkeypatch):
     bits = b"\xff" * (collocations.BITS // 8)
     text = lower(" ".join(t or "" for _, t in corpus(4, 60))).encode()
 
-    def suffixes(**sizes):
+    def counted(**sizes):
         for k, v in sizes.items():
             monkeypatch.setattr(collocations, k, v)
-        s, out = collocations._Suffixes(bits, 5), Counter()
-        for b in [*s.add(b"en", text), *s.flush()]:
-            for suffix, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                out[suffix] += n
-        return out
-    whole = suffixes()
-    assert sum(whole.values()) == sum(len(re.findall(r"[^\x20\x09]+", p)) for p in re.split(r"[.,;:!?\x0A-\x0D]", text.decode()))
+        out, pairs = Counter(), Counter()
+        for into, count in ((out, lambda r: collocations.suffix_counts(r, np.frombuffer(bits, np.uint8))), (pairs, collocations.pair_counts)):
+            r = collocations._Runs(bits, 5)
+            for _ in r.add(b"en", text):
+                for b in count(r):
+                    into.update(dict(zip(b.column(-2).to_pylist(), b.column(-1).to_pylist())))
+                r.rest()
+            for b in count(r):
+                into.update(dict(zip(b.column(-2).to_pylist(), b.column(-1).to_pylist())))
+        return out, pairs
+    whole = counted()
+    pieces = [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", text.decode())]
+    assert sum(whole[0].values()) == sum(map(len, pieces)) and sum(whole[1].values()) == sum(max(0, len(p) - 1) for p in pieces)
+    assert sorted(whole[1].values()) == sorted(Counter(x for p in pieces for x in zip(p, p[1:])).values())
     for block, words, size in ((64, 400_000, 1 << 20), (200, 7, 1 << 20), (7, 3, 5), (1, 1, 1)):
-        assert suffixes(_BLOCK=block, _WORDS=words, _SUFFIXES=size) == whole
+        assert counted(_BLOCK=block, _WORDS=words, _SUFFIXES=size) == whole
 
 
 def test_groups(spark):
@@ -125,8 +133,9 @@ def test_subtree_counts():
 def test_frequent_bits_match_the_workers_hash(spark):
     import xxhash
     words = spark.createDataFrame([("en", f"w{i}é", i) for i in range(300)], "lang string, word string, n long")
-    bits = collocations._frequent_bits(words, 100)
+    key = F.xxhash64(F.concat_ws(" ", "lang", "word"))
+    bits = collocations._frequent_bits(words, 100, key)
     for i in range(300):
         h = xxhash.xxh64_intdigest(f"en w{i}é".encode(), seed=42) % collocations.BITS
         assert bool(bits[h >> 3] >> (h & 7) & 1) == (i >= 100)
-    assert words.where(F.col("n") > 500).count() == 0 and not any(collocations._frequent_bits(words, 500))
+    assert words.where(F.col("n") > 500).count() == 0 and not any(collocations._frequent_bits(words, 500, key))
