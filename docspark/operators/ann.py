@@ -1,69 +1,310 @@
-"""Approximate nearest neighbours with an inverted-file (cell) index.
+"""Approximate nearest neighbours from a stored cell index.
 
-Build: k-means cells over the vectors (``pyspark.ml.clustering.KMeans``,
-distributed). Search: each query probes its ``nprobe`` nearest cells (exact
-top-k against the small centroid table); vectors and queries meet per cell in
-a cogroup, scored with the same NumPy block kernel as the exact search.
+The index is two tables of a table set (``operators.tables``), published with
+the others of the set:
 
-Skew: a cell may hold a large share of all vectors, so every cell is split
-into ``ceil(count / block_rows)`` hash sub-buckets and a query probing that
-cell is sent to each sub-bucket. Group sizes are bounded by ``block_rows``.
-The per-cell counts and centroids are tables of ``n_cells`` rows.
+* ``cells``: id, source, embedding, cell and the distance to the cell's centre, in a folder a cell;
+* ``centroids``: a row a cell with its centre, its number of vectors and their least and greatest distance from it.
+
+A search ranks the cells by the distance of their centres and reads the nearest
+ones, whose folders alone are listed and opened. It goes on with further cells for
+every query that has fewer than ``k`` hits, or whose k-th hit is farther than a
+bound on what the cells not yet read can hold: the least distance from the query to a point of the
+ring of a cell's vectors that lies off the line to its centre by an angle whose cosine is ``slack`` or less.
+With ``slack`` 1 (any direction) the result is exact; in many dimensions few vectors lie that
+way, and a smaller ``slack`` reads fewer cells. So a query always gets min(k, n) hits, and what is
+read depends on the query, not on a fixed number of probes.
+
+Cells are rewritten one by one: an update assigns new vectors to the centres there
+are, and writes only the cells that lose or gain some. Centres are fitted anew when the
+table has grown ``REFIT`` times.
+
+Centres and the blocks of queries are what the driver and every task hold; both are sized in
+bytes against a limit. A cell's vectors are rows of files like any other, read by as many tasks as
+their size asks for, so a cell with most of the vectors is no group in one task.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 from typing import Optional
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.operators import tables as TB
+from docspark.operators.retrieval import DEFAULT_BROADCAST_LIMIT, _as_matrix, _final_topk, _TopK, usable
+from docspark.session import checkpoint_dir, cut_lineage
+
+CENTROIDS_SCHEMA = "cell int, center array<double>, n bigint, inner double, radius double, fitted_on bigint"
+#: Vectors a cell on which the centres are fitted, at most (drawn at random from all).
+FIT_ROWS = 256
+#: Growth of the table at which the centres are fitted anew.
+REFIT = 4
+
+
+def fit_centers(vectors: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7, max_iter: int = 8,
+                limit_bytes: int = DEFAULT_BROADCAST_LIMIT, rows: Optional[int] = None) -> np.ndarray:
+    """Centres of at most ``n_cells`` cells, by k-means on at most FIT_ROWS rows a cell on average.
+
+    Cells only route the search, so a few iterations on a sample do; every vector is indexed."""
+    rows = vectors.count() if rows is None else rows
+    if n_cells < 2:  # any point will do as the one centre
+        return np.array([vectors.select(vec_col).first()[0]], dtype=np.float64)
+    some = vectors if rows <= FIT_ROWS * n_cells else vectors.sample(FIT_ROWS * n_cells / rows, seed=seed)
+    feats = some.select(array_to_vector(F.col(vec_col)).alias("features")).persist()
+    try:
+        model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(feats)
+    finally:
+        feats.unpersist()
+    centers = np.vstack(model.clusterCenters())
+    if centers.nbytes > limit_bytes:
+        raise ValueError(f"{len(centers)} centres take {centers.nbytes} bytes; use fewer cells")
+    return centers
+
+
+def assign_cells(vectors: DataFrame, centers: np.ndarray, vec_col: str = "embedding") -> DataFrame:
+    """``vectors`` with ``cell`` (of the nearest centre, of equals the first) and ``cell_distance``; null for unusable vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+    @F.pandas_udf("struct<cell:int,distance:double>")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        C = shared.value
+        cn = (C * C).sum(1)
+        for s in batches:
+            cell, dist = np.full(len(s), -1), np.full(len(s), np.nan)
+            good = np.flatnonzero(s.map(lambda v: v is not None and len(v) == C.shape[1]).to_numpy(dtype=bool))
+            for a in range(0, len(good), 1024):
+                at = good[a:a + 1024]
+                V = np.vstack([np.asarray(v, dtype=np.float64) for v in s.iloc[at]])
+                c = (cn[None, :] - 2.0 * (V @ C.T)).argmin(1)
+                cell[at], dist[at] = c, np.sqrt(((V - C[c]) ** 2).sum(1))
+            yield pd.DataFrame({"cell": pd.Series(cell).mask(cell < 0).astype("Int32"), "distance": dist})
+
+    near = nearest.asNondeterministic()  # once a row
+    v = vectors.withColumn("_near", F.when(usable(F.col(vec_col)), near(F.col(vec_col))))
+    return v.withColumn("cell", F.col("_near.cell")).withColumn("cell_distance", F.col("_near.distance")).drop("_near")
+
+
+def _stats(cells: DataFrame) -> dict:
+    """{cell: (vectors, least distance, greatest distance)}: a row a cell."""
+    rows = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cell_distance").alias("inner"), F.max("cell_distance").alias("radius")).collect()
+    return {r["cell"]: (r["n"], r["inner"], r["radius"]) for r in rows}
+
+
+def has_index(spark: SparkSession, table_set: str) -> bool:
+    return "cells" in TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"]
+
+
+def read_centroids(spark: SparkSession, table_set: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(centres, vectors of each cell, least and greatest distances, vectors there were when the centres were fitted); a row a cell reaches the driver."""
+    rows = sorted(TB.read_table(spark, table_set, "centroids", CENTROIDS_SCHEMA).collect())
+    return (np.array([r["center"] for r in rows], dtype=np.float64), np.array([r["n"] for r in rows], dtype=np.int64),
+            *(np.array([r[c] for r in rows], dtype=np.float64) for c in ("inner", "radius")), rows[0]["fitted_on"] if rows else 0)
+
+
+def _write(spark: SparkSession, table_set: str, n: int, rows: DataFrame, touched: list, centers: np.ndarray, stats: dict, fitted_on: int) -> dict:
+    """The index tables of snapshot ``n``, for ``write_layout``. ``stats`` of all cells."""
+    if touched:
+        TB.write_snapshot(rows.withColumn(TB.BUCKET, F.col("cell")), table_set, "cells", n)
+    table = [(i, [float(x) for x in c], int(m), float(inner), float(radius), int(fitted_on))
+             for i, c in enumerate(centers) for m, inner, radius in [stats.get(i, (0, 0.0, 0.0))]]
+    made = spark.createDataFrame(table, CENTROIDS_SCHEMA)
+    TB.write_snapshot(made.withColumn(TB.BUCKET, F.lit(0)), table_set, "centroids", n)
+    return {"cells": (rows.schema, touched), "centroids": (made.schema, [0])}
+
+
+def default_cells(rows: int) -> int:
+    return max(1, round(math.sqrt(max(rows, 1)) / 2))
+
+
+def write_index(spark: SparkSession, table_set: str, n: int, vectors: DataFrame, n_cells: Optional[int] = None, seed: int = 7) -> dict:
+    """An index of all ``vectors`` (id, source, embedding) as tables of snapshot ``n``, whatever index there was before."""
+    v = vectors.select("id", "source", "embedding").where(usable(F.col("embedding")))
+    rows = v.count()
+    old = TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"].get("cells", {"at": {}})["at"]
+    if not rows:
+        return _write(spark, table_set, n, v.withColumn("cell", F.lit(0)).withColumn("cell_distance", F.lit(0.0)), [], np.zeros((0, 0)), {}, 0) | {
+            "cells": (v.withColumn("cell", F.lit(0)).withColumn("cell_distance", F.lit(0.0)).schema, [int(b) for b in old])}
+    centers = fit_centers(v, n_cells or default_cells(rows), seed=seed, rows=rows)
+    placed = cut_lineage(assign_cells(v, centers).where(F.col("cell").isNotNull()))
+    stats = _stats(placed)
+    written = _write(spark, table_set, n, placed, sorted(stats), centers, stats, rows)
+    return written | {"cells": (placed.schema, sorted(set(stats) | {int(b) for b in old}))}
+
+
+def update_index(spark: SparkSession, table_set: str, n: int, gone: DataFrame, new: DataFrame) -> dict:
+    """The index tables of snapshot ``n`` after the vectors of the sources ``gone`` went and ``new``
+    (id, source, embedding) came. Only the cells of either are read and written; which cells
+    lose vectors is read from two narrow columns of the index."""
+    centers, count, inner, radius, fitted_on = read_centroids(spark, table_set)
+    schema = "id string, source string, embedding array<float>, cell int, cell_distance double"
+    held = TB.read_table(spark, table_set, "cells", schema)
+    fresh = cut_lineage(assign_cells(new.select("id", "source", "embedding"), centers).where(F.col("cell").isNotNull()))
+    lost = held.select("source", "cell").join(gone.select("source").distinct(), "source", "left_semi").select("cell")
+    touched = sorted(r[0] for r in lost.unionByName(fresh.select("cell")).distinct().collect())
+    kept = TB.read_table(spark, table_set, "cells", schema, touched).join(gone.select("source"), "source", "left_anti")
+    rows = cut_lineage(kept.unionByName(fresh))
+    stats = {i: x for i, x in enumerate(zip(count, inner, radius)) if i not in set(touched)} | _stats(rows)
+    return _write(spark, table_set, n, rows, touched, centers, stats, fitted_on)
+
+
+def index_tables(spark: SparkSession, table_set: str, n: int, gone: DataFrame, new: DataFrame, all_vectors: DataFrame,
+                 n_cells: Optional[int] = None) -> dict:
+    """For a sync: an update of the index there is, or a fit of a new one where there is none
+    or the table has outgrown its centres."""
+    if has_index(spark, table_set):
+        _, count, _, _, fitted_on = read_centroids(spark, table_set)
+        if fitted_on and int(count.sum()) + new.count() <= REFIT * fitted_on:
+            return update_index(spark, table_set, n, gone, new)
+    return write_index(spark, table_set, n, all_vectors, n_cells)
+
+
+def build_index(vectors: DataFrame, table_set: str, n_cells: Optional[int] = None, *, id_col: str = "id", vec_col: str = "embedding",
+                source_col: Optional[str] = None, seed: int = 7) -> None:
+    """A stored index of ``vectors`` as the next snapshot of ``table_set``. Unusable vectors (null, or with
+    null or infinite components) take no part."""
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(id_col).alias("id"), (F.col(source_col) if source_col else F.lit(None)).cast("string").alias("source"),
+                       F.col(vec_col).alias("embedding"))
+    n = TB.next_snapshot(spark, table_set)
+    TB.write_layout(spark, table_set, n, write_index(spark, table_set, n, v, n_cells, seed))
+    TB.publish(spark, table_set, n)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple:
+    """The k nearest of each query, by (distance, id)."""
+    order = np.lexsort((ids, d, q))
+    q, ids, d = q[order], ids[order], d[order]
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
+    keep = rank < k
+    return q[keep], ids[keep], d[keep]
+
+
+def _probe(cells: DataFrame, Q: np.ndarray, qids: np.ndarray, asked: dict, k: int, schema: str) -> DataFrame:
+    """Partial hits of the queries in ``asked`` ({cell: places in Q}) among the rows of ``cells``."""
+    shared = cells.sparkSession.sparkContext.broadcast((Q, qids, asked))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Q, qids, asked = shared.value
+        found, size = [], 0
+
+        def merged():
+            return _best(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]), k)
+        for batch in batches:
+            for cell, part in batch.groupby("cell"):
+                at = asked.get(int(cell))
+                if at is None:
+                    continue
+                top = _TopK(Q[at], k)
+                top.add(_as_matrix(part["embedding"]), part["id"].to_numpy())
+                hits = top.frame(at)
+                if len(hits):
+                    ids = hits["id"].to_numpy()
+                    found.append((hits["query_id"].to_numpy(), ids.astype(str) if ids.dtype == object else ids, hits["distance"].to_numpy()))
+                    size += len(hits)
+            if size > 4 * k * len(Q) + 100_000:
+                found = [merged()]
+                size = len(found[0][0])
+        if found:
+            q, ids, d = merged()
+            yield pd.DataFrame({"query_id": qids[q], "id": ids.astype(object) if ids.dtype.kind == "U" else ids, "distance": d})
+
+    return cells.select("id", "embedding", "cell").mapInPandas(run, schema)
+
+
+def search_index(queries: DataFrame, table_set: str, k: int = 5, *, query_id: str = "query_id", query_vec: str = "embedding",
+                 slack: float = 0.32, first: float = 0.4, limit_bytes: int = DEFAULT_BROADCAST_LIMIT, report: Optional[dict] = None) -> DataFrame:
+    """``(query_id, rank, id, distance)``: min(k, n) hits of every usable query, ties to smaller ids.
 
-from docspark.operators.retrieval import _cogroup_topk, _final_topk, knn
+    ``slack``: the cosine up to which a cell's vectors are taken to lie towards the query (1: exact).
+    ``first``: share of the cells that is read at once; every further round reads twice as many,
+    of those that the bound does not rule out. Queries of another length than the
+    index's vectors take no part. ``report``: a dict that gets the rounds and the share of (query, cell)
+    pairs that were read."""
+    spark = queries.sparkSession
+    checkpoint_dir(spark)
+    held = TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"]["cells"]
+    centers, count, inner, radius, _ = read_centroids(spark, table_set)
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q")).where(usable(F.col("_q")))
+    schema_of = TB.read_table(spark, table_set, "cells", "id string, cell int").schema
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {schema_of['id'].dataType.simpleString()}, distance double"
+    full = [int(b) for b in held["at"]]
+    if not full or k <= 0:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "id", "distance")
+    dim = centers.shape[1]
+    q = q.where(F.size("_q") == dim)
+    # blocks of queries, with their distances to all centres, within the limit
+    block_rows = max(1, limit_bytes // (8 * (dim + 3 * len(centers))))
+    total = q.count()
+    blocks = max(1, math.ceil(1.2 * total / block_rows)) if total > block_rows else 1
+    q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out, read, rounds = None, 0, 0
+    for b in range(blocks):
+        pdf = (q.where(F.col("_block") == b) if blocks > 1 else q).select("query_id", "_q").toPandas()
+        if not len(pdf):
+            continue
+        Q, qids = _as_matrix(pdf["_q"]), pdf["query_id"].to_numpy()
+        place = {x: i for i, x in enumerate(qids)}
+        if len(place) < len(qids):
+            raise ValueError("query ids repeat")
+        away = np.sqrt(np.maximum(0.0, (Q * Q).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2.0 * (Q @ centers.T)))
+        away[:, count == 0] = np.inf
+        ranked = np.argsort(away, axis=1, kind="stable")
+        near = np.where(np.isfinite(away), away, 0.0)
+        ring = np.clip(near * slack, inner[None, :], radius[None, :])
+        least = np.sqrt(np.maximum(0.0, near * near + ring * ring - 2.0 * slack * near * ring))
+        # rounding may not rule a cell out
+        bound = np.take_along_axis(np.where(np.isfinite(away), least * (1 - 1e-9) - 1e-9, np.inf), ranked, 1)
+        cells_there = int((count > 0).sum())
+        seen = np.cumsum(count[ranked], axis=1)
+        # the first round takes as many cells as hold 2k vectors, at least
+        start = np.maximum(math.ceil(first * cells_there), (seen < 2 * k).sum(1) + 1)
+        done, upto = np.zeros(len(Q), np.int64), np.minimum(start, cells_there)
+        worst = np.full(len(Q), np.inf)
+        hits = None
+        while True:
+            rank = np.arange(ranked.shape[1])[None, :]
+            wanted = (rank >= done[:, None]) & (rank < upto[:, None]) & (bound <= worst[:, None])
+            if wanted.any():
+                at, nth = np.nonzero(wanted)
+                cells = ranked[at, nth]
+                order = np.argsort(cells, kind="stable")
+                names, begin = np.unique(cells[order], return_index=True)
+                asked = {int(c): part for c, part in zip(names, np.split(at[order], begin[1:]))}
+                part = _probe(TB.read_table(spark, table_set, "cells", "id string, cell int", sorted(asked)), Q, qids, asked, k, schema)
+                hits = cut_lineage(_final_topk(part if hits is None else hits.drop("rank").unionByName(part), k))
+                kth = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).where(F.col("n") >= k).toPandas()
+                if len(kth):
+                    worst[[place[x] for x in kth["query_id"]]] = np.sqrt(kth["d"].to_numpy())
+                read += int(wanted.sum())
+                rounds += 1
+            done = upto
+            left = (np.arange(ranked.shape[1])[None, :] >= done[:, None]) & (np.arange(ranked.shape[1])[None, :] < cells_there) & (bound <= worst[:, None])
+            if not left.any():
+                break
+            upto = np.where(left.any(1), np.minimum(2 * done, cells_there), done)
+        if hits is not None:
+            out = hits if out is None else out.unionByName(hits)
+    if report is not None:
+        report.update(rounds=rounds, share=read / max(1, total * int((count > 0).sum())))
+    if out is None:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "id", "distance")
+    return out.select("query_id", "rank", "id", "distance")
 
 
-def build_cells(vectors: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
-                max_iter: int = 8):
-    """Fit k-means; returns (centroids DataFrame(cell, embedding), model)."""
-    # cells only route the search (exact scoring follows), so a few Lloyd
-    # iterations suffice; the features are cached for the iterations
-    feats = vectors.select(array_to_vector(F.col(vec_col)).alias("features")).cache()
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(feats)
-    feats.unpersist()
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *, n_cells: Optional[int] = None, query_id: str = "query_id",
+               query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding", seed: int = 7, **how) -> DataFrame:
+    """R8 without an index that is kept: one is built in the shared checkpoint folder, and searched.
+    ``how``: arguments of ``search_index``."""
     spark = vectors.sparkSession
-    cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    centroids = spark.createDataFrame(cents, "cell int, embedding array<double>")
-    return centroids, model
-
-
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, *, n_cells: Optional[int] = None,
-               nprobe: Optional[int] = None, probe_fraction: float = 0.5, block_rows: int = 20000, query_id: str = "query_id",
-               query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
-               seed: int = 7) -> DataFrame:
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-    n_v = v.count()
-    if n_cells is None:
-        n_cells = max(1, int(round(math.sqrt(max(n_v, 1)) / 2)))
-    if nprobe is None:
-        # recall depends on how clustered the vectors are; near-uniform data
-        # (as in the test tables) needs about half the cells for recall >= 0.9
-        nprobe = max(1, math.ceil(n_cells * probe_fraction))
-    centroids, model = build_cells(v, n_cells, "embedding", seed)
-    assigned = model.transform(v.withColumn("features", array_to_vector("embedding"))) \
-        .select("id", F.col("embedding").alias("_v"), F.col("cell").cast("int").alias("cell"))
-    counts = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    splits = counts.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("splits"))
-    # n_cells rows: a bounded broadcast
-    vb = assigned.join(F.broadcast(splits), "cell") \
-        .withColumn("sub", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).drop("splits")
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
-    probes = knn(q.withColumnRenamed("_q", "embedding"), centroids, nprobe, id_col="cell") \
-        .select("query_id", F.col("id").alias("cell"))
-    qb = probes.join(q, "query_id").join(F.broadcast(splits), "cell") \
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
-    id_type = v.schema["id"].dataType.simpleString()
-    qid_type = q.schema["query_id"].dataType.simpleString()
-    partial = _cogroup_topk(vb, qb, ["cell", "sub"], k, f"query_id {qid_type}, id {id_type}, distance double")
-    return _final_topk(partial, k).select("query_id", "rank", "id", "distance")
+    table_set = f"{checkpoint_dir(spark).rstrip('/')}/docspark-index/{uuid.uuid4().hex}"
+    build_index(vectors, table_set, n_cells, id_col=id_col, vec_col=vec_col, seed=seed)
+    return search_index(queries, table_set, k, query_id=query_id, query_vec=query_vec, **how)

@@ -20,7 +20,7 @@ from docspark.session import ensure_parallelism
 
 EmbeddingFn = Callable[[List[str]], List[List[float]]]
 
-#: Fixed value: tokens of the longest embedded input, unless the caller says otherwise (None: whole texts).
+#: Fixed value: tokens that ``truncate_tokens`` keeps.
 MAX_TOKENS = 512
 
 
@@ -59,7 +59,7 @@ _SPACELESS = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
 _TOKEN = rf"(?U)[{_SPACELESS}]|[\w&&[^{_SPACELESS}]]+"
 
 
-def tokens_column(text: Column, max_tokens: Optional[int] = MAX_TOKENS) -> Column:
+def tokens_column(text: Column, max_tokens: Optional[int] = None) -> Column:
     """Lower-case tokens of the offline embedding: words, and single characters of scripts without spaces."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
     return found if max_tokens is None else F.slice(found, 1, max_tokens)
@@ -88,11 +88,11 @@ def _udf_embed(fn: EmbeddingFn, batch: int):
 
 
 def embed(df: DataFrame, text_col: str = "text", fn: Optional[EmbeddingFn] = None, batch: int = 128, dim: int = 256,
-          out_col: str = "embedding", max_tokens: Optional[int] = MAX_TOKENS) -> DataFrame:
+          out_col: str = "embedding", max_tokens: Optional[int] = None) -> DataFrame:
     """Add ``embedding`` (array<float>, unit length; all zero stays zero) and ``token_count``.
 
-    A text is embedded up to ``max_tokens`` tokens (None: whole), which is what
-    ``token_count`` counts: embed chunks, not long documents. ``fn`` gets the
+    A text is embedded whole, or up to ``max_tokens`` tokens for a model that takes no
+    more (the same number for stored texts and questions); ``token_count`` counts what was embedded. ``fn`` gets the
     text cut there (tokens parted by white space); its vectors are normalised here."""
     df = ensure_parallelism(df)
     if fn is None:

@@ -20,6 +20,7 @@ from typing import Optional
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators import ann
 from docspark.operators import changes as D
 from docspark.operators import chunks as K
 from docspark.operators import tables as TB
@@ -59,14 +60,16 @@ class SyncResult:
 def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool = True, only_supported: bool = True,
               confirm: bool = True, dry_run: bool = False, embed_fn=None, embed_batch: int = 128, dim: int = 256,
               max_tokens: Optional[int] = None, now: Optional[int] = None, registry=None, buckets: int = TB.BUCKETS, keep: Optional[int] = None,
-              **how) -> SyncResult:
+              index: bool = False, index_cells: Optional[int] = None, **how) -> SyncResult:
     """One sync of the folders ``kb_roots`` into the tables under ``table_set``.
 
     A file that a loader rejects is in the result's ``rejects`` and stays out of
     the manifest, so the next sync tries it again; what the tables held of it
     goes. A file under several roots counts once. ``registry``: its loaders,
     splitters and chunkers are used. ``buckets``: of a set that has none yet. ``keep``:
-    snapshots that stay (None: all). ``how``: arguments of ``preprocess``."""
+    snapshots that stay (None: all). ``index``: a set that has no cell index gets one, of
+    ``index_cells`` cells; one that has is kept up to date in any case, cell by cell.
+    ``how``: arguments of ``preprocess``."""
     checkpoint_dir(spark)
     files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA)
     now = int(time.time()) if now is None else int(now)
@@ -127,6 +130,10 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
         if touched:
             TB.write_snapshot(rows.withColumn(TB.BUCKET, bucket), table_set, name, n)
         written[name] = (rows.schema, touched)
+    if index or ann.has_index(spark, table_set):
+        columns = ("id", "source", "embedding")
+        before = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA).join(gone, "source", "left_anti").select(*columns)
+        written |= ann.index_tables(spark, table_set, n, gone, new.select(*columns), before.unionByName(new.select(*columns)), index_cells)
     TB.write_layout(spark, table_set, n, written, count)
     TB.publish(spark, table_set, n)
     if keep is not None:

@@ -2,7 +2,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF01
+from docspark.operators import ann
 from docspark.operators import retrieval as R
+from docspark.operators import tables as TB
 from docspark.operators.ann import knn_approx
 
 
@@ -73,12 +75,87 @@ def test_knn_approx_recall(spark):
     e = _emb(spark)
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.id) for r in R.knn(q, e, 5, id_col="vec_id").collect()}
-    approx = {(r.query_id, r.id) for r in
-              knn_approx(q, e.select(F.col("vec_id").alias("id"), "embedding"), 5, block_rows=50).collect()}
+    approx = {(r.query_id, r.id) for r in knn_approx(q, e.select(F.col("vec_id").alias("id"), "embedding"), 5).collect()}
     recall = len(exact & approx) / len(exact)
     assert recall >= 0.9, recall
 
 
+def _clustered(spark, n, centers, dim=8, seed=1, spread=0.05):
+    rng = np.random.default_rng(seed)
+    C = rng.normal(size=(centers, dim))
+    V = C[rng.integers(0, centers, n)] + spread * rng.normal(size=(n, dim))
+    return V, spark.createDataFrame([(f"v{i:05d}", [float(x) for x in v]) for i, v in enumerate(V)], "id string, embedding array<double>")
+
+
+def test_index_always_fills_k_and_is_exact_with_slack_one(spark, scratch):
+    V, v = _clustered(spark, 900, 12)
+    bad = spark.createDataFrame([("n1", None), ("n2", [None] * 8), ("n3", [float("nan")] * 8), ("n4", [])], "id string, embedding array<double>")
+    same = spark.createDataFrame([(f"w{i}", [0.5] * 8) for i in range(40)], "id string, embedding array<double>")
+    table_set = f"{scratch}/set"
+    ann.build_index(v.unionByName(bad).unionByName(same), table_set, 12)
+    q = v.where("id < 'v00020'").select(F.col("id").alias("query_id"), "embedding").unionByName(
+        bad.select(F.col("id").alias("query_id"), "embedding"))
+    for k in (1, 7, 100, 2000):
+        exact = sorted(tuple(r)[:3] for r in R.knn(q, v.unionByName(same), k).collect())
+        got = sorted(tuple(r)[:3] for r in ann.search_index(q, table_set, k, slack=1.0).collect())
+        assert got == exact and len(got) == 20 * min(k, 940)
+        loose = ann.search_index(q, table_set, k, first=0.05).collect()
+        assert len(loose) == 20 * min(k, 940)
+    report = {}
+    near = {(r.query_id, r.id) for r in ann.search_index(q, table_set, 5, first=0.01, report=report).collect()}
+    assert report["share"] < 0.5                                      # clusters: most cells are never read
+    assert len(near & {(r.query_id, r.id) for r in R.knn(q, v, 5).collect()}) >= 0.9 * 100
+    # blocks of queries: the same hits
+    few = sorted(tuple(r)[:3] for r in ann.search_index(q, table_set, 7, slack=1.0, limit_bytes=2000).collect())
+    assert few == sorted(tuple(r)[:3] for r in R.knn(q, v.unionByName(same), 7).collect())
+
+
+def test_index_reads_only_probed_cells(spark, scratch):
+    _, v = _clustered(spark, 600, 10)
+    ann.build_index(v, f"{scratch}/set", 10)
+    assert sorted(TB.read_layout(spark, f"{scratch}/set", 1)["tables"]["cells"]["at"]) == [str(i) for i in range(10)]
+    part = TB.read_table(spark, f"{scratch}/set", "cells", "id string, cell int", [3, 4])
+    assert {r.cell for r in part.select("cell").distinct().collect()} == {3, 4}
+    assert all("tableset_bucket=3" in f or "tableset_bucket=4" in f for f in part.inputFiles())
+
+
+def test_empty_index(spark, scratch):
+    none = spark.createDataFrame([("a", None)], "id string, embedding array<double>")
+    ann.build_index(none, f"{scratch}/set")
+    q = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<double>")
+    assert ann.search_index(q, f"{scratch}/set", 3).collect() == []
+    ann.build_index(spark.createDataFrame([("a", [2.0])], "id string, embedding array<double>"), f"{scratch}/set")
+    assert [tuple(r) for r in ann.search_index(q, f"{scratch}/set", 3).collect()] == [(1, 1, "a", 1.0)]
+
+
+def test_sync_keeps_the_index(spark, scratch):
+    import os
+
+    from docspark.plans.sync import sync_once
+    kb, table_set = f"{scratch}/kb", f"{scratch}/set"
+    os.makedirs(kb)
+
+    def write(i, text, when):
+        with open(f"{kb}/f{i}.txt", "w") as f:
+            f.write(text)
+        os.utime(f"{kb}/f{i}.txt", (when, when))
+    for i in range(40):
+        write(i, f"word{i % 5} topic{i % 5} extra{i}", 1_700_000_000)
+    sync_once(spark, [kb], table_set, now=1, dim=16, index=True, index_cells=5)
+    write(3, "completely other content now", 1_700_000_100)
+    os.remove(f"{kb}/f9.txt")
+    sync_once(spark, [kb], table_set, now=2, dim=16, keep=1)
+    v = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA)
+    at = TB.read_layout(spark, table_set, 2)["tables"]["cells"]["at"]
+    assert 1 in at.values() and 2 in at.values()                      # some cells stayed as they were
+    cells = TB.read_table(spark, table_set, "cells", "id string")
+    assert sorted(r.id for r in cells.collect()) == sorted(r.id for r in v.collect()) and v.count() == 39
+    counts = {r["cell"]: r["n"] for r in TB.read_table(spark, table_set, "centroids", "cell int, n bigint").collect()}
+    assert counts == {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()} | {c: 0 for c, n in counts.items() if n == 0}
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    assert sorted(tuple(r)[:3] for r in ann.search_index(q, table_set, 4, slack=1.0).collect()) == sorted(tuple(r)[:3] for r in R.knn(q, v, 4).collect())
+
+
 def test_final_topk_is_window_group_limit(spark):
     e = _emb(spark)
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
