@@ -341,18 +341,19 @@ def answer_tool_calls(calls: DataFrame, vectors: DataFrame, k: int = 3, *, tool:
     ``calls``: the rows of ``extract_tool_calls``; those of ``tool`` are answered,
     with their ``query`` and ``k`` arguments (``k`` if absent or no number). The
     query's text is embedded by ``embed_fn``, or looked up in ``query_vectors``
-    (query, embedding); one that is not there has no hits. Returns ``calls``'
-    keys with ``call_id`` and ``context``."""
+    (query, embedding; a row a query); one that is not there has no hits. Returns ``calls``'
+    own columns with ``context``, a row a call: repeated rows and shared call ids stay apart."""
     asked = calls.where(F.col("name") == tool)
-    asked = asked.select(*[c for c in calls.columns if c not in ("name", "arguments")],
-                         F.get_json_object("arguments", "$.query").alias("query"),
+    own = [c for c in calls.columns if c not in ("name", "arguments")]
+    asked = asked.select(*own, F.get_json_object("arguments", "$.query").alias("query"),
                          F.coalesce(F.get_json_object("arguments", "$.k").try_cast("int"), F.lit(k)).alias("_k"))
-    questions = asked.select(F.col("call_id").alias("query_id"), "query", "_k")
+    # what is asked is the key: a call's id is a label of 32 bits, which calls may share; equal questions are searched once
+    asked = asked.withColumn("_asked", F.to_json(F.struct("query", "_k"), {"ignoreNullFields": "false"}))
+    questions = asked.select(F.col("_asked").alias("query_id"), "query", "_k").dropDuplicates(["query_id"])
     if query_vectors is not None:
         questions = questions.join(query_vectors.select("query", "embedding"), "query", "left")
         questions = questions.where(F.col("embedding").isNotNull())
     context = rag_search(questions, vectors, k, k_col="_k", payload=payload, embed_fn=embed_fn, dim=dim, where=where, **kw)
     empty = F.coalesce(F.col("query"), F.lit("")) == ""
-    return asked.join(context.withColumnRenamed("query_id", "call_id"), "call_id", "left").select(
-        *[c for c in asked.columns if c not in ("query", "_k")],
-        F.coalesce("context", F.when(empty, "").otherwise(NO_HITS_TEXT)).alias("context"))
+    return asked.join(context.withColumnRenamed("query_id", "_asked"), "_asked", "left").select(
+        *own, F.coalesce("context", F.when(empty, "").otherwise(NO_HITS_TEXT)).alias("context"))

@@ -96,7 +96,7 @@ class _HtmlSections(HTMLParser):
         self.headers, self.each = headers, each_element
         self.path: dict[str, str] = {}
         self.raw: str | None = None
-        self.in_head = self.in_title = self.unscripted = False
+        self.in_head = self.in_title = False
         self.heading: str | None = None
         self.words: list[str] = []
         self.lines: list[str] = []
@@ -130,10 +130,11 @@ class _HtmlSections(HTMLParser):
             self.in_head = True
         elif tag == "title":
             self.in_title = True
-        elif tag == "noscript":
-            self.unscripted = True
+        elif tag == "noscript":  # text for readers without scripts: a block of the page like any other
+            if not self.in_head:
+                self._end_line()
         else:
-            if tag not in self._HEAD_ONLY and not self.unscripted:
+            if tag not in self._HEAD_ONLY:
                 self.in_head = self.in_title = False
             if tag in self.headers:
                 self._end_line()
@@ -150,12 +151,13 @@ class _HtmlSections(HTMLParser):
         elif tag == "title":
             self.in_title = False
         elif tag == "noscript":
-            self.unscripted = False
+            if not self.in_head:
+                self._end_line()
         elif tag in self._BLOCK or tag in self.headers:
             self._end_line()
 
     def handle_data(self, data):
-        if not (self.raw or self.in_head or self.in_title or self.unscripted):
+        if not (self.raw or self.in_head or self.in_title):
             self.words.append(data)
 
     def sections(self):

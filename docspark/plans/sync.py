@@ -89,6 +89,21 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
         labelled = D.confirm_suspects(labelled, current.drop("modificationTime"), confirm=False)
     changes = cut_lineage(D.finalize(labelled))
 
+    count = TB.bucket_count(spark, table_set, buckets)
+    touched = sorted(r[0] for r in changes.where(F.col("status") != "unchanged").select(TB.bucket_of(F.col("source"), count)).distinct().collect())
+    has_tables = set(TB.TABLES) <= set(TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"])
+    if not touched and (dry_run or has_tables) and (not index or ann.has_index(spark, table_set)):
+        # nothing to do: a snapshot that shares all buckets
+        plan = spark.createDataFrame([], "source string, status string, old_chunks bigint, action string")
+        n = None
+        if not dry_run:
+            n = TB.next_snapshot(spark, table_set)
+            TB.write_layout(spark, table_set, n, {}, count)
+            TB.publish(spark, table_set, n)
+            if keep is not None:
+                TB.expire_snapshots(spark, table_set, keep)
+        return SyncResult(n, plan, spark.createDataFrame([], "source string, error_type string, message string"))
+
     # Load, chunk and embed the added and modified files, once.
     wanted = changes.where(F.col("status").isin("added", "modified")).select("source")
     wanted = cut_lineage(current.join(wanted, "source", "left_semi").select(
@@ -107,9 +122,7 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     changes = cut_lineage(changes.join(failed, "source", "left").withColumn(
         "status", F.when(F.col("_bad"), F.lit("deleted")).otherwise(F.col("status"))).drop("_bad"))
     # only the buckets of touched sources are read of the large tables, and written of all
-    count = TB.bucket_count(spark, table_set, buckets)
     gone = changes.where(F.col("status") != "unchanged").select("source")
-    touched = sorted(r[0] for r in gone.select(TB.bucket_of(F.col("source"), count)).distinct().collect())
     old_files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA, touched)
     old_chunks = TB.read_table(spark, table_set, "chunks", TB.CHUNKS_SCHEMA, touched)
     next_files, next_chunks, plan = sync_tables(changes, old_files, old_chunks, fresh, now)
@@ -127,8 +140,7 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     written = {}
     bucket = TB.bucket_of(F.col("source"), count)
     for name, rows in (("vectors", next_vectors), ("chunks", next_chunks), ("files", next_files)):
-        if touched:
-            TB.write_snapshot(rows.withColumn(TB.BUCKET, bucket), table_set, name, n)
+        TB.write_snapshot(rows.withColumn(TB.BUCKET, bucket), table_set, name, n)
         written[name] = (rows.schema, touched)
     if index or ann.has_index(spark, table_set):
         columns = ("id", "source", "embedding")

@@ -138,7 +138,8 @@ class ReplyParser:
             if parsed is None:
                 self._content(OPEN + body + CLOSE)
             else:
-                cid = "call_" + hashlib.sha1(f"{self.chat_id}:{self.n_calls}".encode()).hexdigest()[:8]
+                key = f"{'' if self.chat_id is None else self.chat_id}:{self.n_calls}"
+                cid = "call_" + hashlib.sha1(key.encode()).hexdigest()[:8]
                 self._emit("tool_call", None, parsed[0], parsed[1], cid)
                 self.n_calls += 1
 
@@ -211,7 +212,7 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
     ordered = src.repartition(n, "chat_id").sortWithinPartitions("chat_id", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser, current = None, None
+        parser, current = None, object()  # not None: that is a chat of its own
         cols = ["chat_id", "ordinal", "kind", "content", "tool_name", "arguments", "call_id"]
         for pdf in batches:
             out: List[tuple] = []
@@ -231,7 +232,7 @@ def stream_events_batch(deltas: DataFrame) -> DataFrame:
 
 
 def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> DataFrame:
-    """Streaming events with keyed state (append mode).
+    """Streaming events with keyed state (append mode). A null chat id is a chat of its own.
 
     A closed chat keeps a small state with its next number, so that a late or
     repeated delta does not open it again; the timeout removes it. With ``idle_timeout_ms`` a chat that gets no delta for that long is
@@ -240,7 +241,7 @@ def stream_events(deltas: DataFrame, idle_timeout_ms: Optional[int] = None) -> D
     no-data micro-batches to fire timers, so ``processAllAvailable`` would not
     return -- which is why it is off by default (chats close on their end row)."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chat_id = str(key[0])
+        chat_id = None if key[0] is None else str(key[0])
         if state.hasTimedOut:
             p = ReplyParser.from_state(chat_id, state.get)
             if not p.closed:

@@ -205,3 +205,15 @@ def test_user_embeddings_are_cut_and_normalised(spark):
     assert [(r.token_count, [round(x, 4) for x in r.embedding]) for r in rows] == [(3, [0.6, 0.8]), (0, [0.0, 0.0]), (0, [0.0, 0.0])]
     whole = embed(spark.createDataFrame([(1, "w " * 900 + "日本語")], "id int, text string"), max_tokens=None).first()
     assert whole.token_count == 903
+
+
+def test_calls_with_equal_ids_get_their_own_answers(spark):
+    v = spark.createDataFrame([("a", [0.0, 0.0], "ta", "s1"), ("b", [1.0, 0.0], "tb", "s2")], "id string, embedding array<float>, text string, source string")
+    given = spark.createDataFrame([("qa", [0.0, 0.1]), ("qb", [1.0, 0.1])], "query string, embedding array<float>")
+    calls = spark.createDataFrame([(1, 0, 0, "call_x", "rag_search", '{"query":"qa","k":1}'), (2, 0, 0, "call_x", "rag_search", '{"query":"qb","k":1}'),
+                                   (2, 0, 0, "call_x", "rag_search", '{"query":"qb","k":1}'), (3, 0, 0, None, "rag_search", '{"k":1}'),
+                                   (4, 0, 0, "call_y", "other", "{}"), (5, 0, 1, "call_z", "rag_search", '{"query":"qb","k":0}')],
+                                  "conv_id int, turn int, ordinal int, call_id string, name string, arguments string")
+    got = sorted((r.conv_id, r.ordinal, r.call_id, r.context) for r in R.answer_tool_calls(calls, v, query_vectors=given).collect())
+    a, b = "[Document 1] (source: s1)\nta", "[Document 1] (source: s2)\ntb"
+    assert got == [(1, 0, "call_x", a), (2, 0, "call_x", b), (2, 0, "call_x", b), (3, 0, None, ""), (5, 1, "call_z", R.NO_HITS_TEXT)]

@@ -53,7 +53,9 @@ def test_html_omitted_tags():
     assert texts("<html><head><meta charset=x><title>t<body>a") == [(None, "a")]
     assert texts("<h1>One<p>a<h1>Two</h1>b") == [("One", "a"), ("Two", "b")]
     assert texts("<h1>open to the end") == [] and texts("x<script>var a='<p>'") == [(None, "x")]
-    assert texts("<noscript>no</noscript><style>p{}</style>y") == [(None, "y")] and texts("") == []
+    assert texts("<noscript>no</noscript><style>p{}</style>y") == [(None, "no  \ny")] and texts("") == []
+    assert texts("<body>a<noscript>b<p>c") == [(None, "a  \nb  \nc")]                       # unclosed: the page goes on
+    assert texts("<head><noscript><link rel=x></noscript><title>t</title></head><body>x") == [(None, "x")]
 
 
 def test_html_each_element():

@@ -123,3 +123,14 @@ def test_structured_streaming_state(spark, scratch):
     assert list(ev[ev.kind == "tool_call"].tool_name) == ["rag_search"]
     assert ev.kind.iloc[0] == "role" and ev.kind.iloc[-1] == "done"
     assert list(ev.ordinal) == list(range(len(ev)))
+
+
+def test_null_chat_is_a_chat(spark):
+    rows = [(None, 0, "a", False), (None, 1, '<tool_call>{"name":"f"}</tool_call>', True), ("c", 0, "b", True)]
+    df = spark.createDataFrame(rows, "chat_id string, seq long, delta string, is_end boolean")
+    ev = W.stream_events_batch(df).collect()
+    assert [(r.kind, r.content) for r in sorted((r for r in ev if r.chat_id is None), key=lambda r: r.ordinal)] == [
+        ("role", "assistant"), ("content", "a"), ("tool_call", None), ("done", "tool_calls")]
+    from docspark.operators import messages as M
+    whole = spark.createDataFrame([(None, '<tool_call>{"name":"f"}</tool_call>')], "chat_id string, text string")
+    assert M.extract_tool_calls(whole, keys=("chat_id",)).first().call_id == [r.call_id for r in ev if r.kind == "tool_call"][0]
