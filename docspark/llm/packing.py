@@ -29,8 +29,8 @@ from docspark.llm.common import store, workers_ready
 CACHED_WORDS = 500_000
 #: Bytes of text whose new words are encoded at once.
 _LEARNED_AT_ONCE = 1 << 21
-_PUNCTUATION = b".,;:!?"
-_CLOSING = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\t-\r])")
+_PUNCTUATION = b".,;:!?#$%&*"
+_CLOSING = re.compile(rb"(?<=[a-z])([.,;:!?#$%&*]+)(?=[\x20\t-\r])")
 
 
 class WordIds:
@@ -49,6 +49,8 @@ class WordIds:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        normalizer = self.tokenizer.normalizer
+        self.normalise = normalizer.normalize_str if normalizer else None
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -67,6 +69,14 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _letters(self, word: bytes) -> bool:
+        """Whether the tokenizer sees letters alone: some letters come apart into a letter and a
+        mark, which is one run with the punctuation after it."""
+        if word.isascii():
+            return word.isalpha()
+        said = word.decode("utf-8", "replace")
+        return said.isalpha() and (self.normalise is None or self.normalise(said).isalpha())
+
     def learn(self, words: set[bytes]) -> None:
         known, split, plain, letters, other = self.known, {}, [], set(), set()
         for w in words:
@@ -74,7 +84,7 @@ class WordIds:
                 plain.append(w)
                 continue
             core = w.rstrip(_PUNCTUATION)
-            if core.decode().isalpha():
+            if self._letters(core):
                 split[w] = (core, w[len(core):])
                 letters.add(core)
                 if core != w:
@@ -91,7 +101,7 @@ class WordIds:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         some, size = [], 0
         for text in texts:
-            # case is dropped, and a mark after a letter is a run of its own; "<|" may open a special token
+            # case is dropped, and marks after a letter are a run of their own; "<|" may open a special token
             low = text if b"<|" in text else text.lower()
             some.append(_CLOSING.sub(rb" \1", low).split())
             size += len(text)

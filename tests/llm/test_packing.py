@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -90,3 +91,14 @@ def test_groups_and_sequences(spark, tokenizer):
     assert padding < 0.05
     empty = packing.pack_documents(df.limit(0))
     assert empty.count() == 0
+
+
+def test_every_letter_before_every_mark(tokenizer):
+    """Letters that come apart into a letter and a mark are one run with what follows."""
+    import public_tokenizers
+    words = [x + c + m for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and (not unicodedata.normalize("NFC", c.lower()).isalpha() or ord(c) % 97 == 0)
+             for m in (".", ",###", "") for x in ("", "a")]
+    assert len(words) > 2000
+    got = list(packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).ids([w.encode() for w in words]))
+    want = tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, g, e in zip(words, got, want) if np.frombuffer(g, "<u4").tolist() != e.ids] == []
