@@ -75,13 +75,20 @@ def family(hosts: DataFrame, weight: float) -> DataFrame:
         "e.src", "e.dst", F.lit(float(weight)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut: int = 4) -> DataFrame:
+def _by_host(rank: DataFrame) -> DataFrame:
+    trust, distrust = (F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)) for k in (0, 1))
+    return rank.groupBy("host").agg(trust.alias("trust"), distrust.alias("distrust"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, cut: int = 4) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank.
 
     ``edges``: src, dst, n. ``seeds``: host, good, bad (weights, each summing to
     one or zero). Trust follows edges, distrust goes against them; what reaches a
-    host without a way on is lost to the seeds' share. ``rounds`` bounds the
-    error at damping ** rounds; the ranks are written every ``cut`` rounds."""
+    host without a way on is lost to the seeds' share. Rounds go on until, over ``cut`` of
+    them, no host is reached for the first time and no host's share of distrust changes by more than
+    ``tolerance``, however long the way from a seed is. The ranks are written every
+    ``cut`` rounds; one number of them reaches the driver."""
     both = edges.select(F.lit(0).alias("kind"), "src", "dst", "n").union(
         edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
@@ -91,20 +98,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         F.struct(F.lit(1).alias("kind"), "host", F.col("bad").alias("s")))).alias("x")).select("x.*").where("s > 0")
     start = store(start, "seeds")
     rank = start.select("kind", "host", F.col("s").alias("r"))
-    for k in range(rounds):
-        sent = rank.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("r") * F.col("share") * damping).alias("r"))
-        rank = (sent.union(start.select("kind", "host", (F.col("s") * (1 - damping)).alias("r")))
-                .groupBy("kind", "host").agg(F.sum("r").alias("r")))
-        if (k + 1) % cut == 0:
-            rank = store(rank, "ranks")
-    return rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == 0, F.col("r")).otherwise(0.0)).alias("trust"),
-                                    F.sum(F.when(F.col("kind") == 1, F.col("r")).otherwise(0.0)).alias("distrust"))
+    before = None
+    while True:
+        for _ in range(cut):
+            sent = rank.withColumnRenamed("host", "src").join(ways, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("r") * F.col("share") * damping).alias("r"))
+            rank = (sent.union(start.select("kind", "host", (F.col("s") * (1 - damping)).alias("r")))
+                    .groupBy("kind", "host").agg(F.sum("r").alias("r")))
+        rank = store(rank, "ranks")
+        now = _by_host(rank).where("trust + distrust > 0").select("host", (F.col("distrust") / (F.col("trust") + F.col("distrust"))).alias("share"))
+        if before is not None:
+            moved = now.join(before.withColumnRenamed("share", "was"), "host", "left").agg(
+                F.max(F.coalesce(F.abs(F.col("share") - F.col("was")), F.lit(1.0)))).first()[0]
+            if (moved or 0.0) <= tolerance:
+                return _by_host(rank)
+        before = now
 
 
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame, id_col: str = "page_id",
                url_col: str = "url", html_col: str = "html", threshold: float = 0.5, family_weight: float = 1.0,
-               damping: float = 0.85, rounds: int = 12) -> DataFrame:
+               damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """One row a page: ``id_col``, host, path, rule, verdict, trust, distrust.
 
     ``rules``: (action, host, path) with action allow or block, as tuples or a
@@ -135,7 +148,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFra
     seeds = counted.select("host", (F.col("good") / F.lit(float(total["good"] or 1))).alias("good"),
                            (F.col("bad") / F.lit(float(total["bad"] or 1))).alias("bad"))
     edges = links(rows).union(family(hosts, family_weight)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    ranks = propagate(edges, seeds, damping, rounds)
+    ranks = propagate(edges, seeds, damping, tolerance)
     share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
     bad = (F.col("trust") + F.col("distrust") > 0) & (share > threshold)
     known = hosts.join(ranks, "host", "left").join(fitting, "host", "left").select(
