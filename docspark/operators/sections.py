@@ -62,23 +62,46 @@ def markdown_column(text: Column, strip_headers: bool = True) -> Column:
         F.substring_index(F.substring_index(p, _NAME, 2), _NAME, -1).alias("name"),
         F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring_index(p, _NAME, -1), f"^{_PART}+|{_PART}+$", ""),
                                           f"{_PART}{{2,}}", "  \n"), _PART, "\n").alias("text")))
-    start = F.struct(*[F.lit(None).cast("string").alias(h) for h in HEADER_KEYS],
-                     F.array().cast(f"array<{SECTION}>").alias("out"))
+    # bound to a lambda variable, so that the pieces are made once and not once a block
+    return F.get(F.transform(F.array(pieces), _sections_of_pieces), 0)
+
+
+#: Pieces folded into one array: an array grows by copies, so a long text is folded block by block.
+_BLOCK_PIECES = 256
+
+
+def _sections_of_pieces(pieces: Column) -> Column:
+    """The fold of P1: the header path in force and the open section are carried along;
+    a section is put out when a piece of another path comes."""
+    none = [F.lit(None).cast("string").alias(h) for h in HEADER_KEYS]
+
+    def state_of(path, last, out) -> Column:
+        return F.struct(*path, last.cast(SECTION).alias("last"), out.alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         path = [F.when(piece["level"].isNull() | (piece["level"] > k), state[h]).when(piece["level"] == k, piece["name"]).alias(h)
                 for k, h in enumerate(HEADER_KEYS, 1)]
-        last = F.get(state["out"], F.size(state["out"]) - 1)
-        same = F.size(state["out"]) > 0
+        last = state["last"]
+        same = last.isNotNull()
         for h, now in zip(HEADER_KEYS, path, strict=True):
             same = same & last[h].eqNullSafe(now)
-        longer = F.concat(F.slice(state["out"], 1, F.greatest(F.size(state["out"]) - 1, F.lit(0))),
-                          F.array(F.struct(*path, F.concat(last["text"], F.lit("  \n"), piece["text"]).alias("text")).cast(SECTION)))
-        added = F.concat(state["out"], F.array(F.struct(*path, piece["text"].alias("text")).cast(SECTION)))
-        out = F.when(piece["text"] == "", state["out"]).when(same, longer).otherwise(added)
-        return F.struct(*path, out.alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda state: state["out"])
+        text = F.when(same, F.concat(last["text"], F.lit("  \n"), piece["text"])).otherwise(piece["text"])
+        keep = piece["text"] == ""
+        out = F.when(keep | same | last.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(last)))
+        return state_of(path, F.when(keep, last).otherwise(F.struct(*path, text.alias("text")).cast(SECTION)), out)
+
+    def block(state: Column, at: Column) -> Column:
+        inner = state_of([state[h].alias(h) for h in HEADER_KEYS], state["last"], F.array().cast(f"array<{SECTION}>"))
+        some = F.slice(pieces, at * _BLOCK_PIECES + 1, F.lit(_BLOCK_PIECES))
+        # one fold a block: its result is a lambda variable, too
+        folded = F.aggregate(some, inner, step)
+        return F.get(F.transform(F.array(folded), lambda f: state_of([f[h].alias(h) for h in HEADER_KEYS], f["last"],
+                                                                     F.concat(state["out"], F.array(f["out"])))), 0)
+
+    start = state_of(none, F.lit(None), F.array().cast(f"array<array<{SECTION}>>"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK_PIECES).cast("int"))
+    return F.aggregate(blocks, start, block, lambda s: F.when(s["last"].isNull(), F.flatten(s["out"])).otherwise(
+        F.concat(F.flatten(s["out"]), F.array(s["last"]))))
 
 
 # ------------------------------------------------------------------ P2

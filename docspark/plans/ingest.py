@@ -77,9 +77,23 @@ def preprocess(docs: DataFrame, registry=None, steps: Collection[str] = C.DEFAUL
     if registry is not None and (registry.splitters or registry.chunkers):
         return _finish(_with_registry(d, registry, steps, blank_lines, kinds, sections or {}, how), extra)
     d = ensure_parallelism(d)
+    several = [c for c in ("page", "row") if c in d.columns and c in docs.columns]
+    if not several:
+        return _finish(_chunk_rows(d, cutter, steps, blank_lines, kinds, sections or {}, []), extra)
+    # the one row of a plain file needs no join: only files of several rows pass the shuffle
+    many = F.lit(False)
+    for c in several:
+        many = many | F.col(c).isNotNull()
+    parts = [_chunk_rows(some, cutter, steps, blank_lines, kinds, sections or {}, order)
+             for some, order in ((d.where(~many), []), (d.where(many), several))]
+    return _finish(parts[0].unionByName(parts[1]), extra)
+
+
+def _chunk_rows(d: DataFrame, cutter, steps, blank_lines: int, kinds, sections: dict, several: Sequence[str]) -> DataFrame:
+    """A row a chunk with ``chunk_index``; ``several``: what orders the rows of a file, if it has more than one."""
     prior = [h for h in P.HEADER_KEYS if h in d.columns]
     keep = [c for c in d.columns if c not in ("text", *P.HEADER_KEYS, *_INTERNAL)]
-    found = P.sections_column(F.col("text"), F.col("file_ext"), kinds, cutter.size, **(sections or {}))
+    found = P.sections_column(F.col("text"), F.col("file_ext"), kinds, cutter.size, **sections)
     d = d.select(*keep, *prior, found.alias("_sections"))
     d = d.withColumn("_texts", _texts_column(F.col("_sections"), steps, blank_lines))
     d = d.withColumn("_chunks", _chunks_column(F.col("_texts"), cutter)).drop("_texts")
@@ -90,30 +104,21 @@ def preprocess(docs: DataFrame, registry=None, steps: Collection[str] = C.DEFAUL
         return F.transform(chunks, lambda c: F.struct(*heads, c["start_index"].alias("start_index"), c["text"].alias("text")))
 
     rows = d.select(*keep, F.flatten(F.transform("_chunks", laid)).alias("_rows"))
-    several = [c for c in ("page", "row") if c in rows.columns and c in docs.columns]
-    if several:
-        rows = _placed(rows, several)
-        first = F.coalesce("_before", F.lit(0))
-    else:
-        first = F.lit(0)
+    rows = _placed(rows, several) if several else rows.withColumn("_before", F.lit(0).cast("bigint"))
     # the outer form: an inner one would infer a filter on the array, and so compute it twice
-    rows = rows.select(*keep, first.alias("_first"), F.posexplode_outer("_rows").alias("_at", "_c")).where("_c is not null")
+    rows = rows.select(*keep, F.col("_before").alias("_first"), F.posexplode_outer("_rows").alias("_at", "_c")).where("_c is not null")
     rows = rows.withColumn("chunk_index", (F.col("_first") + F.col("_at")).cast("int"))
-    return _finish(rows.select(*keep, "chunk_index", "_c.*"), extra)
+    return rows.select(*keep, "chunk_index", "_c.*")
 
 
 def _placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds ``_before``: chunks of the rows before in the file, for the rows of files that are
-    several; only their chunk counts are shuffled and joined back."""
+    """Adds ``_before``: chunks of the rows before in the file. The chunk counts alone meet by file."""
     part = F.struct("source", *order)
-    many = F.lit(False)
-    for c in order:
-        many = many | F.col(c).isNotNull()
-    counts = rows.where(many).groupBy(part.alias("_part")).agg(F.sum(F.size("_rows")).alias("_n"))
+    counts = rows.groupBy(part.alias("_part")).agg(F.sum(F.size("_rows")).alias("_n"))
     before = Window.partitionBy("_part.source").orderBy(*[F.col(f"_part.{c}").asc_nulls_first() for c in order])
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)),
                                                F.lit(0)).alias("_before"))
-    return rows.withColumn("_part", F.when(many, part)).join(counts, "_part", "left").drop("_part")
+    return rows.withColumn("_part", part).join(counts, "_part").drop("_part")
 
 
 def _with_registry(d: DataFrame, registry, steps, blank_lines, kinds, sections, how) -> DataFrame:

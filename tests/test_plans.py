@@ -70,3 +70,20 @@ def test_change_counts_broadcasts_only_the_label_table(spark):
     import __spark_entry__ as E
     p = plan_of(E.queries()["change_counts"](spark, SF001))
     assert "BroadcastExchange" in p
+
+
+def test_plain_files_pass_no_shuffle_for_their_place(spark, scratch):
+    """Files of one row are chunked where they lie, also beside files of several rows."""
+    from docspark.plans.ingest import preprocess
+    rows = [(f"f{i}.txt", "text " * 50, None) for i in range(20)] + [("c.csv", f"name: {i}", i) for i in range(5)]
+    spark.createDataFrame(rows, "source string, text string, row int").write.parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    out = preprocess(docs)
+    assert sorted((r.source, r.chunk_index) for r in out.collect() if r.source == "c.csv") == [("c.csv", i) for i in range(5)]
+    assert {r.chunk_index for r in out.collect() if r.source != "c.csv"} == {0}
+    plain = preprocess(docs.withColumn("row", F.lit(None).cast("int")))
+    assert "Exchange hashpartitioning" not in plain._jdf.queryExecution().executedPlan().toString() and plain.count() == 25
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    union = plan[plan.index("Union"):]
+    first, second = union.split("\n:- ", 1)[1].split("\n+- ", 1)
+    assert "Join" not in first and "Join" in second

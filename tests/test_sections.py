@@ -103,3 +103,31 @@ def test_section_metadata_override(spark):
                                "source string, text string, file_ext string, h1 string, h3 string")
     r = P.structure_split(df).collect()[0]
     assert (r.h1, r.h3) == ("H", "doc-h3")
+
+
+def test_markdown_with_many_headings(spark):
+    """The fold goes block by block: paths, merges and order hold over the blocks' borders."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from docspark.operators import sections as P
+    rng = random.Random(5)
+    lines, want, path = [], [], {}
+    for i in range(1500):
+        level = rng.choice([1, 2, 2, 3, 4, 4, 5])
+        if level <= 4 and rng.random() < 0.8:
+            name = f"h{rng.randrange(3)}"
+            path = {k: v for k, v in path.items() if k < level} | {level: name}
+            lines.append(f"{'#' * level} {name}")
+        if rng.random() < 0.7:
+            lines += [f"text {i}", ""]
+            key = tuple(path.get(k) for k in range(1, 5))
+            if want and want[-1][0] == key:
+                want[-1][1].append(f"text {i}")
+            else:
+                want.append((key, [f"text {i}"]))
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "# only\n")], "id int, text string")
+    got = {r.id: r.s for r in df.select("id", P.markdown_column(F.col("text")).alias("s")).collect()}
+    assert len(want) > 2 * P._BLOCK_PIECES and got[2] == [] and got[3] == []
+    assert [((s.h1, s.h2, s.h3, s.h4), s.text) for s in got[1]] == [(k, "  \n".join(t)) for k, t in want]
