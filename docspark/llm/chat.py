@@ -80,14 +80,6 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         (start + F.col("head_chars")).alias("text_start"), (end - len(CLOSE)).alias("text_end"), end.alias("end"))
 
 
-def mark_targets(segments: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """``segments`` with example, loss_start and loss_end: the example that a turn ends and its loss mask, null for others."""
-    target = F.col("role") == target_role
-    return (segments.withColumn("example", F.when(target, F.col("place")))
-            .withColumn("loss_start", F.when(target, F.col("text_start")))
-            .withColumn("loss_end", F.when(target, F.col("text_end"))))
-
-
 def expand(segments: DataFrame, target_role: str = "assistant") -> DataFrame:
     """One row an example: a turn of ``target_role`` with all before it as context.
 
@@ -96,9 +88,10 @@ def expand(segments: DataFrame, target_role: str = "assistant") -> DataFrame:
     its context ends at ``context_end``, and its loss mask is ``[loss_start,
     loss_end)``, the reply alone. Every reply is trainable in exactly one example.
     """
-    return mark_targets(segments, target_role).where("example is not null").select(
-        "conv_id", "example", (F.col("place") - 1).alias("context_turns"), F.col("start").alias("context_end"),
-        F.col("end").alias("text_end"), "loss_start", "loss_end")
+    return segments.where(F.col("role") == target_role).select(
+        "conv_id", F.col("place").alias("example"), (F.col("place") - 1).alias("context_turns"),
+        F.col("start").alias("context_end"), F.col("end").alias("text_end"),
+        F.col("text_start").alias("loss_start"), F.col("text_end").alias("loss_end"))
 
 
 def render(segments: DataFrame, examples: DataFrame) -> DataFrame:
@@ -113,17 +106,21 @@ def render(segments: DataFrame, examples: DataFrame) -> DataFrame:
             .withColumn("text", F.concat_ws("", F.col("p.segment"))).drop("p"))
 
 
-def read_turns(marked: DataFrame) -> DataFrame:
-    """The turns read back from ``mark_targets``: conv_id, place, role, text, loss_text, chars.
+def read_turns(segments: DataFrame, examples: DataFrame) -> DataFrame:
+    """The turns read back from ``expand``'s examples: conv_id, place, role, text, loss_text, chars.
 
     Role and text are parsed from the segment alone; ``loss_text`` is what lies
-    under the loss mask of the example that ends with the segment (null: none),
-    unescaped."""
+    under the loss mask of the example whose reply is at that place (null: none),
+    unescaped. An example is joined with the one segment that ends it, so the
+    table is as long as the conversations are, whatever the examples' contexts."""
+    spans = examples.select(F.col("conv_id").alias("example_conv"), "example", "context_end", "loss_start", "loss_end")
+    rows = segments.select("conv_id", "place", "segment").join(
+        spans, F.col("conv_id").eqNullSafe(F.col("example_conv")) & (F.col("place") == F.col("example")), "left")
     mark = F.locate(HEAD_END, F.col("segment"))
     role = F.substring(F.col("segment"), F.lit(len(OPEN) + 1), mark - F.lit(len(OPEN) + 1))
     text = F.substring(F.col("segment"), mark + F.lit(len(HEAD_END)),
                        F.length("segment") - mark - F.lit(len(HEAD_END) + len(CLOSE) - 1))
-    loss = F.substring(F.col("segment"), (F.col("loss_start") - F.col("start") + 1).cast("int"),
+    loss = F.substring(F.col("segment"), (F.col("loss_start") - F.col("context_end") + 1).cast("int"),
                        (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return marked.select("conv_id", "place", unescape(role).alias("role"), unescape(text).alias("text"),
-                         unescape(loss).alias("loss_text"), F.length("segment").alias("chars"))
+    return rows.select("conv_id", "place", unescape(role).alias("role"), unescape(text).alias("text"),
+                       unescape(loss).alias("loss_text"), F.length("segment").alias("chars"))

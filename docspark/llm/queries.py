@@ -30,14 +30,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a conversation, read back from its segments and loss masks. The two
-    digests are each one hash over a whole conversation, so its turns meet here."""
+    """A row a conversation, read back from its segments and the loss masks of its
+    examples. The two digests are each one hash over a whole conversation, so its
+    turns meet here."""
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    read = chat.read_turns(chat.mark_targets(chat.format_turns(turns)))
+    segments = chat.format_turns(turns)
+    read = chat.read_turns(segments, chat.expand(segments))
     whole = read.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.sum("chars").alias("formatted_chars"),
         F.sort_array(F.collect_list(F.struct("place", "role", "text", "loss_text"))).alias("t"))

@@ -40,7 +40,7 @@ def expected():
 def test_round_trip_and_masks(spark):
     segments = chat.format_turns(frame(spark))
     got, loss, texts = defaultdict(list), defaultdict(str), defaultdict(str)
-    for r in sorted(chat.read_turns(chat.mark_targets(segments)).collect(), key=lambda r: r.place):
+    for r in sorted(chat.read_turns(segments, chat.expand(segments)).collect(), key=lambda r: r.place):
         got[r.conv_id].append((r.role, r.text))
         loss[r.conv_id] += r.loss_text or ""
     want = expected()
@@ -88,10 +88,22 @@ def test_query_equals_sql(spark):
     assert rows[-7].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and rows[-7].loss_chars == len(said)
 
 
+def test_loss_comes_from_the_examples(spark, monkeypatch):
+    segments = chat.format_turns(frame(spark))
+    none = chat.read_turns(segments, chat.expand(segments).limit(0))
+    assert none.where("loss_text is not null").count() == 0 and none.count() == len(turns())
+    users = chat.read_turns(segments, chat.expand(segments, "user")).where("loss_text is not null")
+    assert {r.role for r in users.collect()} == {"user"}
+    monkeypatch.delattr(chat, "expand")
+    with pytest.raises(AttributeError):
+        queries.QUERIES["op2_chat_prefix_targets"](spark, SF001)
+
+
 def test_empty(spark):
     df = frame(spark).limit(0)
     segments = chat.format_turns(df)
     assert segments.count() == 0 and chat.expand(segments).count() == 0
+    assert chat.read_turns(segments, chat.expand(segments)).count() == 0
 
 
 @pytest.mark.parametrize("text", [t for t in TEXTS if t])
