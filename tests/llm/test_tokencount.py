@@ -1,3 +1,4 @@
+import math
 import random
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from docspark.llm import queries, tokencount
 
 @pytest.fixture(scope="module")
 def pieces():
-    return tokencount.read_pieces()
+    return tokencount.zipf_scores(tokencount.read_pieces())
 
 
 def brute(pretoken, pieces, penalty=10.0):
@@ -56,18 +57,57 @@ def test_bounded_trie_gives_equal_counts(pieces, monkeypatch):
             assert small.terminal[w] == whole.tokens(tokencount.MARK + w.decode())
 
 
-def test_equals_the_library_in_unigram_mode(pieces):
+def test_equals_the_library_in_unigram_mode():
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     proto = pb.ModelProto()
     proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
     proto.trainer_spec.model_type = 1  # unigram
     model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    trie = tokencount.Trie(pieces)
+    trie = tokencount.Trie(tokencount.read_pieces())
     plain = [w for w in words() if w.isascii() and w]
     # its n-best list ranks by score alone; the single best comes from a shortcut that can miss it
     assert all(len(model.nbest_encode(w, nbest_size=2)[0]) == trie.tokens(tokencount.MARK + w) for w in plain)
 
 
+def test_scores_are_log_probabilities(pieces):
+    assert abs(sum(math.exp(s) for s in pieces.values()) - 1) < 1e-9
+    raw = tokencount.read_pieces()
+    assert sorted(raw, key=lambda p: (-raw[p], p)) == sorted(pieces, key=lambda p: -pieces[p])
+    trie = tokencount.Trie(pieces)
+    for w in ("the", "language", "processing", "international"):
+        assert trie.tokens(tokencount.MARK + w) == 1
+    assert tokencount.zipf_scores({}) == {}
+
+
+def test_near_the_files_own_tokenizer(spark):
+    """The best segmentation under the scores is not that of the merges, yet hardly longer."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect() if r.text]
+    own = sum(map(len, model.encode(texts, num_threads=1)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sum(r.n_tokens for r in tokencount.count_tokens(df).collect())
+    assert abs(got / own - 1) < 0.05, (got, own)
+
+
+def test_long_words(pieces):
+    rng = random.Random(8)
+    trie = tokencount.Trie(pieces)
+    for n in (511, 512, 513, 600, 5_000):
+        w = "".join(rng.choices("theandiornx\u00e9\u4e2d🙂", k=n))
+        assert trie.tokens(tokencount.MARK + w) == brute(tokencount.MARK + w, pieces), n
+    # nodes and kept words do not grow with a word's length
+    before = len(trie.score)
+    assert trie.total([b"the", b"a" * 50_000, b"a" * 50_000]) == trie.tokens(tokencount.MARK + "the") + 2 * trie.tokens(tokencount.MARK + "a" * 50_000)
+    assert len(trie.score) < before + 2 * tokencount.DEPTH and set(trie.terminal) == {b"the"}
+
+
+def test_bounds_within_one_text(pieces, monkeypatch):
+    monkeypatch.setattr(tokencount, "NODES", 50)
+    trie, many = tokencount.Trie(pieces), [w.encode() for w in words() if w]
+    assert trie.total(many) == sum(brute(tokencount.MARK + w.decode(), pieces) for w in many)
+    assert len(trie.score) <= 50 + tokencount.DEPTH
+
+
 def test_documents(spark, pieces):
     rows = [(1, "the theory of the theories"), (2, None), (3, ""), (4, " \t\n"), (5, "a\u00a0b c"), (1, "the theory of the theories"), (None, "x"),
             (6, "the " * 100_000)]
