@@ -4,9 +4,10 @@ A document's blocks (lines, and paragraphs of several lines) that hold a cue
 word are candidates. Windows around their cues, three times as long as the
 longest notice, are compressed with zstandard, alone and once with every
 template as raw dictionary, and the templates are ranked by the bytes they save.
-In that order each is confirmed by the exact differences in wording: every word
-of the template is there, in order, and next to none stands between them but in
-the template's variable parts. Scans are row-local, without a shuffle.
+In that order they are compared by the exact differences in wording, and the first
+that is confirmed wins: every word of the template is there, in order, and next to
+none stands between them but in the template's variable parts. So of notices that
+begin alike, the one that explains most of the window is reported. Scans are row-local, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,15 +25,24 @@ from pyspark.sql import types as T
 
 from docspark.llm.common import workers_ready
 
-#: Notices by licence; <...> marks a variable part of at most VARIABLE words.
+#: Notices by licence, as their licences word them; <...> marks a variable part of at most VARIABLE words.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.", "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+        "with the License."),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version."),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
@@ -129,7 +139,7 @@ class Scanner:
 
     def match(self, said: list[str]) -> tuple | None:
         """(first word, word after the last, license, template, saved, extra words) of the
-        confirmed winner among the ``tried`` best, or among all."""
+        first template that is confirmed, in the order of the rank, among the ``tried`` best or all."""
         window, starts = joined(said)
         if window not in self.seen:
             if len(self.seen) > _KEPT:
@@ -138,7 +148,7 @@ class Scanner:
         return self.seen[window]
 
     def _match(self, said: list[str], window: str, starts: list[int]) -> tuple | None:
-        there, best = {"", *said}, None
+        there = {"", *said}
         for saved, i in self.rank(said)[:self.tried]:
             name, text, fixed = self.known[i]
             if not there.issuperset(fixed):
@@ -149,9 +159,8 @@ class Scanner:
             else:
                 missing, extra, (first, last) = differences(fixed, said)
             if first < last and not missing and len(extra) * 10 <= len(fixed):
-                if best is None or (len(extra), -len(fixed)) < best[0]:
-                    best = ((len(extra), -len(fixed)), (first, last, name, text, saved, extra))
-        return best and best[1]
+                return first, last, name, text, saved, extra
+        return None
 
 
 def notices(scanner: Scanner, said: list[str]) -> list[tuple]:
@@ -207,8 +216,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a notice found: ``id_col``, start, end, license, template, saved_bytes, extra_words, exact.
 
     ``start`` and ``end`` are code points in the text, from the first to the
-    last word matched. All templates (or the ``tried`` that save most) are compared
-    word by word; the winner lacks no word, and extra words inside it are a tenth of
+    last word matched. The templates (all, or the ``tried`` that save most) are compared
+    word by word in the order of bytes saved, up to the first that is confirmed; it lacks no word, and extra words inside it are a tenth of
     its words at most (``exact``: none). ``saved_bytes`` are those of the window
     around the cue; they order the templates and rule none out. Null or empty
     texts and texts without a cue have no rows; repeated rows are scanned each.
