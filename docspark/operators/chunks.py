@@ -8,6 +8,11 @@ chunk costs two searches whatever the number of spans. Spans that are not
 shorter are cut again by the separators after it. Chunks of short spans are
 trimmed, and dropped if nothing is left.
 
+Where a tokenizer gives the places of its tokens, a text is tokenised once, and
+sizes are differences in the sorted places of the tokens' borders. As a chunk by itself
+may have other tokens than within its text, a chunk counts as fitting only
+when its own tokens do.
+
 K1 is an Arrow-batched pandas UDF (narrow, no shuffle); K7-K11 are column
 expressions and joins of small tables.
 """
@@ -17,7 +22,7 @@ from __future__ import annotations
 import warnings
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -106,11 +111,120 @@ class Chunker:
         return out
 
 
+Spans = Sequence[tuple[int, int]]
+
+
+class TokenChunker(Chunker):
+    """K5 with token offsets: ``tokens`` gives the (start, end) of each token of a text, in order.
+
+    No chunk has more than ``size`` tokens when it is tokenised by itself, but for a
+    single character that has. Spans too long for any separator are cut between tokens.
+    Chunks are slices of the text, separators between their spans included, so
+    ``start_index`` is exact. ``overlap`` counts tokens of the whole text."""
+
+    def __init__(self, tokens: Callable[[str], Spans], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                 separators: Sequence[str] = DEFAULT_SEPARATORS, keep: bool | str = "end"):
+        super().__init__(size, overlap, separators, keep)
+        if self.size < 1:
+            raise ValueError("a chunk has at least one token")
+        self.tokens = tokens
+
+    def slices(self, text: str | None) -> Iterator[tuple[int, int]]:
+        """The chunks' places in the text, trimmed, without empty ones."""
+        found = [(a, b) for a, b in self.tokens(text or "") if a < b]
+        starts, ends = sorted(a for a, _ in found), sorted(b for _, b in found)
+
+        def inside(a: int, b: int) -> int:
+            """Tokens that lie in ``[a, b)``, in part or whole."""
+            return max(0, bisect_left(starts, b) - bisect_right(ends, a))
+
+        whole = text or ""
+        for a, b in self.laid(whole, self.pieces(whole, 0, len(whole), 0, starts, inside), starts, inside):
+            a, b = _trimmed(whole, a, b)
+            if a < b:
+                yield a, b
+
+    def pieces(self, text: str, lo: int, hi: int, level: int, starts: list[int], inside) -> Iterator[tuple[int, int, int]]:
+        """Short spans in order with the number of the cut that each comes of: neighbours of one cut may share a chunk."""
+        todo, groups = [(lo, hi, level, 0)], 0
+        while todo:
+            a, b, level, group = todo.pop()
+            if level < 0:
+                yield a, b, group
+                continue
+            groups += 1
+            found = next((i for i in range(level, len(self.separators)) if self.separators[i] and text.find(self.separators[i], a, b) >= 0), None)
+            if found is None:  # between its tokens; neighbours make chunks as words do
+                cuts = sorted({a, *starts[bisect_right(starts, a):bisect_left(starts, b)], b})
+                todo += [(x, y, -1, groups) for x, y in zip(cuts, cuts[1:])][::-1]
+                continue
+            parts = self.spans(text, a, b, self.separators[found])
+            todo += [(x, y, -1 if inside(x, y) < self.size else found + 1, groups) for x, y in parts][::-1]
+
+    def fits(self, text: str, a: int, b: int) -> bool:
+        a, b = _trimmed(text, a, b)
+        return b - a <= 1 or len(self.tokens(text[a:b])) <= self.size
+
+    def laid(self, text: str, pieces: Iterator[tuple[int, int, int]], starts: list[int], inside) -> Iterator[tuple[int, int]]:
+        for _, some in groupby(pieces, key=lambda p: p[2]):
+            spans = [p[:2] for p in some]
+            n, first, last = len(spans), 0, 0
+            while last < n:
+                begin, done = spans[first][0], last
+                last = max(done + 1, bisect_right(range(n), self.size, lo=done, key=lambda i: inside(begin, spans[i][1])))
+                while not self.fits(text, spans[first][0], spans[last - 1][1]):
+                    if last > done + 1:      # without its last span
+                        last -= max(1, (last - done - 1) // 16)
+                    elif first < done:       # with less overlap
+                        first += 1
+                    else:
+                        break
+                if last == done + 1 and first == done and not self.fits(text, *spans[done]):
+                    yield from self.halved(text, *spans[done], starts)
+                else:
+                    yield spans[first][0], spans[last - 1][1]
+                if last < n:
+                    end, after = spans[last - 1][1], spans[last][1]
+                    first = next((i for i in range(first, last) if inside(spans[i][0], end) <= self.overlap
+                                  and inside(spans[i][0], after) <= self.size), last)
+
+    def halved(self, text: str, a: int, b: int, starts: list[int]) -> Iterator[tuple[int, int]]:
+        """A span that does not fit by itself, cut at its middle token, or its middle character, until its parts do."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if self.fits(text, a, b):
+                yield a, b
+                continue
+            x, y = bisect_right(starts, a), bisect_left(starts, b)
+            cut = starts[(x + y) // 2] if x < y else (a + b) // 2
+            todo += [(cut, b), (a, cut)]
+
+    def chunks(self, text: str | None) -> list[str]:
+        return [(text or "")[a:b] for a, b in self.slices(text)]
+
+    def placed(self, text: str | None) -> list[tuple[str, int]]:
+        return [((text or "")[a:b], a) for a, b in self.slices(text)]
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    return a, b
+
+
 def chunker(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = DEFAULT_SEPARATORS,
-            keep: bool | str = "end", unit: str = "char", length: Callable[[str], int] | None = None) -> Chunker:
-    """K5: ``unit`` "token" counts by ``length``; without one it warns and counts characters."""
+            keep: bool | str = "end", unit: str = "char", length: Callable[[str], int] | None = None,
+            tokens: Callable[[str], Spans] | None = None) -> Chunker:
+    """K5: ``unit`` "token" counts by ``tokens`` (the places of a text's tokens: one call a text and one a
+    chunk, sizes hold) or by ``length`` (the length of a piece, one call each; sums of
+    pieces are taken for the length of a chunk); without either it warns and counts characters."""
     if unit not in ("char", "token"):
         raise ValueError(f"unknown length unit {unit!r}")
+    if unit == "token" and tokens is not None:
+        return TokenChunker(tokens, size, overlap, separators, keep)
     if unit == "token" and length is None:
         warnings.warn("no token length function given: chunk sizes count characters", stacklevel=2)
     return Chunker(size, overlap, separators, keep, length if unit == "token" else None)

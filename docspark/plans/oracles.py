@@ -501,6 +501,8 @@ cl as (select doc_id, 'kb/' || cast(doc_id as varchar) || '.txt' as source, rege
 """
 oracle("chunk_invariants", f"""
 with {_CLEANED} select doc_id, true as all_placed, true as all_fit, true as covered from cl where t <> ''""")
+oracle("token_chunks", f"""
+with {_CLEANED} select doc_id, true as all_fit, cast(length(regexp_replace(t, '\\s', '', 'g')) as bigint) as solid from cl where t <> ''""")
 oracle("single_chunk_ids", f"""
 with {_CLEANED}
 select doc_id, case when length(t) <= 1000 then sha1(source || '||p=||s=0||th=' || sha1(t)) end as chunk_id from cl where t <> ''""")

@@ -7,6 +7,7 @@ the same aliases as the SQL oracles in ``oracles.py``.
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -281,6 +282,25 @@ def chunk_invariants(spark, sf):
         (F.sum(solid("text")) >= F.max("solid")).alias("covered"))
 
 
+_FOUR = re.compile(r"[^ \t\n\x0b\f\r]{1,4}")
+
+
+def _runs_of_four(text: str) -> list[tuple[int, int]]:
+    """Tokens of the query below: runs of up to four characters without white space."""
+    return [m.span() for m in _FOUR.finditer(text)]
+
+
+@query
+def token_chunks(spark, sf):
+    """K5 over all documents, whole texts: chunks of at most 200 tokens, counted again in each chunk; without
+    an overlap they have every character that is not white space exactly once."""
+    d = C.clean_text(_t(spark, sf, "documents").select("doc_id", "text"))
+    ch = K.recursive_chunks(d, "text", size=200, overlap=0, unit="token", tokens=_runs_of_four)
+    tokens = F.size(F.regexp_extract_all("text", F.lit(_FOUR.pattern), F.lit(0)))
+    return ch.groupBy("doc_id").agg((F.max(tokens) <= 200).alias("all_fit"),
+                                    F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("solid"))
+
+
 @query
 def single_chunk_ids(spark, sf):
     """K10 on K1's output: the id where the cleaned text is one chunk, null elsewhere."""

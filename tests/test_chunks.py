@@ -121,3 +121,87 @@ def test_token_length_unit():
         assert K.chunker(5, 0, [" ", ""], False, "token").chunks("one two three") == ["one", "two", "three"]
     with pytest.raises(ValueError):
         K.chunker(unit="line")
+
+
+def subwords(text):
+    """Greedy pieces of a small vocabulary: a text cut inside one has other tokens than before."""
+    out, at = [], 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        wide = next(len(p) for p in ("abcabc", "bca", "abc", "ca", "b.", text[at]) if text.startswith(p, at))
+        out.append((at, at + wide))
+        at += wide
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abc .,\n。\u00e9")), max_size=600), st.integers(1, 40), st.integers(0, 12),
+       st.sampled_from(["end", "start", False]))
+def test_token_sizes_hold(text, size, overlap, keep):
+    placed = K.chunker(size, overlap, keep=keep, unit="token", tokens=subwords).placed(text)
+    seen = set()
+    for c, at in placed:
+        assert c and c == c.strip() and text[at:at + len(c)] == c
+        assert len(subwords(c)) <= size
+        seen |= set(range(at, at + len(c)))
+    starts = [at for _, at in placed]
+    assert starts == sorted(starts)
+    if keep:
+        assert all(i in seen for i, c in enumerate(text) if not c.isspace())
+    else:
+        lost = {c for i, c in enumerate(text) if i not in seen}
+        assert all(c.isspace() or c in DEFAULT_SEPARATORS for c in lost)
+    if not overlap:
+        assert sum(len(c) for c, _ in placed) == len(seen)
+
+
+def brute_words(text, size, overlap):
+    """Words laid by hand: as many as fit, then back by at most ``overlap`` of them, and never the whole."""
+    words, out, first, last = text.split(), [], 0, 0
+    while last < len(words):
+        last = max(last + 1, min(len(words), first + size))
+        out.append(" ".join(words[first:last]))
+        first = max(first, last - min(overlap, size - 1))
+    return out
+
+
+def test_token_chunks_of_plain_words():
+    import re
+    words = lambda s: [m.span() for m in re.finditer(r"\S+", s)]
+    for n in (0, 1, 4, 5, 6, 11, 60):
+        text = " ".join(f"w{i}" for i in range(n))
+        for size, overlap in ((5, 0), (5, 2), (5, 4), (1, 0), (2, 1)):
+            got = K.chunker(size, overlap, [" "], "end", "token", tokens=words).chunks(text)
+            want = brute_words(text, size, overlap)
+            if size > 1:  # a span as large as the size is cut again, here between its tokens
+                assert got == want, (n, size, overlap)
+            else:
+                assert got == text.split()
+
+
+def test_token_chunks_with_a_public_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from conftest import SF001
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = {}
+
+    def offsets(text):
+        if "t" not in kept:
+            kept["t"] = Tokenizer.from_file(path)
+            kept["t"].encode_special_tokens = True
+        return kept["t"].encode(text, add_special_tokens=False).offsets
+
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").where("doc_id < 60 and text is not null")
+    rows = K.recursive_chunks(d, "text", size=64, overlap=8, unit="token", tokens=offsets).collect()
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert len(rows) > len(texts)
+    for r in rows:
+        assert texts[r.doc_id][r.start_index:r.start_index + len(r.text)] == r.text
+        assert len(offsets(r.text)) <= 64
+    long = "\u4e2d\u6587🙂" * 4000  # no separator, several tokens a character
+    cut = K.chunker(64, 8, unit="token", tokens=offsets).chunks(long)
+    assert max(len(offsets(c)) for c in cut) <= 64 and len(cut) < 4000
