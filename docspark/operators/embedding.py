@@ -5,6 +5,10 @@ iterator pandas UDF, so a model is loaded once per Python worker and fed
 ``batch`` texts at a time. Without a function it uses a JVM-only offline
 embedding: tokenise -> hashed term counts -> L2 normalise (pyspark.ml), which
 keeps the whole stage in the JVM.
+
+``new_contents`` and ``with_contents`` embed by content: a text that a table of embeddings already
+holds, under its sha1 and the model's name, is not embedded again, and one that
+repeats is embedded once.
 """
 
 from __future__ import annotations
@@ -103,3 +107,46 @@ def embed(df: DataFrame, text_col: str = "text", fn: Optional[EmbeddingFn] = Non
     count = F.size(F.regexp_extract_all(head, F.lit(r"\S+"), F.lit(0)))
     df = df.withColumn("token_count", count).withColumn(out_col, _udf_embed(fn, batch)(head))
     return df.withColumn(out_col, l2_normalize_col(F.col(out_col)).cast("array<float>"))
+
+
+#: A text's embedding under a model, whoever holds the text.
+CONTENTS_SCHEMA = "text_key string, model string, embedding array<float>, token_count int"
+#: Texts that more than one row in so many has are looked up by broadcast: there are fewer than this number.
+HEAVY = 1000
+
+
+def text_key(text: Column) -> Column:
+    """sha1 of the text's UTF-8 bytes; null counts as empty."""
+    return F.sha1(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def new_contents(df: DataFrame, known: DataFrame, model: str, text_col: str = "text", **how) -> DataFrame:
+    """The rows that ``known`` (``CONTENTS_SCHEMA``) lacks for the texts of ``df``, a row a different text.
+
+    ``how``: arguments of ``embed``. Repeats of a text are dropped in the tasks before the shuffle
+    and before the model. What ``known`` holds of other models is not looked at."""
+    texts = df.select(text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.groupBy("text_key").agg(F.min("text").alias("text"))
+    held = known.where(F.col("model") == model).select("text_key")
+    fresh = embed(texts.join(held, "text_key", "left_anti"), "text", **how)
+    return fresh.select("text_key", F.lit(model).alias("model"), "embedding", "token_count")
+
+
+def with_contents(df: DataFrame, contents: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """``df`` with embedding and token_count looked up in ``contents``; texts it lacks have null.
+
+    A text that a large part of the rows has would send them all to one task: texts of
+    over a thousandth of the rows, so fewer than a thousand, are counted first and their
+    embeddings broadcast; the rest is joined by key. Of repeated entries the least is taken."""
+    own = "_text_key"
+    rows = df.drop("embedding", "token_count").withColumn(own, text_key(F.col(text_col)))
+    found = contents.where(F.col("model") == model).groupBy(F.col("text_key").alias(own)).agg(
+        F.min(F.struct("embedding", "token_count")).alias("_found"))
+    counts = rows.groupBy(own).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg((F.count(F.lit(1)) / HEAVY).alias("_most"))
+    heavy = counts.where(F.col("_n") > total.scalar()).select(own)
+    heavy_found = F.broadcast(heavy.join(found, own, "left").select(own, "_found", F.lit(True).alias("_heavy")))
+    marked = rows.join(heavy_found, own, "left")
+    light = marked.where("_heavy is null").drop("_found", "_heavy").join(found, own, "left")
+    both = marked.where("_heavy").drop("_heavy").unionByName(light)
+    return both.select(*[c for c in rows.columns if c != own], "_found.embedding", "_found.token_count")

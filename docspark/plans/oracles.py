@@ -501,6 +501,10 @@ cl as (select doc_id, 'kb/' || cast(doc_id as varchar) || '.txt' as source, rege
 """
 oracle("chunk_invariants", f"""
 with {_CLEANED} select doc_id, true as all_placed, true as all_fit, true as covered from cl where t <> ''""")
+oracle("embed_contents", """
+select doc_id, sha1(coalesce(text, '')) as text_key,
+       coalesce(text, '') in (select coalesce(text, '') from documents where lang = 'en') as reused, true as agrees
+from documents""")
 oracle("token_chunks", f"""
 with {_CLEANED} select doc_id, true as all_fit, cast(length(regexp_replace(t, '\\s', '', 'g')) as bigint) as solid from cl where t <> ''""")
 oracle("single_chunk_ids", f"""

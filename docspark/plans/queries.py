@@ -663,6 +663,21 @@ def embed(spark, sf):
     return E.embed(d, "text", dim=256).select("doc_id", "token_count", "embedding")
 
 
+@query
+def embed_contents(spark, sf):
+    """E1 by content over all documents, the English ones embedded before: which texts are looked up,
+    and whether every document has the vector that embedding it alone gives."""
+    from docspark.session import cut_lineage
+    d = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    known = cut_lineage(E.new_contents(d.where("lang = 'en'"), spark.createDataFrame([], E.CONTENTS_SCHEMA), "hashing", dim=64))
+    new = cut_lineage(E.new_contents(d, known, "hashing", dim=64))
+    found = E.with_contents(d, known.unionByName(new), "hashing").withColumn("text_key", E.text_key(F.col("text")))
+    alone = E.embed(d, "text", dim=64).select("doc_id", F.col("embedding").alias("own"))
+    reused = new.select("text_key", F.lit(False).alias("reused"))
+    return found.join(alone, "doc_id").join(reused, "text_key", "left").select(
+        "doc_id", "text_key", F.coalesce("reused", F.lit(True)).alias("reused"), (F.col("embedding") == F.col("own")).alias("agrees"))
+
+
 # =============================================================== R: retrieval
 def _doc_vectors(spark, sf):
     e = _t(spark, sf, "embeddings")

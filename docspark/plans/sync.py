@@ -24,7 +24,7 @@ from docspark.operators import ann
 from docspark.operators import changes as D
 from docspark.operators import chunks as K
 from docspark.operators import tables as TB
-from docspark.operators.embedding import embed
+from docspark.operators.embedding import CONTENTS_SCHEMA, embed, new_contents, text_key, with_contents
 from docspark.plans.ingest import preprocess
 from docspark.session import checkpoint_dir, cut_lineage
 from docspark.sources.files import load_documents, supported_files
@@ -57,10 +57,24 @@ class SyncResult:
     rejects: DataFrame
 
 
+def _distinct_numbers(df: DataFrame, bucket) -> list:
+    return sorted(r[0] for r in df.select(bucket).distinct().collect())
+
+
+def _embed_contents(spark: SparkSession, table_set: str, fresh: DataFrame, name: str, model: dict, count: int):
+    """(``fresh`` with embeddings, the read buckets of the set's contents, the rows new to them)."""
+    # vectors of other lengths or of texts cut elsewhere are other models'
+    name = "|".join(str(x) for x in (name, model["dim"] if model["fn"] is None else "fn", model["max_tokens"]))
+    read = _distinct_numbers(fresh, TB.bucket_of(text_key(F.col("text")), count))
+    known = TB.read_table(spark, table_set, "contents", CONTENTS_SCHEMA, read)
+    learned = cut_lineage(new_contents(fresh, known, name, **model))
+    return with_contents(fresh, known.unionByName(learned), name), known, learned
+
+
 def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool = True, only_supported: bool = True,
               confirm: bool = True, dry_run: bool = False, embed_fn=None, embed_batch: int = 128, dim: int = 256,
               max_tokens: Optional[int] = None, now: Optional[int] = None, registry=None, buckets: int = TB.BUCKETS, keep: Optional[int] = None,
-              index: bool = False, index_cells: Optional[int] = None, **how) -> SyncResult:
+              index: bool = False, index_cells: Optional[int] = None, embed_model: Optional[str] = None, **how) -> SyncResult:
     """One sync of the folders ``kb_roots`` into the tables under ``table_set``.
 
     A file that a loader rejects is in the result's ``rejects`` and stays out of
@@ -69,7 +83,9 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     splitters and chunkers are used. ``buckets``: of a set that has none yet. ``keep``:
     snapshots that stay (None: all). ``index``: a set that has no cell index gets one, of
     ``index_cells`` cells; one that has is kept up to date in any case, cell by cell.
-    ``how``: arguments of ``preprocess``."""
+    ``embed_model``: a name for ``embed_fn`` (another name for another model); embeddings are then kept by
+    content in the set's table ``contents``, and a text that it holds is not embedded again, wherever it
+    is found. The table keeps texts of deleted files. ``how``: arguments of ``preprocess``."""
     checkpoint_dir(spark)
     files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA)
     now = int(time.time()) if now is None else int(now)
@@ -90,7 +106,7 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     changes = cut_lineage(D.finalize(labelled))
 
     count = TB.bucket_count(spark, table_set, buckets)
-    touched = sorted(r[0] for r in changes.where(F.col("status") != "unchanged").select(TB.bucket_of(F.col("source"), count)).distinct().collect())
+    touched = _distinct_numbers(changes.where(F.col("status") != "unchanged"), TB.bucket_of(F.col("source"), count))
     has_tables = set(TB.TABLES) <= set(TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"])
     if not touched and (dry_run or has_tables) and (not index or ann.has_index(spark, table_set)):
         # nothing to do: a snapshot that shares all buckets
@@ -112,8 +128,14 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     docs, rejects = load_documents(spark, only_supported=only_supported, loaders=loaders, files=wanted)
     rejects = cut_lineage(rejects)
     fresh = K.dedupe_chunks(preprocess(docs.join(rejects.select("source"), "source", "left_anti"), registry=registry, **how))
-    if not dry_run:
-        fresh = embed(fresh, "text", fn=embed_fn, batch=embed_batch, dim=dim, max_tokens=max_tokens)
+    model = dict(fn=embed_fn, batch=embed_batch, dim=dim, max_tokens=max_tokens)
+    learned, new_buckets = None, []
+    if not dry_run and embed_model is not None:
+        fresh = cut_lineage(fresh)
+        fresh, known_contents, learned = _embed_contents(spark, table_set, fresh, embed_model, model, count)
+        new_buckets = _distinct_numbers(learned, TB.bucket_of(F.col("text_key"), count))
+    elif not dry_run:
+        fresh = embed(fresh, "text", **model)
     fresh = cut_lineage(fresh)
 
     # a rejected file is as good as deleted from the tables, and absent from the manifest
@@ -142,6 +164,11 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     for name, rows in (("vectors", next_vectors), ("chunks", next_chunks), ("files", next_files)):
         TB.write_snapshot(rows.withColumn(TB.BUCKET, bucket), table_set, name, n)
         written[name] = (rows.schema, touched)
+    if new_buckets:
+        by_text = TB.bucket_of(F.col("text_key"), count)
+        contents = known_contents.where(by_text.isin(new_buckets)).unionByName(learned)
+        TB.write_snapshot(contents.withColumn(TB.BUCKET, by_text), table_set, "contents", n)
+        written["contents"] = (contents.schema, new_buckets)
     if index or ann.has_index(spark, table_set):
         columns = ("id", "source", "embedding")
         before = TB.read_table(spark, table_set, "vectors", TB.VECTORS_SCHEMA).join(gone, "source", "left_anti").select(*columns)

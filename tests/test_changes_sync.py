@@ -272,3 +272,77 @@ def test_upsert_and_delete_with_repeated_ids(spark):
     ids = spark.createDataFrame([("b",), ("b",), ("a",)], "id string")
     assert [tuple(r) for r in TB.delete_vectors(old, ids=ids, where={"label": {"$lt": 2}}).collect()] == [("b", 2, 0)]
     assert TB.delete_vectors(old, ids=ids).count() == 0
+
+
+def _counting(folder):
+    """An embedding function that leaves a file a text it was asked for."""
+    def fn(texts):
+        import hashlib
+        import uuid
+        for t in texts:
+            with open(os.path.join(folder, uuid.uuid4().hex), "w", encoding="utf-8") as f:
+                f.write(t)
+        return [[float(b) + 1 for b in hashlib.sha1(t.encode()).digest()[:8]] for t in texts]
+    return fn
+
+
+def test_sync_embeds_a_text_once(spark, scratch):
+    kb, tables, asked = (os.path.join(scratch, x) for x in ("kb", "tables", "asked"))
+    os.makedirs(asked)
+    paragraphs = [f"paragraph {i} " + "word " * 150 for i in range(12)]
+    _write(f"{kb}/a.txt", "\n\n".join(paragraphs), 1_700_000_000)
+    _write(f"{kb}/b.txt", "the same text", 1_700_000_000)
+    _write(f"{kb}/c.txt", "the same text", 1_700_000_000)
+    how = dict(embed_fn=_counting(asked), buckets=8)
+
+    def vectors():
+        return {(os.path.basename(r.source), r.text): list(r.embedding)
+                for r in TB.read_table(spark, tables, "vectors", TB.VECTORS_SCHEMA).collect()}
+
+    sync_once(spark, [kb], tables, now=1, embed_model="m", **how)
+    first = vectors()
+    texts = {t for _, t in first}
+    assert len(os.listdir(asked)) == len(texts) < len(first)         # b and c share one
+    plain = os.path.join(scratch, "plain")
+    sync_once(spark, [kb], plain, now=1, embed_fn=_counting(os.path.join(scratch)), buckets=8)
+    assert {(os.path.basename(r.source), r.text): list(r.embedding)
+            for r in TB.read_table(spark, plain, "vectors", TB.VECTORS_SCHEMA).collect()} == first
+
+    # moved and copied files: the model is not called
+    os.rename(f"{kb}/a.txt", f"{kb}/moved.txt")
+    _write(f"{kb}/copy.txt", "the same text", 1_700_000_500)
+    n = len(os.listdir(asked))
+    sync_once(spark, [kb], tables, now=2, embed_model="m", **how)
+    assert len(os.listdir(asked)) == n
+    moved = vectors()
+    assert {t: v for (f, t), v in moved.items() if f == "moved.txt"} == {t: v for (f, t), v in first.items() if f == "a.txt"}
+    assert ("copy.txt", "the same text") in moved and not any(f == "a.txt" for f, _ in moved)
+
+    # one changed paragraph: only chunks with other texts than before
+    paragraphs[5] = "another " + paragraphs[5]
+    _write(f"{kb}/moved.txt", "\n\n".join(paragraphs), 1_700_000_900)
+    sync_once(spark, [kb], tables, now=3, embed_model="m", **how)
+    changed = {t for _, t in vectors()} - texts
+    assert 0 < len(os.listdir(asked)) - n == len(changed) < len(texts)
+
+    # another model shares nothing, and the old one is still there
+    n = len(os.listdir(asked))
+    _write(f"{kb}/b.txt", "the same text", 1_700_001_000)
+    sync_once(spark, [kb], tables, now=4, embed_model="m2", **how)
+    assert len(os.listdir(asked)) == n + 1
+
+
+def test_contents_with_a_hot_text(spark):
+    from docspark.operators import embedding as E
+    rows = [(i, "hot" if i % 3 else f"t{i}", "x") for i in range(3000)] + [(3001, None, "x"), (3002, "", "x"), (3001, None, "x")]
+    df = spark.createDataFrame(rows, "id long, text string, model string")
+    none = spark.createDataFrame([], E.CONTENTS_SCHEMA)
+    known = E.new_contents(df.where("text = 'hot'"), none, "m", dim=8)
+    new = E.new_contents(df, known, "m", dim=8)
+    assert known.count() == 1 and new.count() == 1001
+    got = E.with_contents(df, known.unionByName(new).unionByName(known), "m")
+    assert got.columns == ["id", "text", "model", "embedding", "token_count"]
+    want = E.embed(df, "text", dim=8)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert E.with_contents(df, known, "m2").where("embedding is not null").count() == 0
+    assert E.with_contents(df.limit(0), known, "m").count() == 0 and E.new_contents(df.limit(0), known, "m").count() == 0
