@@ -57,15 +57,10 @@ class SyncResult:
     rejects: DataFrame
 
 
-def _distinct_numbers(df: DataFrame, bucket) -> list:
-    return sorted(r[0] for r in df.select(bucket).distinct().collect())
-
-
-def _embed_contents(spark: SparkSession, table_set: str, fresh: DataFrame, name: str, model: dict, count: int):
-    """(``fresh`` with embeddings, the read buckets of the set's contents, the rows new to them)."""
+def _embed_contents(spark: SparkSession, table_set: str, fresh: DataFrame, name: str, model: dict, read: list):
+    """(``fresh`` with embeddings, the buckets ``read`` of the set's contents, the rows new to them)."""
     # vectors of other lengths or of texts cut elsewhere are other models'
     name = "|".join(str(x) for x in (name, model["dim"] if model["fn"] is None else "fn", model["max_tokens"]))
-    read = _distinct_numbers(fresh, TB.bucket_of(text_key(F.col("text")), count))
     known = TB.read_table(spark, table_set, "contents", CONTENTS_SCHEMA, read)
     learned = cut_lineage(new_contents(fresh, known, name, **model))
     return with_contents(fresh, known.unionByName(learned), name), known, learned
@@ -86,6 +81,9 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     ``embed_model``: a name for ``embed_fn`` (another name for another model); embeddings are then kept by
     content in the set's table ``contents``, and a text that it holds is not embedded again, wherever it
     is found. The table keeps texts of deleted files. ``how``: arguments of ``preprocess``."""
+    def numbers(df: DataFrame, bucket) -> list:
+        return sorted(r[0] for r in df.select(bucket).distinct().collect())
+
     checkpoint_dir(spark)
     files = TB.read_table(spark, table_set, "files", TB.FILES_SCHEMA)
     now = int(time.time()) if now is None else int(now)
@@ -106,7 +104,7 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     changes = cut_lineage(D.finalize(labelled))
 
     count = TB.bucket_count(spark, table_set, buckets)
-    touched = _distinct_numbers(changes.where(F.col("status") != "unchanged"), TB.bucket_of(F.col("source"), count))
+    touched = numbers(changes.where(F.col("status") != "unchanged"), TB.bucket_of(F.col("source"), count))
     has_tables = set(TB.TABLES) <= set(TB.read_layout(spark, table_set, TB.current_snapshot(spark, table_set))["tables"])
     if not touched and (dry_run or has_tables) and (not index or ann.has_index(spark, table_set)):
         # nothing to do: a snapshot that shares all buckets
@@ -132,8 +130,9 @@ def sync_once(spark: SparkSession, kb_roots, table_set: str, *, recursive: bool
     learned, new_buckets = None, []
     if not dry_run and embed_model is not None:
         fresh = cut_lineage(fresh)
-        fresh, known_contents, learned = _embed_contents(spark, table_set, fresh, embed_model, model, count)
-        new_buckets = _distinct_numbers(learned, TB.bucket_of(F.col("text_key"), count))
+        fresh, known_contents, learned = _embed_contents(spark, table_set, fresh, embed_model, model,
+                                                        numbers(fresh, TB.bucket_of(text_key(F.col("text")), count)))
+        new_buckets = numbers(learned, TB.bucket_of(F.col("text_key"), count))
     elif not dry_run:
         fresh = embed(fresh, "text", **model)
     fresh = cut_lineage(fresh)
