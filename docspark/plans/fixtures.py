@@ -97,23 +97,33 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                     tool_call_text(F.col("role"), F.col("turn"), F.col("conv_id"), F.col("text")).alias("text"))
 
 
+#: Documents a folder of ``documents_folder``, on average.
+FOLDER_FILES = 2000
+
+
 def documents_folder(spark: SparkSession, sf_dir: str, bad_utf8: bool = False) -> str:
-    """Every document written as its own text file ``.../doc_id=<id>/part-*.txt``
-    by Spark (text sink, one directory per document), under the shared
-    checkpoint folder. Written once per input directory and reused.
+    """Every document written as its own text file ``.../<folder>/doc_id=<id>.txt``, which ends
+    with a line feed, by tasks of Spark, under the shared checkpoint folder. Rows of one id share
+    a file. Written once per input directory and reused.
     With ``bad_utf8`` every 17th document ends with the byte 0xFF (invalid UTF-8)."""
     import hashlib
 
+    from docspark.operators.tables import _path
     from docspark.session import checkpoint_dir
-    from docspark.sources.files import _classify_roots
+    from docspark.sources.paths import write_files
     key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    name = "documents_bad_utf8" if bad_utf8 else "documents"
+    name = "files_bad_utf8" if bad_utf8 else "files"
     root = f"{checkpoint_dir(spark).rstrip('/')}/docspark-fixtures/{key}/{name}"
-    files, _ = _classify_roots(spark, [f"{root}/_SUCCESS"])
-    if not files:
+    fs, done = _path(spark, f"{root}._SUCCESS")
+    if not fs.exists(done):
+        fs.delete(_path(spark, root)[1], True)  # what a run that did not end left behind
         d = table(spark, sf_dir, "documents").select("doc_id", "text")
         if bad_utf8:
             bad = F.concat(F.col("text"), F.unhex(F.lit("FF")).cast("string"))
             d = d.withColumn("text", F.when(F.col("doc_id") % 17 == 0, bad).otherwise(F.col("text")))
-        d.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(root)
+        folder = F.pmod(F.xxhash64("doc_id"), F.lit(d.count() // FOLDER_FILES + 1)).cast("string")
+        id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+        write_files(d.select(F.concat(folder, F.lit("/doc_id="), id_, F.lit(".txt")).alias("path"),
+                             F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content")), root)
+        fs.create(done, True).close()
     return root

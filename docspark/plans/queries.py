@@ -168,15 +168,14 @@ def _customer_csv_files(spark, sf):
 
 
 def _doc_id_of(col: str):
-    return F.regexp_extract(col, r"doc_id=(\d+)/", 1).cast("bigint")
+    return F.regexp_extract(col, r"doc_id=(\d+)\.txt$", 1).cast("bigint")
 
 
 @query
 def scan_files(spark, sf):
     """S1 over a folder holding every document as a file (written by Spark)."""
     files = S.supported_files(S.scan_files(spark, [X.documents_folder(spark, sf)], content=False))
-    return files.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
-                        F.col("length").alias("size"))
+    return files.select(_doc_id_of("path").alias("doc_id"), F.col("length").alias("size"))
 
 
 @query

@@ -8,7 +8,7 @@ all tasks. Names are taken as they are, so ``_draft.md``, ``.note.txt`` and
 two and reads the third as a pattern).
 
 ``read_files`` and ``hash_files`` open the paths of a table where its rows
-lie. A path that cannot be opened is a row with an error, not a failed job.
+lie, and ``write_files`` writes them there. A path that cannot be opened is a row with an error, not a failed job.
 
 Local paths and whatever ``pyarrow.fs`` knows by its URI (``hdfs://``, ``s3://``, ``gs://``,
 ``abfss://``) can be opened; only local ones are covered by tests.
@@ -21,8 +21,10 @@ import hashlib
 import math
 import os
 import re
+import uuid
 from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -175,6 +177,44 @@ def read_files(paths: DataFrame) -> DataFrame:
     return _dealt(paths.select("path", "modificationTime", "length")).mapInArrow(run, CONTENT_SCHEMA)
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write the rows' ``content`` (binary) to their ``path`` below ``root``, and return the number of files.
+
+    Rows of one path make one file, in the order of their content. The tasks write the files, so the driver holds
+    no path. A file is written beside ``root`` and moved there whole, so a task that runs twice leaves no part of one."""
+    spark = rows.sparkSession
+    root = plain_path(root)
+    beside = f"{root}_{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base, _ = filesystem(root)
+        _, aside, _ = filesystem(f"{beside}/{uuid.uuid4().hex}")
+        system.create_dir(aside, recursive=True)
+        made, files = set(), 0
+        parts = ((b.column(0)[i].as_py(), b.column(1)[i].as_buffer()) for b in batches for i in range(b.num_rows))
+        for path, some in groupby(parts, key=lambda x: x[0]):
+            with system.open_output_stream(f"{aside}/file") as f:
+                for _, content in some:
+                    f.write(content)
+            folder = os.path.dirname(f"{base}/{path}")
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            system.move(f"{aside}/file", f"{base}/{path}")
+            files += 1
+        system.delete_dir(aside)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    n = rows.count()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / ENTRIES))
+    rows = rows.select("path", F.col("content").cast("binary").alias("content")).repartition(tasks, "path").sortWithinPartitions("path", "content")
+    files = rows.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+    system, at, _ = filesystem(beside)
+    if system.get_file_info(at).type == pafs.FileType.Directory:
+        system.delete_dir(at)
+    return files
+
+
 def hash_files(paths: DataFrame) -> DataFrame:
     """``path, sha256`` for the rows of a listing: hex digest of the bytes, read a MB at a time;
     null where a file cannot be read."""

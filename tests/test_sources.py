@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -155,3 +156,29 @@ def test_ship_package_once(spark):
         import docspark
         return s.map(lambda _: "ok" if docspark.__name__ == "docspark" else "no")
     assert spark.range(2).select(where_from(F.col("id").cast("string")).alias("x")).first().x == "ok"
+
+
+def test_documents_folder_is_written_by_tasks_into_few_folders(spark, scratch):
+    """A file a document, thousands of them a folder, and nothing else: the driver commits no folder a document."""
+    from docspark.plans import fixtures as X
+    rows = [(i, f"text {i}\nä") for i in range(300)] + [(7, "again"), (9, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{scratch}/documents.parquet")
+    for bad, name in ((False, "plain"), (True, "bad")):
+        root = X.documents_folder(spark, scratch, bad_utf8=bad)
+        found = {os.path.join(d, f) for d, _, files in os.walk(root) for f in files}
+        assert len(found) == 300 and len({os.path.dirname(f) for f in found}) <= 2, name
+        held = {int(re.search(r"doc_id=(\d+)\.txt$", f)[1]): open(f, "rb").read() for f in found}
+        end = lambda i: b"\xff" if bad and i % 17 == 0 else b""
+        assert held[7] == b"again\n" + "text 7\nä\n".encode() and held[9] == b"\n" + "text 9\nä\n".encode()
+        assert all(held[i] == f"text {i}\nä".encode() + end(i) + b"\n" for i in range(300) if i not in (7, 9))
+    assert X.documents_folder(spark, scratch, bad_utf8=True) == root
+    assert {f.name for f in os.scandir(os.path.dirname(root)) if f.is_dir()} == {"files", "files_bad_utf8"}
+
+
+def test_written_files_do_not_mind_a_second_attempt(spark, scratch):
+    from docspark.sources.paths import list_files, write_files
+    rows = spark.createDataFrame([("a/x.txt", b"1"), ("a/y.txt", b""), ("b.txt", b"3")], "path string, content binary")
+    for _ in range(2):
+        assert write_files(rows, f"{scratch}/out") == 3
+    got = {r.path[len(scratch) + 5:]: r.length for r in list_files(spark, [f"{scratch}/out"]).collect()}
+    assert got == {"a/x.txt": 1, "a/y.txt": 0, "b.txt": 1} and os.listdir(scratch) == ["out"]
