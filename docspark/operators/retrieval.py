@@ -6,9 +6,10 @@ Exact top-k (R1) has two physical strategies, chosen by a size check:
   ``broadcast_limit_bytes`` it is shipped once to every task; each task scans
   its slice of the vector table with NumPy block products and keeps a running
   top-k per query, emitting at most ``k`` rows per query per task.
-* **blocked**: otherwise vectors are hashed into buckets and queries into
-  blocks, both sized from counts; each (bucket, block) pair meets in one
-  cogroup whose size is bounded by construction. No cross join, no pair rows.
+* **blocked**: otherwise queries are hashed into strips of bounded size and vectors
+  into parts; each strip meets each part in a sorted run of rows, the strip first,
+  and the part's vectors pass it a block at a time. A task holds a strip and a block,
+  and a vector is shuffled once a strip, a query once a part. No cross join, no pair rows.
 
 Either way the final merge is ``row_number() <= k`` over ``(distance, id)``,
 which Spark plans as a WindowGroupLimit. Vectors carry only (id, embedding)
@@ -22,13 +23,19 @@ from typing import Any, Dict, Iterator, Optional
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 
 DEFAULT_BROADCAST_LIMIT = 256 * 1024 * 1024
+#: Bytes of queries that a task holds (as doubles): of the broadcast strategy's, and of a strip.
+QUERY_BYTES = 16 << 20
 NO_HITS_TEXT = "No relevant information found in the knowledge base."   # fixed value
 _QB = 2048            # queries per tile
 _VB = 2048            # vectors per tile
+_SCORED = 1 << 17     # candidates scored exactly at a time
 
 
 # ---------------------------------------------------------------- R2 filter
@@ -111,6 +118,12 @@ def _sortable(ids: np.ndarray) -> np.ndarray:
     return ids.astype(str) if ids.dtype == object else ids
 
 
+def _copies(M: np.ndarray) -> np.ndarray:
+    """The number of each row among the different rows."""
+    rows = np.ascontiguousarray(M + 0.0).view(np.dtype((np.void, M.itemsize * M.shape[1]))).ravel()
+    return np.unique(rows, return_inverse=True)[1].ravel()
+
+
 class _TopK:
     """Running exact top-k of squared L2 distance for a fixed query block.
 
@@ -118,10 +131,16 @@ class _TopK:
     bounded whatever the block sizes. A tile's distances come from one matrix
     product; every candidate at or below the query's k-th smallest, plus what
     rounding can add, is scored again exactly and merged by (distance, id). So
-    ties are never cut, however many there are."""
+    ties are never cut, however many there are. Equal queries are searched once, and of
+    equal vectors only the ``k`` smallest ids can be hits."""
 
     def __init__(self, Q: np.ndarray, k: int):
-        self.Q, self.k = Q, k
+        self.k, self.of = k, None     # which different query each query is
+        if len(Q) and Q.shape[1]:
+            of = _copies(Q)
+            if of.max() + 1 < len(Q):
+                self.of, Q = of, Q[np.unique(of, return_index=True)[1]]
+        self.Q = Q
         self.qn = (Q * Q).sum(1) if len(Q) else np.zeros(0)
         self.best_d = None            # (nq, k) distances, inf = empty slot
         self.best_i = None            # (nq, k) ids
@@ -130,41 +149,72 @@ class _TopK:
         if len(V) == 0 or len(self.Q) == 0 or self.k <= 0:
             return
         ids = _sortable(ids)
+        if len(V) > self.k and V.shape[1]:
+            of = _copies(V)
+            if of.max() + 1 < len(V):
+                order = np.lexsort((ids, of))
+                nth = np.arange(len(V)) - np.searchsorted(of[order], of[order])
+                keep = np.sort(order[nth < self.k])
+                V, ids = V[keep], ids[keep]
         if self.best_d is None:
             self.best_d = np.full((len(self.Q), self.k), np.inf)
             self.best_i = np.zeros((len(self.Q), self.k), dtype=ids.dtype)
         if ids.dtype.kind == "U" and ids.dtype.itemsize > self.best_i.dtype.itemsize:
             self.best_i = self.best_i.astype(ids.dtype)       # widen, never truncate
-        for q0 in range(0, len(self.Q), _QB):
-            for v0 in range(0, len(V), _VB):
-                self._tile(slice(q0, q0 + _QB), V[v0:v0 + _VB], ids[v0:v0 + _VB])
-
-    def _tile(self, at: slice, V: np.ndarray, ids: np.ndarray) -> None:
-        Q, qn, vn, k = self.Q[at], self.qn[at], (V * V).sum(1), self.k
-        near = qn[:, None] + vn[None, :] - 2.0 * (Q @ V.T)
+        for v0 in range(0, len(V), _VB):
+            some = V[v0:v0 + _VB]
+            vn = (some * some).sum(1)
+            for q0 in range(0, len(self.Q), _QB):
+                self._tile(slice(q0, q0 + _QB), some, vn, ids[v0:v0 + _VB])
+
+    def _tile(self, at: slice, V: np.ndarray, vn: np.ndarray, ids: np.ndarray) -> None:
+        Q, qn, k = self.Q[at], self.qn[at], self.k
+        near = Q @ (-2.0 * V.T)
+        near += vn                    # less the query's own square
         slack = 8 * np.finfo(np.float64).eps * (Q.shape[1] + 4) * (qn + vn.max())
-        edge = np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack if k < len(V) else np.full(len(Q), np.inf)
-        q, v = np.nonzero(near <= np.minimum(edge, self.best_d[at][:, -1] + slack)[:, None])
-        diff = Q[q] - V[v]
-        all_q = np.concatenate([q, np.repeat(np.arange(len(Q)), k)])
-        all_d = np.concatenate([np.einsum("nd,nd->n", diff, diff), self.best_d[at].ravel()])
-        all_i = np.concatenate([ids[v], self.best_i[at].ravel()])
+        worst, worst_i = self.best_d[at][:, -1], self.best_i[at][:, -1]
+        edge = worst + slack - qn
+        many = ~np.isfinite(worst)    # few hits as yet: the tile's own k-th bounds them
+        if not many.all():
+            passed = (near <= edge[:, None]).sum(axis=1)
+            many |= passed > 4 * k + 16
+        if k < len(V) and many.any():
+            edge[many] = np.minimum(edge[many], np.partition(near[many], k - 1, axis=1)[:, k - 1] + 2 * slack[many])
+        q, v = np.nonzero(near <= edge[:, None])
+        d, kept = [], []
+        for a in range(0, len(q), _SCORED):
+            x, y = q[a:a + _SCORED], v[a:a + _SCORED]
+            diff = Q[x] - V[y]
+            exact = np.einsum("nd,nd->n", diff, diff)
+            better = (exact < worst[x]) | ((exact == worst[x]) & (ids[y] < worst_i[x]))
+            kept.append(a + np.flatnonzero(better))
+            d.append(exact[better])
+        if not kept or not sum(map(len, kept)):
+            return
+        kept = np.concatenate(kept)
+        q, v = q[kept], v[kept]
+        rows = np.unique(q)           # the queries that gain a hit
+        place = np.arange(at.start, at.start + len(Q))[rows]
+        all_q = np.concatenate([np.searchsorted(rows, q), np.repeat(np.arange(len(rows)), k)])
+        all_d = np.concatenate([*d, self.best_d[place].ravel()])
+        all_i = np.concatenate([ids[v], self.best_i[place].ravel()])
         order = np.lexsort((all_i, all_d, all_q))
-        first = np.searchsorted(all_q[order], np.arange(len(Q)))
+        first = np.searchsorted(all_q[order], np.arange(len(rows)))
         pick = order[first[:, None] + np.arange(k)[None, :]]  # every query has its k slots at least
-        self.best_d[at], self.best_i[at] = all_d[pick], all_i[pick]
+        self.best_d[place], self.best_i[place] = all_d[pick], all_i[pick]
 
     def frame(self, qids: np.ndarray) -> pd.DataFrame:
         if self.best_i is None:
             return pd.DataFrame({"query_id": pd.Series(qids[:0]), "id": pd.Series([], dtype=object),
                                  "distance": pd.Series([], dtype="float64")})
-        nq, kk = self.best_d.shape
-        keep = np.isfinite(self.best_d).reshape(-1)
-        ids = self.best_i.reshape(-1)
+        best_d, best_i = (self.best_d, self.best_i) if self.of is None else (self.best_d[self.of], self.best_i[self.of])
+        nq, kk = best_d.shape
+        keep = np.isfinite(best_d).reshape(-1)
+        ids = best_i.reshape(-1)
         if ids.dtype.kind == "U":          # back to Python str for Arrow
             ids = ids.astype(object)
         out = pd.DataFrame({"query_id": np.repeat(qids, kk), "id": ids,
-                            "distance": self.best_d.reshape(-1)})
+                            "distance": best_d.reshape(-1)})
         return out[keep]
 
 
@@ -178,12 +228,13 @@ def _final_topk(partial: DataFrame, k, k_col: Optional[str] = None) -> DataFrame
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "query_id",
         query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
         where: Optional[Dict[str, Any]] = None, strategy: str = "auto",
-        broadcast_limit_bytes: int = DEFAULT_BROADCAST_LIMIT,
+        broadcast_limit_bytes: int = QUERY_BYTES,
         block_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """R1 (+R2): ``(query_id, rank, id, distance)``, k rows per query at most,
     ascending squared L2 distance, ties broken by id. Null vectors, null or
     non-finite components and vectors of another length than the queries' take
-    no part; queries of several lengths are an error."""
+    no part; queries of several lengths are an error. ``block_bytes``: of the vectors
+    that pass a strip of queries at a time, in the blocked strategy."""
     if where:
         vectors = vectors.where(compile_where(where, vectors.columns))
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where(usable(F.col("_v")))
@@ -220,29 +271,68 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, *, query_id: str = "
 
         partial = v.mapInPandas(scan, out_schema)
     else:
-        counts = q.agg(F.count(F.lit(1)).alias("n")).first()
-        est = int(counts["n"]) * max(dim, 1) * 8
-        n_v = v.count()
-        per_block_v = max(1, block_bytes // (max(dim, 1) * 8))
-        n_buckets = max(1, math.ceil(n_v / per_block_v))
-        n_qblocks = max(1, math.ceil(est / block_bytes))
-        vb = (v.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n_buckets)))
-               .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1)))))
-        qb = (q.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(n_qblocks)))
-               .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)).cast("array<bigint>"))))
-        partial = _cogroup_topk(vb, qb, ["bucket", "qblock"], k, out_schema)
+        partial = _strips_topk(q, v, k, dim, block_bytes)
     return _final_topk(partial, k).select("query_id", "rank", "id", "distance")
 
 
-def _cogroup_topk(vb: DataFrame, qb: DataFrame, keys, k: int, out_schema: str) -> DataFrame:
-    def block(vpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(vpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        top = _TopK(_as_matrix(qpdf["_q"]), k)
-        top.add(_as_matrix(vpdf["_v"]), vpdf["id"].to_numpy())
-        return top.frame(qpdf["query_id"].to_numpy())
-    return (vb.groupBy(*keys).cogroup(qb.groupBy(*keys))
-              .applyInPandas(block, out_schema))
+def _strips_topk(q: DataFrame, v: DataFrame, k: int, dim: int, block_bytes: int) -> DataFrame:
+    """Partial hits (query_id, id, distance): those of each strip of queries (query_id, _q) in each part of the vectors (id, _v)."""
+    strips = max(1, math.ceil(q.count() * max(dim, 1) * 8 / QUERY_BYTES))
+    parts = max(1, math.ceil(4 * q.sparkSession.sparkContext.defaultParallelism / strips))
+    kind = "array<float>" if q.schema["_q"].dataType == v.schema["_v"].dataType == ArrayType(FloatType()) else "array<double>"
+    types = {"query_id": q.schema["query_id"].dataType, "id": v.schema["id"].dataType}
+
+    def cells(strip: Column, part: Column, side: int, vec: str) -> list[Column]:
+        held, other = ("query_id", "id") if side == 0 else ("id", "query_id")
+        return [(strip * parts + part).cast("int").alias("cell"), F.lit(side).alias("side"), F.col(held),
+                F.lit(None).cast(types[other]).alias(other), F.col(vec).cast(kind).alias("vec")]
+
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    qs = q.withColumn("_n", F.lit(parts)).select("query_id", "_q", every.alias("_at"))
+    vs = v.withColumn("_n", F.lit(strips)).select("id", "_v", every.alias("_at"))
+    rows = qs.select(*cells(F.pmod(F.xxhash64("query_id"), F.lit(strips)), F.col("_at"), 0, "_q")).unionByName(
+        vs.select(*cells(F.col("_at"), F.pmod(F.xxhash64("id"), F.lit(parts)), 1, "_v")))
+    rows = rows.select("cell", "side", "query_id", "id", "vec").repartition(strips * parts, "cell").sortWithinPartitions("cell", "side")
+    schema = StructType([StructField("query_id", types["query_id"]), StructField("id", types["id"]), StructField("distance", DoubleType())])
+    arrow = to_arrow_schema(schema)
+    at_once = max(1, block_bytes // (max(dim, 1) * 8))
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, qids, blocks, top = None, [], [], None
+
+        def hits() -> Iterator[pa.RecordBatch]:
+            if top is not None:
+                found = top.frame(np.concatenate(qids))
+                for a in range(0, len(found), 100_000):
+                    some = found.iloc[a:a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.Array.from_pandas(some[f.name], type=f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            key = 2 * batch.column(0).to_numpy().astype(np.int64) + batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if int(key[lo]) // 2 != cell:
+                    yield from hits()
+                    cell, qids, blocks, top = int(key[lo]) // 2, [], [], None
+                some = batch.slice(lo, hi - lo)
+                if key[lo] % 2 == 0:
+                    qids.append(some.column(2).to_pandas().to_numpy())
+                    blocks.append(matrix(some.column(4)))
+                    continue
+                if blocks:
+                    top, blocks = _TopK(np.concatenate(blocks), k), []
+                if top is not None:   # else no query fell into the strip
+                    for a in range(0, hi - lo, at_once):
+                        block = some.slice(a, at_once)
+                        top.add(matrix(block.column(4)), block.column(3).to_pandas().to_numpy())
+        yield from hits()
+
+    return rows.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------- R3-R7

@@ -217,3 +217,29 @@ def test_calls_with_equal_ids_get_their_own_answers(spark):
     got = sorted((r.conv_id, r.ordinal, r.call_id, r.context) for r in R.answer_tool_calls(calls, v, query_vectors=given).collect())
     a, b = "[Document 1] (source: s1)\nta", "[Document 1] (source: s2)\ntb"
     assert got == [(1, 0, "call_x", a), (2, 0, "call_x", b), (2, 0, "call_x", b), (3, 0, None, ""), (5, 1, "call_z", R.NO_HITS_TEXT)]
+
+
+def test_blocked_search_shuffles_strips_not_block_pairs(spark, monkeypatch):
+    """However small its blocks, the blocked strategy sends a vector once a strip of queries, and finds all hits."""
+    rng = np.random.default_rng(4)
+    V = rng.integers(-2, 3, size=(500, 3)).astype(float)     # many equal vectors and distances
+    v = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(V)], "id string, embedding array<double>")
+    q = v.select(F.substring("id", 2, 3).cast("int").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    exp = brute(V, list(range(500)), V, [f"v{i:03d}" for i in range(500)], 4)
+    for strip in (1 << 20, 100 * 3 * 8):
+        monkeypatch.setattr(R, "QUERY_BYTES", strip)
+        hits = R.knn(q, v, 4, strategy="blocked", block_bytes=64)
+        assert "CoGroup" not in hits._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in hits.collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.id))
+        assert {i: [x[1] for x in sorted(g)] for i, g in got.items()} == {i: [x[0] for x in e] for i, e in exp.items()}
+
+
+def test_many_queries_are_not_broadcast(spark, monkeypatch):
+    e = _emb(spark)
+    monkeypatch.setattr(R.knn, "__kwdefaults__", R.knn.__kwdefaults__ | {"broadcast_limit_bytes": R.knn.__kwdefaults__["broadcast_limit_bytes"] >> 12})
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = R.knn(q, e, 2, id_col="vec_id")                   # 500 queries of 64 components: 250 KB
+    assert "Exchange" in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 1000
+    assert "cell" in hits._jdf.queryExecution().optimizedPlan().toString()
