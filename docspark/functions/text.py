@@ -12,6 +12,9 @@ Java engine gives what Python's ``str``/``re`` operations give:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _WS = r"[\s\x1c-\x1f]"               # Python str.isspace() set, under (?U)
@@ -83,3 +86,21 @@ def citation(file_name_: Column, page_1based: Column, chunk_index: Column,
                      F.concat(file_name_, F.lit("#p"), page_1based.cast("string"))) \
         .otherwise(F.concat(file_name_, F.lit("#chunk"), chunk_index.cast("string")))
     return derived if existing is None else F.coalesce(existing, derived)
+
+
+#: Characters that a Python UDF takes at a time.
+PIECE = 1 << 20
+
+
+def pieces(batches: Iterator[pd.Series], most: int = PIECE) -> Iterator[pd.Series]:
+    """The Arrow batches of texts, or of arrays of texts, in runs of some ``most`` characters, so that what a
+    UDF makes of a batch is never held whole."""
+    for s in batches:
+        first, size = 0, 0
+        for i, x in enumerate(s):
+            size += 0 if x is None else len(x) if isinstance(x, str) else sum(len(t or "") for t in x)
+            if size >= most:
+                yield s.iloc[first:i + 1]
+                first, size = i + 1, 0
+        if first < len(s):
+            yield s.iloc[first:]

@@ -237,8 +237,9 @@ def recursive_chunks(df: DataFrame, text_col: str = "text", start_index: bool =
     cutter = chunker(**how)
 
     @F.pandas_udf(CHUNK_SCHEMA)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": c, "start_index": at if start_index else None} for c, at in cutter.placed(t)])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in T.pieces(batches):
+            yield texts.map(lambda t: [{"text": c, "start_index": at if start_index else None} for c, at in cutter.placed(t)])
 
     df = ensure_parallelism(df)
     others = [c for c in df.columns if c != text_col]

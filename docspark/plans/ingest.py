@@ -14,7 +14,7 @@ are a whole file need no shuffle at all. Rows of a file that is several rows
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,9 +37,10 @@ _INTERNAL = ("path", "content", "length", "modificationTime", "json_value", "sec
 def _texts_column(sections: Column, steps: Collection[str], blank_lines: int) -> Column:
     """The sections' texts, cleaned."""
     @F.pandas_udf("array<string>")
-    def nfkc(texts: pd.Series) -> pd.Series:
+    def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import unicodedata
-        return texts.map(lambda many: None if many is None else [unicodedata.normalize("NFKC", t or "") for t in many])
+        for texts in T.pieces(batches):
+            yield texts.map(lambda many: None if many is None else [unicodedata.normalize("NFKC", t or "") for t in many])
 
     texts = F.transform(sections, lambda s: F.coalesce(s["text"], F.lit("")))
     if "nfkc" in steps:
@@ -53,8 +54,9 @@ def _texts_column(sections: Column, steps: Collection[str], blank_lines: int) ->
 
 def _chunks_column(texts: Column, cutter: K.Chunker) -> Column:
     @F.pandas_udf(f"array<{K.CHUNK_SCHEMA}>")
-    def run(many: pd.Series) -> pd.Series:
-        return many.map(lambda ts: [[{"text": c, "start_index": at} for c, at in cutter.placed(t)] for t in ts])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in T.pieces(batches):
+            yield many.map(lambda ts: [[{"text": c, "start_index": at} for c, at in cutter.placed(t)] for t in ts])
     return run.asNondeterministic()(texts)
 
 

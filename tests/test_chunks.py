@@ -205,3 +205,19 @@ def test_token_chunks_with_a_public_tokenizer(spark):
     long = "\u4e2d\u6587🙂" * 4000  # no separator, several tokens a character
     cut = K.chunker(64, 8, unit="token", tokens=offsets).chunks(long)
     assert max(len(offsets(c)) for c in cut) <= 64 and len(cut) < 4000
+
+
+def test_a_batch_is_chunked_in_pieces(spark):
+    """What the chunk and NFKC functions make of a batch is handed on piece by piece, no text lost or split."""
+    import pandas as pd
+
+    from docspark.functions import text as T
+    texts = pd.Series(["a" * 400] * 7 + [None, "", "b" * 5000, "c"])
+    got = list(T.pieces([texts, pd.Series([], dtype=object)], 1000))
+    assert [x for s in got for x in s] == texts.tolist() and [len(s) for s in got] == [3, 3, 4, 1]
+    lists = pd.Series([["a" * 600, None], None, ["b" * 600], []])
+    assert [len(s) for s in T.pieces([lists], 1000)] == [3, 1]
+    big = spark.range(6).selectExpr("id", "repeat(concat('w', id, ' '), 200000) as text").coalesce(1)
+    plan = K.recursive_chunks(big, size=100_000)
+    kept = {r.id: r.n for r in plan.groupBy("id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert set(kept) == set(range(6)) and all(n >= 599_000 for n in kept.values())
