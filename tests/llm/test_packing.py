@@ -102,3 +102,29 @@ def test_every_letter_before_every_mark(tokenizer):
     got = list(packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).ids([w.encode() for w in words]))
     want = tokenizer.encode_batch(words, add_special_tokens=False)
     assert [w for w, g, e in zip(words, got, want) if np.frombuffer(g, "<u4").tolist() != e.ids] == []
+
+
+def test_workers_keep_no_words_between_tasks(spark):
+    """A worker that waits for the next stage holds none of the words it has met."""
+    import pyarrow as pa
+
+    df = spark.range(400, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 50)).alias("text"))
+    assert packing.tokenise(df).count() == 400
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.known) + len(getattr(e, "pool", b"")) for e in packing._ENCODERS.values())])], names=["n"])
+
+    found = [r.n for r in spark.range(64, numPartitions=16).mapInArrow(kept, "n long").collect()]
+    assert len(found) == 16 and max(found) == 0
+
+
+def test_arrays_that_begin_anywhere(tokenizer):
+    """Slices of Arrow arrays, cast or not, and texts beyond what is looked up at once."""
+    import pyarrow as pa
+
+    given = [t or "" for t in texts()] * 3 + ["Éa. ÀB, Ü! aé? ÿ; ß:", "ÉCOLE, Été. x×, ÷."] + ["öÄ ab, " * 400_000, "last. One"]
+    want = [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+    own = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    for column in (pa.array(given).slice(5).cast(pa.large_string()), pa.array(given, pa.large_string()).slice(5)):
+        assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(column)] == want[5:]
