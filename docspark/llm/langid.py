@@ -26,6 +26,8 @@ UNKNOWN = "und"
 SIZES = (2, 3, 4)
 #: Bytes whose n-grams are hashed at once: bounds the memory of a very long text.
 CHUNK = 1 << 20
+#: Rows whose shares, 16 KB each, are handed on at once: buffers of that size stay with the executor.
+SHARES = 100
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -137,7 +139,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     repeat count once. Rows with a null label or a text without letters teach
     nothing. What reaches the driver is n-gram counts, at most ``buckets`` a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SHARES) for b in batches for at in range(0, b.num_rows, SHARES)):
             kept = [(h, lang, text) for h, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
                     if has_letter(text)]
             yield pa.RecordBatch.from_arrays(

@@ -90,3 +90,22 @@ def test_query_held_out_accuracy(spark):
     held = [r for r in rows if r.held_out and truth[r.doc_id]]
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.95
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
+
+
+def test_shares_are_handed_on_in_small_batches(spark, monkeypatch):
+    """A batch of shares, one row a text and 16 KB each, is bounded however many rows Spark sends at once."""
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([("the cat", "en"), ("le chat", "fr")], "text string, lang string")
+    frame, sizes = type(rows), []
+    real = frame.mapInArrow
+
+    def spied(self, run, schema):
+        given = pa.RecordBatch.from_arrays([pa.array(range(950), pa.int64()), pa.array([f"some words {i}" for i in range(950)]),
+                                            pa.array(["en"] * 950)], names=["h", "text", "lang"])
+        sizes.extend((b.num_rows, b.nbytes) for b in run(iter([given])))
+        return real(self, run, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    assert langid.fit(rows).langs == ["en", "fr"]
+    assert sum(n for n, _ in sizes) == 950 and max(b for _, b in sizes) < 2 << 20
