@@ -173,9 +173,9 @@ def _doc_id_of(col: str):
 
 @query
 def scan_files(spark, sf):
-    """S1 over a folder holding every document as a file (written by Spark)."""
-    files = S.supported_files(S.scan_files(spark, [X.documents_folder(spark, sf)], content=False))
-    return files.select(_doc_id_of("path").alias("doc_id"), F.col("length").alias("size"))
+    """S1 over a folder holding every document as a file (written by Spark): ``size`` is counted on the bytes read."""
+    files = S.supported_files(S.scan_files(spark, [X.documents_folder(spark, sf)]))
+    return files.select(_doc_id_of("path").alias("doc_id"), F.octet_length("content").cast("bigint").alias("size"))
 
 
 @query

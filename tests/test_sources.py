@@ -126,6 +126,14 @@ def test_unreadable_files_are_rejects(spark, scratch):
     assert hashes == {"a.txt": hashlib.sha256(b"{}").hexdigest(), "b.json": hashlib.sha256(b"{}").hexdigest(), "gone.txt": None}
 
 
+def test_scan_query_counts_the_bytes_it_reads(spark, scratch, monkeypatch):
+    from docspark.plans import queries
+    spark.createDataFrame([(1, "one"), (2, ""), (3, "d\u00e9j\u00e0"), (4, None)], "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    listed = P.list_files
+    monkeypatch.setattr(S, "list_files", lambda *a, **k: listed(*a, **k).withColumn("length", F.lit(0).cast("bigint")))
+    assert sorted(map(tuple, queries.scan_files(spark, scratch).collect())) == [(1, 4), (2, 1), (3, 7), (4, 1)]
+
+
 def test_many_large_files_go_in_small_batches(spark, scratch, monkeypatch):
     for i in range(40):
         with open(f"{scratch}/{i}.txt", "w") as f:
