@@ -181,6 +181,59 @@ def test_topk_kernel_tiling(monkeypatch):
         assert got.id.tolist() == [x[0] for x in exp[qi]]
 
 
+def test_topk_kernel_odd_vectors(monkeypatch):
+    """Vectors that single precision cannot tell apart or hold, more ties than slots, ids that grow longer."""
+    monkeypatch.setattr(R, "_QB", 5)
+    monkeypatch.setattr(R, "_VB", 64)
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(400, 6))
+    signs = np.array([[1.0 if i >> b & 1 else -1.0 for b in range(6)] for i in range(64)] * 6)
+    for V in (near, 1e6 + 1e-3 * near, 1e25 * near, 1e-25 * near, signs, np.vstack([near[::-1], near])):
+        ids = rng.permutation(len(V))
+        Q = np.vstack([V[:9], V[:1], np.zeros((1, 6))])
+        for k in (1, 3, 30, 1000):
+            top = R._TopK(Q, k)
+            for a in range(0, len(V), 150):
+                top.add(V[a:a + 150], ids[a:a + 150])
+            f = top.frame(np.arange(len(Q)))
+            for qi, q in enumerate(Q):
+                diff = q - V
+                d = np.einsum("nd,nd->n", diff, diff)
+                order = np.lexsort((ids, d))[:k]
+                got = f[f.query_id == qi]
+                assert got.id.tolist() == ids[order].tolist() and got.distance.tolist() == d[order].tolist()
+    top = R._TopK(np.zeros((1, 2)), 2)
+    top.add(np.array([[1.0, 0.0]]), np.array(["b"], dtype=object))
+    top.add(np.array([[0.0, 1.0], [2.0, 0.0]]), np.array(["a-longer-id", "c"], dtype=object))
+    assert top.frame(np.array([7])).id.tolist() == ["a-longer-id", "b"]
+
+
+def test_topk_kernel_some_queries_and_caps():
+    V = np.arange(20.0)[:, None]
+    Q = np.array([[0.0], [0.0], [10.0]])
+    top = R._TopK(Q, 3, np.array([[1], [2], [1]]), np.array([np.inf, 1.0, 4.0]))
+    top.add(V[:10], np.arange(10), np.array([0, 1]))
+    top.add(V[10:], np.arange(10, 20), np.array([2]))
+    f = top.frame(np.array([5, 6, 7]))
+    assert list(zip(f.query_id, f.id)) == [(5, 0), (5, 1), (5, 2), (6, 0), (6, 1), (7, 10), (7, 11), (7, 12)]
+    assert len(R._TopK(Q, 3).Q) == 2 and len(top.Q) == 3
+
+
+def test_rounds_do_not_grow_with_queries(spark, scratch):
+    """However many queries there are, a round of the search is one job for all, with the same hits."""
+    _, v = _clustered(spark, 500, 9)
+    ann.build_index(v, f"{scratch}/set", 9)
+    q = v.where("id < 'v00200'").select(F.col("id").alias("query_id"), "embedding")
+    seen = []
+    for limit in (R.DEFAULT_BROADCAST_LIMIT, 2000):
+        for slack in (0.32, 1.0):
+            report = {}
+            hits = sorted(map(tuple, ann.search_index(q, f"{scratch}/set", 4, slack=slack, first=0.2, limit_bytes=limit, report=report).collect()))
+            assert report["rounds"] <= 4 and len(hits) == 800
+            seen.append((hits, report["share"]))
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+
+
 def test_ties_beyond_any_margin(spark):
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(200, [0.0, 1.0]), (201, None), (202, [float("nan"), 1.0]), (203, [1.0])]
     v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
